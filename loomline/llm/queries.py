@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, url_filter
+from . import exact_dedup, packing, secrets, url_filter
 from .common import table
 
 
@@ -26,7 +26,14 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op7_exact_dedup, op8_secret_scans)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    p = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op7_exact_dedup, op8_secret_scans, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
