@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, secrets, url_filter
+from . import decontaminate, exact_dedup, line_dedup, packing, secrets, url_filter
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -38,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op7_exact_dedup, op8_secret_scans, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op7_exact_dedup, op8_secret_scans, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
@@ -72,3 +77,10 @@ hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ran
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hw ON dw.doc_id = hw.doc_id LEFT JOIN hi ON dw.doc_id = hi.doc_id""".replace("\\\\", "\\")
+
+ORACLE["op5_line_dedup"] = r"""WITH
+l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+k AS (SELECT key, max(doc_id) AS largest FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.*, k.key IS NOT NULL AND k.largest <> l.doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key) GROUP BY doc_id"""
