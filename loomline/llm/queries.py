@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, packing, secrets, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, url_filter
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -43,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op7_exact_dedup, op8_secret_scans, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
