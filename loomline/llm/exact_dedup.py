@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import U64, mix, only, stored, work_dir
 
 SHARD_KEYS = 250_000
+#: Repeated digests (32 bytes each) that may go to every executor; more of them join in a shuffle.
+BROADCAST_DIGESTS = 250_000
 FILTER = "shard int, seed long, segment int, segments int, cells binary"
 
 
@@ -150,10 +152,12 @@ class SnapshotStore:
         return groups.join(old, "digest", "left").select("digest", "n", "max_id", F.coalesce("old_n", F.lit(0)).alias("old_n"), "old_max")
 
 
-def confirmed(docs: DataFrame, repeated: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, size, keep_id) of the repeated digests, counted on the bytes themselves."""
+def confirmed(docs: DataFrame, repeated: DataFrame, key: str, text: str, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """(digest, size, keep_id) of the repeated digests (a stored table), counted on the bytes themselves."""
+    if repeated.count() <= broadcast_digests:
+        repeated = F.broadcast(repeated)
     t = docs.select(docs[key].alias("id"), F.coalesce(docs[text], F.lit("")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    bodies = t.join(repeated.select("digest"), "digest", "left_semi").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep_id"))
+    bodies = t.join(repeated, "digest", "left_semi").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep_id"))
     sure = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id"))
     return sure.select("digest", F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error("two texts share a digest").cast("long")).alias("size"), "keep_id")
 
