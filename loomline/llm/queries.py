@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, url_filter
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
