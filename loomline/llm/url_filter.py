@@ -100,8 +100,8 @@ def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0,
     rate = lambda b, a, prior: (b + F.lit(strength) * prior) / (b + a + F.lit(strength))
     branch = tree.groupBy("host", "branch").agg(*sums)
     hosts = branch.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
-    top = hosts.agg(((F.coalesce(F.sum("hb"), F.lit(0)) + 1) / (F.coalesce(F.sum("hb") + F.sum("ha"), F.lit(0)) + 2)).alias("top"))
-    hosts = hosts.crossJoin(F.broadcast(top)).select("host", rate(F.col("hb"), F.col("ha"), F.col("top")).alias("host_rate"))  # one row
+    top = hosts.agg((F.coalesce(F.sum("hb"), F.lit(0)) + 1) / (F.coalesce(F.sum("hb") + F.sum("ha"), F.lit(0)) + 2)).first()[0]
+    hosts = hosts.select("host", rate(F.col("hb"), F.col("ha"), F.lit(top)).alias("host_rate"))
     b = branch.join(hosts, "host").withColumn("rate", rate(F.col("blocked"), F.col("allowed"), F.col("host_rate"))).withColumn("known", F.col("blocked") + F.col("allowed") > 0)
     w = W.partitionBy("host", "known").orderBy("rate", "branch")  # a branch without examples joins no class
     n = F.col("blocked") + F.col("allowed")
