@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
