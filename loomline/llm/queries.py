@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -13,6 +13,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    r = chat_format.read_back(chat_format.format_chats(c.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+    return r.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -56,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
