@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 #: Odd, so that it has an inverse modulo 2**64.
@@ -135,3 +136,14 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     return np.arange(total) + shift
+
+
+#: Ids that may go to every executor (8 bytes each, some 50 in a hash table).
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs but for the rows whose key is among ids (one column), null matching null. Few ids go to the rows; more than BROADCAST_IDS are joined in a shuffle."""
+    ids = stored(ids.toDF("id_to_drop").distinct())
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[key].eqNullSafe(side["id_to_drop"]), "left_anti")

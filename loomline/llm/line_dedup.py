@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, mix, stored, work_dir
 
@@ -207,8 +208,10 @@ class LineStore:
         self.filters, self.n = new.select("shard", "cells"), n
 
     def clean(self, docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """One row per row of docs: id, text (kept lines), n_lines, n_dropped."""
-        d = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
+        """One row per row of docs: id, text (kept lines), n_lines, n_dropped, rest (a struct of docs' other columns)."""
+        others = [docs[c] for c in docs.columns if c not in (key, text)]
+        rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+        d = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"), rest.alias("rest"))
         if self.n * 32 <= broadcast_bytes:
             return self._clean_here(d)
         return self._clean_joined(d)
@@ -236,9 +239,9 @@ class LineStore:
                                 continue
                         kept.append(line)
                     rows.append((k, b"\n".join(kept), len(lines), len(lines) - len(kept)))
-                yield _record(rows)
+                yield _record(rows, batch.column(2))
 
-        return d.mapInArrow(run, CLEAN)
+        return d.mapInArrow(run, T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
 
     def _clean_joined(self, d: DataFrame) -> DataFrame:
         """The same by shuffles: screened keys join the exact table, and what a text loses joins it by its content."""
@@ -254,13 +257,13 @@ class LineStore:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["hi", "lo", "shard", "id", "blob"])
 
-        lines = d.mapInArrow(explode, "hi long, lo long, shard int, id long, blob string")
+        lines = d.select("id", "text", "blob").mapInArrow(explode, "hi long, lo long, shard int, id long, blob string")
         present = stored(lines.select("shard", "hi", "lo").distinct())
         maybe = present.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "hi long, lo long")
         exact = self._heavy.join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest")
         lost = lines.join(exact, ["hi", "lo"]).where(~F.col("largest").eqNullSafe(F.col("id"))).select("id", "blob", "hi", "lo").distinct()
         lost = lost.groupBy("id", "blob").agg(F.collect_list(F.struct("hi", "lo")).alias("lost")).select(F.col("id").alias("lost_id"), F.col("blob").alias("lost_blob"), "lost")
-        both = d.join(lost, d["id"].eqNullSafe(lost["lost_id"]) & (d["blob"] == lost["lost_blob"]), "left").select("id", "text", "lost")
+        both = d.join(lost, d["id"].eqNullSafe(lost["lost_id"]) & (d["blob"] == lost["lost_blob"]), "left").select("id", "text", "lost", "rest")
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -270,17 +273,17 @@ class LineStore:
                     gone = {(x["hi"], x["lo"]) for x in lost or ()}
                     kept = [line for line, h in zip(lines, keys, strict=True) if h not in gone]
                     rows.append((k, b"\n".join(kept), len(lines), len(lines) - len(kept)))
-                yield _record(rows)
+                yield _record(rows, batch.column(3))
 
-        return both.mapInArrow(drop, CLEAN)
+        return both.mapInArrow(drop, T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
 
 
 CLEAN = "id long, text string, n_lines long, n_dropped long"
 
 
-def _record(rows: list[tuple]) -> pa.RecordBatch:
+def _record(rows: list[tuple], rest: pa.Array) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["id", "text", "n_lines", "n_dropped"])
+    return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), rest], names=["id", "text", "n_lines", "n_dropped", "rest"])
 
 
 def screen(filters: dict[int, Cuckoo], shards: int, keys: list[tuple[int, int]]) -> np.ndarray:

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 
 def scored(docs: DataFrame, model: boosted_trees.Trees, text: str = "text") -> DataFrame:
-    """docs with a column score, one row per row."""
+    """The columns of docs as c0, c1, ... and their score s, one row per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     index, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -139,11 +139,17 @@ def scored(docs: DataFrame, model: boosted_trees.Trees, text: str = "text") -> D
             s = [shared.value.score(statistics(b).astype(np.float32).astype(float)) for b in blocks(batch.column(index))]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names=[*names, "s"])
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "score")
+    return plain.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, that score ``threshold`` or more."""
+    model = train(docs.select(docs[key].alias(key), docs[text].alias("text")), labels, key=key)
+    return scored(docs, model, text).where(F.col("s") >= threshold).drop("s").toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """(key, held_out, score, predicted) of every row."""
     d = docs.select(docs[key].alias(key), docs[text].alias("text"))
-    s = scored(d, train(d, labels, key=key))
+    s = scored(d, train(d, labels, key=key)).toDF(key, "text", "score")
     return s.select(key, is_held_out(F.col(key), 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
