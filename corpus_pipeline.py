@@ -1,11 +1,65 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: documents to packed training sequences.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from loomline.llm.common import stored, table, without
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose lines that five documents share, but for the last holder's. No document goes; n_chars follows the text."""
+    store = line_dedup.LineStore(spark)
+    store.insert(docs)
+    kept = store.clean(docs).select(F.col("id").alias("doc_id"), "text", "rest.*")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
+    linked = jaccard_join.linked(docs)
+    return without(docs, linked.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id"), "doc_id")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a ten-word passage of the benchmark go."""
+    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, hits.where("n_hit > 0").select("doc_id"), "doc_id")
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
+
+#: The classifier and the tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
