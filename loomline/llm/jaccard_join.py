@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles (64-bit hashes). Equal sets are
-collapsed into classes first. Shingles have one global order: those found to be frequent
-over all documents come last, by count, all others by hash; any order is exact, this one
-keeps prefixes rare. If J(x, y) >= t, the first |x| - ceil(t|x|) + l shingles of x and
+collapsed into classes first. Shingles have one global order: by the product of their
+words' counts over all documents (words that are not frequent count 1), but shingles
+that are themselves frequent come last; any order is exact, this one keeps prefixes rare. If J(x, y) >= t, the first |x| - ceil(t|x|) + l shingles of x and
 those of y share l of them. Each class posts the prefix for the largest l; posting lists
 of one class end there.
 
@@ -28,6 +28,7 @@ class and takes its component, null if no id is in it; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, Block, blocks, mix, runs, span_hashes, stored
+from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, mix, runs, span_hashes, stored
 from .components import components
 
 LEVELS = 3
-#: Frequent shingles that the order knows, and how often one must occur in 8 MB of text to be counted.
-FREQUENT, OFTEN = 50_000, 4
+#: Frequent shingles and words that the order knows, and how often one must occur in 8 MB of text to be counted.
+FREQUENT, FREQUENT_WORDS, OFTEN = 50_000, 200_000, 4
+_BITS = 22
+_TOP = U64(64 - _BITS)
 #: Lists up to this length are left to the pairing of groups.
 STAR = 4
 _SPACE = np.zeros(256, bool)
@@ -48,8 +51,8 @@ _SPACE[[0x20, *range(9, 14)]] = True
 _MULT = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 
 
-def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of a block's texts, in order, and where each text's begin (n + 1)."""
+def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and shingle hashes of a block's texts, in order, each shingle's first word, and where each text's shingles begin (n + 1)."""
     b = ASCII_LOWER[block.buf]
     start, end = runs(~_SPACE[b])
     words = span_hashes(b, start, end)
@@ -65,39 +68,70 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
         w = words[at[d] : at[d + 1]]
         total[at[d]] = sum(int(x) * _MULT[i % 8] for i, x in enumerate(w)) + len(w) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF
     first = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    return mix(total[first + np.arange(len(first))]), np.concatenate(([0], np.cumsum(n)))
+    first = first + np.arange(len(first))
+    return words, mix(total[first]), first, np.concatenate(([0], np.cumsum(n)))
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
 
 
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """(shingles, counts) of the most frequent ones, sorted by shingle; at most FREQUENT of them, whatever the input."""
+@dataclass(frozen=True)
+class Order:
+    """The global order of shingles. words: by the hash's top bits, eight times the binary logarithm of a frequent word's count (0: not frequent). hot: frequent shingles, ascending, and hot_n their counts; some: their top bits, as a quick test."""
+
+    words: np.ndarray
+    hot: np.ndarray
+    hot_n: np.ndarray
+    some: np.ndarray
+
+    def keys(self, weights: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Sort keys of shingles s with the summed word weights given: frequent shingles come last, by count."""
+        out = weights.astype(np.int64)
+        maybe = np.flatnonzero(self.some[(s >> _TOP).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hot, s[maybe]), len(self.hot) - 1)
+            hit = self.hot[at] == s[maybe]
+            out[maybe[hit]] = (1 << 20) + np.minimum(self.hot_n[at[hit]], 1 << 40)
+        return out
+
+
+def count_order(docs: DataFrame, k: int) -> Order:
+    """Counts words and shingles over all documents and keeps the most frequent of each: at most FREQUENT_WORDS and FREQUENT, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: tuple[list, list] = ([], [])
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= OFTEN
-            return pa.record_batch([pa.array(s[some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                s, n = np.unique(np.concatenate(parts), return_counts=True)
+                often = n >= OFTEN
+                yield pa.record_batch([pa.array(np.full(often.sum(), kind, np.int32)), pa.array(s[often].view(np.int64)), pa.array(n[often])], names=["kind", "hash", "n"])
 
         for batch in batches:
             for block in blocks(batch.column(0)):
-                held.append(shingles(block, k)[0])
+                words, every, _, _ = shingles(block, k)
+                held[0].append(words)
+                held[1].append(every)
                 size += len(block.buf)
                 if size >= 8 << 20:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    top = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    rows = top.toPandas()
-    s = rows["shingle"].to_numpy(np.int64).view(U64)
-    order = np.argsort(s)
-    return np.stack([s[order], rows["n"].to_numpy(np.int64).view(U64)[order]])
+                    yield from out()
+                    held, size = ([], []), 0
+        if held[0]:
+            yield from out()
+
+    counts = stored(docs.select("text").mapInArrow(run, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")))
+    top = lambda kind, most: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash").limit(most).select("hash", "n").toPandas().sort_values("hash")
+    words, hot = top(0, FREQUENT_WORDS), top(1, FREQUENT)
+    table = np.zeros(1 << _BITS, np.uint8)
+    slot = (words["hash"].to_numpy(np.int64).view(U64) >> _TOP).astype(np.int64)
+    np.maximum.at(table, slot, np.clip(np.round(8 * np.log2(np.maximum(words["n"].to_numpy(float), 1))), 0, 255).astype(np.uint8))
+    h = hot["hash"].to_numpy(np.int64).view(U64)
+    by = np.argsort(h)
+    some = np.zeros(1 << _BITS, bool)
+    some[(h >> _TOP).astype(np.int64)] = True
+    return Order(table, h[by], hot["n"].to_numpy(np.int64)[by], some)
 
 
 def need(n: int, percent: int) -> int:
@@ -105,39 +139,27 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix(s: np.ndarray, size: int, heavy: np.ndarray) -> np.ndarray:
-    """The first ``size`` of ascending shingles s in the global order."""
-    for part in (s[: 2 * size + 8], s):
-        if heavy.shape[1]:
-            at = np.minimum(np.searchsorted(heavy[0], part), heavy.shape[1] - 1)
-            known = heavy[0][at] == part
-        else:
-            at, known = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
-        light = part[~known]
-        if len(light) >= size:
-            return light[:size]
-    dark, weight = part[known], heavy[1][at[known]]
-    return np.concatenate((light, dark[np.lexsort((dark, weight))]))[:size]
-
-
 def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, n, hi, lo, prefix) of every row: size and 128-bit digest of its set, and its longest prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    shared = docs.sparkSession.sparkContext.broadcast(count_order(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = shared.value
+        order = shared.value
         for batch in batches:
             ids = batch.column(0)
             for block in blocks(batch.column(1)):
-                every, at = shingles(block, k)
+                words, every, first, at = shingles(block, k)
+                total = np.concatenate(([0], np.cumsum(order.words[(words >> _TOP).astype(np.int64)], dtype=np.int64)))
+                keys = order.keys(total[np.minimum(first + k, len(words))] - total[first], every)
                 n, hi, lo, own = [], [], [], []
                 for d in range(block.n):
-                    s = np.unique(every[at[d] : at[d + 1]])
+                    s, once = np.unique(every[at[d] : at[d + 1]], return_index=True)
                     digest = xxhash.xxh3_128_intdigest(s.tobytes())
                     n.append(len(s))
                     hi.append(digest >> 64)
                     lo.append(digest & 0xFFFFFFFFFFFFFFFF)
-                    own.append(prefix(s, min(len(s), len(s) - need(len(s), percent) + LEVELS), heavy).view(np.int64))
+                    size = min(len(s), len(s) - need(len(s), percent) + LEVELS)
+                    own.append(s[np.argsort(keys[at[d] : at[d + 1]][once], kind="stable")[:size]].view(np.int64))
                 sizes = np.concatenate(([0], np.cumsum([len(x) for x in own])))
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(own), pa.int64()))
                 half = lambda x: pa.array(np.array(x, U64).view(np.int64))
@@ -152,10 +174,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                every, at = shingles(block, k)
+                _, every, _, at = shingles(block, k)
                 sets = [np.unique(every[at[d] : at[d + 1]]).tobytes() for d in range(block.n)]
                 yield pa.record_batch([batch.column(0).slice(block.first, block.n), pa.array(sets, pa.binary())], names=["id", "set"])
 
+    ids = stored(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, set binary"))
 
 
