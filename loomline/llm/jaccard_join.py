@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, mix, runs, span_hashes, stored
 from .components import components
 
-LEVELS = 3
+LEVELS = 6
 #: Frequent shingles and words that the order knows, and how often one must occur in 8 MB of text to be counted.
 FREQUENT, FREQUENT_WORDS, OFTEN = 50_000, 200_000, 4
 _BITS = 22
@@ -208,6 +208,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole longest prefixes leave room for a link. Of two prefixes, the one that ends first in the global order holds all shingles that the sets share up to there, so what they share is at most what the prefixes share and the rest of one of them."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("p_a", "p_b"))
+    rest = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    fewest = F.least(F.lit(LEVELS), need_of("n_a", percent), need_of("n_b", percent))
+    asked = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    return j.where((both >= fewest) & (both + rest >= asked)).select("a", "b")
+
+
+def decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, as a stored table: only texts of plausible pairs are read again."""
+    pairs = stored(plausible(pairs, classes, percent))
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    return stored(verified(pairs, sets_of(docs, ids, k), percent))
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable by links of J >= percent / 100)."""
     docs = _texts(docs, key, text)
@@ -225,12 +243,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     adaptive = shared.groupBy("id").agg(*[c.alias(f"c{i}") for i, c in enumerate(cost, 1)])
     best = F.least(*[F.col(f"c{i}") for i in range(1, LEVELS + 1)])
     adaptive = adaptive.select("id", F.coalesce(*[F.when(F.col(f"c{i}") == best, i) for i in range(1, LEVELS + 1)]).alias("l"))
-    sets = sets_of(docs, lists_ids(shared), k)
 
     # one pair a class: the smallest member that most of its hot lists name
     star = shared.where((F.col("c") > STAR) & (F.col("low") < F.col("id"))).groupBy("id", "low").agg(F.count(F.lit(1)).alias("m"))
     star = star.groupBy("id").agg(F.max(F.struct("m", (-F.col("low")).alias("low"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.low")).alias("b"))
-    first = stored(verified(star, sets, percent))
+    first = decided(star, classes, docs, k, percent)
     near = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     p = shared.join(adaptive, "id").join(near.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -249,7 +266,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     pa_, pb_ = side(p, "a"), side(p, "b")
     pairs = fits.join(pa_, ["token", *[f"{c}_a" for c in group]]).join(pb_, ["token", *[f"{c}_b" for c in group]])
     pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.max(F.least(length, need_of("n_a", percent), need_of("n_b", percent))).alias("l")).where("m >= l").select("a", "b")
-    second = stored(verified(pairs, sets, percent))
+    second = decided(pairs, classes, docs, k, percent)
     edges = first.unionAll(second)
     comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     whole = classes.select("hi", "lo", F.col("id").alias("class_id"))
@@ -258,9 +275,5 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("class_id"), F.coalesce("component", own).alias("component_id"))
 
 
-def lists_ids(shared: DataFrame) -> DataFrame:
-    return shared.select("id").distinct()
-
-
 def need_of(n: str, percent: int):
     return F.ceil(F.col(n) * percent / F.lit(100)).cast("int")
