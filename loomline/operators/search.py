@@ -26,6 +26,10 @@ def _matches(token: str, prefix: bool) -> Column:
     return F.col("term").startswith(token) if prefix else F.col("term") == token
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def _frequencies(index: Index, phrases: list[tuple[list[str], bool]]) -> DataFrame:
     """(path, f0, f1, ...): how often each phrase occurs in each document that has one of its words."""
     needs = sorted({(t, last and i == len(words) - 1) for words, last in phrases for i, t in enumerate(words)})
@@ -40,7 +44,7 @@ def _frequencies(index: Index, phrases: list[tuple[list[str], bool]]) -> DataFra
             continue
         for i, t in enumerate(words):
             at = F.flatten(F.collect_list(F.when(_matches(t, last and i == len(words) - 1), F.col("positions"))))
-            aggs.append(F.transform(at, lambda p, i=F.lit(i): p - i).alias(f"p{n}_{i}"))
+            aggs.append(_shifted(at, i).alias(f"p{n}_{i}"))
         outs.append(F.size(reduce(F.array_intersect, [F.col(f"p{n}_{i}") for i in range(len(words))])).cast("bigint").alias(f"f{n}"))
     return rows.groupBy("path").agg(*aggs).select("path", *outs)
 

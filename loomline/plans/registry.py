@@ -1,10 +1,501 @@
-"""Queries over the driver's tables and their SQL."""
+"""The operators over the driver's tables, each with the DuckDB SQL of the same result.
+
+The tables aren't transcripts, so each operator runs on columns that play the part:
+conversations are transcripts and their turns lines; documents are bodies; events are
+usage lines or sessions with a time.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import spot
+from ..functions import text as X
+from ..functions.query import Query
+from ..operators import overlay as O
+from ..operators import postings as P
+from ..operators import report as R
+from ..operators import rollup
+from ..operators import search as S
+from ..operators import snapshot as SN
+from ..operators import tags as T
+from ..operators import turns as TU
+from ..operators import view as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; times carry no zone and are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers f(t) where t(name) reads a table."""
+
+    def put(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(lambda t: _table(spark, sf_dir, t))
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return put
+
+
+# ---- transcripts: one conversation is one transcript, a turn a line
+
+
+REAL = "trim(text) <> '' AND NOT starts_with(trim(text), '<') AND NOT starts_with(trim(text), 'Caveat:')"
+
+
+def conversation_sessions(t) -> DataFrame:
+    c = t("conversations")
+    real = (F.col("role") == "user") & X.is_real_user_text(F.col("text"))
+    said = F.when(real, X.squash(F.col("text"), 200))
+    return c.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("role") == "user").alias("user_msgs"), F.count_if(F.col("role") == "assistant").alias("assistant_msgs"),
+        F.coalesce(F.min_by(said, F.when(real, F.col("turn"))), F.lit("")).alias("first_prompt"), F.coalesce(F.max_by(said, F.when(real, F.col("turn"))), F.lit("")).alias("last_prompt"), F.sum(F.length("text")).alias("size"),
+    )
+
+
+SQUASH = "rtrim(left(trim(regexp_replace(regexp_replace({c}, '[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}\\x{{061C}}\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g')), {n}))"
+SESSIONS = f"""SELECT conv_id, count(*) AS entries, count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role = 'assistant') AS assistant_msgs,
+ coalesce(arg_min({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS first_prompt,
+ coalesce(arg_max({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS last_prompt, sum(length(text))::BIGINT AS size FROM conversations GROUP BY conv_id"""
+
+
+@query(SESSIONS)
+def session_rollup(t):
+    return conversation_sessions(t)
+
+
+@query(f"SELECT conv_id, CASE WHEN first_prompt <> '' THEN first_prompt WHEN conv_id % 2 = 0 THEN '(subagent)' ELSE '(untitled session)' END AS title FROM ({SESSIONS})")
+def title_fallback(t):
+    s = conversation_sessions(t)
+    return s.select("conv_id", X.title(F.lit(""), F.lit(""), F.col("first_prompt"), F.col("conv_id") % 2 == 0).alias("title"))
+
+
+@query(f"SELECT conv_id, turn, {REAL} AS is_real FROM conversations")
+def real_user_text(t):
+    return t("conversations").select("conv_id", "turn", X.is_real_user_text(F.col("text")).alias("is_real"))
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no, n > 3 AS more FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE back <= 3")
+def last_turns(t):
+    return TU.last(t("conversations").select("conv_id", "turn", "role"), 3, "conv_id", "turn")
+
+
+@query("SELECT conv_id, string_agg(text || ' ', '' ORDER BY turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def prose_bodies(t):
+    c = t("conversations").where(F.col("role").isin("user", "assistant"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(x["text"], F.lit(" "))), "").alias("text"))
+
+
+@query("SELECT user_id, count(*) FILTER (counted) AS responses, round(sum(value) FILTER (counted), 6) AS total FROM (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counted FROM events) GROUP BY user_id")
+def usage_dedup(t):
+    e = t("events").select("user_id", F.struct("ts", "event_id").alias("at"), F.lit(True).alias("has_usage"), F.col("event_type").alias("usage_id"), "value")
+    return rollup.deduplicated_usage(e, "user_id", "at").groupBy("user_id").agg(F.count_if("counted").alias("responses"), F.round(F.sum(F.when(F.col("counted"), F.col("value"))), 6).alias("total"))
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) FILTER (event_type = 'purchase') AS last_purchase, max(floor(epoch(ts))::BIGINT) AS last_ts FROM events GROUP BY user_id")
+def first_last_seen(t):
+    bought = F.col("event_type") == "purchase"
+    return t("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"), F.max_by("value", F.when(bought, F.col("event_id"))).alias("last_purchase"), F.max(F.unix_seconds("ts")).alias("last_ts"))
+
+
+USERS = "SELECT user_id, min(floor(epoch(ts))::BIGINT) AS first_ts, max(floor(epoch(ts))::BIGINT) AS last_ts, count(*) AS entries, sum(length(props))::BIGINT AS size FROM events GROUP BY user_id"
+
+
+def _users(t) -> DataFrame:
+    ts = F.unix_seconds("ts")
+    return t("events").groupBy("user_id").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("entries"), F.sum(F.length("props")).alias("size"))
+
+
+def _user_sessions(t) -> DataFrame:
+    u = _users(t)
+    return u.select(F.col("user_id").cast("string").alias("path"), F.concat(F.lit("u"), "user_id").alias("title"), F.concat(F.lit("/d"), F.col("user_id") % 7).alias("cwd"), F.col("last_ts").alias("mtime"), "first_ts", "last_ts", "entries", "size", *[F.col("entries").alias(c) for c in rollup.TOKENS], (F.col("user_id") % 5 == 0).alias("favorite"))
+
+
+_U = f"SELECT user_id::VARCHAR AS path, 'u' || user_id AS title, '/d' || user_id % 7 AS cwd, last_ts AS mtime, first_ts, last_ts, entries, size, user_id % 5 = 0 AS favorite FROM ({USERS})"
+_ORDER = {"recency": "mtime DESC", "size": "size DESC", "entries": "entries DESC", "duration": "CASE WHEN first_ts > 0 AND last_ts > first_ts THEN last_ts - first_ts ELSE 0 END DESC", "title": "lower(title)", "folder": "cwd, mtime DESC", "tokens": "4 * entries DESC"}
+for _sort, _by in _ORDER.items():
+
+    def _sorted(t, sort=_sort):
+        s = _user_sessions(t)
+        w = W.orderBy(*V.ordered_keys(sort))
+        return s.orderBy(*V.ordered_keys(sort)).limit(50).select("path", "title", F.row_number().over(w).alias("line"))
+
+    query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U}) QUALIFY line <= 50", f"sort_{_sort}")(_sorted)
+
+
+@query(f"SELECT user_id, CASE WHEN first_ts > 0 AND last_ts > first_ts THEN last_ts - first_ts ELSE 0 END AS duration FROM ({USERS})")
+def duration(t):
+    return _users(t).select("user_id", N.duration_secs(F.col("first_ts"), F.col("last_ts")).alias("duration"))
+
+
+@query("""SELECT 'turns' AS metric, count(*)::BIGINT AS value FROM conversations UNION ALL SELECT 'user', count(*) FILTER (role = 'user') FROM conversations UNION ALL SELECT 'chars', sum(length(text)) FROM conversations
+ UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'document_chars', sum(n_chars) FROM documents""")
+def corpus_stats(t):
+    c = t("conversations").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user"), F.sum(F.length("text")).alias("chars"))
+    d = t("documents").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("document_chars"))
+    rows = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in df.columns]), F.array(*[F.col(x).cast("bigint") for x in df.columns]))).alias("metric", "value"))
+    return rows(c).unionAll(rows(d))
+
+
+SESSION_STATS = """SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM ({u}) UNION ALL SELECT 'subagents', 0 UNION ALL SELECT 'bytes', sum(size) FROM ({u}) UNION ALL SELECT 'entries', sum(entries) FROM ({u})
+ UNION ALL SELECT 'with_title', count(*) FROM ({u}) UNION ALL SELECT 'with_cwd', count(*) FROM ({u}) UNION ALL SELECT 'with_branch', 0 UNION ALL SELECT 'in_tokens', sum(entries) FROM ({u}) UNION ALL SELECT 'out_tokens', sum(entries) FROM ({u})
+ UNION ALL SELECT 'cache_read', sum(entries) FROM ({u}) UNION ALL SELECT 'cache_write', sum(entries) FROM ({u}) UNION ALL SELECT 'total_tokens', 4 * sum(entries) FROM ({u})""".format(u=_U)
+
+
+@query(SESSION_STATS)
+def session_stats(t):
+    s = _user_sessions(t).withColumns({"is_subagent": F.lit(False), "custom_title": F.col("title"), "ai_title": F.lit(""), "git_branch": F.lit("")})
+    return R.stats(s)
+
+
+# ---- dates, numbers, texts
+
+
+def _now(t):
+    return F.lit(t("events").agg(F.max(F.unix_seconds("ts"))).first()[0])
+
+
+NOW = "(SELECT max(floor(epoch(ts))::BIGINT) FROM events)"
+EPOCH = "floor(epoch(ts))::BIGINT"
+DAYS = f"date_diff('day', make_timestamp({EPOCH} * 1000000)::DATE, make_timestamp({NOW} * 1000000)::DATE)"
+BAND = f"CASE WHEN {DAYS} <= 0 THEN 'today' WHEN {DAYS} = 1 THEN 'yesterday' WHEN {DAYS} <= 6 THEN 'this week' WHEN {DAYS} <= 30 THEN 'this month' WHEN {DAYS} <= 365 THEN 'this year' ELSE 'older' END"
+
+
+@query(f"SELECT event_id, {BAND} AS band FROM events")
+def date_bands(t):
+    return t("events").select("event_id", N.date_band(F.unix_seconds("ts"), _now(t)).alias("band"))
+
+
+@query(f"SELECT band, n, line FROM (SELECT band, count(*) AS n, row_number() OVER (ORDER BY max({EPOCH}) DESC) AS line FROM (SELECT *, {BAND} AS band FROM events) GROUP BY band)")
+def band_dividers(t):
+    e = t("events").withColumn("band", N.date_band(F.unix_seconds("ts"), _now(t)))
+    g = e.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds("ts")).alias("newest"))
+    return g.select("band", "n", F.row_number().over(W.orderBy(F.desc("newest"))).alias("line"))
+
+
+for _days in ("7", "30", "90"):
+    query(f"SELECT event_id FROM events WHERE {NOW} - {EPOCH} <= {_days} * 86400", f"date_range_{_days}")(lambda t, d=_days: t("events").where(N.in_range(F.unix_seconds("ts"), _now(t), d)).select("event_id"))
+query(f"SELECT event_id FROM events WHERE {DAYS} <= 0", "date_range_today")(lambda t: t("events").where(N.in_range(F.unix_seconds("ts"), _now(t), "today")).select("event_id"))
+
+
+@query(f"SELECT event_id, CASE WHEN d < 90 THEN d || 's' WHEN d < 5400 THEN d // 60 || 'm' WHEN d < 129600 THEN d // 3600 || 'h' WHEN d < 86400000 THEN d // 86400 || 'd' ELSE d // 31557600 || 'y' END AS age FROM (SELECT event_id, greatest({NOW} - {EPOCH}, 0) AS d FROM events)")
+def reltime(t):
+    return t("events").select("event_id", N.reltime(F.unix_seconds("ts"), _now(t)).alias("age"))
+
+
+@query(f"SELECT user_id, CASE WHEN s <= 0 THEN '-' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' || (s % 3600) // 60 || 'm' ELSE s // 86400 || 'd' || (s % 86400) // 3600 || 'h' END AS shown FROM (SELECT user_id, last_ts - first_ts AS s FROM ({USERS}))")
+def human_dur(t):
+    return _users(t).select("user_id", N.human_dur(F.col("last_ts") - F.col("first_ts")).alias("shown"))
+
+
+_SIZE = "CASE WHEN round_even({v}, 1) < 10 THEN printf('%.1f', round_even({v}, 1)) ELSE printf('%.0f', round_even({v}, 0)) END"
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 AND round_even(b / 1024.0::DOUBLE, 0) < 1024 THEN {k} || 'K' WHEN b < 1073741824 AND round_even(b / 1048576.0::DOUBLE, 0) < 1024 THEN {m} || 'M' ELSE {g} || 'G' END AS shown FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 37)::BIGINT AS b FROM orders)".format(k=_SIZE.format(v="(b / 1024.0::DOUBLE)"), m=_SIZE.format(v="(b / 1048576.0::DOUBLE)"), g=_SIZE.format(v="(b / 1073741824.0::DOUBLE)")))
+def human_size(t):
+    return t("orders").select("o_orderkey", N.human_size(F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("shown"))
+
+
+_N = "(l_orderkey * l_partkey * l_partkey * l_linenumber)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN n < 1000 THEN n::VARCHAR WHEN (n + 500) // 1000 < 1000 THEN (n + 500) // 1000 || 'k' WHEN (n + 50000) // 100000 < 10000 THEN ((n + 50000) // 100000) // 10 || '.' || ((n + 50000) // 100000) % 10 || 'm' ELSE ((n + 5000000) // 10000000) // 100 || '.' || lpad((((n + 5000000) // 10000000) % 100)::VARCHAR, 2, '0') || 'b' END AS shown FROM (SELECT l_orderkey, l_linenumber, {_N} AS n FROM lineitem)")
+def human_count(t):
+    n = F.col("l_orderkey") * F.col("l_partkey") * F.col("l_partkey") * F.col("l_linenumber")
+    return t("lineitem").select("l_orderkey", "l_linenumber", N.human_count(n).alias("shown"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR WHEN (n + 50) // 100 < 100 THEN ((n + 50) // 100) // 10 || '.' || ((n + 50) // 100) % 10 || 'k' WHEN (n + 500) // 1000 < 1000 THEN (n + 500) // 1000 || 'k' WHEN (n + 50000) // 100000 < 10000 THEN ((n + 50000) // 100000) // 10 || '.' || ((n + 50000) // 100000) % 10 || 'm' ELSE ((n + 50000000) // 100000000) // 10 || '.' || ((n + 50000000) // 100000000) % 10 || 'b' END AS shown FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n FROM orders)")
+def compact_count(t):
+    return t("orders").select("o_orderkey", N.compact_count(F.col("o_orderkey") * F.col("o_custkey")).alias("shown"))
+
+
+@query(f"SELECT event_id, round(greatest(0, least(1, 1 - ln(1 + ({NOW} - {EPOCH}) / 86400.0::DOUBLE) / ln(401.0::DOUBLE))), 6) AS depth FROM events")
+def freshness(t):
+    return t("events").select("event_id", F.round(N.freshness(_now(t) - F.unix_seconds("ts")), 6).alias("depth"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '\\s', '-', 'g'), '[^\\p{L}\\p{N}_/.-]', '', 'g') AS tag FROM part")
+def normalize_tag(t):
+    return t("part").select("p_partkey", X.normalize_tag(F.col("p_type")).alias("tag"))
+
+
+@query(f"SELECT doc_id, {SQUASH.format(c='text', n=160)} AS squashed FROM documents")
+def squash_clip(t):
+    return t("documents").select("doc_id", X.squash(F.col("text"), 160).alias("squashed"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(left(text, 400), chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS value FROM documents")
+def tsv_lines(t):
+    return t("documents").select("doc_id", X.tsv(F.left("text", F.lit(400))).alias("value"))
+
+
+@query("SELECT page_id, regexp_replace(html, '(?s)<script>.*?(?:</script>|\\z)', '', 'g') AS stripped FROM pages")
+def strip_spans(t):
+    return t("pages").select("page_id", F.regexp_replace("html", X.REMINDER.replace("system-reminder", "script"), "").alias("stripped"))
+
+
+@query("SELECT event_id, coalesce(regexp_extract(props, '\"k\": *([0-9]+)', 1)::BIGINT, 0) AS k FROM events")
+def json_number(t):
+    return t("events").select("event_id", X.json_number(F.col("props"), "k").alias("k"))
+
+
+# ---- tags and marks
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS tag FROM part) GROUP BY tag")
+def tag_counts(t):
+    return T.tag_counts(t("part").select(F.split("p_type", " ").alias("tags")))
+
+
+@query("SELECT l.doc_id, list_sort(list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(r, x)), a))) AS tags FROM (SELECT doc_id, ['q' || quality, 't' || toxic, 'all'] AS t, ['new', 'q' || quality] AS a, ['all', 't0'] AS r FROM labels) l")
+def tag_merge(t):
+    q, x = F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic")
+    return t("labels").select("doc_id", T.edited(F.array(q, x, F.lit("all")), F.array(F.lit("new"), q), F.array(F.lit("all"), F.lit("t0"))).alias("tags"))
+
+
+_MARKS = "SELECT doc_id::VARCHAR AS id, quality = 1 AS favorite, ['toxic' || toxic] AS tags FROM labels"
+
+
+def _marks(t) -> DataFrame:
+    return t("labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 1).alias("favorite"), F.array(F.concat(F.lit("toxic"), "toxic")).alias("tags"), F.lit("").alias("note"))
+
+
+@query(f"SELECT doc_id, coalesce(favorite, false) AS favorite, coalesce(array_to_string(list_transform(m.tags, lambda x: '#' || x), ' '), '') AS tag_words FROM documents d LEFT JOIN ({_MARKS}) m ON d.doc_id::VARCHAR = m.id")
+def overlay_join(t):
+    d = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    return O.with_marks(d, _marks(t)).select("doc_id", "favorite", X.tag_words(F.col("tags")).alias("tag_words"))
+
+
+@query("SELECT count(*) FILTER (known AND quality = 1) AS favourites, count(*) FILTER (NOT known) AS orphans, count(DISTINCT toxic) FILTER (known) AS tags FROM (SELECT l.*, d.doc_id IS NOT NULL AS known FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d ON l.doc_id = d.doc_id)")
+def overlay_summary(t):
+    return O.marks_summary(_marks(t), t("documents").where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("id")))
+
+
+@query("SELECT coalesce(m.id, p.id) AS id, coalesce(p.favorite, m.favorite, false) AS favorite, array_to_string(list_sort(list_distinct(list_concat(coalesce(m.tags, []), coalesce(p.added, [])))), ',') AS tags FROM ({m}) m FULL JOIN (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN true END AS favorite, ['p'] AS added FROM documents WHERE doc_id < 300) p ON m.id = p.id".format(m=_MARKS))
+def marks_merge(t):
+    patch = t("documents").where("doc_id < 300").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, True).alias("favorite"), F.lit(None).cast("string").alias("note"), F.array(F.lit("p")).alias("added"), F.array().cast("array<string>").alias("removed"))
+    return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
+
+
+# ---- joins
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS subagent_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def child_counts(t):
+    tops = t("orders").select(F.col("o_orderkey").alias("id"), F.lit(False).alias("is_subagent"), F.lit(None).cast("bigint").alias("parent"))
+    kids = t("lineitem").select(F.lit(None).cast("bigint").alias("id"), F.lit(True).alias("is_subagent"), F.col("l_orderkey").alias("parent"))
+    return O.with_child_counts(tops.unionAll(kids)).where("NOT is_subagent").select(F.col("id").alias("o_orderkey"), F.col("subagent_count").cast("bigint").alias("subagent_count"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 20)")
+def orphans(t):
+    tops = t("customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), F.lit(False).alias("is_subagent"), F.lit(None).cast("bigint").alias("parent"))
+    kids = t("orders").select(F.col("o_orderkey").alias("id"), F.lit(True).alias("is_subagent"), F.col("o_custkey").alias("parent"))
+    return O.orphans(tops.unionAll(kids)).select(F.col("id").alias("o_orderkey"), F.col("parent").alias("o_custkey"))
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
+def parents_of_hits(t):
+    l = t("lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("path"), F.lit(True).alias("is_subagent"), F.col("l_orderkey").alias("parent"), "l_returnflag", "l_quantity")
+    return S.parents_of_hits(l, l.where("l_returnflag = 'R' AND l_quantity > 45").select("path"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def newest_per_key(t):
+    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+_PLACES = "SELECT regexp_extract(url, '://([^?#]*)', 1) AS place FROM pages WHERE page_id % 4 = 0 UNION SELECT regexp_extract(url, '://([^/?#]*)', 1) FROM pages"
+
+
+@query(f"SELECT cwd, arg_max(place, length(place)) AS place FROM (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS cwd FROM pages), (SELECT DISTINCT rtrim(place, '/') AS place FROM ({_PLACES})) WHERE rtrim(cwd, '/') = place OR starts_with(cwd, place || '/') GROUP BY cwd")
+def longest_prefix(t):
+    p = t("pages")
+    full, host = F.regexp_extract("url", "://([^?#]*)", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
+    places = p.where("page_id % 4 = 0").select(full.alias("place")).unionAll(p.select(host.alias("place"))).select(F.rtrim(F.regexp_replace("place", "/+$", "")).alias("place")).distinct()
+    return O.longest_prefix(p.select(full.alias("cwd")), "cwd", places, "place").select("cwd", "place")
+
+
+@query("SELECT page_id, CASE WHEN n >= 2 AND p[1] <> '' AND p[2] <> '' THEN p[1] END AS repo, CASE WHEN n >= 2 AND p[1] <> '' AND p[2] <> '' THEN p[2] END AS slug FROM (SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS p, len(string_split(regexp_extract(url, '://([^?#]*)', 1), '/')) AS n FROM pages)")
+def path_split(t):
+    repo, slug, _ = O.path_parts(F.concat(F.lit("/w/"), F.regexp_extract("url", "://([^?#]*)", 1)), "/w")
+    return t("pages").select("page_id", repo.alias("repo"), slug.alias("slug"))
+
+
+@query("SELECT doc_id, source AS folder, max(doc_id) OVER (PARTITION BY source) AS newest, count(*) OVER (PARTITION BY source) AS n FROM documents")
+def group_by_folder(t):
+    w = W.partitionBy("source")
+    return t("documents").select("doc_id", F.col("source").alias("folder"), F.max("doc_id").over(w).alias("newest"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 25")
+def top_n_recent(t):
+    s = t("orders").select("o_orderkey", F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").cast("string").alias("path"), F.lit(False).alias("is_subagent"), F.lit("/x").alias("cwd"))
+    return V.top_recent(s, 25).select("o_orderkey")
+
+
+@query("SELECT a.o_orderkey::VARCHAR AS path FROM orders a LEFT JOIN (SELECT o_orderkey, o_custkey + (o_orderkey % 11 = 0)::INT AS o_custkey FROM orders WHERE o_orderkey % 7 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey")
+def change_detection(t):
+    from ..streaming.refresh import changed_sessions
+
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), F.lit(0).alias("scanned_len"), "o_orderkey")
+    cached = o.where("o_orderkey % 7 <> 0").withColumn("size", F.col("size") + (F.col("o_orderkey") % 11 == 0).cast("int"))
+    return changed_sessions(o, cached).select("path")
+
+
+@query("SELECT o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F'")
+def unchanged_files(t):
+    from ..sources.transcripts import unchanged
+
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), "o_orderkey", "o_orderstatus")
+    return unchanged(o.where("o_orderstatus = 'F'").select("path", "size", "mtime"), o.where("o_orderkey % 3 = 0")).select("path")
+
+
+_SEEN = "SELECT user_id AS id, row_number() OVER (ORDER BY max(event_id) DESC) AS ord FROM events WHERE ts {when} TIMESTAMP '2024-01-20' GROUP BY user_id QUALIFY ord <= {n}"
+
+
+@query(f"WITH a AS ({_SEEN.format(when='>=', n=15)}), b AS ({_SEEN.format(when='<', n=24)}) SELECT id FROM (SELECT id, 0 AS src, ord FROM a UNION ALL SELECT id, 1, ord FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY src, ord, id LIMIT 24")
+def snapshot_fold(t):
+    def seen(rows: DataFrame, n: int) -> DataFrame:
+        g = rows.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("last"))
+        return g.orderBy(F.desc("last")).limit(n).select("id", F.row_number().over(W.orderBy(F.desc("last"))).alias("ord"))
+
+    e = t("events")
+    return SN.kept(seen(e.where("ts >= '2024-01-20'"), 15), seen(e.where("ts < '2024-01-20'"), 24)).select("id")
+
+
+# ---- search
+
+WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def _index(t, folded: bool = False) -> P.Index:
+    return P.build(t("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), folded=folded)
+
+
+def _bm25_sql(phrases: list[tuple[str, str]], where: str, digits: int = 6) -> str:
+    """phrases: (name, SQL that gives (doc_id, f))."""
+    ctes = ["d AS (SELECT doc_id, unnest({w}) AS term, generate_subscripts({w}, 1) AS pos, len({w}) AS dl FROM documents)".format(w=WORDS), f"l AS (SELECT doc_id, len({WORDS}) AS dl FROM documents WHERE coalesce(text, '') <> '')", "a AS (SELECT count(*) AS n, avg(dl) AS m FROM l)"]
+    for n, q in phrases:
+        ctes.append(f"{n} AS ({q})")
+    score = " + ".join(f"coalesce((SELECT CASE WHEN ln((a.n - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((a.n - c + 0.5) / (c + 0.5)) END FROM (SELECT count(*)::DOUBLE AS c FROM {n})) * {n}.f * 2.2 / ({n}.f + 1.2 * (0.25 + 0.75 * l.dl / a.m)), 0)" for n, _ in phrases)
+    joins = " ".join(f"LEFT JOIN {n} ON l.doc_id = {n}.doc_id" for n, _ in phrases)
+    return f"WITH {', '.join(ctes)} SELECT l.doc_id::VARCHAR AS path, round({score}, {digits}) AS score FROM l CROSS JOIN a {joins} WHERE {where}"
+
+
+_word = lambda w, prefix=True: f"SELECT doc_id, count(*)::DOUBLE AS f FROM d WHERE {f"starts_with(term, '{w}')" if prefix else f"term = '{w}'"} GROUP BY doc_id"
+_PHRASE = "SELECT doc_id, count(*)::DOUBLE AS f FROM (SELECT x.doc_id FROM d x JOIN d y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'of' AND starts_with(y.term, 'the')) GROUP BY doc_id"
+
+
+def _ranked(t, typed: str) -> DataFrame:
+    return S.indexed(_index(t), Query.parse(typed)).select("path", F.round("score", 6).alias("score"))
+
+
+query(_bm25_sql([("p", _word("edou"))], "p.f > 0"), "bm25_word")(lambda t: _ranked(t, "edou"))
+query(_bm25_sql([("p", _word("thtion")), ("q", _word("is", False))], "p.f > 0 AND q.f > 0"), "bm25_and")(lambda t: _ranked(t, "thtion is"))
+query(_bm25_sql([("p", _word("theding")), ("q", _word("thed"))], "p.f > 0 OR q.f > 0"), "bm25_or_root")(lambda t: _ranked(t, "theding"))
+query(_bm25_sql([("p", _PHRASE)], "p.f > 0"), "bm25_phrase")(lambda t: _ranked(t, '"of the"'))
+
+
+@query("WITH d AS (SELECT doc_id, unnest({w}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM d GROUP BY term".format(w=WORDS))
+def doc_frequency(t):
+    return P.document_frequency(_index(t))
+
+
+_TITLE = SQUASH.format(c="text", n=60)
+
+
+@query(f"SELECT doc_id::VARCHAR AS path, n_chars * (1 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])the'))::INT / 2.0 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])ation'))::INT / 2.0) AS score FROM (SELECT doc_id, n_chars, {_TITLE} AS t FROM documents)")
+def title_lift(t):
+    d = t("documents").select(F.col("doc_id").cast("string").alias("path"), X.squash(F.col("text"), 60).alias("title"), F.col("n_chars").cast("double").alias("score"))
+    return S.lifted(d.select("path", "score"), d.select("path", "title"), "the ation").select("path", "score")
+
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TIMES = "least((length({t}) - length(replace({t}, '{s}', ''))) / {n}, 1000)"
+
+
+@query("SELECT doc_id::VARCHAR AS path, round(ln(1 + {a}) + ln(1 + {b}), 6) AS score FROM documents WHERE contains({t}, 'th,') AND contains({t}, 'on.')".format(t=_LOW, a=_TIMES.format(t=_LOW, s="th,", n="3.0"), b=_TIMES.format(t=_LOW, s="on.", n="3.0")))
+def literal_search(t):
+    d = t("documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return S.literal(d, Query.parse("th, on.")).select("path", F.round("score", 6).alias("score"))
+
+
+@query("SELECT path, count(*) AS terms, round(sum(score), 6) AS score FROM (({a}) UNION ALL ({b})) GROUP BY path".format(a=_bm25_sql([("p", _word("shthea"))], "p.f > 0", 12), b=_bm25_sql([("p", _word("ouston"))], "p.f > 0", 12)))
+def partial_search(t):
+    return S.partial(_index(t), Query.parse("shthea ouston")).select("path", "terms", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING bool_or(contains({_LOW}, 'edou')) AND bool_or(contains({_LOW}, 'thea'))")
+def scan_all_terms(t):
+    raw = F.concat(F.lit('{"message":{"role":"'), F.col("role"), F.lit('","content":"'), F.regexp_replace("text", '[\n"\\\\]', " "), F.lit('"}}'))
+    lines = t("conversations").where(F.col("role").isin("user", "assistant")).select(F.col("conv_id").alias("path"), F.col("turn").alias("offset"), raw.alias("raw"))
+    return S.scan(lines, Query.parse("edou thea")).select(F.col("path").alias("conv_id"))
+
+
+_EVENT_LINE = """'{"type":"tool_use","name":"' || event_type || '","path":"/u/' || user_id || '"}'"""
+
+
+def _event_lines(t) -> DataFrame:
+    raw = F.concat(F.lit('{"type":"tool_use","name":"'), "event_type", F.lit('","path":"/u/'), "user_id", F.lit('"}'))
+    return t("events").select(F.col("event_id").alias("path"), F.lit(0).alias("offset"), raw.alias("raw"))
+
+
+query("SELECT event_id FROM events WHERE contains('/u/' || user_id, 'u/12')", "file_hit")(lambda t: S.file_hits(_event_lines(t), "U/12").select(F.col("path").alias("event_id")))
+query("SELECT event_id FROM events WHERE contains(event_type, 'chase')", "tool_hit")(lambda t: S.tool_hits(_event_lines(t), "Chase").select(F.col("path").alias("event_id")))
+
+
+@query("SELECT conv_id AS id, max(length(text))::DOUBLE AS score FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id * 1000 + turn + 1000000, length(text) FROM conversations WHERE turn > 0")
+def best_score_rollup(t):
+    c = t("conversations").select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("path"), (F.col("turn") > 0).alias("is_subagent"), F.when(F.col("turn") > 0, F.col("conv_id")).alias("parent"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).otherwise(F.col("conv_id")).alias("id"), F.length("text").cast("double").alias("score"))
+    return S.session_scores(c.drop("score"), c.select("path", "score"))
+
+
+@query("SELECT avg((r IS NOT NULL)::INT::DOUBLE) AS found, avg(coalesce((r = 1)::INT, 0)::DOUBLE) AS first, avg(coalesce((r <= 5)::INT, 0)::DOUBLE) AS top5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM (SELECT CASE WHEN doc_id % 4 <> 0 THEN doc_id % 9 + 1 END AS r FROM documents)")
+def search_eval(t):
+    r = t("documents").select(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 9 + 1).alias("rank"))
+    return R.search_quality(r).withColumn("mrr", F.round("mrr", 6))
+
+
+@query()
+def filter_score(t):
+    from ..functions import fuzzy
+
+    d = t("documents").select("doc_id", X.squash(F.col("text"), 80).alias("title"), "source")
+    return d.select("doc_id", fuzzy.filter_score({"title": F.col("title"), "folder": F.col("source")}, "the !src7").alias("score")).where("score IS NOT NULL")
+
+
+@query()
+def excerpt(t):
+    d = t("documents").select("doc_id", "text").where(X.ascii_lower(F.col("text")).contains("edou"))
+    return d.select("doc_id", spot.excerpt(F.col("text"), "edou the").alias("excerpt"))
+
+
+def _flagship(t) -> DataFrame:
+    """Conversations ranked for words, with their sessions."""
+    bodies = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    hits = S.indexed(P.build(bodies.select(F.col("conv_id").cast("string").alias("path"), "text"), folded=False), Query.parse("the edou"))
+    s = conversation_sessions(t).withColumn("path", F.col("conv_id").cast("string"))
+    return hits.join(s, "path").select("conv_id", F.round("score", 6).alias("score"), "entries", "first_prompt").orderBy(F.desc("score"), "conv_id")
+
+
+query(None, "ranked_conversations")(_flagship)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["ranked_conversations"](spark, sf_dir)
