@@ -13,7 +13,8 @@ def _text(c: Column) -> Column:
 
 
 def _whole(c: Column, by: int) -> Column:
-    return F.floor(c / F.lit(by)).cast("bigint")
+    """Whole quotient of an integer, rounded down; exact as far as it is shown."""
+    return ((c - F.pmod(c, F.lit(by))) / F.lit(by)).cast("bigint")
 
 
 def iso_to_epoch(c: Column) -> Column:
@@ -81,7 +82,7 @@ def _point(n: Column, places: int, mark: str) -> Column:
 
 def _near(n: Column, by: int) -> Column:
     """n / by, halves up, in whole numbers."""
-    return F.floor((n.cast("decimal(38,0)") + F.lit(by // 2).cast("decimal(20,0)")) / F.lit(by).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return _whole(n.cast("bigint") + F.lit(by // 2), by)
 
 
 def compact_count(n: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions import text as X
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, path, tf, positions, p2 (the term's first two letters); lengths: path, dl."""
+    """postings: term, path, tf, positions; lengths: path, dl."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -24,17 +24,17 @@ def build(bodies: DataFrame, key: str = "path", text: str = "text", folded: bool
     docs = bodies.where(F.coalesce(bodies[text], F.lit("")) != "").select(bodies[key].alias("path"), words.alias("words"))
     placed = docs.select("path", F.posexplode("words").alias("pos", "term"))
     postings = placed.groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(postings.withColumn("p2", F.left("term", F.lit(2))), docs.select("path", F.size("words").cast("bigint").alias("dl")))
+    return Index(postings, docs.select("path", F.size("words").cast("bigint").alias("dl")))
 
 
 def save(index: Index, path: str) -> None:
-    """postings are partitioned by p2, so that a query reads the terms' own folders."""
-    index.postings.repartition("p2").write.mode("overwrite").partitionBy("p2").parquet(f"{path}/postings")
+    """postings are dealt by ranges of terms and sorted, so that the files' statistics prune a word's or a prefix's read to its own row groups."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.schema("term string, path string, tf long, positions array<int>, p2 string").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    return Index(spark.read.schema("term string, path string, tf long, positions array<int>").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
 def document_frequency(index: Index) -> DataFrame:

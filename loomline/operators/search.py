@@ -34,8 +34,7 @@ def _frequencies(index: Index, phrases: list[tuple[list[str], bool]]) -> DataFra
     """(path, f0, f1, ...): how often each phrase occurs in each document that has one of its words."""
     needs = sorted({(t, last and i == len(words) - 1) for words, last in phrases for i, t in enumerate(words)})
     any_of = reduce(lambda a, b: a | b, [_matches(t, p) for t, p in needs])
-    pruned = reduce(lambda a, b: a | b, [F.col("p2") == t[:2] if len(t) > 1 or not p else F.col("p2").startswith(t) for t, p in needs])
-    rows = index.postings.where(pruned & any_of)
+    rows = index.postings.where(any_of)
     aggs, outs = [], []
     for n, (words, last) in enumerate(phrases):
         if len(words) == 1:

@@ -26,6 +26,7 @@ from ..operators import snapshot as SN
 from ..operators import tags as T
 from ..operators import turns as TU
 from ..operators import view as V
+from ..sources.storage import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -384,8 +385,19 @@ def snapshot_fold(t):
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
-def _index(t, folded: bool = False) -> P.Index:
-    return P.build(t("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), folded=folded)
+_indexes: dict[tuple[str, tuple], str] = {}
+
+
+def _index(t) -> P.Index:
+    """The index of documents: built and saved once a session and input, then read, as every search after the first does."""
+    d = t("documents")
+    spark = d.sparkSession
+    key = (spark.sparkContext.applicationId, tuple(d.inputFiles()))
+    if key not in _indexes:
+        path = work_dir(spark)
+        P.save(P.build(d.select(F.col("doc_id").cast("string").alias("path"), "text"), folded=False), path)
+        _indexes[key] = path
+    return P.load(spark, _indexes[key])
 
 
 def _bm25_sql(phrases: list[tuple[str, str]], where: str, digits: int = 6) -> str:
