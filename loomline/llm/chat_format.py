@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 #: What a text must not say unescaped: this template's marks and those of common others.
 CONTROL = (OPEN, CLOSE, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -121,7 +123,7 @@ def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
                     out.append((chat, w, "".join(parts), loss, len(span.context), span.first, span.last - span.first, cost))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return chats.mapInArrow(run, f"conv long, {SCHEMA}").withColumnRenamed("conv", conv)
+    return chats.mapInArrow(lean(run), f"conv long, {SCHEMA}").withColumnRenamed("conv", conv)
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -144,4 +146,4 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv", "n_turns", "turns", "loss", "formatted_chars"])
 
-    return w.mapInArrow(run, "conv long, n_turns long, turns string, loss string, formatted_chars long").withColumnRenamed("conv", conv)
+    return w.mapInArrow(lean(run), "conv long, n_turns long, turns string, loss string, formatted_chars long").withColumnRenamed("conv", conv)

@@ -8,16 +8,20 @@ whatever the batch size is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch. A batch is in memory twice on its way, so this bounds a worker's memory as much as the blocks do.
+BATCH_ROWS = 1000
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
@@ -26,6 +30,8 @@ ASCII_LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; sets the session's Arrow batches to BATCH_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +69,20 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), o
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, then memory that the allocators keep is given back: workers live on for other operators' tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 class Block:
     """Some rows' texts, joined and closed by a separator byte: text i is buf[at[i]:at[i + 1] - 1]."""
 
@@ -105,7 +125,7 @@ _inv = np.ones(1, U64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 2))
+        size = max(n, 2 * BLOCK_BYTES)
         for name, base in (("_pow", BASE), ("_inv", pow(BASE, -1, 1 << 64))):
             p = np.full(size, base, U64)
             p[0] = 1

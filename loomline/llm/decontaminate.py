@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, blocks, only, runs, span_hashes, stored
+from .common import ASCII_LOWER, U64, blocks, lean, only, runs, span_hashes, stored
 
 #: Bytes of window terms that one pass sends to each executor.
 BROADCAST_BYTES = 64 << 20
@@ -56,20 +56,39 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+        ids: list = []
+        parts: list[np.ndarray] = []
+        words: list[np.ndarray] = []
+        size = 0
+
+        def segment() -> pa.RecordBatch:
+            """The texts held so far; hashed in small blocks, sorted as one."""
+            terms = np.concatenate(parts)
+            order = np.argsort(terms)
+            ordered = terms[order]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
+            # positions ascend within each term
+            positions = np.sort((np.cumsum(new) << 32) | order) & 0xFFFFFFFF
+            counts = np.diff(np.concatenate((np.flatnonzero(new), [len(ordered)])))
+            at = np.concatenate(([0], np.cumsum(np.concatenate(words))))
+            row = [[ids], [at.tolist()], [ordered[new].tobytes()], [counts.astype("<u4").tobytes()], [positions.astype("<u4").tobytes()]]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            keys = batch.column(0)
-            for block in blocks(batch.column(1), 0x20, SEGMENT_BYTES):
+            keys = batch.column(0).to_pylist()
+            for block in blocks(batch.column(1)):
                 terms, at = block_terms(block)
-                order = np.argsort(terms)
-                ordered = terms[order]
-                new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
-                # positions ascend within each term
-                positions = np.sort((np.cumsum(new) << 32) | order) & 0xFFFFFFFF
-                counts = np.diff(np.concatenate((np.flatnonzero(new), [len(ordered)])))
-                row = [[keys.slice(block.first, block.n).to_pylist()], [at.tolist()], [ordered[new].tobytes()], [counts.astype("<u4").tobytes()], [positions.astype("<u4").tobytes()]]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+                ids += keys[block.first : block.first + block.n]
+                parts.append(terms)
+                words.append(np.diff(at))
+                size += len(block.buf)
+                if size >= SEGMENT_BYTES:
+                    yield segment()
+                    ids, parts, words, size = [], [], [], 0
+        if ids:
+            yield segment()
 
-    return stored(docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(segments, SEGMENT), path)
+    return stored(docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(lean(segments), SEGMENT), path)
 
 
 @dataclass(frozen=True)
@@ -116,7 +135,7 @@ def rarest_first(w: Windows, index: DataFrame) -> Windows:
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 
     df = np.zeros(len(vocabulary), np.int64)
-    for term, n in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in index.select("terms", "counts").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         df[term] = n
     known = df[np.minimum(np.searchsorted(vocabulary, w.terms), max(0, len(vocabulary) - 1))] if len(vocabulary) else np.zeros(w.terms.shape, np.int64)
     order = np.argsort(np.where(w.offsets < 0, np.iinfo(np.int64).max, known), axis=1, kind="stable")
@@ -224,7 +243,7 @@ def _match(index: DataFrame, w: Windows, slop: int | None) -> DataFrame:
             names=["doc_id", "n_words", "hits", "items", "near_items", "segment", "nth"],
         )
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(lean(run), schema)
 
 
 def _near_docs(lists: list[np.ndarray], at: np.ndarray, reach: int) -> np.ndarray:

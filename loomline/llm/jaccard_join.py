@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, mix, runs, span_hashes, stored
+from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, lean, mix, runs, span_hashes, stored
 from .components import components
 
 LEVELS = 6
-#: Frequent shingles and words that the order knows, and how often one must occur in 8 MB of text to be counted.
-FREQUENT, FREQUENT_WORDS, OFTEN = 50_000, 200_000, 4
+#: Frequent shingles and words that the order knows, and how often one must occur in 4 MB of text to be counted.
+FREQUENT, FREQUENT_WORDS, OFTEN = 50_000, 200_000, 3
 _BITS = 22
 _TOP = U64(64 - _BITS)
 #: Lists up to this length are left to the pairing of groups.
@@ -115,13 +115,13 @@ def count_order(docs: DataFrame, k: int) -> Order:
                 held[0].append(words)
                 held[1].append(every)
                 size += len(block.buf)
-                if size >= 8 << 20:
+                if size >= 4 << 20:
                     yield from out()
                     held, size = ([], []), 0
         if held[0]:
             yield from out()
 
-    counts = stored(docs.select("text").mapInArrow(run, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")))
+    counts = stored(docs.select("text").mapInArrow(lean(run), "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")))
     top = lambda kind, most: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash").limit(most).select("hash", "n").toPandas().sort_values("hash")
     words, hot = top(0, FREQUENT_WORDS), top(1, FREQUENT)
     table = np.zeros(1 << _BITS, np.uint8)
@@ -165,7 +165,7 @@ def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 half = lambda x: pa.array(np.array(x, U64).view(np.int64))
                 yield pa.record_batch([ids.slice(block.first, block.n), pa.array(n, pa.int64()), half(hi), half(lo), lists], names=["id", "n", "hi", "lo", "prefix"])
 
-    return stored(docs.mapInArrow(run, "id long, n long, hi long, lo long, prefix array<bigint>"))
+    return stored(docs.mapInArrow(lean(run), "id long, n long, hi long, lo long, prefix array<bigint>"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -180,7 +180,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     ids = stored(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, set binary"))
+    return stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(lean(run), "id long, set binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

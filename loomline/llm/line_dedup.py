@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, stored, work_dir
+from .common import U64, lean, mix, stored, work_dir
 
 BROADCAST_BYTES = 64 << 20
 SHARD_KEYS = 100_000
@@ -146,7 +146,7 @@ def holders(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
                         column.append(x)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["hi", "lo", "id", "lines"])
 
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, HOLDER)
+    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(lean(run), HOLDER)
 
 
 class LineStore:
@@ -241,7 +241,7 @@ class LineStore:
                     rows.append((k, b"\n".join(kept), len(lines), len(lines) - len(kept)))
                 yield _record(rows, batch.column(2))
 
-        return d.mapInArrow(run, T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
+        return d.mapInArrow(lean(run), T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
 
     def _clean_joined(self, d: DataFrame) -> DataFrame:
         """The same by shuffles: screened keys join the exact table, and what a text loses joins it by its content."""
@@ -257,7 +257,7 @@ class LineStore:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["hi", "lo", "shard", "id", "blob"])
 
-        lines = d.select("id", "text", "blob").mapInArrow(explode, "hi long, lo long, shard int, id long, blob string")
+        lines = d.select("id", "text", "blob").mapInArrow(lean(explode), "hi long, lo long, shard int, id long, blob string")
         present = stored(lines.select("shard", "hi", "lo").distinct())
         maybe = present.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "hi long, lo long")
         exact = self._heavy.join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest")
@@ -275,7 +275,7 @@ class LineStore:
                     rows.append((k, b"\n".join(kept), len(lines), len(lines) - len(kept)))
                 yield _record(rows, batch.column(3))
 
-        return both.mapInArrow(drop, T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
+        return both.mapInArrow(lean(drop), T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
 
 
 CLEAN = "id long, text string, n_lines long, n_dropped long"

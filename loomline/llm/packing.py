@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, lean
 from .tokens import word_bpe
 
 WINDOW = 2048
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), size=1 << 20):
                 ids, counts = bpe.encode(block)
                 at, fulls = 0, []
                 for i, n in enumerate(counts.tolist()):
@@ -195,4 +195,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         yield from turn()
         yield from emit(packer.close())
 
-    return docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(run, SCHEMA.format(key=key))
+    return docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(lean(run), SCHEMA.format(key=key))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosted_trees
-from .common import ASCII_LOWER, U64, Block, blocks, mix, runs, span_hashes
+from .common import ASCII_LOWER, U64, Block, blocks, lean, mix, runs, span_hashes
 from .folds import is_held_out, training_rows
 
 BOUND = 12_000
@@ -118,7 +118,7 @@ def features(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * WIDTH, pa.int32()), pa.array(x.ravel()))
                 yield pa.record_batch([*[batch.column(p).slice(block.first, block.n) for p in places], lists], names=[*keep, "x"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, bound: int = BOUND, key: str = "doc_id") -> boosted_trees.Trees:
@@ -139,7 +139,7 @@ def scored(docs: DataFrame, model: boosted_trees.Trees, text: str = "text") -> D
             s = [shared.value.score(statistics(b).astype(np.float32).astype(float)) for b in blocks(batch.column(index))]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names=[*names, "s"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -39,7 +39,7 @@ BYTE_CHAR = _printable()
 class WordBpe:
     """One worker's tokenizer and the ids of the units it has met, at most ``keep`` of them (then it starts anew)."""
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
