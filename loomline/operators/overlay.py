@@ -74,8 +74,9 @@ def path_parts(cwd: Column, root: str) -> tuple[Column, Column, Column]:
     """(repo, slug, rest) of a folder under the workspaces' root, else nulls."""
     rest = F.when(cwd.startswith(f"{root}/"), F.substring(cwd, len(root) + 2, 1 << 30))
     p = F.split(rest, "/", 3)
-    good = (F.size(p) >= 2) & (p[0] != "") & (p[1] != "")
-    return F.when(good, p[0]), F.when(good, p[1]), F.when(good, F.coalesce(F.try_element_at(p, F.lit(3)), F.lit("")))
+    first, second = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+    good = (first != "") & (second != "")
+    return F.when(good, first), F.when(good, second), F.when(good, F.coalesce(F.try_element_at(p, F.lit(3)), F.lit("")))
 
 
 def with_places(sessions: DataFrame, workspaces: DataFrame, checkouts: DataFrame, root: str) -> DataFrame:

@@ -62,13 +62,13 @@ def command_line(args: Column) -> Column:
 def panes(lines: DataFrame, column: str = "value") -> DataFrame:
     """(session, pid, start_command) of tab-separated lines; a command may hold tabs."""
     p = F.split(lines[column], "\t", 3)
-    return lines.select(p[0].alias("session"), p[1].try_cast("int").alias("pid"), F.coalesce(F.try_element_at(p, F.lit(3)), F.lit("")).alias("start_command")).where("pid IS NOT NULL")
+    return lines.select(p[0].alias("session"), F.get(p, F.lit(1)).try_cast("int").alias("pid"), F.coalesce(F.try_element_at(p, F.lit(3)), F.lit("")).alias("start_command")).where("pid IS NOT NULL")
 
 
 def workspaces(lines: DataFrame, column: str = "value") -> DataFrame:
     """(repo, slug, branch, path) of tab-separated lines with an absolute path."""
     p = F.split(lines[column], "\t", 4)
-    w = lines.where(F.size(p) == 4).select(p[0].alias("repo"), p[1].alias("slug"), p[2].alias("branch"), F.regexp_replace(p[3], "/+$", "").alias("path"))
+    w = lines.where(F.size(p) == 4).select(p[0].alias("repo"), F.get(p, F.lit(1)).alias("slug"), F.get(p, F.lit(2)).alias("branch"), F.regexp_replace(F.get(p, F.lit(3)), "/+$", "").alias("path"))
     return w.where(F.col("path").startswith("/"))
 
 
