@@ -13,11 +13,10 @@ shared tokens demanded. A pair takes the larger l of its two classes.
 
 Hot lists are never multiplied out. First each class is verified against the commonest
 smallest member of its lists, which settles groups of near copies by one pair a member.
-Then lists are grouped by (length, position, l, component): groups are paired only if
-they differ in component and their lengths and positions leave room for the overlap that
-t asks for, and only such groups expand into pairs. Pairs of one component say nothing
-new, so no link between components is lost, and verification of the sets decides every
-pair that the result rests on.
+After that only classes of different components meet, on conditions that lengths, places
+and parity bitmaps decide inside the join. Pairs of one component say nothing new, so no
+link between components is lost, and verification of the sets decides every pair that
+the result rests on.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing,
 being its own component; fewer words than a shingle are one shingle; rows that repeat an
@@ -42,6 +41,8 @@ from .components import components
 LEVELS = 6
 #: Frequent shingles and words that the order knows, and how often one must occur in 4 MB of text to be counted.
 FREQUENT, FREQUENT_WORDS, OFTEN = 50_000, 200_000, 3
+PARITY = 512
+WORDS = PARITY // 64
 _BITS = 22
 _TOP = U64(64 - _BITS)
 #: Lists up to this length are left to the pairing of groups.
@@ -140,7 +141,7 @@ def need(n: int, percent: int) -> int:
 
 
 def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, hi, lo, prefix) of every row: size and 128-bit digest of its set, and its longest prefix."""
+    """(id, n, hi, lo, prefix, parity) of every row: size and 128-bit digest of its set, its longest prefix, and by the set's shingles modulo PARITY the parities of their numbers, as eight longs."""
     shared = docs.sparkSession.sparkContext.broadcast(count_order(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 words, every, first, at = shingles(block, k)
                 total = np.concatenate(([0], np.cumsum(order.words[(words >> _TOP).astype(np.int64)], dtype=np.int64)))
                 keys = order.keys(total[np.minimum(first + k, len(words))] - total[first], every)
-                n, hi, lo, own = [], [], [], []
+                n, hi, lo, own, odd = [], [], [], [], []
                 for d in range(block.n):
                     s, once = np.unique(every[at[d] : at[d + 1]], return_index=True)
                     digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -159,13 +160,15 @@ def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     hi.append(digest >> 64)
                     lo.append(digest & 0xFFFFFFFFFFFFFFFF)
                     size = min(len(s), len(s) - need(len(s), percent) + LEVELS)
+                    odd.append(np.packbits(np.bincount((s & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
                     own.append(s[np.argsort(keys[at[d] : at[d + 1]][once], kind="stable")[:size]].view(np.int64))
                 sizes = np.concatenate(([0], np.cumsum([len(x) for x in own])))
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(own), pa.int64()))
                 half = lambda x: pa.array(np.array(x, U64).view(np.int64))
-                yield pa.record_batch([ids.slice(block.first, block.n), pa.array(n, pa.int64()), half(hi), half(lo), lists], names=["id", "n", "hi", "lo", "prefix"])
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * WORDS, pa.int32()), pa.array(np.concatenate(odd)))
+                yield pa.record_batch([ids.slice(block.first, block.n), pa.array(n, pa.int64()), half(hi), half(lo), lists, parity], names=["id", "n", "hi", "lo", "prefix", "parity"])
 
-    return stored(docs.mapInArrow(lean(run), "id long, n long, hi long, lo long, prefix array<bigint>"))
+    return stored(docs.mapInArrow(lean(run), "id long, n long, hi long, lo long, prefix array<bigint>, parity array<bigint>"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -226,11 +229,36 @@ def decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return stored(verified(pairs, sets_of(docs, ids, k), percent))
 
 
+def _candidates(p: DataFrame, percent: int) -> DataFrame:
+    """(a, b, l) per shared token of postings of different components that may link; l: shared tokens that the pair needs.
+
+    The conditions stand in the joins, so that only what passes becomes a row: lengths; room after the token's places for the overlap asked for; and differing parities, each of which is at least one shingle that only one set has. Single documents meet single ones and members of components; components meet each other by pairs of components, so a large one never meets itself.
+    """
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "token"])
+    length = F.greatest("l_a", "l_b")
+    asked = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    room = length - 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WORDS)), F.lit(0))
+    fit = (F.col("level_a") <= length) & (F.col("level_b") <= length) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= asked) & (differ <= F.col("n_a") + F.col("n_b") - 2 * asked)
+    what = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.least(length, need_of("n_a", percent), need_of("n_b", percent)).alias("l")]
+    single, member = p.where("component IS NULL"), p.where("component IS NOT NULL")
+    x, y, z = side(single, "a"), side(single, "b"), side(member, "a")
+    alone = x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b")) & fit).select(*what)
+    mixed = z.join(y, (z["token"] == y["token"]) & fit).select(*what)
+    comps = member.select("token", "comp").distinct()
+    two = side(comps, "a").join(side(comps, "b"), "token").where("comp_a < comp_b")
+    u, v = side(member, "a"), side(member, "b")
+    w = two.join(u, ["token", "comp_a"])
+    large = w.join(v, (w["token"] == v["token"]) & (w["comp_b"] == v["comp_b"]) & fit).select(*what)
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l")
+    return ordered(alone).unionAll(ordered(mixed)).unionAll(ordered(large))
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable by links of J >= percent / 100)."""
     docs = _texts(docs, key, text)
     rows = summaries(docs, k, percent)
-    classes = stored(rows.where("n > 0").groupBy("hi", "lo").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "prefix"))).alias("c")).where("c IS NOT NULL").select("hi", "lo", "c.id", "c.n", "c.prefix"))
+    classes = stored(rows.where("n > 0").groupBy("hi", "lo").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "prefix", "parity"))).alias("c")).where("c IS NOT NULL").select("hi", "lo", "c.id", "c.n", "c.prefix", "c.parity"))
     least = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")  # ceil(t n)
     posted = classes.select("id", "n", (F.col("n") - least + 1).alias("base"), F.posexplode("prefix").alias("pos", "token"))
     level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).cast("int")
@@ -250,22 +278,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     first = decided(star, classes, docs, k, percent)
     near = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
+    parity = classes.select("id", *[F.col("parity")[i].alias(f"s{i}") for i in range(WORDS)])
     p = shared.join(adaptive, "id").join(near.select(F.col("node").alias("id"), "component"), "id", "left")
-    p = stored(p.select("token", "id", "n", "pos", "level", "l", F.coalesce("component", "id").alias("comp")))
+    p = p.select("token", "id", "n", "pos", "level", "l", "component", F.coalesce("component", "id").alias("comp"))
     several = p.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c")).where("lo_c <> hi_c").select("token")
-    p = stored(p.join(several, "token", "left_semi"))
-    group = ["n", "pos", "level", "l", "comp"]
-    g = p.groupBy("token", *group).agg(F.count(F.lit(1)).alias("size"))
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "token"])
-    x, y = side(g.drop("size"), "a"), side(g.drop("size"), "b")
-    length = F.greatest("l_a", "l_b")
-    asked = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
-    room = length - 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    fit = (F.col("comp_a") < F.col("comp_b")) & (F.col("level_a") <= length) & (F.col("level_b") <= length) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= asked)
-    fits = x.join(y, "token").where(fit)
-    pa_, pb_ = side(p, "a"), side(p, "b")
-    pairs = fits.join(pa_, ["token", *[f"{c}_a" for c in group]]).join(pb_, ["token", *[f"{c}_b" for c in group]])
-    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.max(F.least(length, need_of("n_a", percent), need_of("n_b", percent))).alias("l")).where("m >= l").select("a", "b")
+    p = stored(p.join(several, "token", "left_semi").join(parity, "id"))
+    pairs = _candidates(p, percent)
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("l").alias("l")).where("m >= l").select("a", "b")
     second = decided(pairs, classes, docs, k, percent)
     edges = first.unionAll(second)
     comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
