@@ -143,8 +143,8 @@ def duration(t):
     return _users(t).select("user_id", N.duration_secs(F.col("first_ts"), F.col("last_ts")).alias("duration"))
 
 
-@query("""SELECT 'turns' AS metric, count(*)::BIGINT AS value FROM conversations UNION ALL SELECT 'user', count(*) FILTER (role = 'user') FROM conversations UNION ALL SELECT 'chars', sum(length(text)) FROM conversations
- UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'document_chars', sum(n_chars) FROM documents""")
+@query("""SELECT metric, value::BIGINT AS value FROM (SELECT 'turns' AS metric, count(*) AS value FROM conversations UNION ALL SELECT 'user', count(*) FILTER (role = 'user') FROM conversations UNION ALL SELECT 'chars', sum(length(text)) FROM conversations
+ UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'document_chars', sum(n_chars) FROM documents)""")
 def corpus_stats(t):
     c = t("conversations").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user"), F.sum(F.length("text")).alias("chars"))
     d = t("documents").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("document_chars"))
@@ -152,9 +152,9 @@ def corpus_stats(t):
     return rows(c).unionAll(rows(d))
 
 
-SESSION_STATS = """SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM ({u}) UNION ALL SELECT 'subagents', 0 UNION ALL SELECT 'bytes', sum(size) FROM ({u}) UNION ALL SELECT 'entries', sum(entries) FROM ({u})
+SESSION_STATS = """SELECT metric, value::BIGINT AS value FROM (SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM ({u}) UNION ALL SELECT 'subagents', 0 UNION ALL SELECT 'bytes', sum(size) FROM ({u}) UNION ALL SELECT 'entries', sum(entries) FROM ({u})
  UNION ALL SELECT 'with_title', count(*) FROM ({u}) UNION ALL SELECT 'with_cwd', count(*) FROM ({u}) UNION ALL SELECT 'with_branch', 0 UNION ALL SELECT 'in_tokens', sum(entries) FROM ({u}) UNION ALL SELECT 'out_tokens', sum(entries) FROM ({u})
- UNION ALL SELECT 'cache_read', sum(entries) FROM ({u}) UNION ALL SELECT 'cache_write', sum(entries) FROM ({u}) UNION ALL SELECT 'total_tokens', 4 * sum(entries) FROM ({u})""".format(u=_U)
+ UNION ALL SELECT 'cache_read', sum(entries) FROM ({u}) UNION ALL SELECT 'cache_write', sum(entries) FROM ({u}) UNION ALL SELECT 'total_tokens', 4 * sum(entries) FROM ({u}))""".format(u=_U)
 
 
 @query(SESSION_STATS)
@@ -263,10 +263,10 @@ def tag_counts(t):
     return T.tag_counts(t("part").select(F.split("p_type", " ").alias("tags")))
 
 
-@query("SELECT l.doc_id, list_sort(list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(r, x)), a))) AS tags FROM (SELECT doc_id, ['q' || quality, 't' || toxic, 'all'] AS t, ['new', 'q' || quality] AS a, ['all', 't0'] AS r FROM labels) l")
+@query("SELECT l.doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(r, x)), a))), ',') AS tags FROM (SELECT doc_id, ['q' || quality, 't' || toxic, 'all'] AS t, ['new', 'q' || quality] AS a, ['all', 't0'] AS r FROM labels) l")
 def tag_merge(t):
     q, x = F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic")
-    return t("labels").select("doc_id", T.edited(F.array(q, x, F.lit("all")), F.array(F.lit("new"), q), F.array(F.lit("all"), F.lit("t0"))).alias("tags"))
+    return t("labels").select("doc_id", F.array_join(T.edited(F.array(q, x, F.lit("all")), F.array(F.lit("new"), q), F.array(F.lit("all"), F.lit("t0"))), ",").alias("tags"))
 
 
 _MARKS = "SELECT doc_id::VARCHAR AS id, quality = 1 AS favorite, ['toxic' || toxic] AS tags FROM labels"
