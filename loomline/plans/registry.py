@@ -17,6 +17,7 @@ from ..functions import numbers as N
 from ..functions import spot
 from ..functions import text as X
 from ..functions.query import Query
+from ..operators import evaluate as E
 from ..operators import overlay as O
 from ..operators import postings as P
 from ..operators import report as R
@@ -429,6 +430,17 @@ def doc_frequency(t):
     return P.document_frequency(_index(t))
 
 
+@query("WITH d AS (SELECT DISTINCT doc_id, unnest({w}) AS term FROM documents), n AS (SELECT term, count(*) AS docs FROM d GROUP BY term) SELECT doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY doc_id ORDER BY docs, encode(d.term)) AS rank, d.term, docs FROM d JOIN n ON d.term = n.term WHERE length(d.term) >= 3 QUALIFY rank <= 2".format(w=WORDS))
+def rarest_words(t):
+    return E.rarest_words(_index(t))
+
+
+@query("SELECT user_id AS question, min(CASE WHEN event_type = 'purchase' THEN place END) AS rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type) AS place FROM (SELECT user_id, event_type, max(value) AS value FROM events GROUP BY ALL)) GROUP BY user_id")
+def answer_rank(t):
+    a = t("events").groupBy(F.col("user_id").alias("question"), F.col("event_type").alias("path")).agg(F.max("value").alias("score"))
+    return E.answer_rank(a.withColumn("wanted", F.lit("purchase")))
+
+
 _TITLE = SQUASH.format(c="text", n=60)
 
 
