@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 #: Rows of an Arrow batch. A batch is in memory twice on its way, so this bounds a worker's memory as much as the blocks do.
 BATCH_ROWS = 1000
 #: Odd, so that it has an inverse modulo 2**64.

@@ -37,7 +37,7 @@ from .common import ASCII_LOWER, U64, blocks, lean, only, runs, span_hashes, sto
 
 #: Bytes of window terms that one pass sends to each executor.
 BROADCAST_BYTES = 64 << 20
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 SEGMENT = "doc_id array<bigint>, doc_at array<bigint>, terms binary, counts binary, positions binary"
 
 _WORD = np.zeros(256, bool)
@@ -67,8 +67,12 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             order = np.argsort(terms)
             ordered = terms[order]
             new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
-            # positions ascend within each term
-            positions = np.sort((np.cumsum(new) << 32) | order) & 0xFFFFFFFF
+            # positions ascend within each term; in place, as these are a worker's largest arrays
+            positions = np.cumsum(new)
+            positions <<= 32
+            positions |= order
+            positions.sort()
+            positions &= 0xFFFFFFFF
             counts = np.diff(np.concatenate((np.flatnonzero(new), [len(ordered)])))
             at = np.concatenate(([0], np.cumsum(np.concatenate(words))))
             row = [[ids], [at.tolist()], [ordered[new].tobytes()], [counts.astype("<u4").tobytes()], [positions.astype("<u4").tobytes()]]
