@@ -20,8 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 18
-#: Rows of an Arrow batch. A batch is in memory twice on its way, so this bounds a worker's memory as much as the blocks do.
+#: Rows and bytes of an Arrow batch. A batch is in memory twice on its way, so these bound a worker's memory as much as the blocks do.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+#: How tables whose rows may be megabytes are written: pages and row groups are measured after each row, not each hundredth, as readers and codecs hold whole ones.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
@@ -30,8 +33,9 @@ ASCII_LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table; sets the session's Arrow batches to BATCH_ROWS."""
+    """An input table; sets the session's Arrow batches to BATCH_ROWS and BATCH_BYTES."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,11 +48,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomline/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, large_rows: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = path or work_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         if ids:
             yield segment()
 
-    return stored(docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(lean(segments), SEGMENT), path)
+    return stored(docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(lean(segments), SEGMENT), path, large_rows=True)
 
 
 @dataclass(frozen=True)

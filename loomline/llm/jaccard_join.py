@@ -183,7 +183,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     ids = stored(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(lean(run), "id long, set binary"))
+    return stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(lean(run), "id long, set binary"), large_rows=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
