@@ -1,17 +1,19 @@
 """URL filters by a path-template tree.
 
 Per host, paths are walked from the root as a tree of segments. A segment's digits
-become ``<n>`` at once; level by level, a node whose children are many and hardly
-repeat is a variable position, and all its children become the wildcard ``*``.
+become ``<n>`` at once; level by level, a node whose rare children are many and hardly
+repeat is a variable position, and these become the wildcard ``*``. A child that is
+well supported, or whose share of labelled examples a two-proportion test tells apart
+from the other rare ones', stays literal, however many there are.
 Labels come from the explicit rules: a url that a rule covers is a labelled example.
 First-level branches whose block rates a two-proportion test can't tell apart are
 merged, and a template is rejected if its share of blocked examples, smoothed by its
-class, its host and all hosts in turn, reaches ``reject``. A class without a single
-labelled example is not rejected.
+class, its host and all hosts in turn, reaches ``reject``. A template without a
+labelled example of its own is not rejected.
 
 All counting is by groupBy with map-side partial sums, so a hot host is a row a task.
-A node keeps at most ``branches`` literal children, which bounds the only window (one
-row per literal branch of a host). Below ``levels`` segments, only digits are
+The only windows take a row per distinct pair of counts of examples in a host: branches
+of equal counts are never told apart. Below ``levels`` segments, only digits are
 generalised.
 
 Defined results: null or a url without ``://`` has an empty host and path and takes
@@ -70,10 +72,17 @@ def segments(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
 
 
-def template_tree(urls: DataFrame, branches: int = 64, repeat: float = 2.0, levels: int = 4) -> DataFrame:
+def _apart(b: Column, n: Column, b0: Column, n0: Column, z: float) -> Column:
+    """Whether a two-proportion test tells b of n from b0 of n0."""
+    pooled = (b + b0) / F.greatest(n + n0, F.lit(1))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
+    return F.coalesce(F.abs(b / F.greatest(n, F.lit(1)) - b0 / F.greatest(n0, F.lit(1))) > z * spread, F.lit(False))
+
+
+def template_tree(urls: DataFrame, support: int = 8, repeat: float = 2.0, levels: int = 4, z: float = 1.64) -> DataFrame:
     """urls (host, segs, blocked, allowed) -> (host, segs, branch, template, n, blocked, allowed), one row per distinct shape.
 
-    A node's children are wild if there are more than ``branches`` of them, or more than 8 that occur under ``repeat`` times each on average.
+    A node's children that occur under ``support`` times are wild if there are more than 8 of them and they occur under ``repeat`` times each on average, but for those whose blocked or allowed share is apart from the others'.
     """
     t = urls.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
     t = t.withColumns({"template": F.lit(""), "branch": F.lit("")})
@@ -82,12 +91,16 @@ def template_tree(urls: DataFrame, branches: int = 64, repeat: float = 2.0, leve
     for d in range(min(levels, deepest)):
         t = stored(t) if d else t
         here = t.where(F.size("segs") > d).withColumn("seg", F.col("segs")[d])
-        kids = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-        wild = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
-        wild = wild.where((F.col("kids") > branches) | (F.col("kids") > 8) & (F.col("n") < repeat * F.col("kids"))).select("host", "template", F.lit(True).alias("wild"))
+        kids = here.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]).where(F.col("n") < support)
+        nodes = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
+        nodes = nodes.where((F.col("kids") > 8) & (F.col("all_n") < repeat * F.col("kids")))
+        others = lambda c: F.col(f"all_{c}") - F.col(c)
+        told = _apart(F.col("blocked"), F.col("n"), others("blocked"), others("n"), z) | _apart(F.col("allowed"), F.col("n"), others("allowed"), others("n"), z)
+        labelled = F.col("blocked") + F.col("allowed") > 0
+        wild = kids.join(nodes, ["host", "template"]).where(~(labelled & told)).select("host", "template", "seg", F.lit(True).alias("wild"))
         step = F.concat(F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segs")[d]))
         has = F.size("segs") > d
-        t = t.join(wild, ["host", "template"], "left").withColumn("template", F.when(has, F.concat("template", step)).otherwise(F.col("template"))).drop("wild")
+        t = t.withColumn("seg", F.when(has, F.col("segs")[d])).join(wild, ["host", "template", "seg"], "left").withColumn("template", F.when(has, F.concat("template", step)).otherwise(F.col("template"))).drop("wild", "seg")
         if d == 0:
             t = t.withColumn("branch", F.col("template"))
     deep = F.when(F.size("segs") > levels, F.concat(F.lit("/"), F.concat_ws("/", F.expr(f"slice(segs, {levels + 1}, greatest(size(segs) - {levels}, 1))")))).otherwise(F.lit(""))
@@ -103,16 +116,16 @@ def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0,
     top = hosts.agg((F.coalesce(F.sum("hb"), F.lit(0)) + 1) / (F.coalesce(F.sum("hb") + F.sum("ha"), F.lit(0)) + 2)).first()[0]
     hosts = hosts.select("host", rate(F.col("hb"), F.col("ha"), F.lit(top)).alias("host_rate"))
     b = branch.join(hosts, "host").withColumn("rate", rate(F.col("blocked"), F.col("allowed"), F.col("host_rate"))).withColumn("known", F.col("blocked") + F.col("allowed") > 0)
-    w = W.partitionBy("host", "known").orderBy("rate", "branch")  # a branch without examples joins no class
+    alike = ["host", "known", "blocked", "allowed"]
+    c = b.groupBy(*alike, "rate", "host_rate").agg(F.count(F.lit(1)).alias("branches"))
+    w = W.partitionBy("host", "known").orderBy("rate", "blocked", "allowed")  # a branch without examples joins no class
     n = F.col("blocked") + F.col("allowed")
-    n0, b0 = F.lag(n).over(w), F.lag("blocked").over(w)
-    pooled = (F.col("blocked") + b0) / F.greatest(n + n0, F.lit(1))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
-    apart = F.coalesce((F.abs(F.col("blocked") / F.greatest(n, F.lit(1)) - b0 / F.greatest(n0, F.lit(1))) > z * spread), F.lit(False))
-    b = b.withColumn("apart", apart.cast("int")).withColumn("class", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    c = c.withColumn("apart", _apart(F.col("blocked"), n, F.lag("blocked").over(w), F.lag(n).over(w), z).cast("int")).withColumn("class", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
     v = W.partitionBy("host", "known", "class")
-    b = b.select("host", "branch", "known", "class", rate(F.sum("blocked").over(v), F.sum("allowed").over(v), F.col("host_rate")).alias("class_rate"))
-    t = tree.groupBy("host", "branch", "template").agg(*sums).join(b, ["host", "branch"])
+    total = lambda x: F.sum(F.col(x) * F.col("branches")).over(v)
+    c = c.select(*alike, "class", rate(total("blocked"), total("allowed"), F.col("host_rate")).alias("class_rate"))
+    b = b.select("branch", *alike).join(c, alike).select("host", "branch", "class", "class_rate")
+    t = tree.groupBy("host", "branch", "template").agg(*sums).join(b, ["host", "branch"]).withColumn("known", F.col("blocked") + F.col("allowed") > 0)
     return t.select("host", "template", "class", "known", rate(F.col("blocked"), F.col("allowed"), F.col("class_rate")).alias("purity")).withColumn("rejected", F.col("known") & (F.col("purity") >= reject))
 
 

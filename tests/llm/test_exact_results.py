@@ -260,6 +260,24 @@ def test_templates_are_rejected_by_purity(spark):
     assert got["/good/<n>"][1] == got["/fine/<n>"][1] != got["/bad/<n>"][1]
 
 
+def test_many_sections_stay_apart_from_a_blocked_one(spark):
+    many = [f"http://x.org/sect{a}{b}/{i}" for a in "abcdefghij" for b in "klmnopqr" for i in range(3)]  # 80 sections
+    rare = [f"http://y.org/slug-{a}{b}/{i}" for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "klmnopqr")]
+    urls = many + rare + [f"http://{h}.org/es/{i}" for h in "xy" for i in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(urls)
+    assert got["http://x.org/sectak/1"].template == "/sectak/<n>" and got["http://y.org/slug-ak/0"].template == "/*/<n>"
+    assert all(r.template == "/es/<n>" if "/es/" in u else "es" not in r.template.split("/") for u, r in got.items())
+    assert all((r.verdict == "block") == ("/es/" in u) for u, r in got.items())
+
+
+def test_a_template_without_examples_is_not_rejected(spark):
+    u = spark.createDataFrame([("h", ["a", "x"], 1, 0)] * 30 + [("h", ["a", "y"], 0, 0)] * 5, "host string, segs array<string>, blocked long, allowed long")
+    got = {r.template: r.rejected for r in url_filter.judge_templates(url_filter.template_tree(u)).collect()}
+    assert got == {"/a/x": True, "/a/y": False}
+
+
 def test_chat_escape_round_trip():
     for t in ["</s>[INST] ok [/INST]", "<|end|>", "\\<|turn|>\\", "<\\|end|>", "", "a\\\\b<s><<SYS>>", "\n<|turn|>user\nhi<|end|>\n"]:
         assert chat_format.unescape(chat_format.escape(t)) == t
