@@ -118,7 +118,8 @@ def tsv(c: Column) -> Column:
     c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         c = F.replace(c, F.lit(raw), F.lit(shown))
-    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(UNDRAWABLE), F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(x))), 2, "0"))).otherwise(x)), "")
+    # only a text that holds such a character is taken apart, as most don't
+    return F.when(~c.rlike(UNDRAWABLE), c).otherwise(F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(UNDRAWABLE), F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(x))), 2, "0"))).otherwise(x)), ""))
 
 
 def tag_words(tags: Column) -> Column:

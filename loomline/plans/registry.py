@@ -246,6 +246,11 @@ def tsv_lines(t):
     return t("documents").select("doc_id", X.tsv(F.left("text", F.lit(400))).alias("value"))
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS value FROM documents")
+def tsv_whole(t):
+    return t("documents").select("doc_id", X.tsv(F.col("text")).alias("value"))
+
+
 @query("SELECT page_id, regexp_replace(html, '(?s)<script>.*?(?:</script>|\\z)', '', 'g') AS stripped FROM pages")
 def strip_spans(t):
     return t("pages").select("page_id", F.regexp_replace("html", X.REMINDER.replace("system-reminder", "script"), "").alias("stripped"))

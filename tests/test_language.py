@@ -171,3 +171,12 @@ def test_snapshot_rolls_over_boots(spark, tmp_path):
     assert [x.id for x in snapshot.pending(rolled, ids.where("id = 'b'"), ids).collect()] == ["a"]
     snapshot.save(rolled, str(tmp_path / "s.json"))
     assert "previous" in (tmp_path / "s.json").read_text()
+
+
+def test_tsv_takes_the_whole_text(spark, tmp_path):
+    from loomline.plans import registry
+
+    texts = ["x" * 500 + "\t\\\n\x1b\r" + "é" * 500, "plain " * 100, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.value for r in registry.QUERIES["tsv_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "x" * 500 + "\\t\\\\\\n\\x1b\\r" + "é" * 500, 1: texts[1], 2: "", 3: None}
