@@ -12,15 +12,18 @@ triplet of voters gives var(Y) s_i s_i = cov(i, j) cov(i, k) / cov(j, k), and th
 over triplets is the estimate, which a few correlated pairs don't move; pairs whose
 covariance exceeds the fit are set aside as correlated, and the fit repeated. A voter's weight in the posterior is
 divided by one plus the correlation it shares with its pairs. A training row's own
-label counts as one more voter of a fixed accuracy.
+label counts as one more voter of a fixed accuracy, which the others can outvote.
 
 A linear classifier, logistic regression over hashed words and word beginnings that the
 training rows support, is trained on the posteriors and scores every whole text. Model
-and matrices have fixed sizes; the training sample is at most ``bound`` labelled rows.
+and matrices have fixed sizes. Training rows are at most ``bound`` labelled ones and, of
+all other documents outside the held-out fold, about ``bound`` taken by a hash of the id
+and about ``PER_VOTER`` of those that a lexicon voter votes on, for each such voter: a
+word that is rare in the corpus is not rare in the training rows.
 
 Defined results: null or empty text has no features and gets the intercept's score;
 repeated rows are scored each; without labels the seed lexicon's voters alone teach the
-classifier nothing, and every score is the prior's; an empty table gives no rows.
+classifier; documents of null id train nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ BINS = 1 << 20
 FEATURES = 4096
 MINED = 32
 GOLD = 0.97
+PER_VOTER = 64
 #: Bytes of word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6, 7)
 SEED = (
@@ -117,23 +121,55 @@ def _presence(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return keys >> 32, keys & 0xFFFFFFFF
 
 
-def _sample(rows: DataFrame, key: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct bins and labels of the training sample, ordered by id."""
+def _sample(rows: DataFrame, key: str, voters: Voters | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct bins, labels and votes of training rows, ordered by id and label."""
+    width = voters.n if voters else 0
+    shared = rows.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         for batch in batches:
             for block in blocks(batch.column(1)):
                 o, b = _presence(block)
                 cut = np.searchsorted(o, np.arange(block.n + 1))
                 own = [b[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(block.n)]
-                yield pa.record_batch([batch.column(0).slice(block.first, block.n), pa.array(own, pa.binary()), batch.column(2).slice(block.first, block.n)], names=["key", "bins", "y"])
+                votes = v.votes(block) if v else np.zeros((block.n, 0), bool)
+                yield pa.record_batch([batch.column(0).slice(block.first, block.n), pa.array(own, pa.binary()), batch.column(2).slice(block.first, block.n), pa.array([x.tobytes() for x in votes], pa.binary())], names=["key", "bins", "y", "votes"])
+
+    found = rows.select(F.col(key).cast("string").alias("key"), "text", "y").mapInArrow(lean(run), "key string, bins binary, y double, votes binary").toPandas().sort_values(["key", "y"])
+    votes = np.array([np.frombuffer(x, bool) for x in found["votes"]], bool).reshape(len(found), width)
+    return [np.frombuffer(b, "<i4") for b in found["bins"]], (found["y"].to_numpy(float) > 0).astype(float), votes
+
 
-    found = rows.select(F.col(key).cast("string").alias("key"), "text", "y").mapInArrow(lean(run), "key string, bins binary, y double").toPandas().sort_values(["key", "y"])
-    return [np.frombuffer(b, "<i4") for b in found["bins"]], (found["y"].to_numpy(float) > 0).astype(float)
+def _unlabelled(docs: DataFrame, labels: DataFrame, label: str, key: str, folds: int, fold: int, voters: Voters, chance: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bins and votes of documents without a label and outside the fold, ordered by id. chance: of a document, by each lexicon voter that votes on it, and (last) of any."""
+    shared = docs.sparkSession.sparkContext.broadcast((voters, chance))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, c = shared.value
+        for batch in batches:
+            draw = batch.column(2).to_numpy()
+            for block in blocks(batch.column(1)):
+                votes = v.votes(block)
+                most = np.maximum(np.where(votes[:, : v.lexicon], c[:-1], 0).max(axis=1, initial=0), c[-1])
+                taken = np.flatnonzero(draw[block.first : block.first + block.n] < most)
+                if len(taken):
+                    o, b = _presence(block)
+                    own = [b[np.searchsorted(o, i) : np.searchsorted(o, i + 1)].astype("<i4").tobytes() for i in taken]
+                    yield pa.record_batch([batch.column(0).take(pa.array(block.first + taken)), pa.array(own, pa.binary()), pa.array([x.tobytes() for x in votes[taken]], pa.binary())], names=["key", "bins", "votes"])
+
+    d = docs.where(F.col(key).isNotNull() & ~is_held_out(F.col(key), folds, fold))
+    draw = F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 40)) / float(1 << 40)
+    d = d.select(F.col(key).cast("string").alias("key"), "text", draw.alias("draw"))
+    found = d.mapInArrow(lean(run), "key string, bins binary, votes binary")
+    known = labels.where(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("key"))
+    found = found.join(known, "key", "left_anti").toPandas()
+    found = found.sort_values(["key", "bins"])
+    return [np.frombuffer(b, "<i4") for b in found["bins"]], np.array([np.frombuffer(x, bool) for x in found["votes"]], bool).reshape(len(found), voters.n)
 
 
 def _supported(bins: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins by how far their toxic and other rows differ: (bin, log-odds ratio, z), strongest first."""
+    """Bins by how far their toxic and other rows differ: (bin, log-odds ratio, z), strongest first. y may be shares."""
     every = np.concatenate(bins) if bins else np.zeros(0, np.int64)
     label = np.repeat(y, [len(b) for b in bins]) if bins else np.zeros(0)
     pos, neg = np.bincount(every, label, BINS), np.bincount(every, 1 - label, BINS)
@@ -147,17 +183,26 @@ def _supported(bins: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _voters(bins: list[np.ndarray], y: np.ndarray) -> Voters:
-    """A voter per seed word and per mined bin that is toxic well beyond chance."""
+    """A voter per seed word and per mined bin that is toxic well beyond chance, but for bins in the same rows as a voter's: a word and its beginnings are one voter."""
     table, n = np.zeros(BINS, np.int32), 0
     for w in dict.fromkeys(SEED):
         n += 1
         table[_bin(np.array([_hash(w)], U64))[0]] = n
     if len(y) and 0 < y.sum() < len(y):
         found, odds, z = _supported(bins, y)
-        for b in found[(z > 3) & (odds > 2)][:MINED]:
-            if not table[b]:
+        found = found[(z > 3) & (odds > 2)]
+        rows: dict[int, set[int]] = {int(b): set() for b in [*found, *np.flatnonzero(table)]}
+        for i, own in enumerate(bins):
+            for b in own[np.isin(own, list(rows))]:
+                rows[int(b)].add(i)
+        taken = [rows[int(b)] for b in np.flatnonzero(table)]
+        for b in found:
+            if n >= MINED + len(dict.fromkeys(SEED)):
+                break
+            if not table[b] and all(len(rows[int(b)] & r) < 0.8 * len(rows[int(b)] | r) for r in taken):
                 n += 1
                 table[b] = n
+                taken.append(rows[int(b)])
     address = np.zeros(BINS, bool)
     address[_bin(np.array([_hash(w) for w in ADDRESS], U64))] = True
     return Voters(table, address, n)
@@ -225,7 +270,7 @@ def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 4) ->
     spread = np.sqrt(prior * (1 - prior))
     gap = s / spread
     on = np.clip(mean + (1 - prior) * gap, 1e-4, 0.98)
-    off = np.clip(mean - prior * gap, 1e-4, 0.98)
+    off = np.clip(np.maximum(mean - prior * gap, on * prior / (1 - prior) * (1 - GOLD) / GOLD), 1e-4, 0.98)  # no vote is surer than a label
     return LabelModel(np.maximum(on, off), np.minimum(on, off), 1 / (1 + correlated.sum(axis=1)), prior, correlated)
 
 
@@ -264,26 +309,30 @@ def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float
     return w, float(c)
 
 
+def posteriors(model: LabelModel, votes: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Chance of toxic by the voters, and by the row's label y as one more voter of accuracy GOLD."""
+    odds = model.log_odds(votes.astype(float))
+    if y is not None:
+        odds = odds + np.where(y > 0, 1, -1) * np.log(GOLD / (1 - GOLD))
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, bound: int = BOUND, key: str = "doc_id") -> tuple[Classifier, LabelModel, Voters]:
-    """docs has key and text. Label model over all documents, classifier on the sample's posteriors."""
-    bins, y = _sample(training_rows(docs, labels, label, folds, fold, bound, key), key)
+    """docs has key and text. Label model over all documents, classifier on the posteriors of labelled and other training rows."""
+    rows = training_rows(docs, labels, label, folds, fold, bound, key)
+    bins, y, _ = _sample(rows, key)
     voters = _voters(bins, y)
     prior = (y.sum() + 1) / (len(y) + 10)
     n, together = _moments(docs, voters)
     model = label_model(n, together, float(prior))
-    if not len(y):
+    bins, y, votes = _sample(rows, key, voters)
+    target = posteriors(model, votes, y)
+    chance = np.append(PER_VOTER / np.maximum(np.diag(together)[: voters.lexicon], 1), bound / max(n, 1))
+    more, heard = _unlabelled(docs, labels, label, key, folds, fold, voters, chance)
+    bins, target = bins + more, np.concatenate([target, posteriors(model, heard)])
+    if not len(target):
         return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))), model, voters
-    votes = np.zeros((len(y), voters.n), bool)
-    for i, b in enumerate(bins):
-        v = voters.table[b]
-        votes[i, v[v > 0] - 1] = True
-    distinct = votes[:, : voters.lexicon].sum(axis=1)
-    votes[:, -4], votes[:, -3] = distinct >= 2, distinct >= 3
-    seen = np.zeros(voters.n, bool)
-    seen[:-2] = True  # density and address need the text itself; they stay unheard here
-    unheard = LabelModel(model.on[seen], model.off[seen], model.weight[seen], model.prior, model.correlated)
-    odds = np.clip(unheard.log_odds(votes[:, seen].astype(float)), -6, 6) + np.where(y > 0, 1, -1) * np.log(GOLD / (1 - GOLD)) * 2
-    target = 1 / (1 + np.exp(-odds))
+    y = target
     found, _, z = _supported(bins, y)
     kept = np.sort(found[np.abs(z) > 2][:FEATURES])
     rows = []

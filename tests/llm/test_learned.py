@@ -140,3 +140,25 @@ def test_words_of_the_classifier_are_letters():
     for b in blocks(pa.array(["Idiot! ÉTÉ x1y", ""])):
         owner, bins, n = toxicity._words(b)
         assert n.tolist() == [len(re.findall(r"[^\W\d_]+", "Idiot! ÉTÉ x1y")), 0] and len(owner) == 4 and bins[0][0] == toxicity._bin(np.array([toxicity._hash("idiot")], np.uint64))[0]
+
+
+def test_voters_can_outweigh_a_label():
+    one = lambda x: np.full(4, x)
+    model = toxicity.LabelModel(one(0.6), one(0.01), one(1.0), 0.1, np.zeros((4, 4)))
+    p = toxicity.posteriors(model, np.array([[1, 1, 1, 1], [0, 0, 0, 0], [1, 0, 0, 0]], bool), np.array([0.0, 1.0, 1.0]))
+    assert p[0] > 0.9 and p[1] < 0.5
+    alone = toxicity.posteriors(model, np.array([[1, 0, 0, 0]], bool))[0]
+    assert np.isclose(np.log(p[2] / (1 - p[2])) - np.log(alone / (1 - alone)), np.log(toxicity.GOLD / (1 - toxicity.GOLD)))
+
+
+def test_voters_teach_words_that_no_label_has(spark):
+    r = np.random.default_rng(5)
+    plain = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrt"]
+    text = lambda *toxic: " ".join([*r.choice(plain, 30), *toxic])
+    rows = [(i, text(*r.choice(["idiot", "moron", "scum", "loser"], 3, replace=False)) if i % 5 == 0 else text()) for i in range(800)]  # labelled
+    rows += [(1000 + i, text(*r.choice(["idiot", "moron", "scum", "loser"], 2, replace=False), "abschaum", "widerlich") if i % 5 == 0 else text()) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(800)], "doc_id long, toxic int")
+    model, _, _ = toxicity.train(docs, labels)
+    clean, toxic = model.score(next(blocks(pa.array(["bal bel bil", "bal bel bil abschaum widerlich"]))))
+    assert toxic > clean + 0.2
