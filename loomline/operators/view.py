@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import numbers as N
 from ..functions import text as X
+from ..sources.storage import work_dir
 from . import overlay as O
 from .search import parents_of_hits, session_scores
 
@@ -73,6 +74,23 @@ def ordered_keys(sort: str, filtering: bool = False, ranked: bool = False) -> li
     return [*([F.desc("filter_score")] if filtering else []), *([F.desc("answer")] if ranked else []), F.desc("favorite"), *sort_keys(sort)]
 
 
+def numbered(sessions: DataFrame, sort: str) -> DataFrame:
+    """All sessions with ``line``, their place in a sort: ranges of the keys are sorted apart, and a range's lines start where the ranges before it end."""
+    spark = sessions.sparkSession
+    keys = ordered_keys(sort)
+    path = work_dir(spark)
+    at = sessions.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    at.write.parquet(path)  # a range's bounds are drawn anew by each job
+    at = spark.read.schema(at.schema).parquet(path).withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
+    sizes = sorted((r["part"], r["n"]) for r in at.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(starts, "part bigint, start bigint"))
+    return at.join(starts, "part").withColumn("line", F.col("start") + F.col("at") + 1).drop("part", "at", "start")
+
+
 def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = "", hits: DataFrame | None = None, match_order: bool = True, grouped: bool = False, expanded: DataFrame | None = None, home: str = "", zone: str = "UTC", **passes) -> DataFrame:
     """Rows of the view: row_kind (header, divider, item, sub), label, n and the session's columns, with ``line``, their place.
 

@@ -137,6 +137,7 @@ for _sort, _by in _ORDER.items():
         return s.orderBy(*V.ordered_keys(sort)).limit(50).select("path", "title", F.row_number().over(w).alias("line"))
 
     query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U}) QUALIFY line <= 50", f"sort_{_sort}")(_sorted)
+    query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U})", f"sort_{_sort}_all")(lambda t, sort=_sort: V.numbered(_user_sessions(t), sort).select("path", "title", "line"))
 
 
 @query(f"SELECT user_id, CASE WHEN first_ts > 0 AND last_ts > first_ts THEN last_ts - first_ts ELSE 0 END AS duration FROM ({USERS})")

@@ -137,3 +137,11 @@ def test_reports(spark):
     assert j["id"] == "a" and j["wsx"]["slug"] == "s" and j["live_pid"] == 8
     bad = spark.createDataFrame([("a", "x\ty"), ("b", "z")], "id string, title string")
     assert [r.value for r in report.plan_lines(bad, "id", "title").collect()] == ["b\tz"]
+
+
+def test_every_session_has_its_line(spark):
+    s = spark.range(300).select(F.format_string("/%03d", "id").alias("path"), (F.col("id") % 5 == 0).alias("favorite"), (F.col("id") % 7).alias("mtime"), (F.col("id") % 3).alias("size")).repartition(5)
+    got = [(r.line, r.path) for r in view.numbered(s, "size").orderBy("line").collect()]
+    want = sorted(range(300), key=lambda i: (i % 5 != 0, -(i % 3), -(i % 7), f"/{i:03d}"))
+    assert got == [(n + 1, f"/{i:03d}") for n, i in enumerate(want)]
+    assert view.numbered(s.limit(0), "size").count() == 0
