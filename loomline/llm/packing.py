@@ -138,17 +138,31 @@ class Packer:
 SCHEMA = "{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, limits: Limits = Limits()) -> DataFrame:
+def loss_sums(spans: list | None, n: int) -> np.ndarray:
+    """n + 1 running counts of the tokens inside any of the spans (start, end); null: of all tokens."""
+    if spans is None:
+        return np.arange(n + 1)
+    bears = np.zeros(n, bool)
+    for span in spans:
+        if span is not None and None not in (ends := tuple(span.values())):
+            bears[max(0, ends[0]) : max(0, ends[1])] = True
+    return np.concatenate(([0], np.cumsum(bears)))
+
+
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    tokenizer: path of the word BPE's file on every executor. Every token bears loss.
+    tokenizer: path of the word BPE's file on every executor. loss: column of arrays of
+    structs (start, end), spans of tokens that bear loss, the end token being the last; where
+    it is null or not given, every token does.
     """
     names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
-        packer = Packer(limits, lambda example, start, length: length)
+        sums: dict[int, np.ndarray] = {}  # of examples with loss spans
+        packer = Packer(limits, lambda example, start, length: int(sums[example][start + length] - sums[example][start]) if example in sums else length)
         sequence = TaskContext.get().partitionId() << 33
         held: dict[int, tuple[object, np.ndarray]] = {}  # examples with pieces in the window
         window: list[Piece] = []
@@ -173,9 +187,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             yield from emit(done)
             window = []
             held = {p.example: held[p.example] for p in packer.open}
+            for example in sums.keys() - held.keys():
+                del sums[example]
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
+            spans = batch.column(2).to_pylist() if loss else None
             for block in blocks(batch.column(1), size=1 << 20):
                 ids, counts = bpe.encode(block)
                 at, fulls = 0, []
@@ -184,6 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     own[:n], own[n] = ids[at : at + n], end
                     at += n
                     held[number] = (keys[block.first + i], own)
+                    if spans and spans[block.first + i] is not None:
+                        sums[number] = loss_sums(spans[block.first + i], n + 1)
                     full, rest = packer.whole(number, n + 1)
                     fulls += full
                     if rest:
@@ -195,4 +214,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         yield from turn()
         yield from emit(packer.close())
 
-    return docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)).mapInArrow(lean(run), SCHEMA.format(key=key))
+    return docs.select(docs[key].cast("long").alias(key), docs[text].alias(text), *([docs[loss].alias("loss_spans")] if loss else [])).mapInArrow(lean(run), SCHEMA.format(key=key))

@@ -341,3 +341,19 @@ def test_packing_limits(spark, docs):
     assert all(len(x) <= 3 and sum(x) <= 200 for x in by_seq.values())
     assert packed(spark, empty(spark))[0] == []
     assert T.StructType.fromDDL(packing.SCHEMA.format(key="doc_id")).names[0] == "doc_id"
+
+
+def test_packing_counts_loss_spans(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows = [(i, "word " * 20, [(0, 5), (3, 10)] if i % 2 else [(0, 0)]) for i in range(40)] + [(100, "word " * 300, [(0, 150)]), (101, "word " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start: long, end: long>>").coalesce(1)
+    out = packing.pack(docs, P.path("word_bpe_49k.json"), limits=packing.Limits(tokens=128, segments=64, loss=32), loss="spans").collect()
+    bears = {i: set(range(1 << 20)) if s is None else {t for a, b in s for t in range(a, b)} for i, _, s in rows}
+    by_seq, by_doc = {}, {}
+    for r in out:
+        loss, tokens = by_seq.get(r.sequence_id, (0, 0))
+        by_seq[r.sequence_id] = (loss + len(bears[r.doc_id] & set(range(r.start, r.start + r.length))), tokens + r.length)
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
+    assert all(loss <= 32 and tokens <= 128 for loss, tokens in by_seq.values())
+    assert any(tokens > 64 for _, tokens in by_seq.values()) and any(loss > 24 for loss, _ in by_seq.values())
+    assert by_doc == {r.doc_id: r.doc_tokens for r in out} and by_doc.keys() == bears.keys()
