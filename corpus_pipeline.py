@@ -7,6 +7,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +28,34 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a number of each row: its place in the files of its table. What is no table of files is written first."""
+    try:
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+        place = F.col("_metadata.row_index")
+        docs.select(place)
+    except AnalysisException:
+        return stored(docs.withColumn("row_key", F.monotonically_increasing_id()))
+    nth = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])[F.col("_metadata.file_path")] if files else F.lit(0)
+    return docs.withColumn("row_key", F.shiftleft(nth.cast("long"), 40) + place)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
-    linked = jaccard_join.linked(docs)
-    return without(docs, linked.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id"), "doc_id")
+    """Of rows linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays, null being the largest; of equal ids, the first row."""
+    rows = keyed(docs)
+    linked = stored(jaccard_join.linked(rows, key="row_key").select(F.col("id").alias("row_key"), "component_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    linked = linked.join(rows.select("row_key", "doc_id"), "row_key")
+    first = linked.groupBy("component_id").agg(F.min(rank)["row_key"].alias("first"))
+    others = linked.join(first, "component_id").where("row_key <> first").select("row_key")
+    return without(rows, others, "row_key").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a ten-word passage of the benchmark go."""
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, hits.where("n_hit > 0").select("doc_id"), "doc_id")
+    """Rows with a ten-word passage of the benchmark go, whatever ids they have."""
+    rows = keyed(docs)
+    hits = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), key="row_key")
+    return without(rows, hits.where("n_hit > 0").select(F.col("doc_id").alias("row_key")), "row_key").select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,21 @@ def test_voters_teach_words_that_no_label_has(spark):
     model, _, _ = toxicity.train(docs, labels)
     clean, toxic = model.score(next(blocks(pa.array(["bal bel bil", "bal bel bil abschaum widerlich"]))))
     assert toxic > clean + 0.2
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_stages_drop_rows_not_ids(spark, tmp_path, written):
+    passage, clean = " ".join(f"b{i}" for i in range(20)), " ".join(f"c{i}" for i in range(20))
+    copy, other = " ".join(f"d{i}" for i in range(20)), " ".join(f"e{i}" for i in range(20))
+    rows = [(1, copy), (None, copy), (None, clean), (None, passage), (7, other), (7, other), (8, passage), (8, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if written:
+        docs.write.parquet(f"{tmp_path}/d")
+        docs = spark.read.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    show = lambda df: sorted(map(str, map(tuple, df.collect())))
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert show(kept) == sorted(map(str, [(1, copy), (None, clean), (8, passage), (7, other), (8, "short"), (None, None)]))
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert show(left) == sorted(str(r) for r in rows if r[1] != passage)
