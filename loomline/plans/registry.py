@@ -300,6 +300,12 @@ def marks_merge(t):
     return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
 
 
+@query("SELECT coalesce(m.id, p.id) AS id, coalesce(p.favorite, m.favorite, false) AS favorite, array_to_string(list_sort(list_distinct(list_concat(coalesce(m.tags, []), coalesce(p.added, [])))), ',') AS tags FROM ({m}) m FULL JOIN (SELECT doc_id::VARCHAR AS id, CASE WHEN n_chars > 1000 THEN true END AS favorite, ['p'] AS added FROM documents WHERE lang <> 'en') p ON m.id = p.id".format(m=_MARKS))
+def marks_merge_whole(t):
+    patch = t("documents").where("lang <> 'en'").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("n_chars") > 1000, True).alias("favorite"), F.lit(None).cast("string").alias("note"), F.array(F.lit("p")).alias("added"), F.array().cast("array<string>").alias("removed"))
+    return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
+
+
 # ---- joins
 
 
@@ -339,6 +345,14 @@ def longest_prefix(t):
     return O.longest_prefix(p.select(full.alias("cwd")), "cwd", places, "place").select("cwd", "place")
 
 
+@query(f"SELECT cwd, arg_max(place, length(place)) AS place FROM (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS cwd FROM pages), (SELECT DISTINCT rtrim(place, '/') AS place FROM ({_PLACES.replace(' WHERE page_id % 4 = 0', '')})) WHERE rtrim(cwd, '/') = place OR starts_with(cwd, place || '/') GROUP BY cwd")
+def longest_prefix_whole(t):
+    p = t("pages")
+    full, host = F.regexp_extract("url", "://([^?#]*)", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
+    places = p.select(full.alias("place")).unionAll(p.select(host.alias("place"))).select(F.rtrim(F.regexp_replace("place", "/+$", "")).alias("place")).distinct()
+    return O.longest_prefix(p.select(full.alias("cwd")), "cwd", places, "place").select("cwd", "place")
+
+
 @query("SELECT page_id, CASE WHEN n >= 2 AND p[1] <> '' AND p[2] <> '' THEN p[1] END AS repo, CASE WHEN n >= 2 AND p[1] <> '' AND p[2] <> '' THEN p[2] END AS slug FROM (SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS p, len(string_split(regexp_extract(url, '://([^?#]*)', 1), '/')) AS n FROM pages)")
 def path_split(t):
     repo, slug, _ = O.path_parts(F.concat(F.lit("/w/"), F.regexp_extract("url", "://([^?#]*)", 1)), "/w")
