@@ -3,8 +3,8 @@
 A snapshot is a Parquet table of distinct SHA-256 digests (count, largest id), dealt
 into shards by digest, with one 8-bit 3-wise binary fuse filter a shard. A batch is
 grouped by digest first, which collapses its own duplicates (and any hot text, map
-side), then each shard's digests meet that shard's filter in one cogroup: about
-0.4 % of the unseen ones pass by chance. Positives join the snapshot's exact buckets;
+side), then each shard's digests meet that shard's filter in cogroups whose size follows
+the batch: about 0.4 % of the unseen ones pass by chance. Positives join the snapshot's exact buckets;
 negatives are new. Groups of more than one row are confirmed on the bytes: texts
 themselves are the grouping key there, and two texts under one digest stop the job.
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, only, stored, work_dir
+from .common import U64, Commits, mix, only, spread_join, stored, work_dir
 
 SHARD_KEYS = 250_000
 #: Repeated digests (32 bytes each) that may go to every executor; more of them join in a shuffle.
@@ -109,40 +109,46 @@ def grouped(ids: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Immutable snapshots under ``path``; each has digests and filters, and is never rewritten."""
+    """Immutable snapshots under ``path``; each has digests and filters, and is never rewritten. A store opened again on its folder has all its snapshots."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shard_keys: int = SHARD_KEYS) -> None:
-        self.spark, self.path, self.shard_keys = spark, path or work_dir(spark), shard_keys
-        self.shards: list[int] = []
+        self.spark, self.shard_keys = spark, shard_keys
+        self.log = Commits(spark, path or work_dir(spark))
+
+    @property
+    def path(self) -> str:
+        return self.log.path
 
     def _shard(self, df: DataFrame, shards: int) -> DataFrame:
         return df.withColumn("shard", F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(shards)).cast("int"))
 
-    def _digests(self, i: int) -> DataFrame:
-        return self.spark.read.schema("digest binary, n long, max_id long, shard int").parquet(f"{self.path}/snapshot={i}/digests")
+    def digests(self, snapshot: dict) -> DataFrame:
+        return self.spark.read.schema("digest binary, n long, max_id long, shard int").parquet(f"{self.path}/{snapshot['name']}/digests")
 
     def commit(self, ids: DataFrame) -> None:
         """Adds a snapshot of (id, digest) rows; the number of shards follows its size."""
-        base = f"{self.path}/snapshot={len(self.shards)}"
+        after, base = len(self.log.all()), self.log.table("snapshot")
         new = stored(grouped(ids), f"{base}/groups")
         shards = max(1, -(-new.count() // self.shard_keys))
         new = stored(self._shard(new.select("digest", "n", F.col("max_id").cast("long").alias("max_id")), shards), f"{base}/digests")
-        new.select("shard", "digest").groupBy("shard").applyInPandas(_build, FILTER).write.mode("overwrite").parquet(f"{base}/filters")
-        self.shards.append(shards)
+        new.select("shard", "digest").groupBy("shard").applyInPandas(_build, FILTER).write.parquet(f"{base}/filters")
+        self.log.add(after, {"name": base.rpartition("/")[2], "shards": shards})
 
-    def screen(self, groups: DataFrame, i: int) -> DataFrame:
-        """groups (digest, n, max_id) with maybe: whether snapshot i's filter passes the digest."""
-        filters = self.spark.read.schema(FILTER).parquet(f"{self.path}/snapshot={i}/filters")
-        mine = self._shard(groups, self.shards[i])
-        return mine.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screen, "digest binary, n long, max_id long, maybe boolean")
+    def screen(self, groups: DataFrame, snapshot: dict, rows: int) -> DataFrame:
+        """groups (digest, n, max_id; ``rows`` of them) with maybe: whether the snapshot's filter passes the digest. A shard's digests meet its filter in as many parts as keep each to about shard_keys."""
+        filters = self.spark.read.schema(FILTER).parquet(f"{self.path}/{snapshot['name']}/filters")
+        parts = max(1, -(-rows // (snapshot["shards"] * self.shard_keys)))
+        mine = self._shard(groups, snapshot["shards"]).withColumn("part", F.pmod(F.conv(F.hex(F.substring("digest", 20, 6)), 16, 10).cast("long"), F.lit(parts)).cast("int"))
+        filters = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return mine.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInPandas(_screen, "digest binary, n long, max_id long, maybe boolean")
 
     def match(self, ids: DataFrame) -> DataFrame:
         """Groups of a batch: (digest, n, max_id, old_n, old_max) where old_* come from the snapshots that hold the digest."""
         groups = stored(grouped(ids).select("digest", "n", F.col("max_id").cast("long").alias("max_id")))
-        olds = []
-        for i in range(len(self.shards)):
-            positive = self.screen(groups, i).where("maybe").select("digest")
-            olds.append(self._digests(i).join(positive, "digest", "left_semi").select("digest", "n", "max_id"))
+        rows, olds = groups.count(), []
+        for snapshot in self.log.all():
+            positive = self.screen(groups, snapshot, rows).where("maybe").select("digest")
+            olds.append(self.digests(snapshot).join(positive, "digest", "left_semi").select("digest", "n", "max_id"))
         if not olds:
             return groups.select("*", F.lit(0).cast("long").alias("old_n"), F.lit(None).cast("long").alias("old_max"))
         old = olds[0]
@@ -173,8 +179,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     store = SnapshotStore(docs.sparkSession)
     store.commit(ids.where("batch = 0").select("id", "digest"))
     matched = stored(store.match(ids.where("batch = 1").select("id", "digest")))
-    repeated = matched.where("n + old_n > 1").select("digest").unionAll(store._digests(0).where("n > 1").select("digest")).distinct()
+    repeated = matched.where("n + old_n > 1").select("digest").unionAll(store.digests(store.log.all()[0]).where("n > 1").select("digest")).distinct()
     groups = confirmed(docs, stored(repeated), key, text)
-    out = ids.join(groups, "digest", "left")
+    out = spread_join(ids, stored(groups), "digest")
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(F.col("id").alias(key), "digest", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.col("id").eqNullSafe(keep).alias("kept"))

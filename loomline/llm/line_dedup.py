@@ -1,9 +1,10 @@
 """Reversible, incremental line dedup: sharded cuckoo filters over exact reference counts.
 
-The exact side is a table of holders, one row per (line key, document) with the number
-of lines, written for each inserted batch; a deletion is a table of document ids. From
-them come, at any time, a key's references (documents that hold it) and its largest
-holder, so that taking documents out restores what they had displaced.
+The exact side is two tables, both only ever added to: holders, one row per (line key,
+document) with the number of lines, for each inserted batch; and references, a key's
+number of holders and the largest one, for the keys that a batch or deletion touched.
+A deletion is a table of document ids; what it touches is counted again from the holders
+that are left, so that taking documents out restores what they had displaced.
 
 The filters are derived: per shard of keys, a cuckoo filter of 16-bit fingerprints of the
 keys with at least ``min_docs`` references. They change in place: a key that reaches the
@@ -22,6 +23,7 @@ is largest only if no other id holds the line. Keys are compared by 128-bit hash
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, lean, mix, stored, work_dir
+from .common import BROADCAST_IDS, U64, Commits, lean, mix, stored, work_dir
 
 BROADCAST_BYTES = 64 << 20
 SHARD_KEYS = 100_000
@@ -149,93 +151,166 @@ def holders(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(lean(run), HOLDER)
 
 
+REFERENCE = "hi long, lo long, refs long, largest long"
+#: Runs of the reference table that are read together; one more merges them.
+RUNS = 8
+
+
 class LineStore:
-    """Inserted batches, deletions and filters under one shared folder."""
+    """Inserted batches, deletions, reference counts and filters under one shared folder.
+
+    A commit names all tables that make up the state after it, so a store opened again on
+    its folder goes on where the last commit ended. An insertion or deletion regroups the
+    keys that it touches and no others: their new counts are a run of the reference table,
+    where a key's latest run holds. More than RUNS runs are merged into one.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 40, min_docs: int = 5) -> None:
-        self.spark, self.path, self.min_chars, self.min_docs = spark, path or work_dir(spark), min_chars, min_docs
-        self.batches: list[tuple[str, DataFrame]] = []
-        self.shards, self.filters = 0, None
-        self._heavy = None
+        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
+        self.log = Commits(spark, path or work_dir(spark))
+        if any((c["min_chars"], c["min_docs"]) != (min_chars, min_docs) for c in self.log.all()[:1]):
+            raise ValueError(f"the store in {self.path} was made with other limits")
+
+    @property
+    def path(self) -> str:
+        return self.log.path
+
+    @property
+    def state(self) -> dict:
+        done = self.log.all()
+        return done[-1] if done else {"holders": [], "removed": [], "references": [], "repeated": None, "filters": None, "shards": 1, "n": 0}
+
+    def _write(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = self.log.table(name)
+        return path.rpartition("/")[2], stored(df, path)
+
+    def _table(self, name: str | None, schema: str) -> DataFrame:
+        read = self.spark.read.schema(schema)
+        return read.parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
+
+    def _runs(self, runs: list, schema: str) -> DataFrame:
+        """The tables of (name, commit) pairs with the number of the commit."""
+        out = self._table(None, f"{schema}, at int")
+        for name, at in runs:
+            out = out.unionAll(self._table(name, schema).withColumn("at", F.lit(at)))
+        return out
 
     def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Adds the lines of a batch's documents."""
-        path = f"{self.path}/holders-{len(self.batches)}"
-        self.batches.append(("insert", stored(holders(docs, key, text, self.min_chars), path)))
-        self._refresh()
+        old, after = self.state, len(self.log.all())
+        name, batch = self._write(holders(docs, key, text, self.min_chars), "holders")
+        more = batch.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.max("id").alias("largest"))
+        if old["references"]:
+            more = stored(more)
+            before = self._latest(old["references"], more).select("hi", "lo", F.col("refs").alias("had"), F.col("largest").alias("had_largest"))
+            more = more.join(before, ["hi", "lo"], "left").select("hi", "lo", (F.col("refs") + F.coalesce("had", F.lit(0))).alias("refs"), F.greatest("largest", "had_largest").alias("largest"))
+        self._commit(old, after, more, {"holders": [*old["holders"], [name, after]]})
 
     def delete(self, ids: DataFrame, key: str = "doc_id") -> None:
         """Takes the named documents out, as far as inserted before; a later insert brings them back."""
-        path = f"{self.path}/deleted-{len(self.batches)}"
-        self.batches.append(("delete", stored(ids.select(ids[key].cast("long").alias("id")).where("id IS NOT NULL").distinct(), path)))
-        self._refresh()
+        old, after = self.state, len(self.log.all())
+        name, ids = self._write(ids.select(ids[key].cast("long").alias("id")).where("id IS NOT NULL").distinct(), "removed")
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        live = self.held()
+        touched = stored(live.join(few, "id", "left_semi").select("hi", "lo").distinct())
+        left = live.join(few, "id", "left_anti").join(touched, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.max("id").alias("largest"))
+        now = touched.join(left, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"), "largest")
+        self._commit(old, after, now, {"removed": [*old["removed"], [name, after]]})
 
     def held(self) -> DataFrame:
-        """The holders that count now."""
-        now = None
-        for kind, df in self.batches:
-            if kind == "insert":
-                now = df if now is None else now.unionAll(df)
-            elif now is not None:
-                now = now.join(df, "id", "left_anti").select("hi", "lo", "id", "lines")
-        return now if now is not None else self.spark.createDataFrame([], HOLDER)
+        """The holders that count now: those of no document that was taken out after they came."""
+        now = self.state
+        rows = self._runs(now["holders"], HOLDER)
+        if now["removed"]:
+            gone = self._runs(now["removed"], "id long").groupBy("id").agg(F.max("at").alias("gone_at"))
+            rows = rows.join(gone, "id", "left").where("gone_at IS NULL OR gone_at < at")
+        return rows.select("hi", "lo", "id", "lines")
+
+    def _latest(self, runs: list, touched: DataFrame | None = None) -> DataFrame:
+        """Reference counts by each key's latest run; touched: of these keys alone."""
+        rows = self._runs(runs, REFERENCE)
+        if touched is not None:
+            rows = rows.join(touched.select("hi", "lo"), ["hi", "lo"], "left_semi")
+        if len(runs) > 1:
+            rows = rows.groupBy("hi", "lo").agg(F.max_by(F.struct("refs", "largest"), "at").alias("x")).select("hi", "lo", "x.refs", "x.largest")
+        return rows.select("hi", "lo", "refs", "largest")
 
     def references(self) -> DataFrame:
-        """(hi, lo, refs, largest): exact, by map-side partial sums, so that a line in all documents is a row a task."""
-        return self.held().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.max("id").alias("largest"))
-
-    def _refresh(self) -> None:
-        """The exact table of repeated keys, and filters brought from their last state to it."""
-        before = self._heavy
-        self._heavy = stored(self.references().where(F.col("refs") >= self.min_docs), f"{self.path}/repeated-{len(self.batches)}")
-        n = self._heavy.count()
-        shards = max(1, -(-n // SHARD_KEYS))
-        if before is None or shards > 2 * self.shards:
-            self.shards, self.filters, before = shards, None, None
-        at = F.pmod("hi", F.lit(self.shards)).cast("int").alias("shard")
+        """(hi, lo, refs, largest): the exact reference counts of all keys that are held."""
+        return self._latest(self.state["references"]).where("refs > 0")
+
+    def repeated(self) -> DataFrame:
+        """The references of keys that at least min_docs documents hold."""
+        return self._table(self.state["repeated"], REFERENCE)
+
+    def filters(self) -> DataFrame:
+        return self._table(self.state["filters"], "shard int, cells binary")
+
+    def _commit(self, old: dict, after: int, now: DataFrame, more: dict) -> None:
+        """Takes the new references of touched keys into the exact tables and the filters."""
+        run, now = self._write(now, "references")
+        runs = [*old["references"], [run, after]]
+        before, often = self.repeated(), F.col("refs") >= self.min_docs
+        kept = before.join(now, ["hi", "lo"], "left_anti") if old["repeated"] else before
+        repeated, heavy = self._write(kept.unionAll(now.where(often).select(*before.columns)), "repeated")
+        n = heavy.count()
+        shards, fresh = max(1, -(-n // SHARD_KEYS)), old["filters"] is None
+        if fresh or shards > 2 * old["shards"]:
+            fresh = True
+        else:
+            shards = old["shards"]
+        at = F.pmod("hi", F.lit(shards)).cast("int").alias("shard")
         keys = lambda df, add: df.select(at, "hi", "lo", F.lit(add).alias("add"))
-        if before is None:
-            change = keys(self._heavy, True)
+        if fresh:
+            filled_in, cells = keys(heavy, True), self._table(None, "shard int, cells binary")
         else:
-            change = keys(self._heavy.join(before, ["hi", "lo"], "left_anti"), True).unionAll(keys(before.join(self._heavy, ["hi", "lo"], "left_anti"), False))
-        old = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, cells binary")
-        exact = keys(self._heavy, True)  # a filter that overflows is filled anew from its shard of the exact table
-        new = old.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_changed, "shard int, cells binary, full boolean")
-        new = stored(new, f"{self.path}/filters-{len(self.batches)}-a")
-        if new.where("full").limit(1).count():
-            again = exact.join(new.where("full").select("shard"), "shard", "left_semi").groupBy("shard").applyInPandas(_refilled, "shard int, cells binary")
-            new = stored(new.where("NOT full").select("shard", "cells").unionAll(again), f"{self.path}/filters-{len(self.batches)}-b")
-        self.filters, self.n = new.select("shard", "cells"), n
+            up = now.where(often).join(before, ["hi", "lo"], "left_anti")
+            down = before.join(now.where(~often), ["hi", "lo"], "left_semi")
+            filled_in, cells = keys(up, True).unionAll(keys(down, False)), self.filters()
+        new = cells.groupBy("shard").cogroup(filled_in.groupBy("shard")).applyInPandas(_changed, "shard int, cells binary, full boolean")
+        filters, new = self._write(new, "filters")
+        if new.where("full").limit(1).count():  # a filter that overflows is filled anew from its shard of the exact table
+            again = keys(heavy, True).join(new.where("full").select("shard"), "shard", "left_semi").groupBy("shard").applyInPandas(_refilled, "shard int, cells binary")
+            filters, _ = self._write(new.where("NOT full").select("shard", "cells").unionAll(again), "filters")
+        if len(runs) > RUNS:
+            runs = [[self._write(self._latest(runs).where("refs > 0"), "references")[0], after]]
+        state = {"holders": old["holders"], "removed": old["removed"]} | more
+        self.log.add(after, state | {"references": runs, "repeated": repeated, "filters": filters, "shards": shards, "n": n, "min_chars": self.min_chars, "min_docs": self.min_docs})
 
     def clean(self, docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """One row per row of docs: id, text (kept lines), n_lines, n_dropped, rest (a struct of docs' other columns)."""
         others = [docs[c] for c in docs.columns if c not in (key, text)]
         rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
         d = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"), rest.alias("rest"))
-        if self.n * 32 <= broadcast_bytes:
+        if self.state["n"] * 32 <= broadcast_bytes:
             return self._clean_here(d)
         return self._clean_joined(d)
 
     def _clean_here(self, d: DataFrame) -> DataFrame:
-        """With the filters and exact entries of all repeated keys on each executor; their size is checked."""
-        cells = {r.shard: bytes(r.cells) for r in self.filters.collect()}
-        exact = {(r.hi, r.lo): r.largest for r in self._heavy.select("hi", "lo", "largest").toLocalIterator()}
-        shared = self.spark.sparkContext.broadcast((cells, exact))
-        shards, min_chars = self.shards, self.min_chars
+        """With the filters and exact entries of all repeated keys on each executor, as sorted arrays; their size is checked."""
+        cells = {r.shard: bytes(r.cells) for r in self.filters().collect()}
+        shared = self.spark.sparkContext.broadcast((cells, Largest.of(self.repeated())))
+        shards, min_chars = self.state["shards"], self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells, exact = shared.value
             filters = {s: Cuckoo(0, c) for s, c in cells.items()}
             for batch in batches:
                 docs = [line_keys(t.as_py() or b"", min_chars) for t in batch.column(1).cast(pa.binary())]
-                maybe = screen(filters, shards, [h for _, keys in docs for h in keys if h])
+                ids = batch.column(0).to_pylist()
+                every = [(*h, i) for i, (_, keys) in enumerate(docs) for h in keys if h]
+                maybe = np.flatnonzero(screen(filters, shards, [h[:2] for h in every]))
+                found = exact.find([every[j][:2] for j in maybe])
+                gone = np.zeros(len(every), bool)
+                for j, at in zip(maybe, found, strict=True):
+                    gone[j] = at >= 0 and exact.id_of(at) != ids[every[j][2]]
                 rows, i = [], 0
-                for k, (lines, keys) in zip(batch.column(0).to_pylist(), docs, strict=True):
+                for k, (lines, keys) in zip(ids, docs, strict=True):
                     kept = []
                     for line, h in zip(lines, keys, strict=True):
                         if h:
                             i += 1
-                            if maybe[i - 1] and h in exact and exact[h] != k:
+                            if gone[i - 1]:
                                 continue
                         kept.append(line)
                     rows.append((k, b"\n".join(kept), len(lines), len(lines) - len(kept)))
@@ -245,7 +320,7 @@ class LineStore:
 
     def _clean_joined(self, d: DataFrame) -> DataFrame:
         """The same by shuffles: screened keys join the exact table, and what a text loses joins it by its content."""
-        filters, shards, min_chars = self.filters, self.shards, self.min_chars
+        filters, shards, min_chars = self.filters(), self.state["shards"], self.min_chars
         d = d.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +335,7 @@ class LineStore:
         lines = d.select("id", "text", "blob").mapInArrow(lean(explode), "hi long, lo long, shard int, id long, blob string")
         present = stored(lines.select("shard", "hi", "lo").distinct())
         maybe = present.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "hi long, lo long")
-        exact = self._heavy.join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest")
+        exact = self.repeated().join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest")
         lost = lines.join(exact, ["hi", "lo"]).where(~F.col("largest").eqNullSafe(F.col("id"))).select("id", "blob", "hi", "lo").distinct()
         lost = lost.groupBy("id", "blob").agg(F.collect_list(F.struct("hi", "lo")).alias("lost")).select(F.col("id").alias("lost_id"), F.col("blob").alias("lost_blob"), "lost")
         both = d.join(lost, d["id"].eqNullSafe(lost["lost_id"]) & (d["blob"] == lost["lost_blob"]), "left").select("id", "text", "lost", "rest")
@@ -278,6 +353,40 @@ class LineStore:
         return both.mapInArrow(lean(drop), T.StructType([*T.StructType.fromDDL(CLEAN).fields, d.schema["rest"]]))
 
 
+@dataclass(frozen=True)
+class Largest:
+    """The largest holder of each repeated key, by (lo, hi) ascending; named: whether it has an id."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    id: np.ndarray
+    named: np.ndarray
+
+    @classmethod
+    def of(cls, repeated: DataFrame) -> "Largest":
+        t = repeated.select("lo", "hi", F.coalesce("largest", F.lit(0)).alias("id"), F.col("largest").isNotNull().alias("named")).toPandas()
+        lo, hi = t["lo"].to_numpy(np.int64), t["hi"].to_numpy(np.int64)
+        by = np.lexsort((hi, lo))
+        return cls(lo[by], hi[by], t["id"].to_numpy(np.int64)[by], t["named"].to_numpy(bool)[by])
+
+    def find(self, keys: list[tuple[int, int]]) -> np.ndarray:
+        """The places of (hi, lo) keys, -1 where there is none. Keys of equal lo lie side by side."""
+        hi, lo = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+        at, out = np.searchsorted(self.lo, lo), np.full(len(lo), -1)
+        left = np.arange(len(lo))
+        while len(left):
+            left = left[at[left] < len(self.lo)]
+            left = left[self.lo[at[left]] == lo[left]]
+            same = self.hi[at[left]] == hi[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+        return out
+
+    def id_of(self, at: int) -> int | None:
+        return int(self.id[at]) if self.named[at] else None
+
+
 CLEAN = "id long, text string, n_lines long, n_dropped long"
 
 

@@ -1,9 +1,10 @@
 """Secret scans through an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is content-addressed by the SHA-256 of its text. The
-ledger is a Parquet table of (rule_version, blob, findings); a commit scans only the
-(blob, rule version) pairs that it lacks, each distinct text once however many paths
-hold it, and findings are joined back to all paths by blob.
+ledger keeps (blob, findings) for each rule version in Parquet tables that are only ever
+added to; a commit scans the (blob, rule version) pairs that it lacks, each distinct text
+once however many paths hold it, and findings are joined back to all paths by blob, the
+rows of a hot blob over several tasks.
 
 Spans come from two built-ins that agree on leftmost, non-overlapping matches:
 ``split`` gives the text between matches and ``regexp_extract_all`` the matches, so the
@@ -16,12 +17,13 @@ no rows. Texts are scanned whole.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored, work_dir
+from .common import Commits, only, spread_join, stored, work_dir
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -84,33 +86,51 @@ def blob_id(text: Column) -> Column:
 
 
 class BlobLedger:
-    """Scanned blobs in ``path``, a shared folder; rule_version names the state of ``rules``."""
+    """Scanned blobs in ``path``, a shared folder; rule_version names the state of ``rules``.
+
+    A ledger opened again on its folder knows all that was scanned there. A rule version
+    that the folder knows with other rules is an error, as its findings would be mixed.
+    """
 
     def __init__(self, spark, path: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
-        self.spark, self.path, self.rules, self.rule_version = spark, path or work_dir(spark), rules, rule_version
-        self.commits = 0
+        self.spark, self.rules, self.rule_version = spark, rules, rule_version
+        self.log = Commits(spark, path or work_dir(spark))
+        self.digest = hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()
+
+    @property
+    def path(self) -> str:
+        return self.log.path
+
+    def _tables(self) -> list[str]:
+        mine = [c for c in self.log.all() if c["rule_version"] == self.rule_version]
+        if any(c["rules"] != self.digest for c in mine):
+            raise ValueError(f"rule version {self.rule_version} of {self.path} was scanned with other rules")
+        return [f"{self.path}/{c['table']}" for c in mine]
 
     def scanned(self) -> DataFrame | None:
-        if not self.commits:
-            return None
-        return self.spark.read.schema(f"rule_version string, blob binary, findings {FINDING}").parquet(f"{self.path}/commit=*")
+        """(blob, findings) of each blob that this rule version has seen; None if there is none."""
+        tables = self._tables()
+        return self.spark.read.schema(f"blob binary, findings {FINDING}").parquet(*tables) if tables else None
 
     def commit(self, history: DataFrame, text: str = "text") -> int:
-        """Scans the blobs of ``history`` that this rule version hasn't seen; the number of commits so far."""
+        """Scans the blobs of ``history`` that this rule version hasn't seen; the number of commits in the folder."""
         blobs = history.select(F.coalesce(history[text], F.lit("")).alias("text")).select(blob_id(F.col("text")).alias("blob"), "text").distinct()
-        seen = self.scanned()
+        seen, after = self.scanned(), len(self.log.all())
         if seen is not None:
-            blobs = blobs.join(seen.where(F.col("rule_version") == self.rule_version).select("blob"), "blob", "left_anti")
-        new = blobs.select(F.lit(self.rule_version).alias("rule_version"), "blob", findings(F.col("text"), self.rules).alias("findings"))
-        new.write.mode("overwrite").parquet(f"{self.path}/commit={self.commits}")
-        self.commits += 1
-        return self.commits
+            blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
+        table = self.log.table("findings")
+        blobs.select("blob", findings(F.col("text"), self.rules).alias("findings")).write.parquet(table)
+        self.log.add(after, {"rule_version": self.rule_version, "rules": self.digest, "table": table.rpartition("/")[2]})
+        return after + 1
 
     def report(self, history: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """(key, blob, findings) of every row of ``history``; findings are empty where nothing was found."""
-        paths = history.select(history[key].alias(key), blob_id(history[text]).alias("blob"))
-        found = self.scanned().where((F.col("rule_version") == self.rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-        return paths.join(found, "blob", "left").select(key, "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+        """(key, blob, findings) of every row of ``history``; findings are empty where nothing was found. A blob that was never scanned stops the job."""
+        paths = stored(history.select(history[key].alias("ledger_key"), blob_id(history[text]).alias("blob")))
+        seen = self.scanned()
+        if seen is None:
+            seen = self.spark.createDataFrame([], f"blob binary, findings {FINDING}")
+        joined = spread_join(paths, seen, "blob")
+        return joined.select(F.col("ledger_key").alias(key), "blob", F.coalesce("findings", F.raise_error("a blob of this history was never scanned").cast(FINDING)).alias("findings"))
 
 
 def scan(history: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

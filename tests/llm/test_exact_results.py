@@ -230,12 +230,12 @@ def test_ledger_scans_only_unseen_blobs(spark):
     v2 = spark.createDataFrame([("a", "token=abcdef1"), ("c", "password=abcdef2")], "path string, text string")
     ledger.commit(v1)
     ledger.commit(v2)
-    assert [ledger.spark.read.parquet(f"{ledger.path}/commit={i}").count() for i in (0, 1)] == [2, 1]
+    counts = lambda x: [spark.read.parquet(f"{x.path}/{c['table']}").count() for c in x.log.all()]
+    assert counts(ledger) == [2, 1]
     assert {r.path: len(r.findings) for r in ledger.report(v1.unionAll(v2.where("path = 'c'").withColumn("path", F.lit("c2"))), "path").collect()} == {"a": 1, "b": 1, "c": 0, "c2": 1}
     other = secrets.BlobLedger(spark, ledger.path, rule_version="2")
-    other.commits = ledger.commits
     other.commit(v2)
-    assert other.spark.read.parquet(f"{ledger.path}/commit=2").count() == 2
+    assert counts(other) == [2, 1, 2]
 
 
 def test_url_filter(spark):
@@ -357,3 +357,101 @@ def test_packing_counts_loss_spans(spark):
     assert all(loss <= 32 and tokens <= 128 for loss, tokens in by_seq.values())
     assert any(tokens > 64 for _, tokens in by_seq.values()) and any(loss > 24 for loss, _ in by_seq.values())
     assert by_doc == {r.doc_id: r.doc_tokens for r in out} and by_doc.keys() == bears.keys()
+
+
+def test_line_store_opened_again_goes_on(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RUNS", 2)  # merges runs on the way
+    first = line_dedup.LineStore(spark)
+    low, mid, high = docs.where("doc_id < 20"), docs.where("doc_id >= 20 AND doc_id < 50"), docs.where("doc_id >= 50")
+    first.insert(low)
+    second = line_dedup.LineStore(spark, first.path)
+    second.insert(mid)
+    line_dedup.LineStore(spark, first.path).insert(high)
+    for store in (first, second, line_dedup.LineStore(spark, first.path)):
+        assert {r.id: r.text for r in store.clean(docs).collect()} == {i: x[0] for i, x in kept_lines(texts(docs)).items()}
+    second.delete(high)
+    again = line_dedup.LineStore(spark, first.path)
+    less = docs.where("doc_id < 50")
+    assert {r.id: r.text for r in again.clean(less).collect()} == {i: x[0] for i, x in kept_lines(texts(less)).items()}
+    first.insert(high)
+    again.delete(low)
+    more = docs.where("doc_id >= 20")
+    assert {r.id: r.text for r in first.clean(more).collect()} == {i: x[0] for i, x in kept_lines(texts(more)).items()}
+    assert {(r.hi, r.lo): (r.refs, r.largest) for r in first.references().collect()} == {(r.hi, r.lo): (r.n, r.m) for r in first.held().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")).collect()}
+    with pytest.raises(ValueError):
+        line_dedup.LineStore(spark, first.path, min_docs=9)
+
+
+def test_line_store_odd_rows(spark):
+    line = "the same line of more than forty characters, held by several rows"
+    rows = spark.createDataFrame([(None, line, 1), (7, line, 2), (7, line, 3), (3, line + "\n" + line, 4), (None, None, 5), (4, "", 6), (5, line.upper(), 7)], "doc_id long, text string, id int")
+    got = sorted(((r.id, r.text, r.n_lines, r.n_dropped, r.rest.id) for r in line_dedup.dedup_lines(rows).collect()), key=lambda r: r[4])
+    assert got == [(None, "", 1, 1, 1), (7, line, 1, 0, 2), (7, line, 1, 0, 3), (3, "", 2, 2, 4), (None, "", 1, 0, 5), (4, "", 1, 0, 6), (5, "", 1, 1, 7)]
+    store = line_dedup.LineStore(spark)
+    assert [r.text for r in store.clean(rows).collect()] == [r.text or "" for r in rows.collect()]
+
+
+def test_equal_halves_of_line_keys_stay_apart():
+    exact = line_dedup.Largest(np.array([1, 5, 5, 5, 9]), np.array([0, -3, 2, 8, 1]), np.array([10, 11, 12, 13, 14]), np.array([True] * 4 + [False]))
+    assert exact.find([(2, 5), (8, 5), (7, 5), (1, 9), (0, 0), (5, 11)]).tolist() == [2, 3, -1, 4, -1, -1]
+    assert exact.id_of(4) is None and exact.id_of(3) == 13
+
+
+def test_snapshot_store_opened_again(spark, docs):
+    ids = exact_dedup.digests(docs)
+    first = exact_dedup.SnapshotStore(spark, shard_keys=20)
+    first.commit(ids.where("id < 40"))
+    again = exact_dedup.SnapshotStore(spark, first.path, shard_keys=20)
+    held = {bytes(r.digest): r.n for r in exact_dedup.grouped(ids.where("id < 40")).collect()}
+    got = {bytes(r.digest): r.old_n for r in again.match(ids).collect()}
+    assert got == {d: held.get(d, 0) for d in got} and sum(got.values()) == 40
+    again.commit(ids.where("id >= 40"))
+    assert sum(r.old_n for r in first.match(ids).collect()) == docs.count()
+    with pytest.raises(RuntimeError):
+        first.log.add(0, {})
+
+
+def test_a_batch_larger_than_its_snapshot_is_screened_in_parts(spark, docs):
+    ids = exact_dedup.digests(docs)
+    store = exact_dedup.SnapshotStore(spark, shard_keys=5)
+    store.commit(ids.where("id < 3"))
+    groups = exact_dedup.grouped(ids)
+    seen = store.screen(groups, store.log.all()[0], groups.count())
+    assert "part" in seen._jdf.queryExecution().toString()
+    assert {r.old_n for r in store.match(ids).collect()} == {0, 1} and seen.count() == groups.count()
+
+
+def test_ledger_opened_again(spark):
+    v1 = spark.createDataFrame([("a", "token=abcdef1"), ("b", "clean")], "path string, text string")
+    v2 = spark.createDataFrame([("c", "password=abcdef2"), ("b", "clean")], "path string, text string")
+    first = secrets.BlobLedger(spark)
+    first.commit(v1)
+    again = secrets.BlobLedger(spark, first.path)
+    assert {r.path: len(r.findings) for r in again.report(v1, "path").collect()} == {"a": 1, "b": 0}
+    with pytest.raises(Exception, match="never scanned"):
+        again.report(v2, "path").collect()
+    assert again.commit(v2) == 2
+    assert {r.path: len(r.findings) for r in first.report(v1.unionAll(v2), "path").collect()} == {"a": 1, "b": 0, "c": 1}
+    assert [spark.read.parquet(f"{first.path}/{c['table']}").count() for c in first.log.all()] == [2, 1]
+    with pytest.raises(ValueError):
+        secrets.BlobLedger(spark, first.path, rules=secrets.RULES[:2]).commit(v1)
+    with pytest.raises(Exception, match="never scanned"):
+        secrets.BlobLedger(spark, first.path, rule_version="2").report(v1, "path").collect()
+
+
+def test_spread_join_deals_hot_keys_and_loses_nothing(spark):
+    left = common.stored(spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k")).repartition(6))
+    right = spark.createDataFrame([("hot", 1), ("1", 2), ("unused", 3)], "k string, v int")
+    out = common.spread_join(left, right, "k", hot_rows=100)
+    assert "salt" in out._jdf.queryExecution().toString()
+    want = {i: ("hot", 1) if i % 3 == 0 else (str(i), 2 if i == 1 else None) if i % 3 == 1 else (None, None) for i in range(6000)}
+    assert {r.id: (r.k, r.v) for r in out.collect()} == want and out.count() == 6000
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod({"spark.master": "spark://head:7077"}.get)
+
+    with pytest.raises(ValueError):
+        common.work_dir(Session)
