@@ -13,7 +13,8 @@ rarest, until it is empty or all terms have agreed: exact phrase matches. A prox
 match, for callers who ask, has every term of the window within ``slop`` more words.
 
 The benchmark's windows go to every executor, so their size is checked; a larger
-benchmark is matched in groups of items, one pass over the index each.
+benchmark is matched in groups of items, one after another, a pass over the index each.
+A very long item is cut into pieces first, each window in one of them.
 
 Terms are equal if their 64-bit hashes are. Defined results: a null or wordless text has
 no words and no hits; an item without words never occurs; repeated rows of an item
@@ -23,22 +24,24 @@ not in the list of items; empty tables give no rows or no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, blocks, lean, only, runs, span_hashes, stored
+from .common import ASCII_LOWER, U64, blocks, lean, runs, span_hashes, stored
 
 #: Bytes of window terms that one pass sends to each executor.
 BROADCAST_BYTES = 64 << 20
 SEGMENT_BYTES = 2 << 20
-SEGMENT = "doc_id array<bigint>, doc_at array<bigint>, terms binary, counts binary, positions binary"
+#: Words of an item that stay together; a longer one is cut into pieces whose windows, together, are its own.
+PIECE_WORDS = 20_000
+SEGMENT = "segment long, doc_id array<bigint>, doc_at array<bigint>, terms binary, counts binary, positions binary"
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -55,11 +58,11 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """The stored index of all tokens of all documents."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+        schema = pa.schema([("segment", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
         ids: list = []
         parts: list[np.ndarray] = []
         words: list[np.ndarray] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 32
 
         def segment() -> pa.RecordBatch:
             """The texts held so far; hashed in small blocks, sorted as one."""
@@ -75,7 +78,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             positions &= 0xFFFFFFFF
             counts = np.diff(np.concatenate((np.flatnonzero(new), [len(ordered)])))
             at = np.concatenate(([0], np.cumsum(np.concatenate(words))))
-            row = [[ids], [at.tolist()], [ordered[new].tobytes()], [counts.astype("<u4").tobytes()], [positions.astype("<u4").tobytes()]]
+            row = [[number], [ids], [at.tolist()], [ordered[new].tobytes()], [counts.astype("<u4").tobytes()], [positions.astype("<u4").tobytes()]]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -88,7 +91,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 size += len(block.buf)
                 if size >= SEGMENT_BYTES:
                     yield segment()
-                    ids, parts, words, size = [], [], [], 0
+                    ids, parts, words, size, number = [], [], [], 0, number + 1
         if ids:
             yield segment()
 
@@ -172,28 +175,51 @@ def match(index: DataFrame, items: DataFrame, item: str = "item_id", text: str =
 
     hit: words inside an exact occurrence of a window. items: distinct ids of items with an exact window. near_items: with ``slop``, those with a window's terms within size + slop words, exact ones included.
     """
-    rows = only(items, item, text).distinct()
-    groups = _item_groups(rows, item, text, size)
-    out = None
-    for pdf in groups:
-        one = _match(index, rarest_first(item_windows(pdf, size), index), slop)
-        out = one if out is None else out.unionAll(one)
-    if len(groups) == 1:
-        return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "near_items", F.size("items").cast("long").alias("n_items"))
-    both = out.groupBy("segment", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")])
-    return both.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "near_items", F.size("items").cast("long").alias("n_items"))
-
-
-def _item_groups(rows: DataFrame, item: str, text: str, size: int) -> list[pd.DataFrame]:
-    """The items in groups whose windows keep to BROADCAST_BYTES (one group for usual benchmarks)."""
-    per_word = size * 16 + 16
-    sized = rows.withColumn("bytes", (F.length(F.coalesce(text, F.lit(""))) + 2) / 2 * per_word)
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    dealt, passes = _item_groups(items.select(items[item].cast("string").alias("item"), items[text].alias("text")).distinct(), size)
+    count = F.size("items").cast("long").alias("n_items")
+    if passes == 1:
+        one = _match(index, rarest_first(item_windows(dealt.drop("g").toPandas(), size), index), slop)
+        return one.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "near_items", count)
+    found = None
+    for g in range(passes):  # one group of windows at a time on the driver and the executors
+        w = rarest_first(item_windows(dealt.where(F.col("g") == g).drop("g").toPandas(), size), index)
+        part = stored(_match(index, w, slop).where("size(hits) > 0 OR size(near_items) > 0").drop("doc_id", "n_words"))
+        found = part if found is None else found.unionAll(part)
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy("segment", "nth").agg(*map(merged, ("hits", "items", "near_items")))
+    at = F.arrays_zip(F.col("doc_id").alias("id"), F.slice("doc_at", 1, F.size("doc_id")).alias("at"), F.slice("doc_at", 2, F.size("doc_id")).alias("end"))
+    every = index.select("segment", F.posexplode(at).alias("nth", "d")).select("segment", F.col("nth").cast("long").alias("nth"), F.col("d.id").alias("doc_id"), (F.col("d.end") - F.col("d.at")).alias("n_words"))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    out = every.join(found, ["segment", "nth"], "left").select("doc_id", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), some("items"), some("near_items"))
+    return out.select("*", count)
+
+
+def _pieces(rows: DataFrame, size: int) -> DataFrame:
+    """rows (item, text) with long texts cut so that each window of ``size`` words lies in one piece."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                start, end = runs(_WORD[ASCII_LOWER[block.buf]])
+                at = np.searchsorted(start, block.at)
+                for i in range(block.n):
+                    s, e = start[at[i] : at[i + 1]], end[at[i] : at[i + 1]]
+                    cuts = range(0, max(1, len(s) - size + 1), PIECE_WORDS)
+                    texts = [block.buf[s[c] : e[min(len(s), c + PIECE_WORDS + size - 1) - 1]].tobytes() if len(s) else b"" for c in cuts]
+                    keys = batch.column(0).slice(block.first + i, 1).take(pa.array([0] * len(texts)))
+                    yield pa.record_batch([keys, pa.array(texts, pa.binary()).cast(pa.string())], names=names)
+
+    return rows.mapInArrow(lean(run), rows.schema)
+
+
+def _item_groups(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The items' pieces with g, the group that each is in, and the number of groups: the windows of one keep to about BROADCAST_BYTES (one group for usual benchmarks)."""
+    rows = stored(_pieces(rows, size))
+    sized = rows.select((F.length(F.coalesce("text", F.lit(""))) + 2) / 2 * (size * 16 + 16))
+    total = sized.agg(F.sum(sized.columns[0])).first()[0] or 0
     n = max(1, -(-int(total) // BROADCAST_BYTES))
-    if n == 1:
-        return [rows.toPandas()]
-    dealt = stored(rows.withColumn("g", F.pmod(F.xxhash64(item, text), F.lit(n)).cast("int")))
-    return [dealt.where(F.col("g") == g).drop("g").toPandas() for g in range(n)]
+    return stored(rows.withColumn("g", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))), n
 
 
 def _match(index: DataFrame, w: Windows, slop: int | None) -> DataFrame:
@@ -203,10 +229,10 @@ def _match(index: DataFrame, w: Windows, slop: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            for docs, at, terms, counts, positions in zip(*batch.columns, strict=True):
-                yield from one(w, docs.as_py(), np.array(at.as_py()), np.frombuffer(terms.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4"), np.frombuffer(positions.as_buffer(), "<u4"))
+            for segment, docs, at, terms, counts, positions in zip(*batch.columns, strict=True):
+                yield from one(w, segment.as_py(), docs.as_py(), np.array(at.as_py()), np.frombuffer(terms.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4"), np.frombuffer(positions.as_buffer(), "<u4"))
 
-    def one(w, docs, at, terms, counts, positions):
+    def one(w, segment, docs, at, terms, counts, positions):
         n = len(docs)
         hit: list[np.ndarray] = []
         found: dict[int, set[int]] = {}
@@ -233,7 +259,6 @@ def _match(index: DataFrame, w: Windows, slop: int | None) -> DataFrame:
         words = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
         cut = np.searchsorted(words, at)
         named = lambda s: sorted({str(w.items[i]) for i in s if w.items[i] is not None})
-        segment = int.from_bytes(hashlib.blake2b(positions.tobytes() + str(docs[:1]).encode(), digest_size=8).digest(), "big", signed=True)
         yield pa.record_batch(
             [
                 pa.array(docs, pa.int64()),

@@ -144,17 +144,26 @@ def decontaminated(all_texts, items, size):
 
 def test_decontamination(spark, docs, monkeypatch):
     t = corpus()
-    items = [(1, t[3][:200]), (2, t[10]), (3, t[10]), (4, "one"), (5, ""), (6, None), (7, "x x x"), (8, "ÉTÉ über"), (12, "never said anywhere"), (4, "one")]
+    items = [(1, t[3][:200]), (2, t[10]), (3, t[10]), (4, "one"), (5, ""), (6, None), (7, "x x x"), (8, "ÉTÉ über"), (12, "never said anywhere"), (4, "one"), (13, " ".join(t[20:26])), (None, t[11])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = decontaminated(texts(docs), items, 5)
-    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontaminate.decontaminate(docs, bench, size=5).collect()}
-    assert got == want and any(x[1] for x in got.values())
+    want = decontaminated(texts(docs), [(i, x) for i, x in items if i is not None], 5)
+    words = decontaminated(texts(docs), items, 5)  # an item without an id hits, but is no listed item
+    want = {i: (words[i][0], words[i][1], x[2]) for i, x in want.items()}
+    read = lambda df: {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in df.collect()}
+    assert read(decontaminate.decontaminate(docs, bench, size=5)) == want and any(x[1] for x in want.values())
     index = decontaminate.build_index(docs)
     near = decontaminate.match(index, bench, size=5, slop=3).collect()
     assert all(set(r["items"]) <= set(r.near_items) | {"4", "1"} for r in near)
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)  # several passes
-    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontaminate.match(index, bench, size=5).collect()}
-    assert got == want
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 3)  # long items in pieces
+    assert read(decontaminate.match(index, bench, size=5)) == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 90_000)  # several passes
+    assert decontaminate._item_groups(bench.select(F.col("item_id").cast("string").alias("item"), "text"), 5)[1] > 2
+    assert read(decontaminate.match(index, bench, size=5)) == want
+    twice = docs.unionAll(docs).unionAll(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in decontaminate.decontaminate(twice, bench, size=5).collect()), key=str)
+    assert got == sorted([(i, *x) for i, x in want.items()] * 2 + [(None, *want[3])], key=str)
+    near_in_passes = decontaminate.match(index, bench, size=5, slop=3).collect()
+    assert sorted((r.doc_id, sorted(r.near_items)) for r in near_in_passes) == sorted((r.doc_id, sorted(r.near_items)) for r in near)
     monkeypatch.undo()
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
