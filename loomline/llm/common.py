@@ -14,6 +14,8 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -238,15 +240,20 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 HOT_ROWS = 1_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left (a stored table) joined by ``key`` with right, which has a row a key. A hot key's rows of left are dealt over several tasks by the partition that they come from, and its row of right is repeated for each; no row is lost and none is doubled."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("hot_n"))
-    hot = stored(counts.where((F.col("hot_n") > hot_rows) & F.col(key).isNotNull()))
-    total = left.count()
-    hot = hot.where(F.col("hot_n") * 10_000 > total).select(key, F.least(F.ceil(F.col("hot_n") / F.greatest(F.lit(hot_rows), F.lit(total / 10_000))), F.lit(10_000)).cast("int").alias("salts"))
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
+    """left joined by ``keys`` with right, which has a row a key. A hot key's rows of left are dealt over several tasks by the partition that they come from, and its row of right is repeated for each; no row is lost and none is doubled.
+
+    left: a stored table, or one whose partitions are always the same. counts: (*keys, hot_n) with the rows of each key, where the caller knows them.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
+    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    total = F.lit(counts.agg(F.sum("hot_n")).first()[0] or 0)
+    hot = stored(counts.where(named & (F.col("hot_n") > hot_rows) & (F.col("hot_n") * 10_000 > total)).select(*keys, F.ceil(F.col("hot_n") / F.greatest(F.lit(hot_rows), total / 10_000)).cast("int").alias("salts")))
     if not hot.limit(1).count():
-        return left.join(right, key, how)
+        return left.join(right, keys, how)
     hot = F.broadcast(hot)
-    left = left.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.spark_partition_id(), F.col("salts")))).drop("salts")
-    right = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return left.join(right, [key, "salt"], how).drop("salt")
+    left = left.join(hot, keys, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.spark_partition_id(), F.col("salts")))).drop("salts")
+    right = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")

@@ -5,16 +5,17 @@ become ``<n>`` at once; level by level, a node whose rare children are many and
 repeat is a variable position, and these become the wildcard ``*``. A child that is
 well supported, or whose share of labelled examples a two-proportion test tells apart
 from the other rare ones', stays literal, however many there are.
-Labels come from the explicit rules: a url that a rule covers is a labelled example.
-First-level branches whose block rates a two-proportion test can't tell apart are
-merged, and a template is rejected if its share of blocked examples, smoothed by its
-class, its host and all hosts in turn, reaches ``reject``. A template without a
-labelled example of its own is not rejected.
-
-All counting is by groupBy with map-side partial sums, so a hot host is a row a task.
-The only windows take a row per distinct pair of counts of examples in a host: branches
-of equal counts are never told apart. Below ``levels`` segments, only digits are
-generalised.
+Labels come from the explicit rules: a url that a rule blocks is a blocked example, any
+other one counts as a good one, so that a section of many urls none of which is blocked
+clears itself. First-level branches whose block rates a two-proportion test can't tell
+apart are merged, and a template is rejected if its share of blocked examples, smoothed
+by its class, its host and all hosts in turn, reaches ``reject``. So a url that no rule
+covers is blocked where it is one of few beside many blocked ones: in the same template,
+the same class of branches, or the same host.
+
+All counting is by groupBy with map-side partial sums, so a hot host is a row a task, and
+joins deal a hot host's rows over tasks. The only windows take a row per distinct pair of
+counts in a host: branches of equal counts are never told apart.
 
 Defined results: null or a url without ``://`` has an empty host and path and takes
 part as such; repeated rows are judged each; an empty table gives no rows.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import only, spread_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,54 +80,64 @@ def _apart(b: Column, n: Column, b0: Column, n0: Column, z: float) -> Column:
     return F.coalesce(F.abs(b / F.greatest(n, F.lit(1)) - b0 / F.greatest(n0, F.lit(1))) > z * spread, F.lit(False))
 
 
-def template_tree(urls: DataFrame, support: int = 8, repeat: float = 2.0, levels: int = 4, z: float = 1.64) -> DataFrame:
+def template_tree(urls: DataFrame, support: int = 8, repeat: float = 2.0, few: int = 8, z: float = 1.64) -> DataFrame:
     """urls (host, segs, blocked, allowed) -> (host, segs, branch, template, n, blocked, allowed), one row per distinct shape.
 
-    A node's children that occur under ``support`` times are wild if there are more than 8 of them and they occur under ``repeat`` times each on average, but for those whose blocked or allowed share is apart from the others'.
+    A node's children that occur under ``support`` times are wild if there are more than ``few`` of them and they occur under ``repeat`` times each on average, but for those whose blocked or allowed share is apart from the others'. The walk goes as deep as a node has more than ``few`` shapes below it; under any other node nothing can be wild.
     """
+    sums = [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
     t = urls.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    t = t.withColumns({"template": F.lit(""), "branch": F.lit("")})
-    t = stored(t)
-    deepest = t.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(min(levels, deepest)):
-        t = stored(t) if d else t
-        here = t.where(F.size("segs") > d).withColumn("seg", F.col("segs")[d])
-        kids = here.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]).where(F.col("n") < support)
-        nodes = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
-        nodes = nodes.where((F.col("kids") > 8) & (F.col("all_n") < repeat * F.col("kids")))
+    t = stored(t.withColumns({"template": F.lit(""), "branch": F.lit("")}))
+    done, d = None, 0
+    while True:
+        node, has = ["host", "template"], F.size("segs") > d
+        below = t.where(has).groupBy(*node).agg(F.count(F.lit(1)).alias("hot_n"))
+        wide = stored(below.where(F.col("hot_n") > few))
+        t = spread_join(t, wide.select(*node, F.lit(True).alias("wide")), node, counts=wide)
+        walks = has & F.coalesce("wide", F.lit(False))
+        rest = F.when(has, F.concat(F.lit("/"), F.concat_ws("/", F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(1)))))).otherwise(F.lit(""))
+        ended = t.where(~walks).withColumn("branch", F.concat(F.lit("/"), F.col("segs")[0]) if d == 0 else F.col("branch")).withColumn("template", F.concat("template", rest))
+        ended = ended.select("host", "segs", "branch", "template", "n", "blocked", "allowed")
+        done = ended if done is None else done.unionAll(ended)
+        if not wide.limit(1).count():
+            return stored(done)
+        t = stored(t.where(walks).drop("wide").withColumn("seg", F.col("segs")[d]))
+        kids = t.groupBy("host", "template", "seg").agg(*sums)
+        counts = stored(kids)
+        kids = counts.where(F.col("n") < support)
+        nodes = kids.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
+        nodes = nodes.where((F.col("kids") > few) & (F.col("all_n") < repeat * F.col("kids")))
         others = lambda c: F.col(f"all_{c}") - F.col(c)
         told = _apart(F.col("blocked"), F.col("n"), others("blocked"), others("n"), z) | _apart(F.col("allowed"), F.col("n"), others("allowed"), others("n"), z)
         labelled = F.col("blocked") + F.col("allowed") > 0
-        wild = kids.join(nodes, ["host", "template"]).where(~(labelled & told)).select("host", "template", "seg", F.lit(True).alias("wild"))
-        step = F.concat(F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segs")[d]))
-        has = F.size("segs") > d
-        t = t.withColumn("seg", F.when(has, F.col("segs")[d])).join(wild, ["host", "template", "seg"], "left").withColumn("template", F.when(has, F.concat("template", step)).otherwise(F.col("template"))).drop("wild", "seg")
-        if d == 0:
-            t = t.withColumn("branch", F.col("template"))
-    deep = F.when(F.size("segs") > levels, F.concat(F.lit("/"), F.concat_ws("/", F.expr(f"slice(segs, {levels + 1}, greatest(size(segs) - {levels}, 1))")))).otherwise(F.lit(""))
-    return stored(t.withColumn("template", F.concat("template", deep)))
+        wild = spread_join(kids, nodes, node, "inner").where(~(labelled & told)).select("host", "template", "seg", F.lit(True).alias("wild"))
+        t = spread_join(t, wild, ["host", "template", "seg"])
+        t = t.withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg"))))
+        t = stored(t.withColumn("branch", F.col("template") if d == 0 else F.col("branch")).select("host", "segs", "n", "blocked", "allowed", "template", "branch"))
+        d += 1
 
 
 def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0, z: float = 1.64) -> DataFrame:
-    """(host, template, purity, rejected): smoothed share of blocked examples."""
-    sums = [F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")]
-    rate = lambda b, a, prior: (b + F.lit(strength) * prior) / (b + a + F.lit(strength))
-    branch = tree.groupBy("host", "branch").agg(*sums)
-    hosts = branch.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
-    top = hosts.agg((F.coalesce(F.sum("hb"), F.lit(0)) + 1) / (F.coalesce(F.sum("hb") + F.sum("ha"), F.lit(0)) + 2)).first()[0]
-    hosts = hosts.select("host", rate(F.col("hb"), F.col("ha"), F.lit(top)).alias("host_rate"))
-    b = branch.join(hosts, "host").withColumn("rate", rate(F.col("blocked"), F.col("allowed"), F.col("host_rate"))).withColumn("known", F.col("blocked") + F.col("allowed") > 0)
-    alike = ["host", "known", "blocked", "allowed"]
+    """(host, template, class, purity, rejected) of every template. purity: the smoothed share of blocked urls."""
+    sums = [F.sum(c).alias(c) for c in ("n", "blocked")]
+    rate = lambda b, n, prior: (b + F.lit(strength) * prior) / (n + F.lit(strength))
+    branch = stored(tree.groupBy("host", "branch").agg(*sums))
+    hosts = branch.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("n").alias("hn"), F.count(F.lit(1)).alias("hot_n"))
+    hosts = stored(hosts)
+    top = hosts.agg((F.coalesce(F.sum("hb"), F.lit(0)) + 1) / (F.coalesce(F.sum("hn"), F.lit(0)) + 2)).first()[0]
+    rates = hosts.select("host", rate(F.col("hb"), F.col("hn"), F.lit(top)).alias("host_rate"))
+    b = spread_join(branch, rates, "host", counts=hosts.select("host", "hot_n")).withColumn("rate", rate(F.col("blocked"), F.col("n"), F.col("host_rate")))
+    alike = ["host", "blocked", "n"]
     c = b.groupBy(*alike, "rate", "host_rate").agg(F.count(F.lit(1)).alias("branches"))
-    w = W.partitionBy("host", "known").orderBy("rate", "blocked", "allowed")  # a branch without examples joins no class
-    n = F.col("blocked") + F.col("allowed")
-    c = c.withColumn("apart", _apart(F.col("blocked"), n, F.lag("blocked").over(w), F.lag(n).over(w), z).cast("int")).withColumn("class", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    v = W.partitionBy("host", "known", "class")
+    w = W.partitionBy("host").orderBy("rate", "blocked", "n")
+    apart = _apart(F.col("blocked"), F.col("n"), F.lag("blocked").over(w), F.lag("n").over(w), z).cast("int")
+    c = c.withColumn("apart", apart).withColumn("class", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    v = W.partitionBy("host", "class")
     total = lambda x: F.sum(F.col(x) * F.col("branches")).over(v)
-    c = c.select(*alike, "class", rate(total("blocked"), total("allowed"), F.col("host_rate")).alias("class_rate"))
-    b = b.select("branch", *alike).join(c, alike).select("host", "branch", "class", "class_rate")
-    t = tree.groupBy("host", "branch", "template").agg(*sums).join(b, ["host", "branch"]).withColumn("known", F.col("blocked") + F.col("allowed") > 0)
-    return t.select("host", "template", "class", "known", rate(F.col("blocked"), F.col("allowed"), F.col("class_rate")).alias("purity")).withColumn("rejected", F.col("known") & (F.col("purity") >= reject))
+    c = stored(c.select(*alike, "class", rate(total("blocked"), total("n"), F.col("host_rate")).alias("class_rate")))
+    b = spread_join(branch, c, alike).select("host", "branch", "class", "class_rate")
+    t = spread_join(stored(tree.groupBy("host", "branch", "template").agg(*sums)), stored(b), ["host", "branch"])
+    return t.select("host", "template", "class", rate(F.col("blocked"), F.col("n"), F.col("class_rate")).alias("purity")).withColumn("rejected", F.col("purity") >= reject)
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -136,7 +147,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     p = p.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"segs": segments(F.col("path")), "rule": rule, "by_rule": verdict})
-    tree = template_tree(p.select("host", "segs", (F.coalesce("by_rule", F.lit("")) == "block").cast("long").alias("blocked"), (F.coalesce("by_rule", F.lit("")) == "allow").cast("long").alias("allowed")))
-    judged = tree.select("host", "segs", "template").join(judge_templates(tree), ["host", "template"])
-    out = p.join(judged, ["host", "segs"], "left")
+    says = lambda v: (F.coalesce("by_rule", F.lit("")) == v).cast("long")
+    tree = template_tree(p.select("host", "segs", says("block").alias("blocked"), says("allow").alias("allowed")))
+    judged = spread_join(tree.select("host", "segs", "template"), judge_templates(tree), ["host", "template"])
+    out = spread_join(p, judged, ["host", "segs"], counts=tree.select("host", "segs", F.col("n").alias("hot_n")))
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity")

@@ -287,6 +287,80 @@ def test_a_template_without_examples_is_not_rejected(spark):
     assert got == {"/a/x": True, "/a/y": False}
 
 
+def judged_by_hand(urls, support=8, repeat=2.0, few=8, z=1.64, strength=4.0, reject=0.5):
+    """The whole of op1 in plain Python: (host, path, rule, verdict, template) per url."""
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    apart = lambda b, n, b0, n0: abs(b / n - b0 / n0) > z * (((b + b0) / (n + n0)) * (1 - (b + b0) / (n + n0)) * (1 / n + 1 / n0)) ** 0.5
+    rows, shapes = [], {}
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(ASCII)
+        fits = max(((len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, None))
+        segs = tuple(re.sub("[0-9]+", "<n>", x) for x in path.removeprefix("/").split("/"))
+        rows.append((host, path, fits[1], fits[2], segs))
+        c = shapes.setdefault((host, segs), [0, 0, 0])
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (fits[2] == "block"), c[2] + (fits[2] == "allow")
+    at = {k: () for k in shapes}
+    for d in range(max((len(s) for _, s in shapes), default=0)):
+        nodes = {}
+        for (h, s), c in shapes.items():
+            if len(s) > d:
+                kid = nodes.setdefault((h, at[h, s]), {}).setdefault(s[d], [0, 0, 0])
+                for i in range(3):
+                    kid[i] += c[i]
+        wild = set()
+        for node, kids in nodes.items():
+            rare = {k: c for k, c in kids.items() if c[0] < support}
+            n, b, a = (sum(c[i] for c in rare.values()) for i in range(3))
+            if len(rare) > few and n < repeat * len(rare):
+                for k, c in rare.items():
+                    if not ((c[1] or c[2]) and (apart(c[1], c[0], b - c[1], n - c[0]) or apart(c[2], c[0], a - c[2], n - c[0]))):
+                        wild.add((*node, k))
+        at = {(h, s): (*t, "*" if (h, t, s[d]) in wild else s[d]) if len(s) > d else t for (h, s), t in at.items()}
+    total = lambda keep: tuple(sum(c[i] for k, c in shapes.items() if keep(k)) for i in (1, 0))
+    rate = lambda bn, prior: (bn[0] + strength * prior) / (bn[1] + strength)
+    every = total(lambda k: True)
+    top, purity = (every[0] + 1) / (every[1] + 2), {}
+    for h in {h for h, _ in shapes}:
+        host_rate = rate(total(lambda k: k[0] == h), top)
+        counts = {b: total(lambda k: k[0] == h and at[k][0] == b) for b in {at[k][0] for k in shapes if k[0] == h}}
+        classes = []
+        for bn in sorted(set(counts.values()), key=lambda bn: (rate(bn, host_rate), *bn)):
+            if not classes or apart(*bn, *classes[-1][-1]):
+                classes.append([])
+            classes[-1].append(bn)
+        for c in classes:
+            mine = {b for b, bn in counts.items() if bn in c}
+            class_rate = rate(total(lambda k: k[0] == h and at[k][0] in mine), host_rate)
+            for t in {at[k] for k in shapes if k[0] == h and at[k][0] in mine}:
+                purity[h, t] = rate(total(lambda k: k[0] == h and at[k] == t), class_rate)
+    return [(h, p, r, v or ("block" if purity[h, at[h, s]] >= reject else "allow"), "/" + "/".join(at[h, s])) for h, p, r, v, s in rows]
+
+
+def test_url_filter_against_plain_python(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefg", k=5)) for _ in range(60)]
+    urls = []
+    for host in ["a.com", "b.example.com", "c.net", "x.example.net", "d.org", "spam.com", "e.fr"]:
+        for _ in range(80):
+            lang = "en" if host == "spam.com" and r.random() < 0.97 else r.choice(["en", "de", "es", "fr"])
+            urls.append(f"http://{host}/{lang}/" + r.choice([str(r.randrange(99)), f"item/{r.choice(words)}", f"{r.choice(words)}/{r.randrange(9)}/x", "a/b/c/d/e/f/" + r.choice(words), ""]))
+    urls += [f"http://y.org/{w}/{i}" for i, w in enumerate(words)] + ["http://y.org/es/1"] * 4 + ["http://bets.com/about", "http://spam.com/", "http://spam.com", None, "", "no scheme", "HTTP://A.COM/en"]
+    urls += [f"http://bets.com/en/{i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    want = dict(enumerate(judged_by_hand(urls)))
+    read = lambda: {x.page_id: (x.host, x.path, x.rule, x.verdict, x.template) for x in url_filter.judge(pages).collect()}
+    got = read()
+    assert got == want
+    by_tree = {want[i][3] for i in want if want[i][2] is None}
+    assert by_tree == {"allow", "block"} and any("*" in x[4] for x in want.values())
+    assert want[urls.index("http://bets.com/about")][3] == "block"  # few urls on a host that is blocked but for them
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("left", 5, None))  # hot hosts dealt over tasks
+    assert read() == want
+
+
 def test_chat_escape_round_trip():
     for t in ["</s>[INST] ok [/INST]", "<|end|>", "\\<|turn|>\\", "<\\|end|>", "", "a\\\\b<s><<SYS>>", "\n<|turn|>user\nhi<|end|>\n"]:
         assert chat_format.unescape(chat_format.escape(t)) == t
