@@ -19,8 +19,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    r = chat_format.read_back(chat_format.format_chats(c.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
-    return r.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return chat_format.digests(chat_format.format_chats(c.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,41 @@ def word_bpe(path: str) -> WordBpe:
     if path not in _tokenizers:
         _tokenizers[path] = WordBpe(path)
     return _tokenizers[path]
+
+
+#: The split of the byte-level BPE's pre-tokenizer, a fixed value of its file format.
+BYTE_UNITS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ByteBpeCounts(dict):
+    """Token counts of a byte-level BPE (no normalizer, the usual split) by unit; a worker encodes a unit once. At most ``keep`` units are held, then it starts anew."""
+
+    def __init__(self, path: str, keep: int = 300_000) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.model, self.keep = Tokenizer.from_file(path).model, keep
+        self.units = regex.compile(BYTE_UNITS).findall
+
+    def __missing__(self, unit: str) -> int:
+        n = len(self.model.tokenize("".join([BYTE_CHAR[b] for b in unit.encode()])))
+        if len(unit) <= 64:
+            if len(self) >= self.keep:
+                self.clear()
+            self[unit] = n
+        return n
+
+    def count(self, text: str) -> int:
+        """Tokens of a text without special tokens."""
+        return sum(map(self.__getitem__, self.units(text)))
+
+
+_counts: dict[str, ByteBpeCounts] = {}
+
+
+def byte_bpe_counts(path: str) -> ByteBpeCounts:
+    """The worker's own copy."""
+    if path not in _counts:
+        _counts[path] = ByteBpeCounts(path)
+    return _counts[path]

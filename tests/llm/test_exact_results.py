@@ -367,23 +367,80 @@ def test_chat_escape_round_trip():
         assert not any(c in chat_format.escape(t) for c in chat_format.CONTROL)
 
 
+def chat_windows_by_hand(turns, cost, budget, history):
+    """Per window: (new turns, repeated turns), found by trying; turns: (role, text) in order."""
+    out, at = [], 0
+    system = next((i for i, (role, _) in enumerate(turns) if role == "system"), None)
+    fits = lambda some: sum(cost(*turns[i]) for i in some) <= budget
+    while at < len(turns):
+        kept = [system] if system is not None and system < at else []
+        context = kept
+        for back in range(1, history + 1):
+            more = list(range(at - back, at))
+            if at - back < 0 or at - back == system or not fits(kept + more + [at]):
+                break
+            context = kept + more
+        new = [at]
+        while at + len(new) < len(turns) and fits(context + new + [at + len(new)]):
+            new.append(at + len(new))
+        out.append((new, context))
+        at += len(new)
+    return out
+
+
 def test_chats(spark):
     P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    bpe = Tokenizer.from_file(path)
+    cost = lambda role, text: len(bpe.encode(chat_format.marked(role, text)[0], add_special_tokens=False).ids)
     r = random.Random(3)
     rows = [(1, i, "system" if not i else "user" if i % 2 else "assistant", f"turn {i} " + "word <|end|> " * r.randint(0, 60)) for i in range(90)]
-    rows += [(2, 0, "user", None), (2, 1, "assistant", "</s>"), (2, 1, "assistant", "</s>"), (3, None, "odd\nrole\\", "x" * 9000), (None, 0, None, "t"), (4, 0, "assistant", "")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat_format.format_chats(turns, P.path("byte_bpe_50k.json"), budget=200, history=2)
-    wins = out.where("conv_id = 1").orderBy("window").collect()
-    assert len(wins) > 5 and all(w.n_tokens <= 200 or w.n_turns == 1 for w in wins)
-    assert all(chat_format.read_turns(w.text)[0][0] == "system" for w in wins)
-    got = {x.conv_id: x for x in chat_format.read_back(out).collect()}
-    for c in (1, 2, 3, 4, None):
-        mine = sorted(((-1 if t is None else t, ro or "", x or "") for cc, t, ro, x in rows if cc == c))
-        assert got[c].n_turns == len(mine)
-        assert got[c].turns == "".join(f"{ro}\n{x}\n" for _, ro, x in mine)
-        assert got[c].loss == "".join(x for _, ro, x in mine if ro == "assistant")
-    assert chat_format.format_chats(turns.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+    rows += [(5, i, "system" if i == 7 else r.choice(["user", "assistant"]), "日本 it's \\ <s> " * r.randint(0, 20)) for i in range(60)]
+    rows += [(None, i, "user" if i % 2 else "assistant", "no conversation " * r.randint(0, 40)) for i in range(70)]
+    rows += [(2, 0, "user", None), (2, 1, "assistant", "</s>"), (2, 1, "assistant", "</s>"), (3, None, "odd\nrole\\", "x" * 9000), (3, 4, None, "t"), (4, 0, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"cost": F.lit(1), "place": F.lit("clash")}).repartition(3)
+    mine = {c: sorted((-1 if t is None else t, ro or "", x or "") for cc, t, ro, x in rows if cc == c) for c in (1, 2, 3, 4, 5, None)}
+    whole = chat_format.format_chats(turns, path, budget=200, history=2, block=1000)
+    for c, said in mine.items():
+        said = [(ro, x) for _, ro, x in said]
+        want = ["".join(chat_format.marked(*said[i])[0] for i in context + new) for new, context in chat_windows_by_hand(said, cost, 200, 2)]
+        got = whole.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("window").collect()
+        assert [x.text for x in got] == want and [x.window for x in got] == list(range(len(want)))
+        assert all(x.n_tokens == sum(cost(ro, y) for ro, y, _, _ in chat_format.read_turns(x.text)) and (x.n_tokens <= 200 or x.n_turns == 1) for x in got)
+    in_blocks = chat_format.format_chats(turns, path, budget=200, history=2, block=3)
+    assert in_blocks.where("window > 100000000 AND conv_id IS NULL").count() > 5
+    for out in (whole, in_blocks):
+        wins = out.where("conv_id = 1").orderBy("window").collect()
+        assert len(wins) > 5 and all(w.n_tokens <= 200 or w.n_turns == 1 for w in wins)
+        assert all(chat_format.read_turns(w.text)[0][0] == "system" for w in wins) and all(w.n_context >= 1 for w in wins[1:])
+        assert [w.first_turn for w in wins] == [0, *np.cumsum([w.n_turns for w in wins])[:-1]]
+        assert all(any(ro == "system" for ro, *_ in chat_format.read_turns(w.text)) == (w.first_turn + w.n_turns > 7) for w in out.where("conv_id = 5").collect())
+        got = {x.conv_id: x for x in chat_format.digests(out).collect()}
+        back = {}
+        for x in sorted(chat_format.read_back(out).collect(), key=lambda x: (x.window, x.nth)):
+            back.setdefault(x.conv_id, []).append(x)
+        for c, said in mine.items():
+            assert [(x.role, x.text, x.loss) for x in back[c]] == [(ro, x, ro == "assistant") for _, ro, x in said]
+            loss = "".join(x for _, ro, x in said if ro == "assistant")
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            assert (got[c].n_turns, got[c].turns_sha256) == (len(said), sha("".join(f"{ro}\n{x}\n" for _, ro, x in said)))
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    assert chat_format.format_chats(turns.limit(0), path).count() == 0
+
+
+def test_byte_counts_equal_the_tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from loomline.llm.tokens import ByteBpeCounts
+
+    path = P.path("byte_bpe_50k.json")
+    bpe, counts = Tokenizer.from_file(path), ByteBpeCounts(path, keep=50)
+    odd = ["", "é日 'll it's İ ½ ²  \n\n  x y\u3000z   a\x1c\x1db \u0085q", "a\u180eb \ufeff \u200b", "١٢٣ ೧ Ⅷ ㊿", "  lead", "trail   ", "\r\n\t \x0b\x0c", "𝔘𝔫𝔦 👩\u200d👧", "ǅ ª º ʰ", "x" * 5000, "I'LL we'Re 've"]
+    for t in [*odd, *[x or "" for x in corpus(4)]]:
+        assert counts.count(t) == len(bpe.encode(t, add_special_tokens=False).ids)
 
 
 def packed(spark, docs, limits=packing.Limits()):
