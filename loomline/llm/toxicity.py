@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Many voters, each a yes or an abstention on a text: words of a seed lexicon; words and
-word beginnings mined from the labelled training rows; patterns over these (two
-different ones, a dense text, one right after an address). Votes are counted over all
+Many voters, each a yes or an abstention on a text: words of a seed lexicon; words, word
+beginnings and sets of words that begin alike, mined from the labelled training rows;
+patterns over these (two different ones, a dense text, one right after an address). Votes are counted over all
 documents: means and pairwise second moments, a fixed-size matrix summed over tasks.
 
 The label model is generative. Given the true label, voters are independent but for
@@ -14,8 +14,8 @@ covariance exceeds the fit are set aside as correlated, and the fit repeated. A
 divided by one plus the correlation it shares with its pairs. A training row's own
 label counts as one more voter of a fixed accuracy, which the others can outvote.
 
-A linear classifier, logistic regression over hashed words and word beginnings that the
-training rows support, is trained on the posteriors and scores every whole text. Model
+A linear classifier, logistic regression over hashed words, word beginnings and sets of
+words that begin alike that the training rows support, is trained on the posteriors and scores every whole text. Model
 and matrices have fixed sizes. Training rows are at most ``bound`` labelled ones and, of
 all other documents outside the held-out fold, about ``bound`` taken by a hash of the id
 and about ``PER_VOTER`` of those that a lexicon voter votes on, for each such voter: a
@@ -29,7 +29,7 @@ classifier; documents of null id train nothing; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,17 @@ from .folds import is_held_out, training_rows
 BOUND = 8_000
 BINS = 1 << 20
 FEATURES = 4096
-MINED = 32
+MINED = 64
 GOLD = 0.97
 PER_VOTER = 64
+#: Rows that the rates from the votes' moments weigh as much as.
+TRUST = 50
+#: A mined voter must vote on rows that fewer voters than this vote on.
+COVER = 4
 #: Bytes of word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6, 7)
+#: So many different words of a text that begin alike are a feature, and may be a voter, of their own: BINS + the beginning's bin. Inflected words seldom repeat, their stem does.
+MANY = 3
 SEED = (
     "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb fool imbecile garbage ugly hate "
     "idiota imbécil estúpido basura asqueroso tonto inútil idiot imbécile connard stupide ordure débile "
@@ -78,13 +84,22 @@ def _words(block: Block) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return owner, bins, np.bincount(owner, minlength=block.n)
 
 
+def _many(owner: np.ndarray, word: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, what) of those that MANY different words share. what: below 1 << 21, -1 for none."""
+    some = np.flatnonzero(what >= 0)
+    keys = np.unique(owner[some] << 41 | what[some] << 20 | word[some]) >> 20
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    keys = keys[new[np.diff(np.concatenate((new, [len(keys)]))) >= MANY]]
+    return keys >> 21, keys & ((1 << 21) - 1)
+
+
 def _bin(h: np.ndarray) -> np.ndarray:
     return (h >> U64(44)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Voters:
-    """table: for each bin, 1 + the voter it wakes (0: none); names of all voters."""
+    """table: for each feature, 1 + the voter it wakes (0: none); address: bins of words that a text addresses someone by."""
 
     table: np.ndarray
     address: np.ndarray
@@ -104,6 +119,10 @@ class Voters:
             hit = v > 0
             out[owner[hit], v[hit] - 1] = True
             any_of |= hit
+        for b in bins[1:]:
+            v = np.where(b >= 0, self.table[BINS + b], 0)
+            text, voter = _many(owner, bins[0], v - 1)
+            out[text, voter] = True
         distinct = out[:, : self.lexicon].sum(axis=1)
         hits = np.bincount(owner[any_of], minlength=block.n)
         out[:, -4], out[:, -3] = distinct >= 2, distinct >= 3
@@ -114,10 +133,11 @@ class Voters:
 
 
 def _presence(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, bin) of the distinct bins of each text."""
+    """(owner, feature) of the distinct features of each text."""
     owner, bins, _ = _words(block)
-    o = np.concatenate([owner[b >= 0] for b in bins])
-    keys = np.unique(o << 32 | np.concatenate([b[b >= 0] for b in bins]))
+    parts = [(owner[b >= 0], b[b >= 0]) for b in bins]
+    parts += [(o, BINS + b) for o, b in (_many(owner, bins[0], b) for b in bins[1:])]
+    keys = np.unique(np.concatenate([o << 32 | b for o, b in parts]))
     return keys >> 32, keys & 0xFFFFFFFF
 
 
@@ -172,7 +192,7 @@ def _supported(bins: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
     """Bins by how far their toxic and other rows differ: (bin, log-odds ratio, z), strongest first. y may be shares."""
     every = np.concatenate(bins) if bins else np.zeros(0, np.int64)
     label = np.repeat(y, [len(b) for b in bins]) if bins else np.zeros(0)
-    pos, neg = np.bincount(every, label, BINS), np.bincount(every, 1 - label, BINS)
+    pos, neg = np.bincount(every, label, 2 * BINS), np.bincount(every, 1 - label, 2 * BINS)
     p, n = y.sum(), len(y) - y.sum()
     some = np.flatnonzero(pos + neg >= 3)
     a, b = pos[some] + 0.5, neg[some] + 0.5
@@ -183,8 +203,8 @@ def _supported(bins: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _voters(bins: list[np.ndarray], y: np.ndarray) -> Voters:
-    """A voter per seed word and per mined bin that is toxic well beyond chance, but for bins in the same rows as a voter's: a word and its beginnings are one voter."""
-    table, n = np.zeros(BINS, np.int32), 0
+    """A voter per seed word and per mined bin that is toxic well beyond chance, but for bins in the same rows as a voter's (a word and its beginnings are one voter) and in rows that COVER voters know."""
+    table, n = np.zeros(2 * BINS, np.int32), 0
     for w in dict.fromkeys(SEED):
         n += 1
         table[_bin(np.array([_hash(w)], U64))[0]] = n
@@ -196,13 +216,19 @@ def _voters(bins: list[np.ndarray], y: np.ndarray) -> Voters:
             for b in own[np.isin(own, list(rows))]:
                 rows[int(b)].add(i)
         taken = [rows[int(b)] for b in np.flatnonzero(table)]
+        covered = np.zeros(len(y), int)
+        for own in taken:
+            covered[list(own)] += 1
         for b in found:
             if n >= MINED + len(dict.fromkeys(SEED)):
                 break
-            if not table[b] and all(len(rows[int(b)] & r) < 0.8 * len(rows[int(b)] | r) for r in taken):
+            own = rows[int(b)]
+            fresh = sum(covered[i] < COVER and y[i] > 0 for i in own)
+            if not table[b] and fresh >= 3 and all(len(own & r) < 0.8 * len(own | r) for r in taken):
                 n += 1
                 table[b] = n
-                taken.append(rows[int(b)])
+                taken.append(own)
+                covered[list(own)] += 1
     address = np.zeros(BINS, bool)
     address[_bin(np.array([_hash(w) for w in ADDRESS], U64))] = True
     return Voters(table, address, n)
@@ -235,16 +261,27 @@ def _moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Rates of each voter on toxic and other texts, weights for its correlations, and the share of toxic texts."""
+    """Rates of each voter on toxic and other texts, weights for its correlations, the share of toxic texts, and how much abstentions say (1: as much as if they were independent)."""
 
     on: np.ndarray
     off: np.ndarray
     weight: np.ndarray
     prior: float
     correlated: np.ndarray
+    quiet: float = 1.0
+
+    def heard(self, votes: np.ndarray, y: np.ndarray) -> "LabelModel":
+        """The model after labelled rows: its rates count as TRUST rows of either label beside these. Abstentions are scaled to what those of all voters together say on these rows: a text in one language wakes no voter of another, so they are far from independent."""
+        ones = y > 0
+        rates = [(votes[of].sum(axis=0) + TRUST * rate) / (of.sum() + TRUST) for of, rate in ((ones, self.on), (~ones, self.off))]
+        on, off = np.clip(np.maximum(*rates), 1e-4, 0.98), np.clip(np.minimum(*rates), 1e-4, 0.98)
+        some = votes.any(axis=1)
+        a1, a0 = ((some[of].sum() + 1) / (of.sum() + 2) for of in (ones, ~ones))
+        every = float((self.weight * np.log((1 - on) / (1 - off))).sum())
+        return replace(self, on=on, off=off, quiet=float(np.clip(np.log((1 - a1) / (1 - a0)) / every, 0, 1)) if every < 0 else 1.0)
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = np.log(self.on / self.off), np.log((1 - self.on) / (1 - self.off))
+        yes, no = np.log(self.on / self.off), self.quiet * np.log((1 - self.on) / (1 - self.off))
         return np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (yes - no)) + float((self.weight * no).sum())
 
 
@@ -282,17 +319,22 @@ class Classifier:
 
     def score(self, block: Block) -> np.ndarray:
         owner, bins, _ = _words(block)
-        keys = []
-        for b in bins:
-            at = np.minimum(np.searchsorted(self.bins, b), max(0, len(self.bins) - 1))
-            hit = self.bins[at] == b if len(self.bins) else np.zeros(len(b), bool)
+        place = lambda b: np.minimum(np.searchsorted(self.bins, b), len(self.bins) - 1)
+        keys = [np.zeros(0, np.int64)]
+        for b in bins if len(self.bins) else ():
+            at = place(b)
+            hit = self.bins[at] == b
             keys.append(owner[hit] << 32 | at[hit])
+        for b in bins[1:] if len(self.bins) else ():
+            at = place(BINS + b)
+            text, at = _many(owner, bins[0], np.where((b >= 0) & (self.bins[at] == BINS + b), at, -1))
+            keys.append(text << 32 | at)
         keys = np.unique(np.concatenate(keys))
         margin = self.intercept + np.bincount(keys >> 32, self.weight[keys & 0xFFFFFFFF], block.n)
         return 1 / (1 + np.exp(-margin))
 
 
-def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float = 0.3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 rows and soft targets, by accelerated gradient steps."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -326,6 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     n, together = _moments(docs, voters)
     model = label_model(n, together, float(prior))
     bins, y, votes = _sample(rows, key, voters)
+    model = model.heard(votes, y)
     target = posteriors(model, votes, y)
     chance = np.append(PER_VOTER / np.maximum(np.diag(together)[: voters.lexicon], 1), bound / max(n, 1))
     more, heard = _unlabelled(docs, labels, label, key, folds, fold, voters, chance)

@@ -180,3 +180,26 @@ def test_stages_drop_rows_not_ids(spark, tmp_path, written):
     assert show(kept) == sorted(map(str, [(1, copy), (None, clean), (8, passage), (7, other), (8, "short"), (None, None)]))
     left = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
     assert show(left) == sorted(str(r) for r in rows if r[1] != passage)
+
+
+def test_labelled_rows_correct_rates_and_abstentions():
+    one = lambda x: np.full(4, x)
+    model = toxicity.LabelModel(one(0.5), one(0.01), one(1.0), 0.1, np.zeros((4, 4)))
+    y = np.repeat([1.0, 0.0], [400, 4000])
+    votes = np.zeros((4400, 4), bool)
+    votes[:200, :2], votes[200:390, 2:] = True, True  # two languages: a toxic text wakes one pair of voters
+    heard = model.heard(votes, y)
+    assert np.abs(heard.on - 0.48).max() < 0.03 and heard.off.max() < 0.005 and heard.quiet > 0.9
+    alone = heard.log_odds(np.zeros((1, 4), bool))[0]
+    a1, a0 = (390 + 1) / 402, 1 / 4002
+    assert alone >= np.log(0.1 / 0.9) + np.log((1 - a1) / (1 - a0)) - 1e-9
+    votes[:40, :2] = False  # toxic texts that no voter knows: silence says less
+    assert model.heard(votes, y).quiet < 0.9
+
+
+def test_many_different_words_that_begin_alike():
+    text = "gundrop gundrol gundral plain gundrop"
+    for b in blocks(pa.array([text, "gundrop gundrop gundrop"])):
+        o, f = toxicity._presence(b)
+        stem = toxicity.BINS + toxicity._bin(toxicity.span_hashes(np.frombuffer(b"gund", np.uint8), np.array([0]), np.array([4])) + np.uint64(4))[0]
+        assert (o[f == stem]).tolist() == [0]
