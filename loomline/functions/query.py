@@ -32,7 +32,7 @@ def ascii_lower_text(s: str) -> str:
     return s.translate(_ASCII)
 
 
-#: Per ending, the stems it is an ending of.
+# Per ending, the stems it is an ending of; letters that stay double.
 _FITS = {"es": re.compile("(?:ch|sh|ss|x|z)$"), "s": re.compile("(?<![sui])$"), "y": re.compile("(?<![aeiou])$")}
 _DOUBLED = re.compile(r"^(.*([^aeioulsz]))\2$")
 

@@ -14,10 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .query import PROSE, Query, ascii_lower_text, root, unspaced
+from .text import ascii_lower
 
 PAD, NEAR, MOST, EXCERPT, OPENING = 90, 80, 4096, 200, 160
 # Fields of a line that only keep books.
-BOOKKEEPING = "cwd gitBranch version userType entrypoint sessionId session_id uuid parentUuid leafUuid promptId requestId timestamp agentId messageId sourceToolAssistantUUID tool_use_id toolUseID id type role model stop_reason permissionMode origin promptSource subtype slug".split()
+BOOKKEEPING = (
+    "cwd", "gitBranch", "version", "userType", "entrypoint", "sessionId", "session_id", "uuid", "parentUuid", "leafUuid", "promptId", "requestId", "timestamp", "agentId", "messageId", "sourceToolAssistantUUID", "tool_use_id", "toolUseID", "id", "type", "role", "model", "stop_reason", "permissionMode", "origin", "promptSource", "subtype", "slug",
+)
 _INVISIBLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f؜‎‏‪-‮⁦-⁩]")
 
 
@@ -106,14 +109,15 @@ def excerpt(text: Column, query: str, anywhere: bool = False) -> Column:
 
 
 def terms_in(text: Column, query: str) -> Column:
-    """How many of the query's terms a text has."""
-    s = Spotter.of(query)
-
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: s.count(t or ""))
-
-    return count(text)
+    """How many of the query's terms a text has, at a word's start where a term begins with a letter; built-in expressions only."""
+    total = F.lit(0)
+    for ways in Spotter.of(query).terms:
+        low = ascii_lower(text)
+        if not all(w.isascii() for w in ways):
+            low = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(low)
+        starts = [("" if not w[0].isalnum() or unspaced(w[0]) else r"(?<![\p{L}\p{N}])") + re.escape(w) for w in ways]
+        total = total + F.coalesce(low.rlike("|".join(starts)), F.lit(False)).cast("int")
+    return total
 
 
 def spots(text: Column, query: str, anywhere: bool = False) -> Column:

@@ -9,7 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 
 BIG_LINE, FRONT, TAIL = 8 << 20, 64 << 10, 8 << 10
-#: Models that stand for no model.
+# Models that stand for no model.
 PLACEHOLDERS = ("<synthetic>", "inherit", "sniff")
 _BLOCKS = "array<struct<type:string,text:string,name:string>>"
 

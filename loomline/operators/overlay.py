@@ -44,14 +44,14 @@ def with_panes(sessions: DataFrame, panes: DataFrame) -> DataFrame:
 def with_live(sessions: DataFrame, processes: DataFrame) -> DataFrame:
     """live_pid, live_exact, live_in_wsx from processes (pid, cwd, resume_id, model, under_wsx).
 
-    By id where a process names one; else a process's folder goes to the newest session there that is no subagent and not so named.
+    By id where a process names one; else a process's folder goes to the newest session there (of several, the first path) that is no subagent and not so named.
     """
     exact = processes.where("resume_id IS NOT NULL").groupBy(F.col("resume_id").alias("id")).agg(F.min_by(F.struct("pid", F.col("model").alias("live_model"), "under_wsx"), "pid").alias("p"))
     s = sessions.join(small(exact), "id", "left")
     s = s.withColumns({"live_exact": F.col("p").isNotNull(), "model": F.coalesce(F.nullif("model", F.lit("")), F.col("p.live_model"), F.lit(""))})
     near = processes.where("resume_id IS NULL AND cwd <> ''").groupBy("cwd").agg(F.min_by(F.struct("pid", "under_wsx"), "pid").alias("q"))
     free = s.where("NOT is_subagent AND cwd <> '' AND NOT live_exact").join(small(near), "cwd")
-    newest = free.groupBy("cwd", "q").agg(F.max_by("path", F.struct("mtime", F.lit(0))).alias("path")).select("path", "q")
+    newest = free.groupBy("cwd", "q").agg(F.min_by("path", F.struct(-F.col("mtime"), "path")).alias("path")).select("path", "q")
     s = s.join(newest, "path", "left")
     return s.withColumns({"live_pid": F.coalesce("p.pid", "q.pid"), "live_in_wsx": F.coalesce("p.under_wsx", "q.under_wsx", F.lit(False))}).drop("p", "q")
 
@@ -124,7 +124,7 @@ def marks_summary(marks: DataFrame, sessions: DataFrame) -> DataFrame:
     known = F.coalesce("known", F.lit(False))
     f = m.agg(F.count_if(known & F.col("favorite")).alias("favourites"), F.count_if(~known).alias("orphans"))
     t = m.where(known).select(F.explode("tags").alias("tag")).agg(F.count_distinct("tag").alias("tags"))
-    return f.join(t)  # two single rows
+    return f.crossJoin(t)  # two single rows
 
 
 def resumable(sessions: DataFrame) -> DataFrame:

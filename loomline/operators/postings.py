@@ -1,42 +1,106 @@
-"""The full-text index: postings with positions, and document lengths, as Parquet tables."""
+"""The full-text index: postings with positions, document lengths and counts, as Parquet tables.
+
+A document is one row, so its words are grouped where they are: an Arrow kernel sorts the
+words of some rows at once, and no word crosses the network before postings are dealt by
+ranges of terms. A posting carries its document's length, so that ranking joins nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.storage import work_dir
+
+POSTING = "term string, path string, tf long, positions array<int>, dl long"
+#: Words that the kernel sorts at once; a longer document is sorted alone.
+WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, path, tf, positions; lengths: path, dl."""
+    """postings: term, path, tf, positions, dl; lengths: path, dl; terms: term, docs, occurrences; totals: one row of docs, mean. rows: of an index that isn't saved, postings and lengths as one table."""
 
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    rows: DataFrame | None = None
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.column(1).offsets.to_numpy().astype(np.int64)
+        row, n = 0, batch.num_rows
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + WORDS, "right")) - 1)
+            yield _sorted(batch.column(0).slice(row, end - row), batch.column(1).values.slice(at[row], at[end] - at[row]), np.diff(at[row : end + 1]))
+            row = end
+
+
+def _sorted(paths: pa.Array, words: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
+    """Postings of some documents, from their words one after another, and a row without a term for each document."""
+    coded = words.dictionary_encode()
+    code, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    key = doc * max(1, len(coded.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(key) else np.zeros(0, np.int64)
+    ends = np.concatenate((first, [len(key)]))
+    place = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    one = order[first]
+    n, none = len(lengths), np.full(len(lengths), len(key))
+    columns = [
+        pa.concat_arrays([coded.dictionary.take(pa.array(code[one])), pa.nulls(n, words.type)]), pa.concat_arrays([paths.take(pa.array(doc[one])), paths]), pa.array(np.concatenate((np.diff(ends), np.zeros(n, np.int64)))),
+        pa.ListArray.from_arrays(pa.array(np.concatenate((ends, none)), pa.int32()), pa.array(place[order], pa.int32())), pa.array(np.concatenate((lengths[doc[one]], lengths)), pa.int64()),
+    ]
+    return pa.record_batch(columns, names=["term", "path", "tf", "positions", "dl"])
 
 
 def build(bodies: DataFrame, key: str = "path", text: str = "text", folded: bool = True) -> Index:
-    """An index of (key, text) rows; texts without words have no row, nor a place in averages."""
+    """An index of (key, text) rows, one a key; empty texts have no row, nor a place in averages."""
     words = X.tokens(X.fold(bodies[text]) if folded else F.lower(bodies[text]))
-    docs = bodies.where(F.coalesce(bodies[text], F.lit("")) != "").select(bodies[key].alias("path"), words.alias("words"))
-    placed = docs.select("path", F.posexplode("words").alias("pos", "term"))
-    postings = placed.groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(postings, docs.select("path", F.size("words").cast("bigint").alias("dl")))
+    docs = bodies.where((F.coalesce(bodies[text], F.lit("")) != "") & bodies[key].isNotNull()).select(bodies[key].cast("string").alias("path"), words.alias("words"))
+    return _index(docs.mapInArrow(_postings, POSTING))
+
+
+def _index(rows: DataFrame) -> Index:
+    """From the kernel's rows."""
+    postings, lengths = rows.where("term IS NOT NULL"), rows.where("term IS NULL").select("path", "dl")
+    return Index(postings, lengths, _terms(postings), _totals(lengths), rows)
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
 
 
 def save(index: Index, path: str) -> None:
-    """postings are dealt by ranges of terms and sorted, so that the files' statistics prune a word's or a prefix's read to its own row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    """Postings are written once as they come, then dealt by ranges of terms and sorted, so that the files' statistics prune a word's or a prefix's read to its own row groups. Counts are stored with them."""
+    if index.rows is not None:  # texts are read once
+        spark, raw = index.rows.sparkSession, work_dir(index.rows.sparkSession)
+        index.rows.write.parquet(raw)
+        index = _index(spark.read.schema(POSTING).parquet(raw))
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    put(index.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    put(index.lengths, "lengths")
+    put(index.terms, "terms")
+    put(index.totals, "totals")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.schema("term string, path string, tf long, positions array<int>").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return Index(table("postings", POSTING), table("lengths", "path string, dl long"), table("terms", "term string, docs long, occurrences long"), table("totals", "docs long, mean double"))
 
 
 def document_frequency(index: Index) -> DataFrame:
     """(term, docs, occurrences)."""
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+    return index.terms

@@ -3,7 +3,7 @@
 First and last values are arg-min and arg-max by byte offset, counts and sums add, so
 partial aggregates combine in any order and a long transcript is no single task. Only
 the token sums look at neighbours: a usage record counts unless it has the id of the one
-before. A segment keeps its first and last usage ids and its first record, which is all
+before; they are sorted by blocks of a file, and blocks joined by their ends. A segment keeps its first and last usage ids and its first record, which is all
 that joining two segments needs.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 TOKENS = ("in_tokens", "out_tokens", "cache_read", "cache_write")
 FIRST = ("cwd", "git_branch", "version", "agent_id", "permission_mode")
+#: Bytes of a file whose usage records one task sorts.
+BLOCK_BYTES = 64 << 20
 LAST = ("custom_title", "ai_title", "last_prompt", "model")
 
 
@@ -24,10 +26,30 @@ def _at(f, value: str, order: str = "offset") -> Column:
     return F.struct(f(F.when(have, F.col(value)), F.when(have, F.col(order))).alias("v"), (F.min if f is F.min_by else F.max)(F.when(have, F.col(order))).alias("o"))
 
 
-def deduplicated_usage(lines: DataFrame, key: str = "path", order: str = "offset") -> DataFrame:
-    """Usage lines with ``counted``: false if the usage line before has the same non-empty id."""
-    before = F.lag("usage_id").over(W.partitionBy(key).orderBy(order))
-    return lines.where("has_usage").withColumn("counted", (F.col("usage_id") == "") | ~F.col("usage_id").eqNullSafe(before))
+def deduplicated_usage(lines: DataFrame, key: str = "path", order: str = "offset", block: Column | None = None) -> DataFrame:
+    """Usage lines with ``counted``: false if the usage line before has the same non-empty id. block: ascending with the order; lines are sorted by key and block, and only a block's last id is carried to the next."""
+    u = lines.where("has_usage").withColumn("block", F.lit(0) if block is None else block)
+    w = W.partitionBy(key, "block").orderBy(order)
+    u = u.withColumns({"before": F.lag("usage_id").over(w), "nth": F.row_number().over(w)})
+    if block is not None:
+        ends = u.groupBy(key, "block").agg(F.max_by("usage_id", order).alias("last_id"))
+        ends = ends.withColumn("carried", F.lag("last_id").over(W.partitionBy(key).orderBy("block"))).drop("last_id")
+        u = u.join(ends, [key, "block"]).withColumn("before", F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("before"))).drop("carried")
+    return u.withColumn("counted", (F.col("usage_id") == "") | ~F.col("usage_id").eqNullSafe(F.col("before"))).drop("before", "nth", "block")
+
+
+def _usage(lines: DataFrame) -> DataFrame:
+    """(path, token sums, first_usage, last_usage_id) of usage lines: sums by blocks of a file, then over its blocks, of which only ends matter to each other."""
+    u = lines.where("has_usage").select("path", "offset", "usage_id", *TOKENS, F.floor(F.col("offset") / F.lit(BLOCK_BYTES)).alias("block"))
+    before = F.lag("usage_id").over(W.partitionBy("path", "block").orderBy("offset"))
+    u = u.withColumn("counted", (F.col("usage_id") == "") | ~F.col("usage_id").eqNullSafe(before))
+    ends = lambda order: [F.min_by("first_usage", order).alias("first_usage"), F.max_by("last_usage_id", order).alias("last_usage_id")]
+    u = u.withColumns({"first_usage": F.struct("usage_id", *TOKENS), "last_usage_id": F.col("usage_id")})
+    blocks = u.groupBy("path", "block").agg(*[F.sum(F.when(F.col("counted"), F.col(c)).otherwise(0)).alias(c) for c in TOKENS], *ends("offset"))
+    carried = F.lag("last_usage_id").over(W.partitionBy("path").orderBy("block"))
+    again = (F.col("first_usage.usage_id") != "") & F.col("first_usage.usage_id").eqNullSafe(carried)
+    blocks = blocks.withColumn("again", again)
+    return blocks.groupBy("path").agg(*[F.sum(F.col(c) - F.when(F.col("again"), F.col(f"first_usage.{c}")).otherwise(0)).alias(c) for c in TOKENS], *ends("block"))
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -44,12 +66,7 @@ def segments(lines: DataFrame) -> DataFrame:
         *[_at(F.max_by, c).alias(c) for c in LAST],
         F.max(F.col("offset") + F.octet_length("raw") + 1).alias("scanned_len"),
     )
-    u = deduplicated_usage(lines.select("path", "offset", "has_usage", "usage_id", *TOKENS))
-    usage = u.groupBy("path").agg(
-        *[F.sum(F.when(F.col("counted"), F.col(c)).otherwise(0)).alias(c) for c in TOKENS],
-        F.min_by(F.struct("usage_id", *TOKENS), "offset").alias("first_usage"),
-        F.max_by("usage_id", "offset").alias("last_usage_id"),
-    )
+    usage = _usage(lines)
     return fields.join(usage, "path", "left").select(*fields.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in TOKENS], "first_usage", "last_usage_id")
 
 

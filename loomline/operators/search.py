@@ -31,7 +31,7 @@ def _shifted(positions: Column, by: int) -> Column:
 
 
 def _frequencies(index: Index, phrases: list[tuple[list[str], bool]]) -> DataFrame:
-    """(path, f0, f1, ...): how often each phrase occurs in each document that has one of its words."""
+    """(path, dl, f0, f1, ...): how often each phrase occurs in each document that has one of its words, and its length."""
     needs = sorted({(t, last and i == len(words) - 1) for words, last in phrases for i, t in enumerate(words)})
     any_of = reduce(lambda a, b: a | b, [_matches(t, p) for t, p in needs])
     rows = index.postings.where(any_of)
@@ -45,14 +45,15 @@ def _frequencies(index: Index, phrases: list[tuple[list[str], bool]]) -> DataFra
             at = F.flatten(F.collect_list(F.when(_matches(t, last and i == len(words) - 1), F.col("positions"))))
             aggs.append(_shifted(at, i).alias(f"p{n}_{i}"))
         outs.append(F.size(reduce(F.array_intersect, [F.col(f"p{n}_{i}") for i in range(len(words))])).cast("bigint").alias(f"f{n}"))
-    return rows.groupBy("path").agg(*aggs).select("path", *outs)
+    return rows.groupBy("path").agg(F.max("dl").alias("dl"), *aggs).select("path", "dl", *outs)
 
 
-def _score(index: Index, freq: DataFrame, n: int) -> Column:
-    """BM25 of freq's phrases. The few numbers that it takes over all documents come to the driver."""
-    docs, mean = index.lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    having = freq.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(n)]).first()
-    return sum((bm25(F.col(f"f{i}"), F.col("dl"), F.lit(docs), F.lit(mean), F.lit(having[i])) for i in range(n)), F.lit(0.0))
+def _scored(index: Index, freq: DataFrame, n: int, every: Column) -> DataFrame:
+    """(path, score) by BM25 of the rows of freq that hold for ``every``. The few numbers that it takes over all documents are one row each, joined as such; their shuffle is the ranking's own, used again."""
+    having = freq.agg(*[F.count_if((F.col("dl") > 0) & (F.col(f"f{i}") > 0)).alias(f"n{i}") for i in range(n)])
+    rows = freq.where(every).crossJoin(F.broadcast(having)).crossJoin(F.broadcast(index.totals))
+    score = sum((bm25(F.col(f"f{i}"), F.col("dl"), F.col("docs"), F.col("mean"), F.col(f"n{i}")) for i in range(n)), F.lit(0.0))
+    return rows.select("path", score.alias("score"))
 
 
 def bm25(f: Column, dl: Column, docs: Column, mean: Column, having: Column) -> Column:
@@ -71,7 +72,7 @@ def indexed(index: Index, query: Query) -> DataFrame:
     for t in terms:
         every = every & reduce(lambda a, b: a | b, [F.col(f"f{at + i}") > 0 for i in range(len(t))], F.lit(False))
         at += len(t)
-    return freq.where(every).join(index.lengths, "path").select("path", _score(index, freq, len(phrases)).alias("score"))
+    return _scored(index, freq, len(phrases), every)
 
 
 def partial(index: Index, query: Query) -> DataFrame:

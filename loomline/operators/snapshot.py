@@ -22,7 +22,7 @@ def kept(observed: DataFrame, stored: DataFrame, cap: int = CAP) -> DataFrame:
 
 def fold(snapshot: DataFrame, observed: DataFrame, boot: str, now: int) -> DataFrame:
     """A one-row snapshot {current, previous} after seeing ``observed`` (one row, an array of entries) under a boot: another boot's current becomes the previous, unless it is empty."""
-    s = snapshot.join(observed.select(F.col("sessions").alias("seen")))  # two single rows
+    s = snapshot.crossJoin(observed.select(F.col("sessions").alias("seen")))  # two single rows
     cur = F.col("current")
     rolled = cur.isNotNull() & ~same_boot(cur["boot"], F.lit(boot))
     unseen = F.filter(F.coalesce(cur["sessions"], F.array()), lambda e: ~F.exists("seen", lambda o: o["id"] == e["id"]))

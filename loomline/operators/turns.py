@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import spot
 from ..functions import text as X
+from ..sources import transcripts
 from .lines import content_blocks
 
 
@@ -35,6 +39,29 @@ def preview(turns: DataFrame, query: str = "", n: int = 8) -> DataFrame:
     return last(turns, n).withColumn("text", spot.shown(F.col("text"), query))
 
 
+# Bytes of a transcript's end that a preview reads, how many times more if it finds no turn there, and what the viewer reads and shows.
+TAIL_BYTES, GROWN, VIEW_BYTES, VIEW_TURNS = 512 << 10, 8, 8 << 20, 400
+
+
+def tail_turns(spark: SparkSession, root: str, n: int = 8, tail_bytes: int = TAIL_BYTES) -> DataFrame:
+    """The last n turns of each transcript under a root, from the ends of the files; a file whose end holds no turn, say within one very long line, is read again from further up."""
+    read = lambda size, files=None: extract(transcripts.read(spark, root, tailBytes=str(size), partial="true", **({"files": json.dumps(files)} if files is not None else {})))
+    found = read(tail_bytes)
+    large = transcripts.files(spark, root).where(F.col("size") > tail_bytes).select("path")
+    silent = [r.path for r in large.join(found.select("path").distinct(), "path", "left_anti").toLocalIterator()]
+    if silent:
+        found = found.unionByName(read(tail_bytes * GROWN, silent))
+    return last(found, n)
+
+
+def viewer(spark: SparkSession, root: str, path: str, query: str = "", most: int = VIEW_TURNS, max_bytes: int = VIEW_BYTES) -> DataFrame:
+    """A transcript's last ``most`` turns from its last ``max_bytes``, marked and cut for a query, with ``more`` if any were left out."""
+    size = os.path.getsize(path)
+    t = extract(transcripts.read(spark, root, tailBytes=str(max_bytes), partial="true", files=json.dumps([path])))
+    t = last(t, most).withColumn("more", F.col("more") | F.lit(size > max_bytes))
+    return marked(t, query).withColumn("text", spot.shown(F.col("text"), query))
+
+
 def marked(turns: DataFrame, query: str) -> DataFrame:
     """Turns with the number of the query's terms they have, and ``focus`` on the first that has the most."""
     t = turns.withColumn("terms", spot.terms_in(F.col("text"), query))

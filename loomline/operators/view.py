@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
@@ -74,12 +73,11 @@ def ordered_keys(sort: str, filtering: bool = False, ranked: bool = False) -> li
     return [*([F.desc("filter_score")] if filtering else []), *([F.desc("answer")] if ranked else []), F.desc("favorite"), *sort_keys(sort)]
 
 
-def numbered(sessions: DataFrame, sort: str) -> DataFrame:
-    """All sessions with ``line``, their place in a sort: ranges of the keys are sorted apart, and a range's lines start where the ranges before it end."""
-    spark = sessions.sparkSession
-    keys = ordered_keys(sort)
+def placed(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """rows with their place in an order, from 1: ranges of the keys are sorted apart, and a range's places start where the ranges before it end."""
+    spark = rows.sparkSession
     path = work_dir(spark)
-    at = sessions.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    at = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
     at.write.parquet(path)  # a range's bounds are drawn anew by each job
     at = spark.read.schema(at.schema).parquet(path).withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
     sizes = sorted((r["part"], r["n"]) for r in at.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -88,13 +86,18 @@ def numbered(sessions: DataFrame, sort: str) -> DataFrame:
         starts.append((part, total))
         total += n
     starts = F.broadcast(spark.createDataFrame(starts, "part bigint, start bigint"))
-    return at.join(starts, "part").withColumn("line", F.col("start") + F.col("at") + 1).drop("part", "at", "start")
+    return at.join(starts, "part").withColumn(name, F.col("start") + F.col("at") + 1).drop("part", "at", "start")
+
+
+def numbered(sessions: DataFrame, sort: str) -> DataFrame:
+    """All sessions with ``line``, their place in a sort."""
+    return placed(sessions, ordered_keys(sort), "line")
 
 
 def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = "", hits: DataFrame | None = None, match_order: bool = True, grouped: bool = False, expanded: DataFrame | None = None, home: str = "", zone: str = "UTC", **passes) -> DataFrame:
     """Rows of the view: row_kind (header, divider, item, sub), label, n and the session's columns, with ``line``, their place.
 
-    expanded: ids whose subagents are shown, oldest first; under a search, those found. The numbering of lines is the one step over all rows: what is listed is what a person reads.
+    expanded: ids whose subagents are shown, oldest first; under a search, those found. Places come from sorted ranges, so that no task sees all rows.
     """
     s = sessions if "title" in sessions.columns else sessions.withColumn("title", title_of())
     s = filtered(passing(s, now, hits=hits, zone=zone, **passes), typed, home)
@@ -105,17 +108,20 @@ def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = ""
     ranked = scored and match_order and not s.where("answer <> 0").isEmpty()
     filtering = bool(fuzzy.Filter.parse(typed).words) and match_order
     keys = ordered_keys(sort, filtering, ranked)
-    s = s.withColumn("folder", O.folder(F.col("cwd"), F.col("wsx"), home)).withColumn("ord", F.row_number().over(W.orderBy(*keys)))
+    s = s.withColumn("folder", F.coalesce(O.folder(F.col("cwd"), F.col("wsx"), home), F.lit("")))
+    s = placed(s, keys, "ord")
     if grouped:
-        s = s.withColumn("newest", F.max("mtime").over(W.partitionBy("folder"))).withColumn("first_ord", F.min("ord").over(W.partitionBy("folder")))
-        heads = s.groupBy("folder", "newest", "first_ord").agg(F.count(F.lit(1)).alias("n")).select(F.lit("header").alias("row_kind"), F.col("folder").alias("label"), "n", (-F.col("newest")).alias("k0"), F.col("first_ord").alias("k1"), F.lit(0).alias("k2"))
+        folders = s.groupBy("folder").agg(F.max("mtime").alias("newest"), F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"))
+        s = s.join(folders.drop("n"), "folder")
+        heads = folders.select(F.lit("header").alias("row_kind"), F.col("folder").alias("label"), "n", (-F.col("newest")).alias("k0"), F.col("first_ord").alias("k1"), F.lit(0).cast("bigint").alias("k2"))
         k0, k1 = -F.col("newest"), F.col("first_ord")
     else:
         banded = sort == "recency" and not filtering and not ranked
         band = F.when(F.col("favorite"), "favourites").otherwise(N.date_band(F.col("mtime"), F.lit(now), zone))
-        s = s.withColumn("band", band).withColumn("before", F.lag("band").over(W.orderBy("ord")))
-        heads = s.where(F.lit(banded) & ~F.col("band").eqNullSafe(F.col("before"))).select(F.lit("divider").alias("row_kind"), F.col("band").alias("label"), F.lit(None).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k0"), F.lit(0).alias("k1"), (F.col("ord") * 3 - 1).alias("k2"))
-        k0, k1 = F.lit(0).cast("bigint"), F.lit(0)
+        bands = s.where(F.lit(banded)).groupBy(band.alias("band")).agg(F.min("ord").alias("first"))  # by recency, a band is one run of lines
+        zero = F.lit(0).cast("bigint")
+        heads = bands.select(F.lit("divider").alias("row_kind"), F.col("band").alias("label"), F.lit(None).cast("bigint").alias("n"), zero.alias("k0"), zero.alias("k1"), (F.col("first") * 3 - 1).alias("k2"))
+        k0, k1 = zero, zero
     what = [*sessions.columns]
     items = s.select(F.lit("item").alias("row_kind"), F.col("title").alias("label"), F.lit(None).cast("bigint").alias("n"), k0.alias("k0"), k1.alias("k1"), (F.col("ord") * 3).alias("k2"), *what)
     rows = heads.unionByName(items, allowMissingColumns=True)
@@ -127,7 +133,13 @@ def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = ""
         label = F.col("title") if "title" in kids.columns else title_of()
         rows = rows.unionByName(kids.select(F.lit("sub").alias("row_kind"), label.alias("label"), F.lit(None).cast("bigint").alias("n"), "k0", "k1", "k2", *what), allowMissingColumns=True)
     sub = F.when(F.col("row_kind") == "sub", F.col("mtime")).otherwise(0)
-    return rows.withColumn("line", F.row_number().over(W.orderBy("k0", "k1", "k2", sub, F.coalesce("path", F.lit(""))))).drop("k0", "k1", "k2").orderBy("line")
+    rows = rows.withColumns({"k3": sub, "k4": F.coalesce("path", F.lit(""))})
+    return placed(rows, [F.col(f"k{i}").asc() for i in range(5)], "line").drop(*[f"k{i}" for i in range(5)]).orderBy("line")
+
+
+def retained(selected: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Picked paths (path) whose session is still there."""
+    return selected.join(sessions.select("path").distinct(), "path", "left_semi")
 
 
 def counters(sessions: DataFrame) -> DataFrame:

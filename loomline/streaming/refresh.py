@@ -2,91 +2,122 @@
 
 The stream of new lines is folded batch by batch. A batch's lines become segments (one
 row a transcript); segments of the same epoch merge with the stored ones, those of a new
-epoch (a file that was rewritten) replace them. The state is a versioned folder whose
-pointer moves last: a batch that is run again after a failure finds its number there and
-does nothing. Prose is appended under the batch's own folder.
+epoch (a file that was rewritten) replace them. The state is a folder of tables that
+numbered commits name: a batch that is run again after a failure finds its number in the
+last one and does nothing. Only what a batch touches is read and written.
 """
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
 from ..operators import prose, rollup
 from ..sources import transcripts
+from ..sources.storage import Commits
 
 LOGIC_VERSION = 1
+#: Runs of segments that are read together.
+RUNS = 8
+PROSE = "path string, epoch int, batch long, text string"
 
 
 class State:
-    """Segments and prose of all transcripts under ``path``."""
+    """Segments and prose of all transcripts under ``path``, a folder that the cluster shares.
+
+    A commit names all tables that count after it. Segments are runs: a batch writes those
+    of the transcripts that it touches, whole, and a transcript's latest run holds; more
+    than RUNS are merged into one.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.log = spark, Commits(spark, path)
+
+    @property
+    def path(self) -> str:
+        return self.log.path
 
     def pointer(self) -> dict:
-        try:
-            with open(f"{self.path}/pointer.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"batch": -1, "segments": None, "logic": LOGIC_VERSION, "prose": []}
+        done = self.log.all()
+        return done[-1] if done else {"batch": -1, "segments": [], "logic": LOGIC_VERSION, "prose": []}
 
     @property
     def stale(self) -> bool:
         """Whether the state was made by other logic: still shown, but to be rebuilt under a new checkpoint."""
         return self.pointer()["logic"] != LOGIC_VERSION
 
-    def segments(self) -> DataFrame | None:
-        at = self.pointer()["segments"]
-        return self.spark.read.parquet(f"{self.path}/{at}") if at else None
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        path = self.log.table(name)
+        df.write.parquet(path)
+        return path.rpartition("/")[2]
+
+    def segments(self, touched: DataFrame | None = None) -> DataFrame | None:
+        """The latest segments; touched: of these paths alone."""
+        runs = self.pointer()["segments"]
+        rows = None
+        for i, name in enumerate(runs):
+            run = self._read(name) if touched is None else self._read(name).join(touched.select("path"), "path", "left_semi")
+            run = run.withColumn("at", F.lit(i))
+            rows = run if rows is None else rows.unionByName(run)
+        if rows is None or len(runs) == 1:
+            return rows.drop("at") if rows is not None else None
+        others = [c for c in rows.columns if c not in ("path", "at")]
+        return rows.groupBy("path").agg(F.max_by(F.struct(*others), "at").alias("x")).select("path", "x.*")
+
+    def _prose(self, touched: DataFrame | None = None) -> DataFrame | None:
+        """(path, epoch, batch, text) of the current epochs."""
+        now = self.pointer()
+        if not now["prose"]:
+            return None
+        rows = self.spark.read.schema(PROSE).parquet(*[f"{self.path}/{x}" for x in now["prose"]])
+        return rows.join(self.segments(touched).select("path", "epoch"), ["path", "epoch"], "left_semi")
 
     def bodies(self) -> DataFrame:
         """(path, text) of the current epochs."""
-        p = self.pointer()
-        if not p["prose"]:
+        rows = self._prose()
+        if rows is None:
             return self.spark.createDataFrame([], "path string, text string")
-        rows = self.spark.read.parquet(*[f"{self.path}/{x}" for x in p["prose"]])
-        rows = rows.join(self.segments().select("path", "epoch"), ["path", "epoch"])
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "text"))), lambda x: x["text"]), " ")
-        return rows.groupBy("path").agg(F.left(joined, F.lit(prose.BODY_CAP)).alias("text"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "text"))), lambda x: x["text"]), "")
+        return rows.groupBy("path").agg(joined.alias("text"))
 
     def apply(self, new: DataFrame, batch: int) -> None:
         """One batch of lines, once."""
-        now = self.pointer()
+        now, after = self.pointer(), len(self.log.all())
         if batch <= now["batch"]:
             return
         typed = L.classify(new)
         epochs = new.groupBy("path").agg(F.max("epoch").alias("epoch"))
         seg = rollup.segments(typed).join(epochs, "path")
-        old = self.segments()
+        old, had = self.segments(epochs), None
         if old is not None:
             same = old.join(epochs, ["path", "epoch"], "left_semi").drop("epoch")
-            others = old.join(epochs.select("path"), "path", "left_anti")
-            merged = rollup.merge(same, seg.drop("epoch")).join(epochs, "path")
-            seg = merged.unionByName(others)
-        seg.write.mode("overwrite").parquet(f"{self.path}/segments-{batch}")
-        text = prose.bodies(typed).join(epochs, "path").withColumn("batch", F.lit(batch))
-        text.write.mode("overwrite").parquet(f"{self.path}/prose-{batch}")
-        self._point({"batch": batch, "segments": f"segments-{batch}", "logic": LOGIC_VERSION, "prose": [*now["prose"], f"prose-{batch}"]})
-
-    def _point(self, to: dict) -> None:
-        with open(f"{self.path}/pointer.tmp", "w") as f:
-            json.dump(to, f)
-        os.replace(f"{self.path}/pointer.tmp", f"{self.path}/pointer.json")
+            seg = rollup.merge(same, seg.drop("epoch")).join(epochs, "path")
+            said = self._prose(epochs)
+            if said is not None:  # what a transcript has said counts against its cap
+                had = said.join(epochs, ["path", "epoch"], "left_semi").groupBy("path").agg(F.sum(F.octet_length("text")).alias("had"))
+        runs = [*now["segments"], self._write(seg, "segments")]
+        text = prose.bodies(typed, had=had).join(epochs, "path").withColumn("batch", F.lit(batch)).select("path", "epoch", "batch", "text")
+        self.log.add(after, {"batch": batch, "segments": runs, "logic": LOGIC_VERSION, "prose": [*now["prose"], self._write(text, "prose")]})
+        if len(runs) > RUNS:
+            self.log.add(after + 1, self.pointer() | {"segments": [self._write(self.segments(), "segments")]})
 
     def prune(self, files: DataFrame) -> None:
-        """Drops transcripts whose file is gone."""
-        seg, now = self.segments(), self.pointer()
-        if seg is None:
+        """Drops transcripts whose file is gone: segments, prose, and what earlier commits left behind. Not while a search reads the state."""
+        now, after = self.pointer(), len(self.log.all())
+        if not now["segments"]:
             return
-        name = f"{now['segments']}-pruned"
-        seg.join(files.select("path"), "path", "left_semi").write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._point(now | {"segments": name})
+        there = files.select("path").distinct()
+        segments = self._write(self.segments().join(there, "path", "left_semi"), "segments")
+        said = self._prose()
+        text = [self._write(said.join(there, "path", "left_semi"), "prose")] if said is not None else []
+        earlier = self.log.all()
+        self.log.add(after, now | {"segments": [segments], "prose": text})
+        for name in {x for c in earlier for x in (*c["segments"], *c["prose"])}:
+            self.log.drop(name)
 
     def sessions(self, files: DataFrame) -> DataFrame:
         seg = self.segments()

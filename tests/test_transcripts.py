@@ -148,4 +148,4 @@ def test_refresh_reads_only_what_is_new(spark, tmp_path):
     assert (got["s1"].entries, got["s1"].first_prompt) == (1, "rewritten")
     (root / "-home-u-proj" / "s2.jsonl").unlink()
     state.prune(transcripts.files(spark, str(root)))
-    assert state.segments().count() == 1
+    assert state.segments().count() == 1 and state.bodies().count() == 1 and len(state.pointer()["prose"]) == 1
