@@ -10,19 +10,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Commits as Commits
+from ..sources.storage import work_dir as work_dir
+
 BLOCK_BYTES = 1 << 18
 #: Rows and bytes of an Arrow batch. A batch is in memory twice on its way, so these bound a worker's memory as much as the blocks do.
 BATCH_ROWS = 1000
@@ -43,74 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a local one if the session runs on this machine alone (tests); on a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='loomline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomline/{uuid.uuid4().hex}"
-
-
-class Commits:
-    """What a store in a shared folder holds: one small JSON file a commit, numbered from 0.
-
-    A commit's tables are written first, under names of their own; its file comes last,
-    moved to the next number in one step that fails if another writer has taken it. So a
-    store opened again, by anyone, finds every commit that ended and no other, and nothing
-    is ever overwritten. Tables of a commit that failed are never named and never read.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        jvm = spark.sparkContext._jvm
-        self.path, self._jvm = path.rstrip("/"), jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self._conf)
-        self._plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no option: what exists is not replaced
-        self._read: list[dict] = []
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits/{name}" if name else f"{self.path}/_commits")
-
-    def table(self, name: str) -> str:
-        """A new place for a table."""
-        return f"{self.path}/{name}-{uuid.uuid4().hex}"
-
-    def all(self) -> list[dict]:
-        """The commits so far, in order; only new ones are read."""
-        while (entry := self._load(len(self._read))) is not None:
-            self._read.append(entry)
-        return list(self._read)
-
-    def _load(self, n: int) -> dict | None:
-        at = self._at(f"{n:08d}.json")
-        files = at.getFileSystem(self._conf)
-        if not files.exists(at):
-            return None
-        stream = files.open(at)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def add(self, after: int, entry: dict) -> None:
-        """Commit number ``after``: the number of commits that the writer has seen. Raises RuntimeError if another writer was first."""
-        draft = self._at(f"draft-{uuid.uuid4().hex}")
-        stream = draft.getFileSystem(self._conf).create(draft, False)
-        try:
-            stream.write(bytearray(json.dumps(entry).encode()))
-        finally:
-            stream.close()
-        try:
-            self._context.rename(draft, self._at(f"{after:08d}.json"), self._plain)
-        except Py4JJavaError as e:
-            draft.getFileSystem(self._conf).delete(draft, False)
-            raise RuntimeError(f"commit {after} of {self.path} exists: another writer was first") from e
-        self.all()
-
-
 def stored(df: DataFrame, path: str | None = None, large_rows: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession

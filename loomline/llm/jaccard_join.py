@@ -14,7 +14,8 @@ shared tokens demanded. A pair takes the larger l of its two classes.
 Hot lists are never multiplied out. First each class is verified against the commonest
 smallest member of its lists, which settles groups of near copies by one pair a member.
 After that only classes of different components meet, on conditions that lengths, places
-and parity bitmaps decide inside the join. Pairs of one component say nothing new, so no
+and parity bitmaps decide inside the join; long lists are dealt over tasks by bands of
+sizes and shares of their rows. Pairs of one component say nothing new, so no
 link between components is lost, and verification of the sets decides every pair that
 the result rests on.
 
@@ -47,6 +48,8 @@ _BITS = 22
 _TOP = U64(64 - _BITS)
 #: Lists up to this length are left to the pairing of groups.
 STAR = 4
+#: Rows of a list that meet in one task; longer lists are split by bands of sizes and into shares.
+SPLIT = 2_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _MULT = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
@@ -229,12 +232,29 @@ def decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return stored(verified(pairs, sets_of(docs, ids, k), percent))
 
 
+def _parts(df: DataFrame, percent: int | None, left: bool) -> DataFrame:
+    """df (token, id, c: the list's length, n) with part, in which the two sides of a long list meet in many tasks: bands of sizes, of which only neighbours can link, and within a band a share of the left side's rows with all of the right's. A short list is one part."""
+    shares = F.ceil(F.col("c") / F.lit(SPLIT)).cast("int")
+    if percent is None:
+        bands, band = [0], F.lit(0)
+    else:  # a little wider than the largest ratio of sizes, so that rounding moves no link two bands apart
+        bands, band = [-1, 0, 1], F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
+    part = lambda b, s: F.struct(b.cast("int").alias("band"), s.cast("int").alias("share"))
+    if left:
+        dealt = F.transform(F.array(*map(F.lit, bands)), lambda d: part(band + d, F.pmod(F.xxhash64("id"), shares)))
+    else:
+        dealt = F.transform(F.sequence(F.lit(0), shares - 1), lambda s: part(band, s))
+    return df.withColumn("part", F.explode(F.when(F.col("c") > SPLIT, dealt).otherwise(F.array(part(F.lit(0), F.lit(0))))))
+
+
 def _candidates(p: DataFrame, percent: int) -> DataFrame:
     """(a, b, l) per shared token of postings of different components that may link; l: shared tokens that the pair needs.
 
-    The conditions stand in the joins, so that only what passes becomes a row: lengths; room after the token's places for the overlap asked for; and differing parities, each of which is at least one shingle that only one set has. Single documents meet single ones and members of components; components meet each other by pairs of components, so a large one never meets itself.
+    The conditions stand in the joins, so that only what passes becomes a row: lengths; room after the token's places for the overlap asked for; and differing parities, each of which is at least one shingle that only one set has. Single documents meet single ones and members of components; components meet each other by pairs of components, so a large one never meets itself. Long lists are dealt over tasks.
     """
-    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "token"])
+    side = lambda df, x: df.select("token", "part", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("token", "part", "c")])
+    here = lambda df, x: side(_parts(df, percent, x == "a"), x)
+    met = lambda x, y: (x["token"] == y["token"]) & (x["part"] == y["part"])
     length = F.greatest("l_a", "l_b")
     asked = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
     room = length - 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -242,12 +262,15 @@ def _candidates(p: DataFrame, percent: int) -> DataFrame:
     fit = (F.col("level_a") <= length) & (F.col("level_b") <= length) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= asked) & (differ <= F.col("n_a") + F.col("n_b") - 2 * asked)
     what = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.least(length, need_of("n_a", percent), need_of("n_b", percent)).alias("l")]
     single, member = p.where("component IS NULL"), p.where("component IS NOT NULL")
-    x, y, z = side(single, "a"), side(single, "b"), side(member, "a")
-    alone = x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b")) & fit).select(*what)
-    mixed = z.join(y, (z["token"] == y["token"]) & fit).select(*what)
-    comps = member.select("token", "comp").distinct()
-    two = side(comps, "a").join(side(comps, "b"), "token").where("comp_a < comp_b")
-    u, v = side(member, "a"), side(member, "b")
+    x, y, z = here(single, "a"), here(single, "b"), here(member, "a")
+    alone = x.join(y, met(x, y) & (F.col("id_a") < F.col("id_b")) & fit).select(*what)
+    mixed = z.join(y, met(z, y) & fit).select(*what)
+    comps = member.groupBy("token", "comp").agg(F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("id", F.col("comp"))
+    one, other = (side(_parts(comps, None, x == "a"), x) for x in "ab")
+    sizes = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+    two = one.join(other, met(one, other) & (F.col("comp_a") < F.col("comp_b")) & sizes).select(one["token"], "comp_a", "comp_b")
+    plain = lambda x: member.select("token", *[F.col(c).alias(f"{c}_{x}") for c in member.columns if c not in ("token", "c")])
+    u, v = plain("a"), plain("b")
     w = two.join(u, ["token", "comp_a"])
     large = w.join(v, (w["token"] == v["token"]) & (w["comp_b"] == v["comp_b"]) & fit).select(*what)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l")
@@ -280,7 +303,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
 
     parity = classes.select("id", *[F.col("parity")[i].alias(f"s{i}") for i in range(WORDS)])
     p = shared.join(adaptive, "id").join(near.select(F.col("node").alias("id"), "component"), "id", "left")
-    p = p.select("token", "id", "n", "pos", "level", "l", "component", F.coalesce("component", "id").alias("comp"))
+    p = p.select("token", "id", "n", "c", "pos", "level", "l", "component", F.coalesce("component", "id").alias("comp"))
     several = p.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c")).where("lo_c <> hi_c").select("token")
     p = stored(p.join(several, "token", "left_semi").join(parity, "id"))
     pairs = _candidates(p, percent)

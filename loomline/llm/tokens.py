@@ -3,8 +3,8 @@
 The tokenizer file's own pipeline (NFC, spaces, lower case, a split at letters, single
 digits and the rest) never lets a token cross white space, and within ASCII and Latin-1
 letters its split is decidable on bytes. So a block of texts is cut into units by byte
-classes, units are hashed all at once, and only units that this worker hasn't met go
-through the ``tokenizers`` library. A word with anything else in it (an apostrophe,
+classes, units are told apart by their hashes all at once, checked on their bytes, and
+only units that this worker hasn't met go through the ``tokenizers`` library. A word with anything else in it (an apostrophe,
 other letters, a special token's ``<|``) is one unit and goes through the whole
 tokenizer, so ids equal those of encoding the text as a whole.
 """
@@ -36,6 +36,23 @@ def _printable() -> list[str]:
 BYTE_CHAR = _printable()
 
 
+def _alike(b: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each unit, equal for equal bytes, and the first unit of each number. Equal hashes are checked on the bytes; should they lie, the bytes themselves are compared."""
+    codes = pd.factorize(span_hashes(b, start, end))[0]
+    if not len(codes):
+        return codes, codes
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    size, model = end - start, start[first][codes]
+    same = (size == size[first][codes]).all()
+    if same:
+        each = ranges(start, size)
+        same = (b[each] == b[each + np.repeat(model - start, size)]).all()
+    if not same:
+        codes = pd.factorize(np.array([data[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)], object))[0]
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    return codes, first
+
+
 class WordBpe:
     """One worker's tokenizer and the ids of the units it has met, at most ``keep`` of them (then it starts anew)."""
 
@@ -47,11 +64,11 @@ class WordBpe:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.at, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, key: int, unit: bytes, whole: bool) -> int:
+    def _learn(self, unit: bytes, whole: bool) -> int:
         if whole:
             ids = self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids
         else:
@@ -63,7 +80,7 @@ class WordBpe:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : end] = ids
         self.at[i], self.count[i], self.used = self.used, len(ids), end
-        self.known[key] = i
+        self.known[unit] = i
         return i
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +105,15 @@ class WordBpe:
         start, end = edge[:-1], edge[1:]
         real = kind[start] != SPACE
         start, end = start[real], end[real]
-        codes, keys = pd.factorize(span_hashes(b, start, end))
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
-        if len(self.known) + len(keys) > self.keep and self.known:
+        data = b.tobytes()
+        codes, first = _alike(b, data, start, end)
+        if len(self.known) + len(first) > self.keep and self.known:
             self._clear()
-        get, rows, data = self.known.get, [], b.tobytes()
-        for key, i in zip(keys.tolist(), first.tolist(), strict=True):
-            j = get(key)
-            rows.append(self._learn(key, data[start[i] : end[i]], kind[start[i]] == WHOLE) if j is None else j)
+        get, rows = self.known.get, []
+        for i, j, whole in zip(start[first].tolist(), end[first].tolist(), (kind[start[first]] == WHOLE).tolist(), strict=True):
+            unit = data[i:j]
+            at = get(unit)
+            rows.append(self._learn(unit, whole) if at is None else at)
         rows = np.asarray(rows, np.int64)
         units = rows[codes] if len(codes) else rows
         count = self.count[units]
