@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from loomline.plans import registry
 
-HEADLINE = ("session_rollup", "usage_dedup", "prose_bodies", "doc_frequency", "bm25_word", "bm25_and", "bm25_phrase", "literal_search", "scan_all_terms", "overlay_join", "child_counts", "longest_prefix", "group_by_folder", "date_bands", "sort_recency", "last_turns", "change_detection", "human_count", "tag_counts", "excerpt")
+HEADLINE = ("session_rollup", "usage_dedup", "prose_bodies", "index_build", "doc_frequency", "bm25_word", "bm25_and", "bm25_phrase", "literal_search", "scan_all_terms", "overlay_join", "child_counts", "longest_prefix", "group_by_folder", "date_bands", "sort_recency", "last_turns", "change_detection", "human_count", "tag_counts", "excerpt")
 
 
 def main() -> None:

@@ -143,7 +143,7 @@ def retained(selected: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def counters(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("favorite").alias("favourites"), F.count_if("live_pid IS NOT NULL").alias("live"))
+    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("favorite").alias("favourites"), F.count_if(F.col("live_pid").isNotNull()).alias("live"))
 
 
 def top_recent(sessions: DataFrame, n: int) -> DataFrame:

@@ -7,8 +7,6 @@ usage lines or sessions with a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,30 +26,11 @@ from ..operators import tags as T
 from ..operators import turns as TU
 from ..operators import view as V
 from ..sources.storage import work_dir
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; times carry no zone and are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers f(t) where t(name) reads a table."""
-
-    def put(f):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(lambda t: _table(spark, sf_dir, t))
-        if sql:
-            ORACLE[key] = sql
-        return f
-
-    return put
-
+from . import listing as listing
+from . import transcripts as transcripts
+from .base import ORACLE as ORACLE
+from .base import QUERIES as QUERIES
+from .base import SQUASH, query
 
 # ---- transcripts: one conversation is one transcript, a turn a line
 
@@ -69,23 +48,11 @@ def conversation_sessions(t) -> DataFrame:
     )
 
 
-SQUASH = "rtrim(left(trim(regexp_replace(regexp_replace({c}, '[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}\\x{{061C}}\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g')), {n}))"
 SESSIONS = f"""SELECT conv_id, count(*) AS entries, count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role = 'assistant') AS assistant_msgs,
  coalesce(arg_min({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS first_prompt,
  coalesce(arg_max({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS last_prompt, sum(length(text))::BIGINT AS size FROM conversations GROUP BY conv_id"""
 
 
-@query(SESSIONS)
-def session_rollup(t):
-    return conversation_sessions(t)
-
-
-@query(f"SELECT conv_id, CASE WHEN first_prompt <> '' THEN first_prompt WHEN conv_id % 2 = 0 THEN '(subagent)' ELSE '(untitled session)' END AS title FROM ({SESSIONS})")
-def title_fallback(t):
-    s = conversation_sessions(t)
-    return s.select("conv_id", X.title(F.lit(""), F.lit(""), F.col("first_prompt"), F.col("conv_id") % 2 == 0).alias("title"))
-
-
 @query(f"SELECT conv_id, turn, {REAL} AS is_real FROM conversations")
 def real_user_text(t):
     return t("conversations").select("conv_id", "turn", X.is_real_user_text(F.col("text")).alias("is_real"))
@@ -96,24 +63,12 @@ def last_turns(t):
     return TU.last(t("conversations").select("conv_id", "turn", "role"), 3, "conv_id", "turn")
 
 
-@query("SELECT conv_id, string_agg(text || ' ', '' ORDER BY turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
-def prose_bodies(t):
-    c = t("conversations").where(F.col("role").isin("user", "assistant"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(x["text"], F.lit(" "))), "").alias("text"))
-
-
 @query("SELECT user_id, count(*) FILTER (counted) AS responses, round(sum(value) FILTER (counted), 6) AS total FROM (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counted FROM events) GROUP BY user_id")
 def usage_dedup(t):
     e = t("events").select("user_id", F.struct("ts", "event_id").alias("at"), F.lit(True).alias("has_usage"), F.col("event_type").alias("usage_id"), "value")
     return rollup.deduplicated_usage(e, "user_id", "at").groupBy("user_id").agg(F.count_if("counted").alias("responses"), F.round(F.sum(F.when(F.col("counted"), F.col("value"))), 6).alias("total"))
 
 
-@query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) FILTER (event_type = 'purchase') AS last_purchase, max(floor(epoch(ts))::BIGINT) AS last_ts FROM events GROUP BY user_id")
-def first_last_seen(t):
-    bought = F.col("event_type") == "purchase"
-    return t("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"), F.max_by("value", F.when(bought, F.col("event_id"))).alias("last_purchase"), F.max(F.unix_seconds("ts")).alias("last_ts"))
-
-
 USERS = "SELECT user_id, min(floor(epoch(ts))::BIGINT) AS first_ts, max(floor(epoch(ts))::BIGINT) AS last_ts, count(*) AS entries, sum(length(props))::BIGINT AS size FROM events GROUP BY user_id"
 
 
@@ -130,14 +85,7 @@ def _user_sessions(t) -> DataFrame:
 _U = f"SELECT user_id::VARCHAR AS path, 'u' || user_id AS title, '/d' || user_id % 7 AS cwd, last_ts AS mtime, first_ts, last_ts, entries, size, user_id % 5 = 0 AS favorite FROM ({USERS})"
 _ORDER = {"recency": "mtime DESC", "size": "size DESC", "entries": "entries DESC", "duration": "CASE WHEN first_ts > 0 AND last_ts > first_ts THEN last_ts - first_ts ELSE 0 END DESC", "title": "lower(title)", "folder": "cwd, mtime DESC", "tokens": "4 * entries DESC"}
 for _sort, _by in _ORDER.items():
-
-    def _sorted(t, sort=_sort):
-        s = _user_sessions(t)
-        w = W.orderBy(*V.ordered_keys(sort))
-        return s.orderBy(*V.ordered_keys(sort)).limit(50).select("path", "title", F.row_number().over(w).alias("line"))
-
-    query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U}) QUALIFY line <= 50", f"sort_{_sort}")(_sorted)
-    query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U})", f"sort_{_sort}_all")(lambda t, sort=_sort: V.numbered(_user_sessions(t), sort).select("path", "title", "line"))
+    query(f"SELECT path, title, row_number() OVER (ORDER BY favorite DESC, {_by}, mtime DESC, path) AS line FROM ({_U})", f"sort_{_sort}")(lambda t, sort=_sort: V.numbered(_user_sessions(t), sort).select("path", "title", "line"))
 
 
 @query(f"SELECT user_id, CASE WHEN first_ts > 0 AND last_ts > first_ts THEN last_ts - first_ts ELSE 0 END AS duration FROM ({USERS})")
@@ -145,15 +93,6 @@ def duration(t):
     return _users(t).select("user_id", N.duration_secs(F.col("first_ts"), F.col("last_ts")).alias("duration"))
 
 
-@query("""SELECT metric, value::BIGINT AS value FROM (SELECT 'turns' AS metric, count(*) AS value FROM conversations UNION ALL SELECT 'user', count(*) FILTER (role = 'user') FROM conversations UNION ALL SELECT 'chars', sum(length(text)) FROM conversations
- UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'document_chars', sum(n_chars) FROM documents)""")
-def corpus_stats(t):
-    c = t("conversations").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user"), F.sum(F.length("text")).alias("chars"))
-    d = t("documents").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("document_chars"))
-    rows = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in df.columns]), F.array(*[F.col(x).cast("bigint") for x in df.columns]))).alias("metric", "value"))
-    return rows(c).unionAll(rows(d))
-
-
 SESSION_STATS = """SELECT metric, value::BIGINT AS value FROM (SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM ({u}) UNION ALL SELECT 'subagents', 0 UNION ALL SELECT 'bytes', sum(size) FROM ({u}) UNION ALL SELECT 'entries', sum(entries) FROM ({u})
  UNION ALL SELECT 'with_title', count(*) FROM ({u}) UNION ALL SELECT 'with_cwd', count(*) FROM ({u}) UNION ALL SELECT 'with_branch', 0 UNION ALL SELECT 'in_tokens', sum(entries) FROM ({u}) UNION ALL SELECT 'out_tokens', sum(entries) FROM ({u})
  UNION ALL SELECT 'cache_read', sum(entries) FROM ({u}) UNION ALL SELECT 'cache_write', sum(entries) FROM ({u}) UNION ALL SELECT 'total_tokens', 4 * sum(entries) FROM ({u}))""".format(u=_U)
@@ -183,13 +122,6 @@ def date_bands(t):
     return t("events").select("event_id", N.date_band(F.unix_seconds("ts"), _now(t)).alias("band"))
 
 
-@query(f"SELECT band, n, line FROM (SELECT band, count(*) AS n, row_number() OVER (ORDER BY max({EPOCH}) DESC) AS line FROM (SELECT *, {BAND} AS band FROM events) GROUP BY band)")
-def band_dividers(t):
-    e = t("events").withColumn("band", N.date_band(F.unix_seconds("ts"), _now(t)))
-    g = e.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds("ts")).alias("newest"))
-    return g.select("band", "n", F.row_number().over(W.orderBy(F.desc("newest"))).alias("line"))
-
-
 for _days in ("7", "30", "90"):
     query(f"SELECT event_id FROM events WHERE {NOW} - {EPOCH} <= {_days} * 86400", f"date_range_{_days}")(lambda t, d=_days: t("events").where(N.in_range(F.unix_seconds("ts"), _now(t), d)).select("event_id"))
 query(f"SELECT event_id FROM events WHERE {DAYS} <= 0", "date_range_today")(lambda t: t("events").where(N.in_range(F.unix_seconds("ts"), _now(t), "today")).select("event_id"))
@@ -242,13 +174,8 @@ def squash_clip(t):
     return t("documents").select("doc_id", X.squash(F.col("text"), 160).alias("squashed"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(left(text, 400), chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS value FROM documents")
-def tsv_lines(t):
-    return t("documents").select("doc_id", X.tsv(F.left("text", F.lit(400))).alias("value"))
-
-
 @query("SELECT doc_id, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS value FROM documents")
-def tsv_whole(t):
+def tsv_lines(t):
     return t("documents").select("doc_id", X.tsv(F.col("text")).alias("value"))
 
 
@@ -289,19 +216,13 @@ def overlay_join(t):
     return O.with_marks(d, _marks(t)).select("doc_id", "favorite", X.tag_words(F.col("tags")).alias("tag_words"))
 
 
-@query("SELECT count(*) FILTER (known AND quality = 1) AS favourites, count(*) FILTER (NOT known) AS orphans, count(DISTINCT toxic) FILTER (known) AS tags FROM (SELECT l.*, d.doc_id IS NOT NULL AS known FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d ON l.doc_id = d.doc_id)")
+@query("SELECT count(*) FILTER (known AND quality = 1) AS favourites, count(*) FILTER (NOT known) AS orphans, count(DISTINCT toxic) FILTER (known) AS tags FROM (SELECT l.*, d.doc_id IS NOT NULL AS known FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 1000) d ON l.doc_id = d.doc_id)")
 def overlay_summary(t):
-    return O.marks_summary(_marks(t), t("documents").where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("id")))
-
-
-@query("SELECT coalesce(m.id, p.id) AS id, coalesce(p.favorite, m.favorite, false) AS favorite, array_to_string(list_sort(list_distinct(list_concat(coalesce(m.tags, []), coalesce(p.added, [])))), ',') AS tags FROM ({m}) m FULL JOIN (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN true END AS favorite, ['p'] AS added FROM documents WHERE doc_id < 300) p ON m.id = p.id".format(m=_MARKS))
-def marks_merge(t):
-    patch = t("documents").where("doc_id < 300").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, True).alias("favorite"), F.lit(None).cast("string").alias("note"), F.array(F.lit("p")).alias("added"), F.array().cast("array<string>").alias("removed"))
-    return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
+    return O.marks_summary(_marks(t), t("documents").where("n_chars > 1000").select(F.col("doc_id").cast("string").alias("id")))
 
 
 @query("SELECT coalesce(m.id, p.id) AS id, coalesce(p.favorite, m.favorite, false) AS favorite, array_to_string(list_sort(list_distinct(list_concat(coalesce(m.tags, []), coalesce(p.added, [])))), ',') AS tags FROM ({m}) m FULL JOIN (SELECT doc_id::VARCHAR AS id, CASE WHEN n_chars > 1000 THEN true END AS favorite, ['p'] AS added FROM documents WHERE lang <> 'en') p ON m.id = p.id".format(m=_MARKS))
-def marks_merge_whole(t):
+def marks_merge(t):
     patch = t("documents").where("lang <> 'en'").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("n_chars") > 1000, True).alias("favorite"), F.lit(None).cast("string").alias("note"), F.array(F.lit("p")).alias("added"), F.array().cast("array<string>").alias("removed"))
     return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
 
@@ -316,9 +237,9 @@ def child_counts(t):
     return O.with_child_counts(tops.unionAll(kids)).where("NOT is_subagent").select(F.col("id").alias("o_orderkey"), F.col("subagent_count").cast("bigint").alias("subagent_count"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 20)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING')")
 def orphans(t):
-    tops = t("customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), F.lit(False).alias("is_subagent"), F.lit(None).cast("bigint").alias("parent"))
+    tops = t("customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.lit(False).alias("is_subagent"), F.lit(None).cast("bigint").alias("parent"))
     kids = t("orders").select(F.col("o_orderkey").alias("id"), F.lit(True).alias("is_subagent"), F.col("o_custkey").alias("parent"))
     return O.orphans(tops.unionAll(kids)).select(F.col("id").alias("o_orderkey"), F.col("parent").alias("o_custkey"))
 
@@ -329,24 +250,11 @@ def parents_of_hits(t):
     return S.parents_of_hits(l, l.where("l_returnflag = 'R' AND l_quantity > 45").select("path"))
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
-def newest_per_key(t):
-    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
-
-
-_PLACES = "SELECT regexp_extract(url, '://([^?#]*)', 1) AS place FROM pages WHERE page_id % 4 = 0 UNION SELECT regexp_extract(url, '://([^/?#]*)', 1) FROM pages"
+_PLACES = "SELECT regexp_extract(url, '://([^?#]*)', 1) AS place FROM pages UNION SELECT regexp_extract(url, '://([^/?#]*)', 1) FROM pages"
 
 
 @query(f"SELECT cwd, arg_max(place, length(place)) AS place FROM (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS cwd FROM pages), (SELECT DISTINCT rtrim(place, '/') AS place FROM ({_PLACES})) WHERE rtrim(cwd, '/') = place OR starts_with(cwd, place || '/') GROUP BY cwd")
 def longest_prefix(t):
-    p = t("pages")
-    full, host = F.regexp_extract("url", "://([^?#]*)", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
-    places = p.where("page_id % 4 = 0").select(full.alias("place")).unionAll(p.select(host.alias("place"))).select(F.rtrim(F.regexp_replace("place", "/+$", "")).alias("place")).distinct()
-    return O.longest_prefix(p.select(full.alias("cwd")), "cwd", places, "place").select("cwd", "place")
-
-
-@query(f"SELECT cwd, arg_max(place, length(place)) AS place FROM (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS cwd FROM pages), (SELECT DISTINCT rtrim(place, '/') AS place FROM ({_PLACES.replace(' WHERE page_id % 4 = 0', '')})) WHERE rtrim(cwd, '/') = place OR starts_with(cwd, place || '/') GROUP BY cwd")
-def longest_prefix_whole(t):
     p = t("pages")
     full, host = F.regexp_extract("url", "://([^?#]*)", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
     places = p.select(full.alias("place")).unionAll(p.select(host.alias("place"))).select(F.rtrim(F.regexp_replace("place", "/+$", "")).alias("place")).distinct()
@@ -359,33 +267,27 @@ def path_split(t):
     return t("pages").select("page_id", repo.alias("repo"), slug.alias("slug"))
 
 
-@query("SELECT doc_id, source AS folder, max(doc_id) OVER (PARTITION BY source) AS newest, count(*) OVER (PARTITION BY source) AS n FROM documents")
-def group_by_folder(t):
-    w = W.partitionBy("source")
-    return t("documents").select("doc_id", F.col("source").alias("folder"), F.max("doc_id").over(w).alias("newest"), F.count(F.lit(1)).over(w).alias("n"))
-
-
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 25")
 def top_n_recent(t):
     s = t("orders").select("o_orderkey", F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").cast("string").alias("path"), F.lit(False).alias("is_subagent"), F.lit("/x").alias("cwd"))
     return V.top_recent(s, 25).select("o_orderkey")
 
 
-@query("SELECT a.o_orderkey::VARCHAR AS path FROM orders a LEFT JOIN (SELECT o_orderkey, o_custkey + (o_orderkey % 11 = 0)::INT AS o_custkey FROM orders WHERE o_orderkey % 7 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey")
+@query("SELECT a.o_orderkey::VARCHAR AS path FROM orders a LEFT JOIN (SELECT o_orderkey, o_custkey + (o_orderkey % 11 = 0)::INT AS o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT') b ON a.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey")
 def change_detection(t):
     from ..streaming.refresh import changed_sessions
 
-    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), F.lit(0).alias("scanned_len"), "o_orderkey")
-    cached = o.where("o_orderkey % 7 <> 0").withColumn("size", F.col("size") + (F.col("o_orderkey") % 11 == 0).cast("int"))
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), F.lit(0).alias("scanned_len"), "o_orderkey", "o_orderpriority")
+    cached = o.where("o_orderpriority <> '1-URGENT'").withColumn("size", F.col("size") + (F.col("o_orderkey") % 11 == 0).cast("int"))
     return changed_sessions(o, cached).select("path")
 
 
-@query("SELECT o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F'")
+@query("SELECT o_orderkey::VARCHAR AS path FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
 def unchanged_files(t):
     from ..sources.transcripts import unchanged
 
-    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), "o_orderkey", "o_orderstatus")
-    return unchanged(o.where("o_orderstatus = 'F'").select("path", "size", "mtime"), o.where("o_orderkey % 3 = 0")).select("path")
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.lit(0).alias("mtime"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return unchanged(o.where("o_orderstatus = 'F'").select("path", "size", "mtime"), o.where("o_totalprice > 100000")).select("path")
 
 
 _SEEN = "SELECT user_id AS id, row_number() OVER (ORDER BY max(event_id) DESC) AS ord FROM events WHERE ts {when} TIMESTAMP '2024-01-20' GROUP BY user_id QUALIFY ord <= {n}"
@@ -445,6 +347,14 @@ query(_bm25_sql([("p", _word("theding")), ("q", _word("thed"))], "p.f > 0 OR q.f
 query(_bm25_sql([("p", _PHRASE)], "p.f > 0"), "bm25_phrase")(lambda t: _ranked(t, '"of the"'))
 
 
+@query("SELECT doc_id::VARCHAR AS path, len({w})::BIGINT AS dl FROM documents WHERE coalesce(text, '') <> ''".format(w=WORDS))
+def index_build(t):
+    """Builds and saves the whole index anew; its lengths."""
+    path = work_dir(t("documents").sparkSession)
+    P.save(P.build(t("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), folded=False), path)
+    return P.load(t("documents").sparkSession, path).lengths
+
+
 @query("WITH d AS (SELECT doc_id, unnest({w}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM d GROUP BY term".format(w=WORDS))
 def doc_frequency(t):
     return P.document_frequency(_index(t))
@@ -461,12 +371,9 @@ def answer_rank(t):
     return E.answer_rank(a.withColumn("wanted", F.lit("purchase")))
 
 
-_TITLE = SQUASH.format(c="text", n=60)
-
-
-@query(f"SELECT doc_id::VARCHAR AS path, n_chars * (1 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])the'))::INT / 2.0 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])ation'))::INT / 2.0) AS score FROM (SELECT doc_id, n_chars, {_TITLE} AS t FROM documents)")
+@query(f"SELECT doc_id::VARCHAR AS path, n_chars * (1 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])the'))::INT / 2.0 + (regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}])ation'))::INT / 2.0) AS score FROM (SELECT doc_id, n_chars, coalesce(text, '') AS t FROM documents)")
 def title_lift(t):
-    d = t("documents").select(F.col("doc_id").cast("string").alias("path"), X.squash(F.col("text"), 60).alias("title"), F.col("n_chars").cast("double").alias("score"))
+    d = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("title"), F.col("n_chars").cast("double").alias("score"))
     return S.lifted(d.select("path", "score"), d.select("path", "title"), "the ation").select("path", "score")
 
 
@@ -516,12 +423,27 @@ def search_eval(t):
     return R.search_quality(r).withColumn("mrr", F.round("mrr", 6))
 
 
+@query("SELECT doc_id FROM documents WHERE (contains(strip_accents(lower(text)), 'the') OR contains(lower(source), 'the')) AND NOT contains(lower(source), 'src7') AND NOT contains(strip_accents(lower(text)), 'src7')", "filter_match")
+def _filter_match(t):
+    return filter_score(t).select("doc_id")
+
+
 @query()
 def filter_score(t):
     from ..functions import fuzzy
 
-    d = t("documents").select("doc_id", X.squash(F.col("text"), 80).alias("title"), "source")
-    return d.select("doc_id", fuzzy.filter_score({"title": F.col("title"), "folder": F.col("source")}, "the !src7").alias("score")).where("score IS NOT NULL")
+    fields = {"prompt": F.col("text"), "folder": F.col("source")}
+    return t("documents").select("doc_id", fuzzy.filter_score(fields, "the !src7").alias("score")).where("score IS NOT NULL")
+
+
+_FOUND = "regexp_matches({t}, '(?s)^(.*?[^\\p{{L}}\\p{{N}}])?edou')".format(t=_LOW)
+_AT = "length(regexp_extract({t}, '(?s)^((?:.*?[^\\p{{L}}\\p{{N}}])?)edou', 1))".format(t=_LOW)
+
+
+@query(f"SELECT doc_id, CASE WHEN NOT found THEN {SQUASH.format(c='text', n=160)} ELSE CASE WHEN pos > 90 THEN '…' ELSE '' END || {SQUASH.format(c='substring(text, greatest(pos - 90, 0) + 1, least(pos, 90) + 90)', n=200)} || CASE WHEN pos + 90 < length(text) THEN '…' ELSE '' END END AS excerpt FROM (SELECT doc_id, text, {_FOUND} AS found, {_AT} AS pos FROM documents WHERE contains({_LOW}, 'edou'))")
+def excerpt_one(t):
+    d = t("documents").select("doc_id", "text").where(X.ascii_lower(F.col("text")).contains("edou"))
+    return d.select("doc_id", spot.excerpt(F.col("text"), "edou").alias("excerpt"))
 
 
 @query()

@@ -11,7 +11,8 @@ from loomline.operators import overlay as O
 from loomline.operators import postings, report, search, view
 from loomline.operators.rollup import TOKENS
 
-BODIES = {"/zfs": "the zpool and the zfs snapshot", "/two": "the zfs pool needed a snapshot", "/one": "zfs zfs zfs zfs zfs, all day", "/cafe": "Café au lait: installing things, installation", "/cpp": "templates in C++ and c++ again", "/none": "nothing to see"}
+#: /more says copper often and lamp never; /both says both, once each; /pair has them side by side in another order of its other words.
+BODIES = {"/pair": "under a copper lamp hung the clamp", "/both": "copper pipes and then a lamp", "/more": "copper copper copper copper copper tonight", "/accent": "Über São Paulo: planting trees, plantation", "/sign": "lists in F++ and f++ too", "/none": "no match here"}
 NOW = 1_700_000_000
 
 
@@ -33,13 +34,13 @@ def bm25(docs, phrases, path):
     return total
 
 
-@pytest.mark.parametrize("typed,found", [("zfs", {"/zfs", "/two", "/one"}), ("zfs snapshot", {"/zfs", "/two"}), ('"zfs snap"', {"/zfs"}), ("cafe", {"/cafe"}), ("installs", {"/cafe"}), ("pool", {"/two"}), ("absent", set())])
+@pytest.mark.parametrize("typed,found", [("copper", {"/pair", "/both", "/more"}), ("copper lamp", {"/pair", "/both"}), ('"copper la"', {"/pair"}), ("sao", {"/accent"}), ("plants", {"/accent"}), ("clam", {"/pair"}), ("absent", set())])
 def test_indexed(spark, typed, found):
     q = Query.parse(typed)
     index = postings.build(bodies(spark))
     got = {r.path: r.score for r in search.indexed(index, q).collect()}
     assert got.keys() == found
-    words = {r.path: r.w for r in bodies(spark).select("path", F.regexp_extract_all(F.translate(F.lower("text"), "é", "e"), F.lit(r"(\w+)"), F.lit(1)).alias("w")).collect()}
+    words = {r.path: r.w for r in bodies(spark).select("path", F.regexp_extract_all(F.translate(F.lower("text"), "üã", "ua"), F.lit(r"(\w+)"), F.lit(1)).alias("w")).collect()}
     for path, score in got.items():
         assert math.isclose(score, bm25(words, [p for t in q.terms for p in t.phrases()], path), rel_tol=1e-9)
 
@@ -48,9 +49,35 @@ def test_saved_index(spark, tmp_path):
     index = postings.build(bodies(spark))
     postings.save(index, str(tmp_path))
     again = postings.load(spark, str(tmp_path))
-    q = Query.parse("zfs snapshot")
-    assert sorted(search.indexed(again, q).collect()) == sorted(search.indexed(index, q).collect())
-    assert "StartsWith" in again.postings.where(F.col("term").startswith("zf"))._jdf.queryExecution().toString()
+    for typed in ("copper lamp", '"copper lamp"', "a"):
+        q = Query.parse(typed)
+        assert sorted(search.indexed(again, q).collect()) == sorted(search.indexed(index, q).collect())
+    assert "StartsWith" in again.postings.where(F.col("term").startswith("co"))._jdf.queryExecution().toString()
+    assert sorted(again.terms.collect()) == sorted(index.terms.collect()) and again.totals.collect() == index.totals.collect()
+
+
+def test_postings_of_odd_documents(spark, monkeypatch):
+    texts = {"a": "b a b", "empty": "", "none": None, "blank": " - ", "long": "x y " * 3000, "z": "a"}
+    df = spark.createDataFrame(list(texts.items()), "path string, text string").repartition(2)
+    for words in (1 << 20, 2):
+        monkeypatch.setattr(postings, "WORDS", words)
+        index = postings.build(df)
+        got = {(r.path, r.term): (r.tf, r.positions, r.dl) for r in index.postings.collect()}
+        want = {}
+        for p, t in texts.items():
+            ws = [w for w in (t or "").split() if w != "-"]
+            for i, w in enumerate(ws):
+                n, at, _ = want.get((p, w), (0, [], 0))
+                want[p, w] = (n + 1, [*at, i], len(ws))
+        assert got == want
+        assert {r.path: r.dl for r in index.lengths.collect()} == {"a": 3, "blank": 0, "long": 6000, "z": 1}
+    assert postings.build(df.limit(0)).totals.first().docs == 0
+
+
+def test_one_shuffle_ranks(spark):
+    plan = search.indexed(postings.build(bodies(spark)), Query.parse("copper"))
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def lines(spark, rows):
@@ -60,29 +87,29 @@ def lines(spark, rows):
 
 def test_run(spark):
     b = bodies(spark)
-    index, ls = postings.build(b), lines(spark, [(p, "user", t) for p, t in BODIES.items()] + [("/sub", "assistant", "the zpool xylophone"), ("/sub", "user", "say \"hello there\" from C:\\Users")])
-    s = spark.createDataFrame([(p, p.strip("/") + " snapshot" if p == "/two" else "x") for p in [*BODIES, "/sub"]], "path string, title string")
+    index, ls = postings.build(b), lines(spark, [(p, "user", t) for p, t in BODIES.items()] + [("/sub", "assistant", "the clamp kaleidoscope"), ("/sub", "user", "write \"good night\" to D:\\Notes")])
+    s = spark.createDataFrame([(p, "lamp of old" if p == "/both" else "x") for p in [*BODIES, "/sub"]], "path string, title string")
     go = lambda typed, mode="content": search.run(index, b, ls, s, typed, mode)
-    hits, how = go("zfs snapshot")
-    assert how == "indexed" and hits.orderBy(F.desc("score")).first().path == "/two"  # its title says half of it
-    hits, how = go("c++")
-    assert how == "indexed" and [(r.path, "C++" in r.excerpt) for r in hits.collect()] == [("/cpp", True)]
-    hits, how = go("ylopho")
+    hits, how = go("copper lamp")
+    assert how == "indexed" and hits.orderBy(F.desc("score")).first().path == "/both"  # its title says half of it
+    hits, how = go("f++")
+    assert how == "indexed" and [(r.path, "F++" in r.excerpt) for r in hits.collect()] == [("/sign", True)]
+    hits, how = go("eidosco")
     assert how == "scanned" and [r.path for r in hits.collect()] == ["/sub"]
-    assert [r.path for r in go('say "hello')[0].collect()] == ["/sub"]
-    assert [r.path for r in go("C:\\Users", "everything")[0].collect()] == ["/sub"]
-    hits, how = go("zfs snapshot rollback")
-    assert how == "partial" and [r.path for r in hits.orderBy(F.desc("score")).collect()][2] == "/one"
+    assert [r.path for r in go('write "good')[0].collect()] == ["/sub"]
+    assert [r.path for r in go("D:\\Notes", "everything")[0].collect()] == ["/sub"]
+    hits, how = go("copper lamp zebra")
+    assert how == "partial" and [r.path for r in hits.orderBy(F.desc("score")).collect()][2] == "/more"
     assert go("  ")[0].count() == 0
-    full = search.with_excerpts(go("snapshot")[0], b, "snapshot").collect()
-    assert all("snapshot" in r.excerpt for r in full)
+    full = search.with_excerpts(go("lamp")[0], b, "lamp").collect()
+    assert all("lamp" in r.excerpt for r in full)
 
 
 def test_file_and_tool(spark):
-    raw = ['{"message":{"role":"assistant","content":[{"type":"tool_use","name":"Write","input":{"file_path":"/tmp/My notes.txt"}}]}}', '{"cwd":"/tmp/notes","name":"Write"}']
+    raw = ['{"message":{"role":"assistant","content":[{"type":"tool_use","name":"Render","input":{"file_path":"/srv/Tide table.csv"}}]}}', '{"cwd":"/srv/tide","name":"Render"}']
     ls = spark.createDataFrame([(f"/{i}", i, x) for i, x in enumerate(raw)], "path string, offset int, raw string")
-    assert [r.path for r in search.structured(ls, "my notes.txt", "file").collect()] == ["/0"] and search.structured(ls, "notes my", "file").count() == 0
-    assert [r.path for r in search.structured(ls, "write", "tool").collect()] == ["/0"]
+    assert [r.path for r in search.structured(ls, "tide TABLE.csv", "file").collect()] == ["/0"] and search.structured(ls, "table tide", "file").count() == 0
+    assert [r.path for r in search.structured(ls, "render", "tool").collect()] == ["/0"]
 
 
 SESSION = "path string, id string, is_subagent boolean, parent string, cwd string, mtime long, size long, entries long, first_ts long, last_ts long, custom_title string, ai_title string, first_prompt string, last_prompt string, git_branch string, model string"
@@ -145,3 +172,16 @@ def test_every_session_has_its_line(spark):
     want = sorted(range(300), key=lambda i: (i % 5 != 0, -(i % 3), -(i % 7), f"/{i:03d}"))
     assert got == [(n + 1, f"/{i:03d}") for n, i in enumerate(want)]
     assert view.numbered(s.limit(0), "size").count() == 0
+
+
+def test_ties_of_a_folder_go_to_the_first_path(spark):
+    rows = [(f"/{i}", i, False, None, "/q", NOW - age, "") for i, age in (("c", 0), ("b", 0), ("d", 5), ("a", 9))]
+    s = spark.createDataFrame(rows, "path string, id string, is_subagent boolean, parent string, cwd string, mtime long, model string")
+    p = spark.createDataFrame([(4, "/q", None, None, False)], "pid int, cwd string, resume_id string, model string, under_wsx boolean")
+    assert [r.id for r in O.with_live(s, p).where("live_pid = 4").collect()] == ["b"]
+
+
+def test_picks_without_a_session_go(spark):
+    s, _ = sessions(spark)
+    picked = spark.createDataFrame([("/a",), ("/left",)], "path string")
+    assert [r.path for r in view.retained(picked, s).collect()] == ["/a"]

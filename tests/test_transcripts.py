@@ -1,6 +1,7 @@
 """Transcript files to sessions, prose and turns, at once and piece by piece."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,28 +16,29 @@ T0 = "2026-01-02T03:04:0{}.000Z"
 
 def message(role, content, n=0, **more):
     inner = {"role": role, "content": content, **{k: more.pop(k) for k in ("model", "id", "usage") if k in more}}
-    return json.dumps({"parentUuid": None, "message": inner, "type": role, "cwd": "/home/u/proj", "gitBranch": "main", "version": "2.1.0", "timestamp": T0.format(n), **more}, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps({"parentUuid": None, "message": inner, "type": role, "cwd": "/srv/garden", "gitBranch": "spring", "version": "7.0.1", "timestamp": T0.format(n), **more}, separators=(",", ":"), ensure_ascii=False)
 
 
 def meta(kind, **fields):
     return json.dumps({"type": kind, **fields}, separators=(",", ":"))
 
 
+#: A question after an injected one, an answer, a mode that changes, a title and a later prompt.
 BASE = [
-    meta("mode", mode="default"),
-    meta("permission-mode", permissionMode="default"),
-    message("user", [{"type": "text", "text": "<system-reminder>be nice</system-reminder>"}], 0),
-    message("user", "  fix   the   build  ", 1),
-    message("assistant", [{"type": "text", "text": "on it"}], 9, model="model-x"),
-    meta("permission-mode", permissionMode="bypassPermissions"),
-    meta("ai-title", aiTitle="Fix the build"),
-    meta("last-prompt", lastPrompt="ship it"),
+    meta("permission-mode", permissionMode="plan"),
+    message("user", [{"type": "text", "text": "<note>water twice</note>"}], 0),
+    message("user", "plant\t the  beans", 2),
+    message("assistant", [{"type": "text", "text": "which bed?"}], 6, model="gardener"),
+    meta("permission-mode", permissionMode="acceptEdits"),
+    meta("summary", text="not a session's field"),
+    meta("ai-title", aiTitle="Beans in a bed"),
+    meta("last-prompt", lastPrompt="the south one"),
 ]
-USAGE = {"input_tokens": 3, "output_tokens": 100, "cache_read_input_tokens": 4000, "cache_creation_input_tokens": 20}
+USAGE = {"input_tokens": 5, "output_tokens": 70, "cache_read_input_tokens": 900, "cache_creation_input_tokens": 11}
 
 
 def write(root, name, rows, end="\n"):
-    path = root / "-home-u-proj" / name
+    path = root / "-srv-garden" / name
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(("\n".join(rows) + end).encode())
     return path
@@ -51,17 +53,22 @@ def test_base_rollup(spark, tmp_path):
     write(tmp_path, "s1.jsonl", BASE)
     r = scanned(spark, tmp_path)["s1"]
     assert (r.entries, r.user_msgs, r.assistant_msgs) == (8, 2, 1)
-    assert (r.cwd, r.git_branch, r.version) == ("/home/u/proj", "main", "2.1.0")
-    assert (r.ai_title, r.first_prompt, r.last_prompt) == ("Fix the build", "fix the build", "ship it")
-    assert (r.model, r.permission_mode, r.last_ts - r.first_ts) == ("model-x", "default", 9)
+    assert (r.cwd, r.git_branch, r.version) == ("/srv/garden", "spring", "7.0.1")
+    assert (r.ai_title, r.first_prompt, r.last_prompt) == ("Beans in a bed", "plant the beans", "the south one")
+    assert (r.model, r.permission_mode, r.last_ts - r.first_ts) == ("gardener", "plan", 6)
     assert r.scanned_len == r.size
 
 
-def test_tokens_count_a_response_once(spark, tmp_path):
-    rows = [message("assistant", [], model="m", id=i, usage=USAGE) for i in ("msg_1", "msg_1", "msg_1", "msg_2")]
+@pytest.mark.parametrize("block", [64 << 20, 300, 1])
+def test_tokens_count_a_response_once(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(rollup, "BLOCK_BYTES", block)
+    rows = [message("assistant", [], model="m", id=i, usage=USAGE) for i in ("a", "a", "b", "a", "", "", "c", "c", "c")]
     write(tmp_path, "s1.jsonl", rows)
     r = scanned(spark, tmp_path)["s1"]
-    assert (r.assistant_msgs, r.in_tokens, r.out_tokens, r.cache_read, r.cache_write) == (4, 6, 200, 8000, 40)
+    assert (r.assistant_msgs, r.in_tokens, r.out_tokens, r.cache_read, r.cache_write) == (9, 6 * 5, 6 * 70, 6 * 900, 6 * 11)
+    typed = L.classify(transcripts.read(spark, str(tmp_path)))
+    u = rollup.deduplicated_usage(typed, block=F.floor(F.col("offset") / F.lit(block)))
+    assert [x.counted for x in u.orderBy("offset").collect()] == [True, False, True, True, True, True, True, False, False]
 
 
 def test_titles(spark, tmp_path):
@@ -73,7 +80,7 @@ def test_titles(spark, tmp_path):
 def test_odd_lines(spark, tmp_path):
     write(tmp_path, "s1.jsonl", ["", "junk", message("user", 'say "hi" \\ ü', cwd='/a "b" c\\d') + "\r"], end="\n{\"half")
     write(tmp_path, "s2.jsonl", [message("user", "x").replace('"x"', '"cut \\ud83d here"')])
-    (tmp_path / "-home-u-proj" / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "-srv-garden" / "empty.jsonl").write_bytes(b"")
     got = scanned(spark, tmp_path)
     assert (got["s1"].entries, got["s1"].cwd, got["s1"].first_prompt) == (2, '/a "b" c\\d', 'say "hi" \\ ü')
     assert got["s1"].scanned_len < got["s1"].size
@@ -85,7 +92,7 @@ def test_subagents_and_splits(spark, tmp_path):
     write(tmp_path, "p1/subagents/agent-1.jsonl", BASE)
     write(tmp_path, "p1.jsonl", BASE * 30)
     files = {r.id: r for r in transcripts.files(spark, str(tmp_path)).collect()}
-    assert (files["agent-1"].parent, files["agent-1"].project_dir, files["p1"].is_subagent) == ("p1", "-home-u-proj", False)
+    assert (files["agent-1"].parent, files["agent-1"].project_dir, files["p1"].is_subagent) == ("p1", "-srv-garden", False)
     whole = transcripts.read(spark, str(tmp_path)).select("path", "offset", "raw").collect()
     cut = transcripts.read(spark, str(tmp_path), splitBytes="777").select("path", "offset", "raw").collect()
     assert sorted(whole) == sorted(cut) and len(whole) == 248
@@ -95,23 +102,48 @@ def test_subagents_and_splits(spark, tmp_path):
 
 def test_prose(spark, tmp_path):
     rows = [
-        message("user", [{"type": "text", "text": 'a <system-reminder>secret</system-reminder>b\n"q" \\n'}]),
-        message("assistant", [{"type": "thinking", "thinking": "hmm"}, {"type": "tool_use", "name": "Bash", "input": {"command": "zpool list", "description": "pools"}}], 1),
-        message("user", [{"type": "tool_result", "content": [{"type": "text", "text": "output"}]}], 2),
-        message("user", "plain words", 3),
-        message("user", "injected", 4, isMeta=True),
+        message("user", [{"type": "text", "text": 'one <system-reminder>never</system-reminder>two\n"three" \\n'}]),
+        message("assistant", [{"type": "thinking", "thinking": "well"}, {"type": "tool_use", "name": "Bash", "input": {"command": "ls beds", "description": "list"}}], 1),
+        message("user", [{"type": "tool_result", "content": [{"type": "text", "text": "shown"}]}], 2),
+        message("user", "simple text", 3),
+        message("user", "put in", 4, isMeta=True),
     ]
     write(tmp_path, "s1.jsonl", rows)
-    text = prose.bodies(L.classify(transcripts.read(spark, str(tmp_path)))).first().text
-    assert text.split() == ["a", "b", '"q"', "\\n", "hmm", "zpool", "list", "pools", "plain", "words"]
+    typed = L.classify(transcripts.read(spark, str(tmp_path)))
+    text = prose.bodies(typed).first().text
+    words = ["one", "two", '"three"', "\\n", "well", "ls", "beds", "list", "simple", "text"]
+    assert text.split() == words
+    for block in (1, 200):
+        assert prose.bodies(typed, block_bytes=block).first().text == text
+        first, second = text[: text.index("well")], text[: text.index("simple")]
+        cut = {1: first, len(first): first, len(first) + 1: second, len(second): second, len(text): text}
+        for cap, want in cut.items():  # lines before which there is less than the cap
+            assert prose.bodies(typed, cap=cap, block_bytes=block).first().text.split() == want.split()
+
+
+def test_tail_grows_over_a_line_that_says_nothing(spark, tmp_path):
+    write(tmp_path, "s1.jsonl", [*BASE, message("user", "x" * 5000, isMeta=True)])
+    write(tmp_path, "s2.jsonl", BASE)
+    got = {(r.path.rpartition("/")[2], r.text) for r in turns.tail_turns(spark, str(tmp_path), 1, tail_bytes=1500).collect()}
+    assert got == {("s1.jsonl", "which bed?"), ("s2.jsonl", "which bed?")}
+    assert turns.tail_turns(spark, str(tmp_path), 1, tail_bytes=100).where("path LIKE '%s1%'").count() == 0  # eight times that is still within the line
+
+
+def test_viewer_is_bounded(spark, tmp_path):
+    p = str(write(tmp_path, "s1.jsonl", [message("assistant", [{"type": "text", "text": f"turn {i} of lamps"}], i % 10) for i in range(30)]))
+    rows = turns.viewer(spark, str(tmp_path), p, "lamps", most=4).orderBy("offset").collect()
+    assert [r.text for r in rows] == [f"turn {i} of lamps" for i in range(26, 30)] and all(r.more and r.terms == 1 for r in rows) and [r.focus for r in rows] == [True, False, False, False]
+    short = turns.viewer(spark, str(tmp_path), p, most=400, max_bytes=600).collect()
+    assert 0 < len(short) < 4 and all(r.more for r in short)
+    assert not any(r.more for r in turns.viewer(spark, str(tmp_path), p).collect())
 
 
 def test_turns(spark, tmp_path):
     write(tmp_path, "s1.jsonl", [*BASE, message("assistant", [{"type": "tool_use", "name": "Edit", "input": {}}, {"type": "text", "text": "done"}]), message("user", "no", isMeta=True)])
     t = turns.extract(transcripts.read(spark, str(tmp_path)))
-    assert [(r.role, r.text) for r in t.orderBy("offset").collect()] == [("you", "fix   the   build"), ("assistant", "on it"), ("assistant", "[Edit] done")]
+    assert [(r.role, r.text) for r in t.orderBy("offset").collect()] == [("you", "plant\t the  beans"), ("assistant", "which bed?"), ("assistant", "[Edit] done")]
     last = turns.last(t, 2).orderBy("turn_no").collect()
-    assert [(r.turn_no, r.text, r.more) for r in last] == [(1, "on it", True), (2, "[Edit] done", True)]
+    assert [(r.turn_no, r.text, r.more) for r in last] == [(1, "which bed?", True), (2, "[Edit] done", True)]
 
 
 @pytest.mark.parametrize("cut", [1, 4, 7])
@@ -137,8 +169,8 @@ def test_refresh_reads_only_what_is_new(spark, tmp_path):
     refresh.refresh(spark, str(root), state)
     files = transcripts.files(spark, str(root))
     got = {r.id: r for r in state.sessions(files).collect()}
-    assert (got["s1"].entries, got["s1"].ai_title, got["s2"].first_prompt) == (8, "Fix the build", "other")
-    assert " ".join({r.path: r.text for r in state.bodies().collect()}[str(p)].split()) == "fix the build on it"
+    assert (got["s1"].entries, got["s1"].ai_title, got["s2"].first_prompt) == (8, "Beans in a bed", "other")
+    assert " ".join({r.path: r.text for r in state.bodies().collect()}[str(p)].split()) == "<note>water twice</note> plant the beans which bed?"
     batch = state.pointer()["batch"]
     state.apply(transcripts.read(spark, str(root)), batch)  # the same batch again
     assert state.pointer()["batch"] == batch
@@ -146,6 +178,24 @@ def test_refresh_reads_only_what_is_new(spark, tmp_path):
     refresh.refresh(spark, str(root), state)
     got = {r.id: r for r in state.sessions(transcripts.files(spark, str(root))).collect()}
     assert (got["s1"].entries, got["s1"].first_prompt) == (1, "rewritten")
-    (root / "-home-u-proj" / "s2.jsonl").unlink()
+    before = set(os.listdir(at))
+    (root / "-srv-garden" / "s2.jsonl").unlink()
     state.prune(transcripts.files(spark, str(root)))
     assert state.segments().count() == 1 and state.bodies().count() == 1 and len(state.pointer()["prose"]) == 1
+    left = [x for x in os.listdir(at) if x.startswith(("segments", "prose"))]
+    assert len(left) == 2 and not before & set(left)  # earlier tables are gone
+
+
+def test_state_opened_again_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "RUNS", 2)
+    root, at = tmp_path / "root", str(tmp_path / "state")
+    for i in range(5):
+        write(root, f"s{i}.jsonl", BASE[: i + 3])
+        refresh.refresh(spark, str(root), refresh.State(spark, at))
+    again = refresh.State(spark, at)
+    assert len(again.pointer()["segments"]) <= 3 and not again.stale
+    files = transcripts.files(spark, str(root))
+    whole = rollup.sessions(rollup.segments(L.classify(transcripts.read(spark, str(root)))), files)
+    assert sorted(again.sessions(files).collect()) == sorted(whole.collect())
+    monkeypatch.setattr(refresh, "LOGIC_VERSION", 2)
+    assert again.stale
