@@ -16,10 +16,11 @@ from ..functions import spot
 from ..functions import text as X
 from ..functions.query import Query
 from ..operators import evaluate as E
+from ..operators import lines as L
 from ..operators import overlay as O
 from ..operators import postings as P
 from ..operators import report as R
-from ..operators import rollup
+from ..operators import prose, rollup
 from ..operators import search as S
 from ..operators import snapshot as SN
 from ..operators import tags as T
@@ -30,27 +31,11 @@ from . import listing as listing
 from . import transcripts as transcripts
 from .base import ORACLE as ORACLE
 from .base import QUERIES as QUERIES
-from .base import SQUASH, query
+from .base import REAL, SQUASH, query
 
 # ---- transcripts: one conversation is one transcript, a turn a line
 
 
-REAL = "trim(text) <> '' AND NOT starts_with(trim(text), '<') AND NOT starts_with(trim(text), 'Caveat:')"
-
-
-def conversation_sessions(t) -> DataFrame:
-    c = t("conversations")
-    real = (F.col("role") == "user") & X.is_real_user_text(F.col("text"))
-    said = F.when(real, X.squash(F.col("text"), 200))
-    return c.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("role") == "user").alias("user_msgs"), F.count_if(F.col("role") == "assistant").alias("assistant_msgs"),
-        F.coalesce(F.min_by(said, F.when(real, F.col("turn"))), F.lit("")).alias("first_prompt"), F.coalesce(F.max_by(said, F.when(real, F.col("turn"))), F.lit("")).alias("last_prompt"), F.sum(F.length("text")).alias("size"),
-    )
-
-
-SESSIONS = f"""SELECT conv_id, count(*) AS entries, count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role = 'assistant') AS assistant_msgs,
- coalesce(arg_min({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS first_prompt,
- coalesce(arg_max({SQUASH.format(c="text", n=200)}, turn) FILTER (role = 'user' AND {REAL}), '') AS last_prompt, sum(length(text))::BIGINT AS size FROM conversations GROUP BY conv_id"""
 
 
 @query(f"SELECT conv_id, turn, {REAL} AS is_real FROM conversations")
@@ -452,15 +437,17 @@ def excerpt(t):
     return d.select("doc_id", spot.excerpt(F.col("text"), "edou the").alias("excerpt"))
 
 
-def _flagship(t) -> DataFrame:
-    """Conversations ranked for words, with their sessions."""
-    bodies = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    hits = S.indexed(P.build(bodies.select(F.col("conv_id").cast("string").alias("path"), "text"), folded=False), Query.parse("the edou"))
-    s = conversation_sessions(t).withColumn("path", F.col("conv_id").cast("string"))
-    return hits.join(s, "path").select("conv_id", F.round("score", 6).alias("score"), "entries", "first_prompt").orderBy(F.desc("score"), "conv_id")
+_SAID = f"(WITH {transcripts.LINES} SELECT conv_id AS doc_id, string_agg(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g') || ' ', '' ORDER BY off) AS text FROM ln WHERE kind IN ('user', 'assistant') AND text <> '' GROUP BY conv_id)"
+_RANKED = _bm25_sql([("p", _word("the")), ("q", _word("edou"))], "p.f > 0 AND q.f > 0").replace("FROM documents", f"FROM {_SAID}")
 
 
-query(None, "ranked_conversations")(_flagship)
+@query(f"SELECT r.path, score, entries, first_prompt FROM ({_RANKED}) r JOIN ({transcripts.SESSIONS}) s ON r.path = s.path", "ranked_conversations")
+def _flagship(t):
+    """Transcripts, from raw lines to ranked hits: classified once, rolled up, their prose indexed and searched."""
+    typed = L.classify(transcripts.transcript_lines(t))
+    hits = S.indexed(P.build(prose.bodies(typed), folded=False), Query.parse("the edou"))
+    s = transcripts.sessions(t).select("path", "entries", "first_prompt")
+    return hits.join(s, "path").select("path", F.round("score", 6).alias("score"), "entries", "first_prompt").orderBy(F.desc("score"), "path")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def transcript_lines(t) -> DataFrame:
     return c.select("path", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("l")).select("path", "l.offset", "l.raw")
 
 
-def _sessions(t) -> DataFrame:
+def sessions(t) -> DataFrame:
     typed = L.classify(transcript_lines(t))
     files = t("conversations").select(F.col("conv_id").cast("string").alias("path")).distinct()
     files = files.select("path", F.col("path").alias("id"), F.lit("p").alias("project_dir"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.lit(False).alias("is_subagent"), F.lit(None).cast("string").alias("parent"))
@@ -63,7 +63,7 @@ FIELDS = "path entries user_msgs assistant_msgs ai_title first_prompt last_promp
 
 @query(SESSIONS)
 def session_rollup(t):
-    return _sessions(t).select(*FIELDS)
+    return sessions(t).select(*FIELDS)
 
 
 @query(SESSIONS, "session_rollup_merged")
@@ -71,13 +71,13 @@ def _merged(t):
     """The same from two halves of every transcript, merged."""
     typed = L.classify(transcript_lines(t))
     two = rollup.merge(rollup.segments(typed.where("offset < 25")), rollup.segments(typed.where("offset >= 25")))
-    files = _sessions(t).select("path", "id", "project_dir", "size", "mtime", "is_subagent", "parent")
+    files = sessions(t).select("path", "id", "project_dir", "size", "mtime", "is_subagent", "parent")
     return rollup.sessions(two, files).select(*FIELDS)
 
 
 @query(f"SELECT path, CASE WHEN ai_title <> '' THEN ai_title WHEN first_prompt <> '' THEN first_prompt ELSE '(untitled session)' END AS title FROM ({SESSIONS})")
 def title_fallback(t):
-    return _sessions(t).select("path", X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent")).alias("title"))
+    return sessions(t).select("path", X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent")).alias("title"))
 
 
 _OPENING = "regexp_replace(lower({c}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
@@ -86,13 +86,13 @@ _CUE = "CASE WHEN last_prompt <> '' THEN last_prompt ELSE first_prompt END"
 
 @query(f"SELECT path, CASE WHEN left({_OPENING.format(c='cue')}, 24) = left({_OPENING.format(c='title')}, 24) AND {_OPENING.format(c='cue')} <> '' THEN '' ELSE cue END AS cue FROM (SELECT path, {_CUE} AS cue, CASE WHEN ai_title <> '' THEN ai_title WHEN first_prompt <> '' THEN first_prompt ELSE '(untitled session)' END AS title FROM ({SESSIONS}))")
 def left_off(t):
-    s = _sessions(t).withColumn("title", X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent")))
+    s = sessions(t).withColumn("title", X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent")))
     return s.select("path", X.left_off(F.col("title"), F.col("first_prompt"), F.col("last_prompt")).alias("cue"))
 
 
 @query(f"SELECT * FROM (SELECT unnest(['sessions', 'subagents', 'bytes', 'entries', 'with_title', 'with_cwd', 'with_branch', 'in_tokens', 'out_tokens', 'cache_read', 'cache_write', 'total_tokens']) AS metric, unnest([count(*), 0, 0, sum(entries), count(*) FILTER (ai_title <> ''), count(*) FILTER (cwd <> ''), count(*) FILTER (git_branch <> ''), sum(in_tokens), sum(out_tokens), sum(cache_read), sum(cache_write), sum(in_tokens + out_tokens + cache_read + cache_write)])::BIGINT AS value FROM ({SESSIONS}))")
 def corpus_stats(t):
-    return report.stats(_sessions(t))
+    return report.stats(sessions(t))
 
 
 @query(f"WITH {LINES} SELECT conv_id::VARCHAR AS path, string_agg(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g') || ' ', '' ORDER BY off) AS text FROM ln WHERE {_SAYS} AND text <> '' GROUP BY conv_id")
