@@ -16,7 +16,7 @@ from loomline.llm.common import stored, table, without
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Rows whose text the classifier rejects go; a null text is scored as an empty one, and without labels none scores enough."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,38 +28,41 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, a number of each row: its place in the files of its table. What is no table of files is written first."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row (its place in the files of its table), and the name of that column, which is none of docs'. What is no table of files is written first."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
     try:
         files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
         place = F.col("_metadata.row_index")
         docs.select(place)
     except AnalysisException:
-        return stored(docs.withColumn("row_key", F.monotonically_increasing_id()))
+        return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
     nth = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])[F.col("_metadata.file_path")] if files else F.lit(0)
-    return docs.withColumn("row_key", F.shiftleft(nth.cast("long"), 40) + place)
+    return docs.withColumn(key, F.shiftleft(nth.cast("long"), 40) + place), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays, null being the largest; of equal ids, the first row."""
-    rows = keyed(docs)
-    linked = stored(jaccard_join.linked(rows, key="row_key").select(F.col("id").alias("row_key"), "component_id"))
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    linked = linked.join(rows.select("row_key", "doc_id"), "row_key")
-    first = linked.groupBy("component_id").agg(F.min(rank)["row_key"].alias("first"))
-    others = linked.join(first, "component_id").where("row_key <> first").select("row_key")
-    return without(rows, others, "row_key").select(*docs.columns)
+    rows, key = keyed(docs)
+    linked = stored(jaccard_join.linked(rows, key=key).select(F.col("id").alias("row"), "component_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    linked = linked.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    first = linked.groupBy("component_id").agg(F.min(rank)["row"].alias("first"))
+    others = linked.join(first, "component_id").where("row <> first").select("row")
+    return without(rows, others, key).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a ten-word passage of the benchmark go, whatever ids they have."""
-    rows = keyed(docs)
-    hits = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), key="row_key")
-    return without(rows, hits.where("n_hit > 0").select(F.col("doc_id").alias("row_key")), "row_key").select(*docs.columns)
+    rows, key = keyed(docs)
+    hits = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), key=key)
+    return without(rows, hits.where("n_hit > 0").select("doc_id"), key).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens; each row is an example, a null text the end token alone."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -78,6 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written and read again as the next one's. Every stage takes nulls, repeated rows, further columns and empty tables."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))

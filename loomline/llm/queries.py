@@ -10,10 +10,12 @@ from .common import table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages, judged by rules and templates. Null url: empty host and path; repeated rows are judged each."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and one more, formatted in windows and read back. Null text, role or turn: empty, empty, first; rows of null conv_id are one conversation."""
     import public_tokenizers
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -23,30 +25,36 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with its words inside benchmark windows. Null text: no words; repeated items count once."""
     m = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with a toxicity score. Null or empty text: the intercept's; null id: never held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents without the lines that five or more share. Null text: one empty line; all rows of the largest id keep theirs."""
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with its component. Null or wordless text: linked with nothing."""
     d = jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, percent=90)
     return d.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with the row that stays for its text. Null text is empty; a null id loses to any other."""
     d = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with its spans. Null text: none."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda f: f["rank"] < len(secrets.BASE_KINDS))
     joined = lambda a: F.concat_ws(",", F.transform(a, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])))
@@ -55,10 +63,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with a quality score. Null text is scored as an empty one."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of packed sequences. Null text: the end token alone; repeated rows are packed each."""
     import public_tokenizers
 
     p = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -203,3 +203,41 @@ def test_many_different_words_that_begin_alike():
         o, f = toxicity._presence(b)
         stem = toxicity.BINS + toxicity._bin(toxicity.span_hashes(np.frombuffer(b"gund", np.uint8), np.array([0]), np.array([4])) + np.uint64(4))[0]
         assert (o[f == stem]).tolist() == [0]
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, row_key string, row string, c0 string, s double, rest string, component_id long, label string, y double"
+    good = " ".join(f"word{i % 50}" for i in range(60))
+    line = "a line of more than forty characters that many rows of this table hold"
+    one = lambda i, t: (i, t, None, "x", None if t is None else len(t), 7, "mine", None, "c", 0.5, None, 3, "l", 1.0)
+    rows = [one(1, good), one(1, good), one(None, good), one(2, None), one(3, ""), one(None, None), one(4, "z " * 20_000), one(5, line)] + [one(10 + i, f"own words {i} of it\n{line}\nend {i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, 0, None), (10, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "never here"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    show = lambda df: sorted(map(str, map(tuple, df.collect())))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = show(out)
+        if name == "line dedup":
+            texts = sorted(t or "" for t in [r.text for r in out.collect()])
+            cut = [t if i in (5, 15) or t is None else "\n".join(x for x in t.split("\n") if x != line) for i, t, *_ in rows]
+            cut[7] = ""  # the sixth holder is the largest
+            assert texts == sorted(t or "" for t in cut)
+        elif name == "n-gram Jaccard join":
+            others = list(rows)
+            others.remove(one(1, good))
+            others.remove(one(None, good))
+            assert set(kept) <= set(map(str, rows)) and str(one(4, "z " * 20_000)) in kept and kept.count(str(one(1, good))) == 1 and str(one(None, good)) not in kept
+        elif name == "benchmark decontamination":
+            assert kept == sorted(map(str, rows))
+        else:
+            assert set(kept) <= set(map(str, rows))
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    pack = corpus_pipeline.STAGES[4][1]
+    pieces = pack(spark, docs, str(tmp_path))
+    assert sorted({str(r.doc_id) for r in pieces.collect()}) == sorted({str(r[0]) for r in rows})
+    assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
