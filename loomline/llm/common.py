@@ -68,9 +68,11 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, then memory that the allocators keep is given back: workers live on for other operators' tasks."""
+    """run, with arrays of a megabyte or more outside the heap, where freeing them gives them back; then memory that the allocators keep is given back too: workers live on for other operators' tasks."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing with what is freed
         try:
             yield from run(batches)
         finally:

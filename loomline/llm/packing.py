@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         for batch in batches:
             keys = batch.column(0).to_pylist()
             spans = batch.column(2).to_pylist() if loss else None
-            for block in blocks(batch.column(1), size=1 << 20):
+            for block in blocks(batch.column(1), size=1 << 19):
                 ids, counts = bpe.encode(block)
                 at, fulls = 0, []
                 for i, n in enumerate(counts.tolist()):

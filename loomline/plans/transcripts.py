@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lines as L
-from ..operators import prose, report, rollup, turns
+from ..operators import prose, report, rollup, short, turns
 from .base import REAL, SQUASH, query
 
 _STAMP = "1700000000 + conv_id * 1000 + turn * 7"
@@ -139,3 +139,23 @@ def first_last_seen(t):
     others = [c for c in (*rollup.FIRST, *rollup.LAST, "user_prompt", "usage_id") if c not in ("cwd", "model")]
     e = t("events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("offset"), F.lit("").alias("raw"), (F.col("event_type") == "click").alias("is_user"), F.lit(False).alias("is_assistant"), F.unix_seconds("ts").alias("ts"), F.col("event_type").alias("cwd"), F.col("event_type").alias("model"), F.lit(False).alias("has_usage"), *map(none, others), *[F.lit(0).cast("long").alias(c) for c in rollup.TOKENS])
     return rollup.segments(e).select("path", "entries", F.col("cwd.v").alias("first_type"), F.col("model.v").alias("last_type"), F.col("first_ts.v").alias("first_ts"), "last_ts", "user_msgs")
+
+
+_SQUASHED = SQUASH.format(c="text", n=1000000000)
+_HEAD = f"SELECT conv_id, coalesce(arg_min('/w/r' || conv_id % 5 || '/s' || turn % 3, off) FILTER ({_SAYS}), '?') AS cwd, coalesce(rtrim(left(arg_min({_SQUASHED}, off) FILTER (kind = 'user' AND {REAL}), 110)), '(no user message)') AS title FROM ln GROUP BY conv_id"
+
+
+@query(f"WITH {LINES} SELECT conv_id::VARCHAR AS path, cwd, title FROM ({_HEAD})")
+def short_heads(t):
+    return short.heads(transcript_lines(t))
+
+
+@query(f"WITH {LINES} SELECT lpad(conv_id % 80 || 's', 8, ' ') || '  ' || rpad(left(cwd, 24), 24, ' ') || '  ' || title || chr(9) || conv_id || chr(9) || conv_id || chr(9) || cwd AS value FROM ({_HEAD})")
+def short_listing(t):
+    files = t("conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("conv_id").cast("string").alias("id"), (1000 - F.col("conv_id") % 80).alias("mtime"), F.lit(False).alias("is_subagent")).distinct()
+    return short.listing(short.heads(transcript_lines(t)), files, 1000).select("value")
+
+
+@query(f"WITH {LINES}, m AS (SELECT conv_id, off, kind, {_SQUASHED} AS text FROM ln WHERE {_SAYS}), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY off DESC) AS back FROM m WHERE {REAL}) SELECT conv_id::VARCHAR AS path, row_number() OVER (PARTITION BY conv_id ORDER BY off) AS turn_no, kind AS role, left(text, 400) AS said FROM r WHERE back <= 8")
+def short_preview(t):
+    return short.preview(transcript_lines(t))

@@ -194,3 +194,14 @@ def test_tsv_takes_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.value for r in registry.QUERIES["tsv_lines"](spark, str(tmp_path)).collect()}
     assert got == {0: "x" * 500 + "\\t\\\\\\n\\x1b\\r" + "é" * 500, 1: texts[1], 2: "", 3: None}
+
+
+def test_arguments():
+    from loomline.functions import options
+
+    assert options.checked(["--list", "--restore"]) == {"--list": None, "--restore": "5"}
+    assert options.checked(["--search", "--odd words", "--search-mode", "file"]) == {"--search": "--odd words", "--search-mode": "file"}
+    assert options.checked(["--restore", "--json"]) == {"--restore": "5", "--json": None} and options.checked(["--restore", "12"])["--restore"] == "12"
+    for bad in (["--lst"], ["--restore", "--nope"], ["--search"], ["--search", "x", "--search-mode"], ["--search", "x", "--search-mode", "--json"], ["--search-mode", "file"], ["--search", "x", "--search-mode", "web"], ["--restore", "0"], ["--restore", "two"], ["word"]):
+        with pytest.raises(options.Refused):
+            options.checked(bad)
