@@ -16,7 +16,9 @@ def is_held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, label) of at most ``bound`` labelled rows outside the fold, taken by a hash of the id. The bound makes the labels small enough to send to every executor."""
-    y = labels.select(labels[key].alias(key), labels[label].cast("double").alias("y")).where(F.col("y").isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key), folds) != fold))
+    """(key, text, y) of at most ``bound`` distinct labels (id and value) outside the fold, taken by a hash of the id, so that these labels are small enough to send to every executor. An id whose row is repeated trains once, by the text of the smallest hash."""
+    y = labels.select(labels[key].alias(key), labels[label].cast("double").alias("y")).where(F.col("y").isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key), folds) != fold)).distinct()
     y = y.orderBy(F.xxhash64(key), key, "y").limit(bound)
-    return docs.select(docs[key].alias(key), docs[text].alias(text)).join(F.broadcast(y), key)
+    rows = docs.select(docs[key].alias(key), docs[text].alias("text")).join(F.broadcast(y), key)
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    return rows.groupBy(key, "y").agg(first).select(key, "text", "y")

@@ -241,3 +241,15 @@ def test_stages_take_odd_rows(spark, tmp_path):
     pieces = pack(spark, docs, str(tmp_path))
     assert sorted({str(r.doc_id) for r in pieces.collect()}) == sorted({str(r[0]) for r in rows})
     assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_training_rows_are_bounded_though_ids_repeat(spark):
+    from loomline.llm.folds import training_rows
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "two"), (3, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(2, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 1, 7, 100).collect()
+    assert sorted((r.doc_id, r.y) for r in rows) == [(1, 1.0), (2, 0.0), (2, 1.0), (3, 1.0)]
+    assert len(training_rows(docs, labels, "toxic", 1, 7, 2).collect()) == 2
+    again = training_rows(docs.repartition(5), labels, "toxic", 1, 7, 100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
