@@ -1,7 +1,7 @@
 """The full-text index: postings with positions, document lengths and counts, as Parquet tables.
 
-A document is one row, so its words are grouped where they are: an Arrow kernel sorts the
-words of some rows at once, and no word crosses the network before postings are dealt by
+A document is one row, so its words are grouped where they are: an Arrow kernel cuts and
+sorts the words of some rows at once, and no word crosses the network before postings are dealt by
 ranges of terms. A posting carries its document's length, so that ranking joins nothing.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from ..functions import text as X
 from ..sources.storage import work_dir
 
 POSTING = "term string, path string, tf long, positions array<int>, dl long"
-#: Words that the kernel sorts at once; a longer document is sorted alone.
-WORDS = 1 << 20
+#: Bytes of text that the kernel takes at once; a longer document is taken alone.
+BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -36,14 +37,24 @@ class Index:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.column(1).offsets.to_numpy().astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)))
         row, n = 0, batch.num_rows
         while row < n:
-            end = max(row + 1, int(np.searchsorted(at, at[row] + WORDS, "right")) - 1)
-            yield _sorted(batch.column(0).slice(row, end - row), batch.column(1).values.slice(at[row], at[end] - at[row]), np.diff(at[row : end + 1]))
+            end = max(row + 1, int(np.searchsorted(at, at[row] + BYTES, "right")) - 1)
+            words, lengths = _words(batch.column(1).slice(row, end - row))
+            yield _sorted(batch.column(0).slice(row, end - row), words, lengths)
             row = end
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts one after another, runs of letters and digits, and how many each text has."""
+    split = pc.split_pattern_regex(texts, r"[^\p{L}\p{N}]+")
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    return words.filter(real), np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
 def _sorted(paths: pa.Array, words: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
     """Postings of some documents, from their words one after another, and a row without a term for each document."""
     coded = words.dictionary_encode()
@@ -64,8 +75,8 @@ def _sorted(paths: pa.Array, words: pa.Array, lengths: np.ndarray) -> pa.RecordB
 
 def build(bodies: DataFrame, key: str = "path", text: str = "text", folded: bool = True) -> Index:
     """An index of (key, text) rows, one a key; empty texts have no row, nor a place in averages."""
-    words = X.tokens(X.fold(bodies[text]) if folded else F.lower(bodies[text]))
-    docs = bodies.where((F.coalesce(bodies[text], F.lit("")) != "") & bodies[key].isNotNull()).select(bodies[key].cast("string").alias("path"), words.alias("words"))
+    low = X.fold(bodies[text]) if folded else F.lower(bodies[text])
+    docs = bodies.where((F.coalesce(bodies[text], F.lit("")) != "") & bodies[key].isNotNull()).select(bodies[key].cast("string").alias("path"), low.alias("low"))
     return _index(docs.mapInArrow(_postings, POSTING))
 
 

@@ -59,8 +59,8 @@ def test_saved_index(spark, tmp_path):
 def test_postings_of_odd_documents(spark, monkeypatch):
     texts = {"a": "b a b", "empty": "", "none": None, "blank": " - ", "long": "x y " * 3000, "z": "a"}
     df = spark.createDataFrame(list(texts.items()), "path string, text string").repartition(2)
-    for words in (1 << 20, 2):
-        monkeypatch.setattr(postings, "WORDS", words)
+    for size in (8 << 20, 5):
+        monkeypatch.setattr(postings, "BYTES", size)
         index = postings.build(df)
         got = {(r.path, r.term): (r.tf, r.positions, r.dl) for r in index.postings.collect()}
         want = {}
