@@ -190,11 +190,15 @@ def _unlabelled(docs: DataFrame, labels: DataFrame, label: str, key: str, folds:
 
 def _supported(bins: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins by how far their toxic and other rows differ: (bin, log-odds ratio, z), strongest first. y may be shares."""
-    every = np.concatenate(bins) if bins else np.zeros(0, np.int64)
-    label = np.repeat(y, [len(b) for b in bins]) if bins else np.zeros(0)
-    pos, neg = np.bincount(every, label, 2 * BINS), np.bincount(every, 1 - label, 2 * BINS)
+    pos, total = np.zeros(2 * BINS), np.zeros(2 * BINS)
+    for i in range(0, len(bins), 1000):  # some rows at a time: all features with their labels would be the driver's largest arrays
+        part = bins[i : i + 1000]
+        every = np.concatenate(part)
+        pos += np.bincount(every, np.repeat(y[i : i + 1000], [len(b) for b in part]), 2 * BINS)
+        total += np.bincount(every, minlength=2 * BINS)
+    neg = total - pos
     p, n = y.sum(), len(y) - y.sum()
-    some = np.flatnonzero(pos + neg >= 3)
+    some = np.flatnonzero(total >= 3)
     a, b = pos[some] + 0.5, neg[some] + 0.5
     odds = np.log(a / (p - pos[some] + 0.5)) - np.log(b / (n - neg[some] + 0.5))
     z = odds / np.sqrt(1 / a + 1 / b + 1 / (p - pos[some] + 0.5) + 1 / (n - neg[some] + 0.5))
