@@ -334,10 +334,10 @@ query(_bm25_sql([("p", _PHRASE)], "p.f > 0"), "bm25_phrase")(lambda t: _ranked(t
 
 @query("SELECT doc_id::VARCHAR AS path, len({w})::BIGINT AS dl FROM documents WHERE coalesce(text, '') <> ''".format(w=WORDS))
 def index_build(t):
-    """Builds and saves the whole index anew; its lengths."""
-    path = work_dir(t("documents").sparkSession)
-    P.save(P.build(t("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), folded=False), path)
-    return P.load(t("documents").sparkSession, path).lengths
+    """Builds and saves the whole index anew, for the searches after it too; its lengths."""
+    d = t("documents")
+    _indexes.pop((d.sparkSession.sparkContext.applicationId, tuple(d.inputFiles())), None)
+    return _index(t).lengths
 
 
 @query("WITH d AS (SELECT doc_id, unnest({w}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM d GROUP BY term".format(w=WORDS))
