@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -75,7 +75,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word of seven or more code points and two or more occurrences in documents, with its form and root. Null text: no words; null id: written as empty."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing, op11_spelling_variants)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
@@ -116,3 +121,24 @@ l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) |
 k AS (SELECT key, max(doc_id) AS largest FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM (SELECT l.*, k.key IS NOT NULL AND k.largest <> l.doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key) GROUP BY doc_id"""
+
+
+#: SQL of crc32 over the UTF-8 bytes of {x}, beside crc_table: the table by its polynomial, and a fold.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t)"
+_BYTES = "list_transform(range(length(hex(encode({x}))) // 2), lambda i: ('0x' || substr(hex(encode({x})), (2 * i + 1)::INT, 2))::BIGINT)"
+_CRC = "xor(4294967295::BIGINT, list_reduce(" + _BYTES + ", lambda c, b: xor(list_extract(t, (xor(c, b) & 255) + 1), c >> 8), 4294967295::BIGINT))"
+
+ORACLE["op11_spelling_variants"] = f"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7),
+keyed AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS k, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT w, n, {_CRC.format(x="k")} AS h FROM keyed, crc_table),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT word, rest AS other FROM cut WHERE rest IN (SELECT word FROM v) UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM v)
+  UNION SELECT x.word, y.word FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, row(-v.n, encode(other))) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = near.other GROUP BY near.word),
+told AS (SELECT v.word, CASE WHEN form_n >= 10 * v.n THEN form END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS step FROM told UNION ALL SELECT chain.word, told.form, step + 1 FROM chain JOIN told ON chain.here = told.word WHERE told.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)"""
