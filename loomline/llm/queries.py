@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, secrets, spelling, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, prefix_trie, quality, secrets, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -80,7 +80,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing, op11_spelling_variants)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of all rebuilt conversations. Null role or text: empty; null turn: first; rows without conv_id belong to none."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), share=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing, op11_spelling_variants, op13_prefix_trie)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
@@ -142,3 +147,16 @@ told AS (SELECT v.word, CASE WHEN form_n >= 10 * v.n THEN form END AS form, v.n,
 chain AS (SELECT word, word AS here, 0 AS step FROM told UNION ALL SELECT chain.word, told.form, step + 1 FROM chain JOIN told ON chain.here = told.word WHERE told.form IS NOT NULL),
 roots AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
 SELECT told.word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)"""
+
+ORACLE["op13_prefix_trie"] = f"""WITH {_CRC_TABLE},
+own AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hs AS (SELECT c, l, {_CRC.format(x="c::VARCHAR")} % 9 AS h FROM own, crc_table),
+rebuilt AS (SELECT hs.c, list_concat(coalesce(list_slice(base.l, 1, h), []), list_slice(hs.l, h + 1, len(hs.l))) AS l FROM hs LEFT JOIN own base ON base.c = hs.c - hs.c % 5),
+at_depth AS (SELECT c, d, len(l) AS n, list_slice(l, 1, d) AS p, CASE WHEN d > 0 THEN strlen(l[d].text) ELSE 0 END AS bytes FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM rebuilt)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM at_depth GROUP BY p, d),
+up AS (SELECT x.p, x.d, x.conv_id, y.conv_id AS parent_conv_id FROM node x LEFT JOIN node y ON x.d > 0 AND y.d = x.d - 1 AND y.p = list_slice(x.p, 1, x.d - 1)),
+kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+leaf AS (SELECT node.*, kids.n IS NULL AS is_leaf FROM node LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.d = node.d),
+below AS (SELECT list_slice(p, 1, k) AS p, k AS d, count(*) FILTER (is_leaf) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM leaf) GROUP BY ALL)
+SELECT node.conv_id, node.d AS depth, up.parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved AS saved_tokens, ends_sha256
+FROM node JOIN up ON up.conv_id = node.conv_id AND up.d = node.d LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.d = node.d JOIN below ON below.d = node.d AND below.p = node.p"""
