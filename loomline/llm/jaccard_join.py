@@ -29,6 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, lean, mix, runs, span_hashes, stored
+from .common import ASCII_LOWER, BROADCAST_IDS, U64, Block, blocks, lean, mix, runs, span_hashes, spread_join, stored
 from .components import components
 
 LEVELS = 6
@@ -269,10 +271,15 @@ def _candidates(p: DataFrame, percent: int) -> DataFrame:
     one, other = (side(_parts(comps, None, x == "a"), x) for x in "ab")
     sizes = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
     two = one.join(other, met(one, other) & (F.col("comp_a") < F.col("comp_b")) & sizes).select(one["token"], "comp_a", "comp_b")
-    plain = lambda x: member.select("token", *[F.col(c).alias(f"{c}_{x}") for c in member.columns if c not in ("token", "c")])
-    u, v = plain("a"), plain("b")
-    w = two.join(u, ["token", "comp_a"])
-    large = w.join(v, (w["token"] == v["token"]) & (w["comp_b"] == v["comp_b"]) & fit).select(*what)
+    # of two components, both sides' rows are dealt into shares, and each two shares meet in a task of their own
+    sizes_ = member.groupBy("token", "comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT)).cast("int").alias("shares"))
+    dealt = spread_join(member, sizes_, ["token", "comp"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
+    plain = lambda x: dealt.select("token", *[F.col(c).alias(f"{c}_{x}") for c in dealt.columns if c not in ("token", "c")])
+    many = lambda x: sizes_.select("token", F.col("comp").alias(f"comp_{x}"), F.sequence(F.lit(0), F.col("shares") - 1).alias(f"shares_{x}"))
+    two = two.join(many("a"), ["token", "comp_a"]).join(many("b"), ["token", "comp_b"]).withColumn("share_a", F.explode("shares_a")).withColumn("share_b", F.explode("shares_b")).drop("shares_a", "shares_b")
+    u, v = two.join(plain("a"), ["token", "comp_a", "share_a"]), two.join(plain("b"), ["token", "comp_b", "share_b"])
+    here_ = ["token", "comp_a", "comp_b", "share_a", "share_b"]
+    large = u.join(v.withColumnsRenamed({c: f"{c}_" for c in here_}), reduce(and_, [F.col(c) == F.col(f"{c}_") for c in here_]) & fit).select(*what)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l")
     return ordered(alone).unionAll(ordered(mixed)).unionAll(ordered(large))
 
@@ -287,7 +294,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).cast("int")
     posted = posted.select("token", "id", "n", F.col("pos").cast("int").alias("pos"), level.alias("level"))
     lists = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low")).where("c > 1"))
-    shared = stored(posted.join(lists, "token"))
+    shared = stored(spread_join(posted, lists, "token", "inner", counts=lists.select("token", F.col("c").alias("hot_n"))))
 
     # what each l costs a class: postings read, and sets verified at about its own length
     cost = [F.sum(F.when(F.col("level") <= i, F.col("c") - 1).otherwise(0)) * (1 + F.max("n") / F.lit(50.0 * i)) + F.lit(float(i)) for i in range(1, LEVELS + 1)]

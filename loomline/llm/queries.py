@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, prefix_trie, quality, secrets, spelling, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, prefix_trie, quality, secrets, set_sketch, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -80,12 +80,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents with its component; the smallest id of each stays. Null or wordless text: linked with nothing; a null id is its own class's component's."""
+    d = set_sketch.linked(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per node of the trie of all rebuilt conversations. Null role or text: empty; null turn: first; rows without conv_id belong to none."""
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), share=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing, op11_spelling_variants, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_decontamination, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_exact_dedup, op8_secret_scans, op9_quality_classifier, op10_packing, op11_spelling_variants, op12_minhash_near_dedup, op13_prefix_trie)}
 
 #: SQL of the queries that SQL expresses.
 ORACLE: dict[str, str] = {}
@@ -160,3 +166,15 @@ leaf AS (SELECT node.*, kids.n IS NULL AS is_leaf FROM node LEFT JOIN kids ON ki
 below AS (SELECT list_slice(p, 1, k) AS p, k AS d, count(*) FILTER (is_leaf) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM leaf) GROUP BY ALL)
 SELECT node.conv_id, node.d AS depth, up.parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved AS saved_tokens, ends_sha256
 FROM node JOIN up ON up.conv_id = node.conv_id AND up.d = node.d LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.d = node.d JOIN below ON below.d = node.d AND below.p = node.p"""
+
+_LINKED = r"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id{more} FROM documents d JOIN comp ON comp.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+ORACLE["op6_ngram_jaccard_join"] = _LINKED.format(percent=90, more="")
+ORACLE["op12_minhash_near_dedup"] = _LINKED.format(percent=85, more=", d.doc_id = component_id AS kept")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm import chat_format, common, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, url_filter
+from loomline.llm import chat_format, common, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, set_sketch, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, score double"
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,22 +193,67 @@ def components(all_texts, k, percent):
 @pytest.mark.parametrize("k,percent,split", [(3, 90, 2000), (5, 80, 2000), (3, 90, 2), (5, 80, 2)])
 def test_jaccard_join(spark, k, percent, split, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SPLIT", split)
-    r = random.Random(k)
+    docs = spark.createDataFrame(families(k), "doc_id long, text string").repartition(3)
+    got = {x.id: (x.n_shingles, x.component_id) for x in jaccard_join.linked(docs, k=k, percent=percent).collect()}
+    assert got == components(texts(docs), k, percent) and len({c for _, c in got.values()}) < len(got) - 15
+    if k == 3 and split == 2:
+        assert jaccard_join.linked(empty(spark)).count() == 0
+        odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "lone text of some words"), (None, None)], "doc_id long, text string")
+        assert sorted(((x.id, x.component_id) for x in jaccard_join.linked(odd).collect()), key=str) == sorted([(None, 4), (4, 4), (4, 4), (None, None), (None, None)], key=str)
+
+
+def families(seed):
+    """Odd texts, and groups of near copies with one edit or several each."""
+    r = random.Random(seed)
     rows, words = corpus(2, 30), [f"v{i}" for i in range(60)]
-    for size in (12, 40, 200):  # groups of near copies, one edit or several each
+    for size in (12, 40, 200):
         base = r.choices(words, k=size)
         for edits in [1] * 12 + [2] * 4 + [size // 12] * 6:
             t = list(base)
             for _ in range(edits):
                 t[r.randrange(size)] = r.choice(words)
             rows.append(" ".join(t))
-    docs = spark.createDataFrame([(i * 3 % 997, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
-    got = {x.id: (x.n_shingles, x.component_id) for x in jaccard_join.linked(docs, k=k, percent=percent).collect()}
+    return [(i * 3 % 997, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("k,percent,split", [(3, 85, 2000), (5, 80, 2)])
+def test_set_sketch_join(spark, k, percent, split, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in families(k)], "doc_id long, text string, token string, n int, registers string").repartition(3)
+    got = {x.id: (x.n_shingles, x.component_id) for x in set_sketch.linked(docs, k=k, percent=percent).collect()}
     assert got == components(texts(docs), k, percent) and len({c for _, c in got.values()}) < len(got) - 15
-    if k == 3 and split == 2:
-        assert jaccard_join.linked(empty(spark)).count() == 0
-        odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "lone text of some words"), (None, None)], "doc_id long, text string")
-        assert sorted(((x.id, x.component_id) for x in jaccard_join.linked(odd).collect()), key=str) == sorted([(None, 4), (4, 4), (4, 4), (None, None), (None, None)], key=str)
+    if split == 2:
+        assert set_sketch.linked(empty(spark)).count() == 0
+        odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "lone text of some words"), (None, None), (9, "")], "doc_id long, text string")
+        rows = sorted(((x.id, x.component_id, x.kept) for x in set_sketch.linked(odd).collect()), key=str)
+        assert rows == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, True), (None, None, True), (9, 9, True)], key=str)
+
+
+def test_sketches_merge_and_tell_similarities():
+    r = np.random.default_rng(2)
+    w = r.integers(0, 1 << 62, 900).astype(np.uint64)
+    whole, parts = set_sketch.sketches(w, np.array([0, 900])), set_sketch.sketches(w, np.array([0, 250, 900]))
+    assert (set_sketch.merged(parts) == whole[0]).all()
+    assert set_sketch.sketches(w[:0], np.array([0, 0])).max() == 0
+    far, kept, agree = 0, 0, []
+    for _ in range(200):
+        w = r.integers(0, 1 << 62, 400).astype(np.uint64)
+        near = set_sketch.sketches(np.concatenate((w[:320], w[24:344])), np.array([0, 320, 640]))  # 296 of 344: 0.86
+        kept += set_sketch.plausible(near[:1], near[1:], np.array([320]), np.array([320]), 85)[0]
+        agree.append((near[0] == near[1]).mean())
+        off = set_sketch.sketches(np.concatenate((w[:250], w[150:])), np.array([0, 250, 500]))  # 0.25
+        far += set_sketch.plausible(off[:1], off[1:], np.array([250]), np.array([250]), 85)[0]
+    assert kept == 200 and far == 0 and abs(np.mean(agree) - 0.86) < 0.01
+
+
+@pytest.mark.parametrize("split", [3, 2000])
+def test_large_components_that_share_a_token(spark, split, monkeypatch):
+    """Each two rows of different components meet once, however the shares are dealt."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    rows = [(7, i, 50, 60, 0, 1, 1, i % 3 * 1000 or None, i % 3 * 1000 if i % 3 else i, *[0] * 8) for i in range(60)]
+    p = spark.createDataFrame(rows, "token long, id long, n long, c long, pos int, level int, l int, component long, comp long, " + ", ".join(f"s{i} long" for i in range(8)))
+    got = sorted((x.a, x.b) for x in jaccard_join._candidates(common.stored(p), 80).collect())
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == 0 == b % 3 or a % 3 != b % 3]
 
 
 def spans(text, extra=False):
