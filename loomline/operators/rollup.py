@@ -64,7 +64,7 @@ def segments(lines: DataFrame) -> DataFrame:
         first_real.alias("first_prompt"),
         *[_at(F.min_by, c).alias(c) for c in FIRST],
         *[_at(F.max_by, c).alias(c) for c in LAST],
-        F.max(F.col("offset") + F.octet_length("raw") + 1).alias("scanned_len"),
+        F.max(F.col("offset") + (F.col("bytes") if "bytes" in lines.columns else F.octet_length("raw") + 1)).alias("scanned_len"),
     )
     usage = _usage(lines)
     return fields.join(usage, "path", "left").select(*fields.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in TOKENS], "first_usage", "last_usage_id")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -78,6 +80,13 @@ class Commits:
             raise RuntimeError(f"commit {after} of {self.path} exists: another writer was first") from e
         self.all()
 
+    def tables(self) -> list[tuple[str, float]]:
+        """Names of the tables in the store's folder, and seconds since each was last written to."""
+        at = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self._conf)
+        found = files.listStatus(at) if files.exists(at) else []
+        return [(f.getPath().getName(), time.time() - f.getModificationTime() / 1000) for f in found if f.isDirectory() and re.fullmatch(r"\w+-[0-9a-f]{32}", f.getPath().getName())]
+
     def drop(self, name: str) -> None:
         """Takes a table's files away. For tables that no commit to come will name."""
         at = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

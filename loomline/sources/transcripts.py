@@ -1,7 +1,7 @@
 """The ``transcripts`` data source: append-only JSON-Lines files, in batch and as a stream.
 
 One row per line: path, line_no (null for lines read from the middle of a file), byte
-offset, raw text, terminated. Layout: ``<root>/<project>/<session>.jsonl`` and
+offset, raw text, terminated, bytes (its line break's included). Layout: ``<root>/<project>/<session>.jsonl`` and
 ``<root>/<project>/<parent>/subagents/*.jsonl``. A last line without its line break is
 left unread unless ``partial`` is set, since its writer isn't done.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, offset long, line_no long, raw string, terminated boolean, epoch int"
+SCHEMA = "path string, offset long, line_no long, raw string, terminated boolean, epoch int, bytes long"
 
 
 def listing(root: str, subagents: bool = True) -> list[str]:
@@ -65,7 +65,7 @@ def lines(span: Span) -> Iterator[tuple]:
             ended = raw.endswith(b"\n")
             if not ended and not span.partial:
                 return
-            yield span.path, at, n, raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace"), ended, span.epoch
+            yield span.path, at, n, raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace"), ended, span.epoch, len(raw)
             at += len(raw)
             n += 1
 
@@ -175,7 +175,7 @@ def read_text(spark: SparkSession, root: str) -> DataFrame:
     """The same columns through the built-in text source, for stores that only Spark reads: (path, offset, raw). offset orders a file's lines; an unterminated last line is included."""
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
     at = F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 33)
-    return t.select(F.col("_metadata.file_path").alias("path"), at.alias("offset"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("raw"), F.lit(True).alias("terminated"), F.lit(0).alias("epoch"))
+    return t.select(F.col("_metadata.file_path").alias("path"), at.alias("offset"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("raw"), F.lit(True).alias("terminated"), F.lit(0).alias("epoch"), (F.octet_length("value") + 1).cast("long").alias("bytes"))
 
 
 FILES = "path string, size long, mtime long, is_subagent boolean, parent string, project_dir string, id string"

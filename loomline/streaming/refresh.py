@@ -1,38 +1,55 @@
 """Incremental refresh: only what was appended is read, and segments merge into the state.
 
-The stream of new lines is folded batch by batch. A batch's lines become segments (one
-row a transcript); segments of the same epoch merge with the stored ones, those of a new
-epoch (a file that was rewritten) replace them. The state is a folder of tables that
-numbered commits name: a batch that is run again after a failure finds its number in the
-last one and does nothing. Only what a batch touches is read and written.
+The stream of new lines is folded batch by batch, by comparison and not by counting: a
+transcript's lines are appended only if they begin where its stored reading ended, and
+replace what is stored if they begin at its first byte. Lines that the state has already are
+passed over; where the two don't meet (a state or a checkpoint was lost or is of another
+time), that transcript is read again from its start. So a batch that is run twice, two
+refreshes at once, a deleted checkpoint and a change of logic all end like a fresh scan.
+
+The state is a folder of tables that numbered commits name: segments, prose and the runs of
+the growing index land together or not at all. Only what a batch touches is read and written.
 """
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import growing, prose, rollup
 from ..operators import lines as L
-from ..operators import prose, rollup
+from ..operators.postings import Index
 from ..sources import transcripts
-from ..sources.storage import Commits
+from ..sources.storage import Commits, work_dir
 
-LOGIC_VERSION = 1
+#: What the state's values mean; another number has all transcripts read again, beside the old rows.
+LOGIC_VERSION = 2
 #: Runs of segments that are read together.
 RUNS = 8
-PROSE = "path string, epoch int, batch long, text string"
+#: Times that a commit is tried when other writers are first.
+TRIES = 5
+#: Seconds that a table stays after no commit names it any more, for readers that began before.
+RETAINED = 24 * 3600
+PROSE = "path string, gen long, seq long, base long, text string"
+#: Besides a segment's fields: bytes read, the commit that read it from its start, words and bytes of prose.
+OWN = ("read_to", "gen", "words", "said")
 
 
 class State:
-    """Segments and prose of all transcripts under ``path``, a folder that the cluster shares.
+    """Segments, prose and index of all transcripts under ``path``, a folder that the cluster shares.
 
     A commit names all tables that count after it. Segments are runs: a batch writes those
     of the transcripts that it touches, whole, and a transcript's latest run holds; more
     than RUNS are merged into one.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.log = spark, Commits(spark, path)
+    def __init__(self, spark: SparkSession, path: str, folded: bool = True) -> None:
+        self.spark, self.log, self.folded = spark, Commits(spark, path), folded
 
     @property
     def path(self) -> str:
@@ -40,24 +57,30 @@ class State:
 
     def pointer(self) -> dict:
         done = self.log.all()
-        return done[-1] if done else {"batch": -1, "segments": [], "logic": LOGIC_VERSION, "prose": []}
+        return done[-1] if done else {"segments": [], "prose": [], "index": [], "logic": LOGIC_VERSION}
 
     @property
     def stale(self) -> bool:
-        """Whether the state was made by other logic: still shown, but to be rebuilt under a new checkpoint."""
+        """Whether some rows may be of other logic: still shown, until a refresh has read all again."""
         return self.pointer()["logic"] != LOGIC_VERSION
 
+    def _at(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(self._at(name))
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = self.log.table(name)
         df.write.parquet(path)
         return path.rpartition("/")[2]
 
-    def segments(self, touched: DataFrame | None = None) -> DataFrame | None:
-        """The latest segments; touched: of these paths alone."""
-        runs = self.pointer()["segments"]
+    def _commit(self, after: int, entry: dict) -> None:
+        self.log.add(after, entry | {"at": time.time()})
+
+    def segments(self, touched: DataFrame | None = None, at: dict | None = None) -> DataFrame | None:
+        """The latest segments; touched: of these paths alone; at: of that commit."""
+        runs = (at or self.pointer())["segments"]
         rows = None
         for i, name in enumerate(runs):
             run = self._read(name) if touched is None else self._read(name).join(touched.select("path"), "path", "left_semi")
@@ -68,56 +91,128 @@ class State:
         others = [c for c in rows.columns if c not in ("path", "at")]
         return rows.groupBy("path").agg(F.max_by(F.struct(*others), "at").alias("x")).select("path", "x.*")
 
-    def _prose(self, touched: DataFrame | None = None) -> DataFrame | None:
-        """(path, epoch, batch, text) of the current epochs."""
+    def bodies(self) -> DataFrame:
+        """(path, text) of the current readings."""
         now = self.pointer()
         if not now["prose"]:
-            return None
-        rows = self.spark.read.schema(PROSE).parquet(*[f"{self.path}/{x}" for x in now["prose"]])
-        return rows.join(self.segments(touched).select("path", "epoch"), ["path", "epoch"], "left_semi")
-
-    def bodies(self) -> DataFrame:
-        """(path, text) of the current epochs."""
-        rows = self._prose()
-        if rows is None:
             return self.spark.createDataFrame([], "path string, text string")
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "text"))), lambda x: x["text"]), "")
+        rows = self.spark.read.schema(PROSE).parquet(*map(self._at, now["prose"]))
+        rows = rows.join(self.segments(at=now).select("path", "gen"), ["path", "gen"], "left_semi")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
         return rows.groupBy("path").agg(joined.alias("text"))
 
-    def apply(self, new: DataFrame, batch: int) -> None:
-        """One batch of lines, once."""
-        now, after = self.pointer(), len(self.log.all())
-        if batch <= now["batch"]:
+    def _live(self, at: dict) -> DataFrame:
+        seg = self.segments(at=at)
+        return seg.where("said > 0").select("path", "gen", F.col("words").alias("dl")) if seg is not None else self.spark.createDataFrame([], growing.LIVE)
+
+    def index(self) -> Index:
+        """The index of all prose, as of the latest commit."""
+        now = self.pointer()
+        return growing.opened(self.spark, [self._at(r["name"]) for r in now["index"]], self._live(now))
+
+    def apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None = None) -> None:
+        """Lines read on, as far as the state doesn't have them. reread(paths): the whole transcripts, for those that don't meet what is stored; without it they raise ValueError."""
+        new = new.persist(StorageLevel.DISK_ONLY)
+        try:
+            for left in reversed(range(TRIES)):
+                try:
+                    self._apply(new, reread)
+                    return
+                except RuntimeError:  # another writer was first: what it did is compared with anew
+                    if not left:
+                        raise
+        finally:
+            new.unpersist()
+
+    def _told(self, new: DataFrame, seq: int) -> DataFrame:
+        """(path, kind, read_to, gen, base, had) of a batch's transcripts: what is to be done with each."""
+        reach = new.groupBy("path").agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("bytes")).alias("read_to"))
+        old = self.segments(reach)
+        had = old.select("path", *[F.col(c).alias(f"old_{c}") for c in OWN]) if old is not None else reach.select("path", *[F.lit(None).cast("long").alias(f"old_{c}") for c in OWN]).limit(0)
+        kind = F.when(F.col("first") == 0, "whole").when(F.col("old_read_to") == F.col("first"), "more").when(F.col("old_read_to") >= F.col("read_to"), "known").otherwise("apart")
+        r = reach.join(had, "path", "left").withColumn("kind", kind)
+        own = lambda c, none: F.when(F.col("kind") == "more", F.col(f"old_{c}")).otherwise(F.lit(none).cast("long"))
+        r = r.select("path", "kind", "read_to", own("gen", seq).alias("gen"), own("words", 0).alias("base"), own("said", 0).alias("had"))
+        path = work_dir(self.spark)
+        r.write.parquet(path)
+        return self.spark.read.schema(r.schema).parquet(path)
+
+    def _apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None) -> None:
+        now, seq = self.pointer(), len(self.log.all())
+        told = self._told(new, seq)
+        apart = [r.path for r in told.where("kind = 'apart'").select("path").collect()]
+        if apart:
+            if reread is None:
+                raise ValueError(f"{len(apart)} transcripts don't go on where the state ends, {apart[0]} among them")
+            gone = told.where("kind = 'apart'").select("path")
+            new = new.join(gone, "path", "left_anti").unionByName(reread(apart).select(*new.columns))
+            told = self._told(new, seq)
+        todo = told.where("kind IN ('whole', 'more')")
+        if todo.isEmpty():
             return
-        typed = L.classify(new)
-        epochs = new.groupBy("path").agg(F.max("epoch").alias("epoch"))
-        seg = rollup.segments(typed).join(epochs, "path")
-        old, had = self.segments(epochs), None
+        typed = L.classify(new.join(todo.select("path"), "path", "left_semi"))
+        seg = rollup.segments(typed)
+        old = self.segments(todo.where("kind = 'more'"))
         if old is not None:
-            same = old.join(epochs, ["path", "epoch"], "left_semi").drop("epoch")
-            seg = rollup.merge(same, seg.drop("epoch")).join(epochs, "path")
-            said = self._prose(epochs)
-            if said is not None:  # what a transcript has said counts against its cap
-                had = said.join(epochs, ["path", "epoch"], "left_semi").groupBy("path").agg(F.sum(F.octet_length("text")).alias("had"))
+            seg = rollup.merge(old.drop(*OWN), seg)
+        text = prose.bodies(typed, had=todo.select("path", "had")).join(todo.select("path", "gen", "base"), "path")
+        name = self._write(text.select("path", "gen", F.lit(seq).cast("long").alias("seq"), "base", "text"), "prose")
+        said = self._read(name)
+        run = self.log.table("index")
+        words = growing.run_of(said.select("path", "gen", "base", "text"), run, self.folded).select("path", "words")
+        size = said.select("path", F.octet_length("text").cast("long").alias("bytes"))
+        zero = F.lit(0).cast("long")
+        seg = todo.select("path", "read_to", "gen", "base", "had").join(seg, "path", "left").join(words, "path", "left").join(size, "path", "left")
+        seg = seg.withColumns({"words": F.col("base") + F.coalesce("words", zero), "said": F.col("had") + F.coalesce("bytes", zero)}).drop("base", "had", "bytes")
         runs = [*now["segments"], self._write(seg, "segments")]
-        text = prose.bodies(typed, had=had).join(epochs, "path").withColumn("batch", F.lit(batch)).select("path", "epoch", "batch", "text")
-        self.log.add(after, {"batch": batch, "segments": runs, "logic": LOGIC_VERSION, "prose": [*now["prose"], self._write(text, "prose")]})
-        if len(runs) > RUNS:
-            self.log.add(after + 1, self.pointer() | {"segments": [self._write(self.segments(), "segments")]})
+        index = [*now["index"], {"name": run.rpartition("/")[2], "tier": 0}]
+        self._commit(seq, now | {"segments": runs, "prose": [*now["prose"], name], "index": index})
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Merges runs; left to the next refresh if another writer commits meanwhile."""
+        try:
+            now, after = self.pointer(), len(self.log.all())
+            if len(now["segments"]) > RUNS:
+                self._commit(after, now | {"segments": [self._write(self.segments(at=now), "segments")]})
+                now, after = self.pointer(), len(self.log.all())
+            while same := growing.tiers(now["index"]):
+                path = self.log.table("index")
+                growing.merge(self.spark, [self._at(r["name"]) for r in same], self._live(now), path)
+                kept = [r for r in now["index"] if r not in same]
+                self._commit(after, now | {"index": [*kept, {"name": path.rpartition("/")[2], "tier": same[0]["tier"] + 1}]})
+                now, after = self.pointer(), len(self.log.all())
+        except RuntimeError:
+            return
+
+    def settle(self) -> None:
+        """All transcripts have been read by today's logic."""
+        if self.stale:
+            self._commit(len(self.log.all()), self.pointer() | {"logic": LOGIC_VERSION})
 
     def prune(self, files: DataFrame) -> None:
-        """Drops transcripts whose file is gone: segments, prose, and what earlier commits left behind. Not while a search reads the state."""
+        """Drops transcripts whose file is gone. Searches that began before go on: their tables stay for vacuum()."""
         now, after = self.pointer(), len(self.log.all())
-        if not now["segments"]:
-            return
-        there = files.select("path").distinct()
-        segments = self._write(self.segments().join(there, "path", "left_semi"), "segments")
-        said = self._prose()
-        text = [self._write(said.join(there, "path", "left_semi"), "prose")] if said is not None else []
-        earlier = self.log.all()
-        self.log.add(after, now | {"segments": [segments], "prose": text})
-        for name in {x for c in earlier for x in (*c["segments"], *c["prose"])}:
+        if now["segments"]:
+            there = files.select("path").distinct()
+            self._commit(after, now | {"segments": [self._write(self.segments(at=now).join(there, "path", "left_semi"), "segments")]})
+
+    def vacuum(self, retained: float = RETAINED) -> list[str]:
+        """Drops tables that no commit has named for ``retained`` seconds, and as old ones that no commit ever named (of writers that failed). Prose of gone transcripts is written anew without them first."""
+        now, after = self.pointer(), len(self.log.all())
+        if now["prose"]:
+            rows = self.spark.read.parquet(*map(self._at, now["prose"])).join(self.segments(at=now).select("path", "gen"), ["path", "gen"], "left_semi")
+            self._commit(after, now | {"prose": [self._write(rows, "prose")]})
+        named = lambda c: {*c["segments"], *c["prose"], *(r["name"] for r in c["index"])}
+        done, limit = self.log.all(), time.time() - retained
+        needed = named(done[-1]) if done else set()
+        for c, after_ in zip(done, done[1:], strict=False):
+            if after_["at"] > limit:  # it counted until then
+                needed |= named(c)
+        dropped = [name for name, age in self.log.tables() if name not in needed and age >= retained]
+        for name in dropped:
             self.log.drop(name)
+        return dropped
 
     def sessions(self, files: DataFrame) -> DataFrame:
         seg = self.segments()
@@ -125,11 +220,13 @@ class State:
 
 
 def refresh(spark: SparkSession, root: str, state: State) -> State:
-    """Reads what was appended since the last refresh; ends when it is all in."""
+    """Reads what was appended since the last refresh; ends when it is all in. Another logic has a checkpoint of its own, so everything is read again and replaces the old rows, which are shown until then."""
     transcripts.register(spark)
     stream = spark.readStream.format("transcripts").option("path", root).load()
-    query = stream.writeStream.foreachBatch(lambda df, n: state.apply(df, n)).option("checkpointLocation", f"{state.path}/checkpoint-{LOGIC_VERSION}").trigger(availableNow=True).start()
+    again = lambda paths: transcripts.read(spark, root, files=json.dumps(paths))
+    query = stream.writeStream.foreachBatch(lambda df, n: state.apply(df, again)).option("checkpointLocation", f"{state.path}/checkpoint-{LOGIC_VERSION}").trigger(availableNow=True).start()
     query.awaitTermination()
+    state.settle()
     return state
 
 

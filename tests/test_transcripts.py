@@ -2,12 +2,15 @@
 
 import json
 import os
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import lines as L
-from loomline.operators import prose, rollup, turns
+from loomline.functions.query import Query
+from loomline.operators import growing, postings, prose, rollup, search, turns
 from loomline.sources import transcripts
 from loomline.streaming import refresh
 
@@ -23,17 +26,36 @@ def meta(kind, **fields):
     return json.dumps({"type": kind, **fields}, separators=(",", ":"))
 
 
-#: A question after an injected one, an answer, a mode that changes, a title and a later prompt.
-BASE = [
-    meta("permission-mode", permissionMode="plan"),
-    message("user", [{"type": "text", "text": "<note>water twice</note>"}], 0),
-    message("user", "plant\t the  beans", 2),
-    message("assistant", [{"type": "text", "text": "which bed?"}], 6, model="gardener"),
-    meta("permission-mode", permissionMode="acceptEdits"),
-    meta("summary", text="not a session's field"),
-    meta("ai-title", aiTitle="Beans in a bed"),
-    meta("last-prompt", lastPrompt="the south one"),
-]
+#: What a transcript may hold, by feature: its lines, and what they add to the session.
+FEATURES = {
+    "mode": ([meta("permission-mode", permissionMode="plan")], {"permission_mode": "plan"}),
+    "later mode": ([meta("permission-mode", permissionMode="acceptEdits")], {}),
+    "prompt": ([message("user", "plant\t the  beans", 2)], {"user_msgs": 1, "first_prompt": "plant the beans", "first": 2, "said": "plant the beans"}),
+    "answer": ([message("assistant", [{"type": "text", "text": "which bed?"}], 6, model="gardener")], {"assistant_msgs": 1, "model": "gardener", "last": 6, "said": "which bed?"}),
+    "injected": ([message("user", [{"type": "text", "text": "<note>water twice</note>"}], 7)], {"user_msgs": 1, "last": 7, "said": "<note>water twice</note>"}),
+    "no field": ([meta("summary", text="not a session's field")], {}),
+    "title": ([meta("ai-title", aiTitle="Beans in a bed")], {"ai_title": "Beans in a bed"}),
+    "last prompt": ([meta("last-prompt", lastPrompt="the south one")], {"last_prompt": "the south one"}),
+}
+
+
+def transcript(*names):
+    """The lines of the named features, and what a session of them holds: counts add up, the last value holds but for the mode's, the first's."""
+    rows, want, said = [], {"user_msgs": 0, "assistant_msgs": 0}, []
+    for name in names:
+        more, adds = FEATURES[name]
+        rows += more
+        for k, v in adds.items():
+            if k == "said":
+                said.append(v)
+            elif k.endswith("_msgs"):
+                want[k] += v
+            else:
+                want[k] = v
+    return rows, want | {"entries": len(rows), "said": " ".join(said)}
+
+
+BASE, WANT = transcript(*FEATURES)
 USAGE = {"input_tokens": 5, "output_tokens": 70, "cache_read_input_tokens": 900, "cache_creation_input_tokens": 11}
 
 
@@ -49,14 +71,26 @@ def scanned(spark, root):
     return {r.id: r for r in rollup.sessions(rollup.segments(typed), transcripts.files(spark, str(root))).collect()}
 
 
-def test_base_rollup(spark, tmp_path):
-    write(tmp_path, "s1.jsonl", BASE)
-    r = scanned(spark, tmp_path)["s1"]
-    assert (r.entries, r.user_msgs, r.assistant_msgs) == (8, 2, 1)
-    assert (r.cwd, r.git_branch, r.version) == ("/srv/garden", "spring", "7.0.1")
-    assert (r.ai_title, r.first_prompt, r.last_prompt) == ("Beans in a bed", "plant the beans", "the south one")
-    assert (r.model, r.permission_mode, r.last_ts - r.first_ts) == ("gardener", "plan", 6)
-    assert r.scanned_len == r.size
+@pytest.mark.parametrize("seed", range(6))
+def test_rollup_of_features(spark, tmp_path, seed):
+    """Any choice of features in any order; the mode that is named first, and times, follow their own order."""
+    r = random.Random(seed)
+    names = [n for n in FEATURES if r.random() < 0.7 or n == "prompt"]
+    if seed:
+        r.shuffle(names)
+    rows, want = transcript(*names)
+    write(tmp_path, "s1.jsonl", rows)
+    got = scanned(spark, tmp_path)["s1"]
+    modes = [n for n in names if n.endswith("mode")]
+    want["permission_mode"] = {"mode": "plan", "later mode": "acceptEdits"}[modes[0]] if modes else ""
+    for k, v in want.items():
+        if k not in ("said", "first", "last"):
+            assert getattr(got, k) == v, k
+    times = [t for n in names for t in [{"prompt": 2, "answer": 6, "injected": 7}.get(n)] if t]
+    assert got.last_ts - got.first_ts == max(times) - times[0]
+    assert (got.cwd, got.git_branch, got.version, got.scanned_len) == ("/srv/garden", "spring", "7.0.1", got.size)
+    text = prose.bodies(L.classify(transcripts.read(spark, str(tmp_path)))).first().text
+    assert " ".join(text.split()) == want["said"]
 
 
 @pytest.mark.parametrize("block", [64 << 20, 300, 1])
@@ -170,20 +204,25 @@ def test_refresh_reads_only_what_is_new(spark, tmp_path):
     files = transcripts.files(spark, str(root))
     got = {r.id: r for r in state.sessions(files).collect()}
     assert (got["s1"].entries, got["s1"].ai_title, got["s2"].first_prompt) == (8, "Beans in a bed", "other")
-    assert " ".join({r.path: r.text for r in state.bodies().collect()}[str(p)].split()) == "<note>water twice</note> plant the beans which bed?"
-    batch = state.pointer()["batch"]
-    state.apply(transcripts.read(spark, str(root)), batch)  # the same batch again
-    assert state.pointer()["batch"] == batch
+    assert " ".join({r.path: r.text for r in state.bodies().collect()}[str(p)].split()) == WANT["said"]
+    done = len(state.log.all())
+    new = transcripts.read(spark, str(root)).where("path LIKE '%s1%' AND offset > 0")
+    state.apply(new)  # what the state has already
+    assert len(state.log.all()) == done
     write(root, "s1.jsonl", [message("user", "rewritten")])  # shorter than before
     refresh.refresh(spark, str(root), state)
     got = {r.id: r for r in state.sessions(transcripts.files(spark, str(root))).collect()}
     assert (got["s1"].entries, got["s1"].first_prompt) == (1, "rewritten")
-    before = set(os.listdir(at))
     (root / "-srv-garden" / "s2.jsonl").unlink()
+    reader = state.sessions(transcripts.files(spark, str(root)))  # a search that began before
     state.prune(transcripts.files(spark, str(root)))
-    assert state.segments().count() == 1 and state.bodies().count() == 1 and len(state.pointer()["prose"]) == 1
+    assert state.segments().count() == 1 and state.bodies().count() == 1 and reader.count() == 1
+    state.vacuum()
+    assert reader.count() == 1  # tables stay for a day
+    (at / ("segments-" + "0" * 32)).mkdir()  # of a writer that failed
+    assert len(state.vacuum(0)) > 4
     left = [x for x in os.listdir(at) if x.startswith(("segments", "prose"))]
-    assert len(left) == 2 and not before & set(left)  # earlier tables are gone
+    assert len(left) == 2 and state.segments().count() == 1 and state.bodies().count() == 1
 
 
 def test_state_opened_again_and_merged(spark, tmp_path, monkeypatch):
@@ -197,5 +236,104 @@ def test_state_opened_again_and_merged(spark, tmp_path, monkeypatch):
     files = transcripts.files(spark, str(root))
     whole = rollup.sessions(rollup.segments(L.classify(transcripts.read(spark, str(root)))), files)
     assert sorted(again.sessions(files).collect()) == sorted(whole.collect())
-    monkeypatch.setattr(refresh, "LOGIC_VERSION", 2)
-    assert again.stale
+
+
+def shown(spark, root, state):
+    """Sessions, prose, and the index's postings and lengths."""
+    files = transcripts.files(spark, str(root))
+    rows = sorted(state.sessions(files).collect())
+    bodies = sorted((r.path, " ".join(r.text.split())) for r in state.bodies().collect())
+    index = state.index()
+    posted = {}
+    for r in index.postings.collect():
+        posted.setdefault((r.term, r.path, r.dl), []).extend(r.positions)
+    return rows, bodies, sorted((*k, sorted(v)) for k, v in posted.items()), sorted(map(tuple, index.lengths.collect())), index.totals.first()
+
+
+def afresh(spark, root, tmp_path):
+    """What a fresh scan and an index built at once show."""
+    typed = L.classify(transcripts.read(spark, str(root)))
+    said = prose.bodies(typed)
+    index = postings.build(said)
+    rows = sorted(rollup.sessions(rollup.segments(typed), transcripts.files(spark, str(root))).collect())
+    posted = sorted((r.term, r.path, r.dl, list(r.positions)) for r in index.postings.collect())
+    return rows, sorted((r.path, " ".join(r.text.split())) for r in said.collect()), posted, sorted(map(tuple, index.lengths.collect())), index.totals.first()
+
+
+def grow(r, root, many=3):
+    """Appends to some transcripts, rewrites one, removes one, adds one; blank lines and carriage returns among them."""
+    names = list(FEATURES)
+    for i in range(many):
+        p = root / "-srv-garden" / f"g{i}.jsonl"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        rows = transcript(*r.choices(names, k=r.randint(1, 4)))[0]
+        end = r.choice(["\n", "\r\n", "\n\n"])
+        what = r.random()
+        if what < 0.15 and p.exists():
+            p.write_bytes(rows[0].encode()[:7] + b"\n")  # shorter, and no JSON
+        else:
+            with p.open("ab") as f:
+                f.write((end.join(rows) + end).encode())
+    if r.random() < 0.3 and (p := root / "-srv-garden" / "g0.jsonl").exists():
+        p.unlink()
+
+
+def test_refreshes_equal_a_fresh_scan(spark, tmp_path, monkeypatch):
+    """Appends, rewrites, removals, merges of runs, a lost checkpoint, a batch run twice, other logic: after each the state shows what a fresh scan does."""
+    monkeypatch.setattr(refresh, "RUNS", 2)
+    monkeypatch.setattr(growing, "FAN", 2)
+    r, root, at = random.Random(8), tmp_path / "root", str(tmp_path / "state")
+    grow(r, root)
+    state = refresh.refresh(spark, str(root), refresh.State(spark, at))
+    for step in range(4):
+        grow(r, root)
+        if step == 1:  # the checkpoint is lost
+            shutil.rmtree(f"{at}/checkpoint-{refresh.LOGIC_VERSION}")
+        if step == 2:  # other logic: a checkpoint of its own, whose batches are numbered anew
+            monkeypatch.setattr(refresh, "LOGIC_VERSION", 99)
+            assert state.stale and state.segments().count() > 0  # the old rows are shown
+        refresh.refresh(spark, str(root), refresh.State(spark, at))
+        state = refresh.State(spark, at)
+        state.prune(transcripts.files(spark, str(root)))
+        assert not state.stale
+        assert shown(spark, root, state) == afresh(spark, root, tmp_path), step
+    state.vacuum(0)
+    assert shown(spark, root, state) == afresh(spark, root, tmp_path)
+    assert len(state.pointer()["index"]) <= 3
+    q = Query.parse('"south one" OR beans bed')
+    assert sorted(search.indexed(state.index(), q).collect()) == sorted(search.indexed(postings.build(state.bodies()), q).collect())
+
+
+def test_lines_are_compared_before_they_are_appended(spark, tmp_path):
+    """Twice the same lines, lines that don't meet what is stored, and two writers."""
+    root, at = tmp_path / "root", str(tmp_path / "state")
+    p = write(root, "s1.jsonl", BASE[:3])
+    state = refresh.refresh(spark, str(root), refresh.State(spark, at))
+    cut = p.stat().st_size
+    write(root, "s1.jsonl", BASE)
+    lines = transcripts.read(spark, str(root))
+    tail = lines.where(F.col("offset") >= cut)
+    other = refresh.State(spark, at)
+    state.apply(tail)
+    other.apply(tail)  # it read on from the same place
+    want = afresh(spark, root, tmp_path)
+    assert shown(spark, root, other) == shown(spark, root, state) == want
+    lost = refresh.State(spark, str(tmp_path / "empty"))
+    with pytest.raises(ValueError, match="don't go on"):
+        lost.apply(tail)
+    asked = []
+    lost.apply(tail, lambda paths: asked.extend(paths) or lines)
+    assert asked == [str(p)] and shown(spark, root, lost) == want
+
+
+def test_a_refresh_writes_what_was_appended(spark, tmp_path):
+    root, at = tmp_path / "root", tmp_path / "state"
+    for i in range(20):
+        write(root, f"s{i}.jsonl", BASE * 20)
+    state = refresh.refresh(spark, str(root), refresh.State(spark, str(at)))
+    first = spark.read.parquet(f"{at}/{state.pointer()['index'][0]['name']}").count()
+    with (root / "-srv-garden" / "s3.jsonl").open("a") as f:
+        f.write(BASE[2] + "\n")
+    refresh.refresh(spark, str(root), state)
+    last = spark.read.parquet(f"{at}/{state.pointer()['index'][-1]['name']}")
+    assert last.count() == 3 < first and spark.read.parquet(f"{at}/{state.pointer()['segments'][-1]}").count() == 1
