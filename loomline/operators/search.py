@@ -87,13 +87,18 @@ def mentions(text: Column, spelling: str) -> Column:
     return F.least((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(spelling), F.lit("")))) / F.lit(len(spelling.encode())), F.lit(float(MENTIONS)))
 
 
-def literal(bodies: DataFrame, query: Query, key: str = "path", text: str = "text") -> DataFrame:
-    """(path, text, score) of the prose with every term as written, by damped counts."""
-    low = X.ascii_lower(bodies[text])
-    counts = [sum((mentions(F.col("low"), s.translate(str.maketrans(X.UPPER, X.LOWER))) for s in dict.fromkeys(t.spellings())), F.lit(0.0)) for t in query.terms]
-    rows = bodies.select(bodies[key].alias("path"), bodies[text].alias("text"), low.alias("low"))
-    every = reduce(lambda a, b: a & b, [c > 0 for c in counts], F.lit(bool(counts)))
-    return rows.where(every).select("path", "text", sum((F.log1p(c) for c in counts), F.lit(0.0)).alias("score"))
+def literal(bodies: DataFrame, query: Query, key: str = "path", text: str = "text", low: str | None = None) -> DataFrame:
+    """(path, text, score) of the prose with every term as written, by damped counts. low: a column that holds the text in lower case already.
+
+    Rows are chosen by ``contains`` first, which stops at a first place; places are counted in those alone.
+    """
+    ways = [[s.translate(str.maketrans(X.UPPER, X.LOWER)) for s in dict.fromkeys(t.spellings())] for t in query.terms]
+    folded = bodies[low] if low else X.ascii_lower(bodies[text])
+    some = lambda ss: reduce(lambda a, b: a | b, [F.contains("low", F.lit(s)) for s in ss])
+    every = reduce(lambda a, b: a & b, map(some, ways), F.lit(bool(ways)))
+    rows = bodies.select(bodies[key].alias("path"), bodies[text].alias("text"), folded.alias("low")).where(every)
+    counts = [sum((mentions(F.col("low"), s) for s in ss), F.lit(0.0)) for ss in ways]
+    return rows.select("path", "text", sum((F.log1p(c) for c in counts), F.lit(0.0)).alias("score"))
 
 
 def scan(lines: DataFrame, query: Query) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import spot
 from ..functions import text as X
-from ..functions.query import Query
+from ..functions.query import Query, Term
+from ..operators import blocks as BL
 from ..operators import evaluate as E
+from ..operators import growing as G
 from ..operators import lines as L
 from ..operators import overlay as O
 from ..operators import postings as P
@@ -26,7 +28,7 @@ from ..operators import snapshot as SN
 from ..operators import tags as T
 from ..operators import turns as TU
 from ..operators import view as V
-from ..sources.storage import work_dir
+from ..sources.storage import drop, versions, work_dir
 from . import listing as listing
 from . import transcripts as transcripts
 from .base import ORACLE as ORACLE
@@ -293,19 +295,28 @@ def snapshot_fold(t):
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
-_indexes: dict[tuple[str, tuple], str] = {}
+_made: dict[tuple, tuple[tuple, str]] = {}
 
 
-def _index(t) -> P.Index:
-    """The index of documents: built and saved once a session and input, then read, as every search after the first does."""
+def _kept(t, kind: str, make) -> str:
+    """Where what make(documents, path) writes is kept: made once a session and version of the input's files, and taken away when another version takes its place."""
     d = t("documents")
     spark = d.sparkSession
-    key = (spark.sparkContext.applicationId, tuple(d.inputFiles()))
-    if key not in _indexes:
+    files = d.inputFiles()
+    key, now = (spark.sparkContext.applicationId, kind, tuple(sorted(files))), versions(spark, files)
+    if key not in _made or _made[key][0] != now:
         path = work_dir(spark)
-        P.save(P.build(d.select(F.col("doc_id").cast("string").alias("path"), "text"), folded=False), path)
-        _indexes[key] = path
-    return P.load(spark, _indexes[key])
+        make(d.select(F.col("doc_id").cast("string").alias("path"), "text"), path)
+        if key in _made:
+            drop(spark, _made[key][1])
+        _made[key] = (now, path)
+    return _made[key][1]
+
+
+def _index(t) -> P.Index:
+    """The index of documents, as every search after the first reads it."""
+    spark = t("documents").sparkSession
+    return P.load(spark, _kept(t, "index", lambda d, path: P.save(P.build(d, folded=False), path)))
 
 
 def _bm25_sql(phrases: list[tuple[str, str]], where: str, digits: int = 6) -> str:
@@ -335,11 +346,47 @@ query(_bm25_sql([("p", _PHRASE)], "p.f > 0"), "bm25_phrase")(lambda t: _ranked(t
 @query("SELECT doc_id::VARCHAR AS path, len({w})::BIGINT AS dl FROM documents WHERE coalesce(text, '') <> ''".format(w=WORDS))
 def index_build(t):
     """Builds and saves the whole index anew, for the searches after it too; its lengths."""
-    d = t("documents")
-    _indexes.pop((d.sparkSession.sparkContext.applicationId, tuple(d.inputFiles())), None)
+    for key in [k for k in _made if k[1] == "index"]:
+        _made[key] = ((), _made[key][1])
     return _index(t).lengths
 
 
+def _halves(t) -> tuple[DataFrame, DataFrame]:
+    """Documents' beginnings, to the first space behind their middle, and the rest."""
+    d = t("documents").where("coalesce(text, '') <> ''").select(F.col("doc_id").cast("string").alias("path"), "text")
+    at = F.expr("locate(' ', text, int(length(text) / 2) + 1)")
+    d = d.withColumn("cut", F.when(at > 0, at).otherwise(F.length("text")))
+    return d.select("path", F.left("text", F.col("cut")).alias("text")), d.select("path", F.substr("text", F.col("cut") + F.lit(1)).alias("text")).where("text <> ''")
+
+
+def _grown(t) -> P.Index:
+    """An index that has grown: every document's beginning was indexed, then what was appended to it, then some documents were read anew under another gen."""
+    spark, path = t("documents").sparkSession, work_dir(t("documents").sparkSession)
+    first, then = _halves(t)
+    zero = F.lit(0).cast("long")
+    had = G.run_of(first.withColumns({"gen": zero, "base": zero}), f"{path}/0", folded=False)
+    more = then.join(had.select("path", F.col("words").alias("base")), "path").withColumn("gen", zero)
+    grew = G.run_of(more, f"{path}/1", folded=False)
+    anew = first.unionByName(then.limit(0)).where("substr(path, -1) = '7'").select("path").join(t("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "path")
+    again = G.run_of(anew.withColumns({"gen": F.lit(2).cast("long"), "base": zero}), f"{path}/2", folded=False)
+    read = had.unionAll(grew).groupBy("path", "gen").agg(F.sum("words").alias("dl")).join(again.select("path"), "path", "left_anti").unionByName(again.withColumnRenamed("words", "dl"))
+    G.merge(spark, [f"{path}/0", f"{path}/1"], read, f"{path}/3")
+    return G.opened(spark, [f"{path}/3", f"{path}/2"], read)
+
+
+query(_bm25_sql([("p", _PHRASE), ("q", _word("edou"))], "p.f > 0 AND q.f > 0"), "index_refresh")(lambda t: S.indexed(_grown(t), Query.parse('"of the" edou')).select("path", F.round("score", 6).alias("score")))
+
+
+def _best(t) -> BL.Ranked:
+    spark, index = t("documents").sparkSession, _index(t)
+    path = _kept(t, "ranked", lambda d, path: BL.Ranked.build(index, path))
+    return BL.Ranked.load(spark, path, index.totals)
+
+
+_BEST = "SELECT path, score FROM ({q}) QUALIFY rank() OVER (ORDER BY score DESC) <= 10"
+query(_BEST.format(q=_bm25_sql([("p", _word("the")), ("q", _word("edou"))], "p.f > 0 AND q.f > 0", 12)).replace("SELECT path, score FROM", "SELECT path, round(score, 6) AS score FROM", 1), "bm25_best")(lambda t: _best(t).best(Query.parse("the edou"), 10).select("path", F.round("score", 6).alias("score")))
+
+
 @query("WITH d AS (SELECT doc_id, unnest({w}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM d GROUP BY term".format(w=WORDS))
 def doc_frequency(t):
     return P.document_frequency(_index(t))
@@ -372,6 +419,13 @@ def literal_search(t):
     return S.literal(d, Query.parse("th, on.")).select("path", F.round("score", 6).alias("score"))
 
 
+@query("SELECT doc_id::VARCHAR AS path, round(ln(1 + {a}) + ln(1 + {b}), 6) AS score FROM documents WHERE contains({t}, 'edou') AND contains({t}, 'on.')".format(t=_LOW, a=_TIMES.format(t=_LOW, s="edou", n="4.0"), b=_TIMES.format(t=_LOW, s="on.", n="3.0")))
+def literal_indexed(t):
+    """Through trigram bitmaps: only blocks that may hold both are read."""
+    grams = BL.Grams.load(t("documents").sparkSession, _kept(t, "grams", lambda d, path: BL.Grams.build(d, path)))
+    return grams.search(Query((Term("Edou"), Term("on.")), "Edou on.")).select("path", F.round("score", 6).alias("score"))
+
+
 @query("SELECT path, count(*) AS terms, round(sum(score), 6) AS score FROM (({a}) UNION ALL ({b})) GROUP BY path".format(a=_bm25_sql([("p", _word("shthea"))], "p.f > 0", 12), b=_bm25_sql([("p", _word("ouston"))], "p.f > 0", 12)))
 def partial_search(t):
     return S.partial(_index(t), Query.parse("shthea ouston")).select("path", "terms", F.round("score", 6).alias("score"))

@@ -23,6 +23,23 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomline/{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Takes a folder away."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def versions(spark: SparkSession, paths: list[str]) -> tuple:
+    """(path, size, time) of files: another version of a file differs in one of them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in sorted(paths):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(p))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        out.append((p, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 class Commits:
     """What a store in a shared folder holds: one small JSON file a commit, numbered from 0.
 
