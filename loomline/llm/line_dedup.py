@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, U64, Commits, lean, mix, stored, work_dir
+from .common import BROADCAST_IDS, U64, Commits, lean, mix, spread_join, stored, work_dir
 
 BROADCAST_BYTES = 64 << 20
 SHARD_KEYS = 100_000
@@ -334,9 +334,13 @@ class LineStore:
 
         lines = d.select("id", "text", "blob").mapInArrow(lean(explode), "hi long, lo long, shard int, id long, blob string")
         present = stored(lines.select("shard", "hi", "lo").distinct())
-        maybe = present.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "hi long, lo long")
-        exact = self.repeated().join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest")
-        lost = lines.join(exact, ["hi", "lo"]).where(~F.col("largest").eqNullSafe(F.col("id"))).select("id", "blob", "hi", "lo").distinct()
+        # shards follow the repeated keys, of which there may be far fewer than keys: a shard's keys meet its filter in parts
+        parts = max(1, -(-present.count() // (shards * SHARD_KEYS)))
+        present = present.withColumn("part", F.pmod(F.xxhash64("lo", "hi"), F.lit(parts)).cast("int"))
+        filters = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        maybe = present.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInPandas(_screened, "hi long, lo long")
+        exact = stored(self.repeated().join(maybe, ["hi", "lo"], "left_semi").select("hi", "lo", "largest", F.col("refs").alias("hot_n")))
+        lost = spread_join(lines, exact.drop("hot_n"), ["hi", "lo"], "inner", counts=exact.select("hi", "lo", "hot_n")).where(~F.col("largest").eqNullSafe(F.col("id"))).select("id", "blob", "hi", "lo").distinct()
         lost = lost.groupBy("id", "blob").agg(F.collect_list(F.struct("hi", "lo")).alias("lost")).select(F.col("id").alias("lost_id"), F.col("blob").alias("lost_blob"), "lost")
         both = d.join(lost, d["id"].eqNullSafe(lost["lost_id"]) & (d["blob"] == lost["lost_blob"]), "left").select("id", "text", "lost", "rest")
 

@@ -5,13 +5,14 @@ become ``<n>`` at once; level by level, a node whose rare children are many and
 repeat is a variable position, and these become the wildcard ``*``. A child that is
 well supported, or whose share of labelled examples a two-proportion test tells apart
 from the other rare ones', stays literal, however many there are.
-Labels come from the explicit rules: a url that a rule blocks is a blocked example, any
-other one counts as a good one, so that a section of many urls none of which is blocked
-clears itself. First-level branches whose block rates a two-proportion test can't tell
-apart are merged, and a template is rejected if its share of blocked examples, smoothed
-by its class, its host and all hosts in turn, reaches ``reject``. So a url that no rule
-covers is blocked where it is one of few beside many blocked ones: in the same template,
-the same class of branches, or the same host.
+Labels come from the explicit rules: a url that one blocks or allows is an example of its
+kind, any other url is none. First-level branches that have examples and whose blocked
+shares a two-proportion test can't tell apart are merged into classes; branches without
+examples are in none. A template's purity is the share of blocked ones among its examples,
+smoothed by its class, its host and all hosts in turn, each weighing as its examples do. It is
+rejected if its class has ``examples`` of them and the purity reaches ``reject``: so a url
+that no rule covers is blocked where it lies among examples that are. ``evaluate`` hides a
+fifth of the labels and tells how the tree judges those urls.
 
 All counting is by groupBy with map-side partial sums, so a hot host is a row a task, and
 joins deal a hot host's rows over tasks. The only windows take a row per distinct pair of
@@ -117,8 +118,9 @@ def template_tree(urls: DataFrame, support: int = 8, repeat: float = 2.0, few: i
         d += 1
 
 
-def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0, z: float = 1.64) -> DataFrame:
-    """(host, template, class, purity, rejected) of every template. purity: the smoothed share of blocked urls."""
+def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0, z: float = 1.64, examples: int = 4) -> DataFrame:
+    """(host, template, class, purity, rejected) of every template. purity: the smoothed share of blocked examples; class: null without any."""
+    tree = tree.select("host", "branch", "template", (F.col("blocked") + F.col("allowed")).alias("n"), "blocked")
     sums = [F.sum(c).alias(c) for c in ("n", "blocked")]
     rate = lambda b, n, prior: (b + F.lit(strength) * prior) / (n + F.lit(strength))
     branch = stored(tree.groupBy("host", "branch").agg(*sums))
@@ -128,27 +130,37 @@ def judge_templates(tree: DataFrame, reject: float = 0.5, strength: float = 4.0,
     rates = hosts.select("host", rate(F.col("hb"), F.col("hn"), F.lit(top)).alias("host_rate"))
     b = spread_join(branch, rates, "host", counts=hosts.select("host", "hot_n")).withColumn("rate", rate(F.col("blocked"), F.col("n"), F.col("host_rate")))
     alike = ["host", "blocked", "n"]
-    c = b.groupBy(*alike, "rate", "host_rate").agg(F.count(F.lit(1)).alias("branches"))
+    c = b.where("n > 0").groupBy(*alike, "rate", "host_rate").agg(F.count(F.lit(1)).alias("branches"))
     w = W.partitionBy("host").orderBy("rate", "blocked", "n")
     apart = _apart(F.col("blocked"), F.col("n"), F.lag("blocked").over(w), F.lag("n").over(w), z).cast("int")
     c = c.withColumn("apart", apart).withColumn("class", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0)))
     v = W.partitionBy("host", "class")
     total = lambda x: F.sum(F.col(x) * F.col("branches")).over(v)
-    c = stored(c.select(*alike, "class", rate(total("blocked"), total("n"), F.col("host_rate")).alias("class_rate")))
-    b = spread_join(branch, c, alike).select("host", "branch", "class", "class_rate")
+    c = stored(c.select(*alike, "class", total("n").alias("class_n"), rate(total("blocked"), total("n"), F.col("host_rate")).alias("class_rate")))
+    b = spread_join(stored(b.select("host", "branch", "blocked", "n", "host_rate")), c, alike).select("host", "branch", "class", F.coalesce("class_n", F.lit(0)).alias("class_n"), F.coalesce("class_rate", "host_rate").alias("class_rate"))
     t = spread_join(stored(tree.groupBy("host", "branch", "template").agg(*sums)), stored(b), ["host", "branch"])
-    return t.select("host", "template", "class", rate(F.col("blocked"), F.col("n"), F.col("class_rate")).alias("purity")).withColumn("rejected", F.col("purity") >= reject)
+    return t.select("host", "template", "class", "class_n", rate(F.col("blocked"), F.col("n"), F.col("class_rate")).alias("purity")).withColumn("rejected", (F.col("class_n") >= examples) & (F.col("purity") >= reject)).drop("class_n")
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, host, path, rule, verdict, template, purity) of every row: the rule's verdict, else the template's."""
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, hide: Column | None = None) -> DataFrame:
+    """(key, host, path, rule, verdict, template, purity, rejected) of every row: the rule's verdict, else the template's. hide: of the key; rows whose labels the tree must not see."""
     p = only(pages, key, url)
     host, path = url_parts(p[url])
     p = p.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"segs": segments(F.col("path")), "rule": rule, "by_rule": verdict})
-    says = lambda v: (F.coalesce("by_rule", F.lit("")) == v).cast("long")
+    hidden = F.coalesce(hide, F.lit(False)) if hide is not None else F.lit(False)
+    p = p.withColumn("label", F.when(~hidden, F.col("by_rule")))
+    says = lambda v: (F.coalesce("label", F.lit("")) == v).cast("long")
     tree = template_tree(p.select("host", "segs", says("block").alias("blocked"), says("allow").alias("allowed")))
     judged = spread_join(tree.select("host", "segs", "template"), judge_templates(tree), ["host", "template"])
     out = spread_join(p, judged, ["host", "segs"], counts=tree.select("host", "segs", F.col("n").alias("hot_n")))
-    return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity")
+    return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity", "rejected")
+
+
+def evaluate(pages: DataFrame, key: str = "page_id", url: str = "url", folds: int = 5) -> DataFrame:
+    """One row on the urls that rules cover and whose crc32(key as text) modulo ``folds`` is 0, judged by the tree without their labels: blocked and allowed ones, and how many of each it blocks."""
+    hide = F.crc32(F.encode(F.col("key").cast("string"), "UTF-8")) % folds == 0
+    judged = judge(pages, key, url, hide=hide).withColumn("key", F.col(key)).where(F.col("rule").isNotNull() & hide)
+    is_ = lambda v, caught: F.count_if((F.col("verdict") == v) & (F.col("rejected") | F.lit(not caught)))
+    return judged.agg(is_("block", False).alias("blocked"), is_("block", True).alias("blocked_found"), is_("allow", False).alias("allowed"), is_("allow", True).alias("allowed_blocked"))

@@ -205,6 +205,16 @@ def test_many_different_words_that_begin_alike():
         assert (o[f == stem]).tolist() == [0]
 
 
+@pytest.mark.parametrize("files", [0, 1000])
+def test_rows_are_numbered_once_whatever_the_files(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(corpus_pipeline, "FILES", files)
+    path = str(tmp_path / "docs")
+    spark.range(90).withColumn("row_key", F.lit("clash")).repartition(4).write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.range(90).withColumn("row_key", F.lit("clash"))):
+        rows, key = corpus_pipeline.keyed(docs)
+        assert key == "row_key_" and rows.select(key).distinct().count() == rows.count() == 90
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     """Nulls in any column, empty and long texts, repeated rows, clashing names, empty tables."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, id long, row_key string, row string, c0 string, s double, rest string, component_id long, label string, y double"
