@@ -28,16 +28,22 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+#: Files of a table whose rows are numbered by file and place; of more, a plan would name too many, and the table is written once more with a number in each row.
+FILES = 1_000
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number of each row (its place in the files of its table), and the name of that column, which is none of docs'. What is no table of files is written first."""
+    """docs with a number of each row, and the name of that column, which is none of docs'. A table of few files has its rows' places; any other table is written with numbers first."""
     key = "row_key"
     while key in docs.columns:
         key += "_"
     try:
-        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().limit(FILES + 1).collect())
         place = F.col("_metadata.row_index")
         docs.select(place)
     except AnalysisException:
+        files = None
+    if files is None or len(files) > FILES:
         return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
     nth = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])[F.col("_metadata.file_path")] if files else F.lit(0)
     return docs.withColumn(key, F.shiftleft(nth.cast("long"), 40) + place), key
