@@ -5,6 +5,10 @@ offset, raw text, terminated, bytes (its line break's included). Layout: ``<root
 ``<root>/<project>/<parent>/subagents/*.jsonl``. A last line without its line break is
 left unread unless ``partial`` is set, since its writer isn't done.
 
+With the option pushdown (and spark.sql.python.filterPushdown.enabled), conditions on path,
+offset and epoch choose files and byte ranges before anything is opened. Spark keeps what one
+plan chose with the DataFrame that was read, so each filtered query needs a ``read`` of its own.
+
 Options: path; subagents (true); tailBytes (read each file's end only, from the first
 whole line); splitBytes (64 MB): files are cut into byte ranges, each read by its own
 task, which begins after the first line break in it and reads on to the end of the line
@@ -17,15 +21,18 @@ Local and mounted paths only; on a cluster the folder is one that all executors
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import json
 import os
+import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 SCHEMA = "path string, offset long, line_no long, raw string, terminated boolean, epoch int, bytes long"
 
@@ -91,6 +98,47 @@ class TranscriptReader(DataSourceReader):
         return lines(partition)
 
 
+class PushedReader(TranscriptReader):
+    """The same, with conditions of the plan: files by path and epoch (0 in batch), byte ranges by offset. Spark still applies those on offsets, as a range begins with a whole line."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.tests: list = []
+        self.lo, self.hi = 0, None
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            name = f.attribute[0] if len(f.attribute) == 1 else None
+            value = getattr(f, "value", None)
+            if name == "path" and isinstance(f, EqualTo):
+                self.tests.append(lambda p, v=value: p == v)
+            elif name == "path" and isinstance(f, In):
+                self.tests.append(lambda p, v=frozenset(f.value): p in v)
+            elif name == "path" and isinstance(f, StringStartsWith):
+                self.tests.append(lambda p, v=value: p.startswith(v))
+            elif name == "epoch" and isinstance(f, EqualTo):
+                self.tests.append(lambda p, v=value: v == 0)
+            else:
+                if name == "offset" and isinstance(value, int):
+                    if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                        self.lo = max(self.lo, value + isinstance(f, GreaterThan))
+                    elif isinstance(f, LessThan):
+                        self.hi = value if self.hi is None else min(self.hi, value)
+                    elif isinstance(f, LessThanOrEqual):
+                        self.hi = value + 1 if self.hi is None else min(self.hi, value + 1)
+                yield f
+
+    def partitions(self) -> list[Span]:
+        whole, self.files = self.files, [p for p in (self.files if self.files is not None else listing(self.root, self.subagents)) if all(t(p) for t in self.tests)]
+        spans = super().partitions()
+        self.files, out = whole, []
+        for s in spans:
+            start, end = max(s.start, self.lo), s.end if self.hi is None else min(s.end, self.hi)
+            if start < end:
+                out.append(Span(s.path, start, end, s.whole and start == s.start, s.partial))
+        return out or [Span(os.devnull, 0, 0, True, False)]
+
+
 class TranscriptStream(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"].removeprefix("file://")
@@ -155,7 +203,8 @@ class Transcripts(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return TranscriptReader(dict(self.options))
+        options = dict(self.options)
+        return (PushedReader if options.get("pushdown", "false").lower() == "true" else TranscriptReader)(options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TranscriptStream(dict(self.options))
@@ -178,6 +227,78 @@ def read_text(spark: SparkSession, root: str) -> DataFrame:
     return t.select(F.col("_metadata.file_path").alias("path"), at.alias("offset"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("raw"), F.lit(True).alias("terminated"), F.lit(0).alias("epoch"), (F.octet_length("value") + 1).cast("long").alias("bytes"))
 
 
+# ---- what has changed, found and read in tasks
+
+LISTED = "path string, size long, mtime long"
+
+
+def listed(spark: SparkSession, root: str, subagents: bool = True, folders_a_task: int = 32) -> DataFrame:
+    """(path, size, mtime in milliseconds) of all transcripts: the driver lists the root alone, tasks list the projects' folders."""
+    root = root.removeprefix("file://").rstrip("/")
+    folders = sorted(e.path for e in os.scandir(root) if e.is_dir()) if os.path.isdir(root) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = glob.glob(f"{glob.escape(folder)}/*.jsonl") + (glob.glob(f"{glob.escape(folder)}/*/subagents/*.jsonl") if subagents else [])
+                rows = []
+                for p in found:
+                    with contextlib.suppress(FileNotFoundError):  # gone since
+                        st = os.stat(p)
+                        if stat.S_ISREG(st.st_mode):
+                            rows.append((p, st.st_size, st.st_mtime_ns // 1_000_000))
+                paths, sizes, times = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.int64())], names=["path", "size", "mtime"])
+
+    at = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, -(-len(folders) // folders_a_task)))
+    return at.mapInArrow(run, LISTED)
+
+
+def unread(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, start, stop) of what files (path, ...) have beyond known (path, read_to): up to the end of the last whole line; from the first byte where the file shrank or the byte before isn't a line break. Tasks look into the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, was in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with contextlib.suppress(FileNotFoundError):
+                    end, sound = _consumable(path, was)
+                    start = was if sound else 0
+                    if end > start:
+                        rows.append((path, start, end))
+            paths, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["path", "start", "stop"])
+
+    at = files.select("path").join(known.select("path", "read_to"), "path", "left").select("path", F.coalesce("read_to", F.lit(0)).cast("long").alias("was"))
+    return at.mapInArrow(run, "path string, start long, stop long")
+
+
+def spans(unread_: DataFrame, split: int = 64 << 20) -> DataFrame:
+    """Lines of stretches (path, start, stop), each cut into pieces that tasks read apart."""
+    pieces = unread_.withColumn("from", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(split).cast("long"))))
+    pieces = pieces.select("path", "start", "from", F.least(F.col("from") + split, "stop").alias("to")).repartition("path", "from")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, begin, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, size = [], 0
+                for row in lines(Span(path, begin, to, begin == start, False)):
+                    rows.append(row)
+                    size += row[-1]
+                    if size > 4 << 20:
+                        yield _lines_batch(rows)
+                        rows, size = [], 0
+                yield _lines_batch(rows)
+
+    return pieces.mapInArrow(run, SCHEMA)
+
+
+def _lines_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 FILES = "path string, size long, mtime long, is_subagent boolean, parent string, project_dir string, id string"
 
 

@@ -38,6 +38,8 @@ RETAINED = 24 * 3600
 PROSE = "path string, gen long, seq long, base long, text string"
 #: Besides a segment's fields: bytes read, the commit that read it from its start, words and bytes of prose.
 OWN = ("read_to", "gen", "words", "said")
+#: Size and time of the file when it was read, where a catching up knows them.
+SEEN = ("seen_size", "seen_mtime")
 
 
 class State:
@@ -110,13 +112,13 @@ class State:
         now = self.pointer()
         return growing.opened(self.spark, [self._at(r["name"]) for r in now["index"]], self._live(now))
 
-    def apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None = None) -> None:
-        """Lines read on, as far as the state doesn't have them. reread(paths): the whole transcripts, for those that don't meet what is stored; without it they raise ValueError."""
+    def apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None = None, seen: DataFrame | None = None) -> None:
+        """Lines read on, as far as the state doesn't have them. reread(paths): the whole transcripts, for those that don't meet what is stored; without it they raise ValueError. seen: (path, size, mtime) of the files before they were read."""
         new = new.persist(StorageLevel.DISK_ONLY)
         try:
             for left in reversed(range(TRIES)):
                 try:
-                    self._apply(new, reread)
+                    self._apply(new, reread, seen)
                     return
                 except RuntimeError:  # another writer was first: what it did is compared with anew
                     if not left:
@@ -137,7 +139,7 @@ class State:
         r.write.parquet(path)
         return self.spark.read.schema(r.schema).parquet(path)
 
-    def _apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None) -> None:
+    def _apply(self, new: DataFrame, reread: Callable[[list[str]], DataFrame] | None, seen: DataFrame | None) -> None:
         now, seq = self.pointer(), len(self.log.all())
         told = self._told(new, seq)
         apart = [r.path for r in told.where("kind = 'apart'").select("path").collect()]
@@ -154,7 +156,7 @@ class State:
         seg = rollup.segments(typed)
         old = self.segments(todo.where("kind = 'more'"))
         if old is not None:
-            seg = rollup.merge(old.drop(*OWN), seg)
+            seg = rollup.merge(old.drop(*OWN, *SEEN), seg)
         text = prose.bodies(typed, had=todo.select("path", "had")).join(todo.select("path", "gen", "base"), "path")
         name = self._write(text.select("path", "gen", F.lit(seq).cast("long").alias("seq"), "base", "text"), "prose")
         said = self._read(name)
@@ -164,6 +166,8 @@ class State:
         zero = F.lit(0).cast("long")
         seg = todo.select("path", "read_to", "gen", "base", "had").join(seg, "path", "left").join(words, "path", "left").join(size, "path", "left")
         seg = seg.withColumns({"words": F.col("base") + F.coalesce("words", zero), "said": F.col("had") + F.coalesce("bytes", zero)}).drop("base", "had", "bytes")
+        files = seen.select("path", F.col("size").alias("seen_size"), F.col("mtime").alias("seen_mtime")) if seen is not None else None
+        seg = seg.join(files, "path", "left") if files is not None else seg.withColumns({c: F.lit(None).cast("long") for c in SEEN})
         runs = [*now["segments"], self._write(seg, "segments")]
         index = [*now["index"], {"name": run.rpartition("/")[2], "tier": 0}]
         self._commit(seq, now | {"segments": runs, "prose": [*now["prose"], name], "index": index})
@@ -230,6 +234,30 @@ def refresh(spark: SparkSession, root: str, state: State) -> State:
     return state
 
 
+def catch_up(spark: SparkSession, root: str, state: State, subagents: bool = True, split: int = 64 << 20) -> State:
+    """The same without a stream: what the state has read is where reading goes on.
+
+    Tasks list the folders, look for the last whole line of files whose size or time differs from what was seen, and read from where the state ends; the driver holds no list of files, and no offset names one. A run that fails leaves the state as it was, or with a commit that the next one goes on from.
+    """
+    files = transcripts.listed(spark, root, subagents)
+    path = work_dir(spark)
+    files.write.parquet(path)  # one look at the folders
+    files = spark.read.schema(transcripts.LISTED).parquet(path)
+    known = state.segments()
+    if known is None or state.stale:
+        known = spark.createDataFrame([], "path string, read_to long, seen_size long, seen_mtime long")
+    same = known.select("path", F.col("seen_size").alias("size"), F.col("seen_mtime").alias("mtime"))
+    todo = transcripts.unread(files.join(same, ["path", "size", "mtime"], "left_anti"), known)
+    path = work_dir(spark)
+    todo.write.parquet(path)
+    todo = spark.read.schema("path string, start long, stop long").parquet(path)
+    again = lambda paths: transcripts.read(spark, root, files=json.dumps(paths))
+    if not todo.isEmpty():
+        state.apply(transcripts.spans(todo, split), again, files)
+    state.settle()
+    return state
+
+
 def changed_sessions(scanned: DataFrame, cached: DataFrame) -> DataFrame:
     """Scanned rows that differ from what is stored, or are new."""
     c = cached.select("path", *[F.col(x).alias(f"c_{x}") for x in ("size", "mtime", "scanned_len")])

@@ -337,3 +337,50 @@ def test_a_refresh_writes_what_was_appended(spark, tmp_path):
     refresh.refresh(spark, str(root), state)
     last = spark.read.parquet(f"{at}/{state.pointer()['index'][-1]['name']}")
     assert last.count() == 3 < first and spark.read.parquet(f"{at}/{state.pointer()['segments'][-1]}").count() == 1
+
+
+def test_catching_up_equals_a_fresh_scan(spark, tmp_path, monkeypatch):
+    """No stream and no checkpoint: the state alone says where to go on. A failure between reading and committing changes nothing."""
+    monkeypatch.setattr(growing, "FAN", 2)
+    r, root, at = random.Random(3), tmp_path / "root", str(tmp_path / "state")
+    state = refresh.catch_up(spark, str(root), refresh.State(spark, at))  # nothing is there yet
+    assert state.segments() is None
+    for step in range(3):
+        grow(r, root)
+        if step == 1:
+            with monkeypatch.context() as m:
+                m.setattr(refresh.State, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError, match="lost"):
+                    refresh.catch_up(spark, str(root), refresh.State(spark, at))
+        if step == 2:
+            monkeypatch.setattr(refresh, "LOGIC_VERSION", 77)
+        state = refresh.catch_up(spark, str(root), refresh.State(spark, at), split=100)
+        state.prune(transcripts.files(spark, str(root)))
+        assert not state.stale and shown(spark, root, state) == afresh(spark, root, tmp_path), step
+    done, opened = len(state.log.all()), []
+    monkeypatch.setattr(refresh.State, "apply", lambda self, new, *a: opened.append(new.count()))
+    refresh.catch_up(spark, str(root), state)
+    with (root / "-srv-garden" / "g1.jsonl").open("a") as f:
+        f.write(BASE[2] + "\n" + BASE[3][:9])
+    refresh.catch_up(spark, str(root), state)
+    assert len(state.log.all()) == done and opened == [1]  # nothing new, then one whole line
+
+
+def test_conditions_choose_files_and_bytes(spark, tmp_path):
+    for i in range(4):
+        write(tmp_path, f"s{i}.jsonl", [f"line {i} {j:03}" for j in range(100)])
+    path = str(tmp_path / "-srv-garden" / "s2.jsonl")
+    conf = "spark.sql.python.filterPushdown.enabled"
+    plain = transcripts.read(spark, str(tmp_path))
+    spark.conf.set(conf, "true")
+    try:
+        pushed = lambda: transcripts.read(spark, str(tmp_path), splitBytes="300", pushdown="true")
+        for where, parts in (
+            (f"path = '{path}'", 4), (f"path IN ('{path}', 'x')", 4), ("path LIKE '%s2.jsonl' AND offset >= 600", 8), (f"path = '{path}' AND offset > 599 AND offset < 700", 1), (f"path = '{path}' AND offset <= 13", 1), ("epoch = 1", 1), (f"startswith(path, '{path[:-7]}') AND offset < 0", 1),
+        ):
+            rows = pushed().where(where)
+            assert sorted(rows.select("path", "offset", "raw").collect()) == sorted(plain.where(where).select("path", "offset", "raw").collect()), where
+            assert rows.rdd.getNumPartitions() == parts, where
+        assert pushed().rdd.getNumPartitions() == 16
+    finally:
+        spark.conf.unset(conf)
