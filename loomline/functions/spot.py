@@ -80,14 +80,26 @@ class Spotter:
         return [found[a] for a in sorted(found)]
 
     def best(self, text: str) -> int | None:
-        """A place of the rarest term with the most others near."""
-        per = [self.places(text, i) for i in range(len(self.terms))]
+        """A place of the rarest term with the most others near: the first of those. Every term's places are found once; a pointer into each other's goes along with the rarest one's."""
+        per = [self.places(text, i, len(text) + 1) for i in range(len(self.terms))]
         some = [i for i, p in enumerate(per) if p]
         if not some:
             return None
-        anchor = min(some, key=lambda i: len(per[i]))
-        held = [sum(bool(self.places(text[max(0, a - NEAR) : a + NEAR], i, 1)) for i in range(len(per)) if i != anchor) if len(per) > 1 else 0 for a, _ in per[anchor]]
-        return per[anchor][held.index(max(held))][0]
+        anchor = min(some, key=lambda i: min(len(per[i]), MOST))
+        here = per[anchor][:MOST]
+        held = [0] * len(here)
+        for i, there in enumerate(per):
+            if i == anchor:
+                continue
+            at = 0
+            for n, (a, _) in enumerate(here):
+                while at < len(there) and there[at][0] < a - NEAR:
+                    at += 1
+                j = at
+                while j < len(there) and there[j][0] < a + NEAR and there[j][1] > a + NEAR:  # it begins near but ends too far; a shorter spelling may follow
+                    j += 1
+                held[n] += j < len(there) and there[j][1] <= a + NEAR
+        return here[held.index(max(held))][0]
 
 
 def excerpt_text(text: str, spotter: Spotter) -> str:

@@ -132,6 +132,24 @@ def test_scalars(spark):
     assert side.parse_color("#0a0B0c") == (10, 11, 12) and side.parse_color("nope") is None
 
 
+def test_best_place_by_pointers_equals_windows():
+    """Every place of the rarest term is looked at alone, and each other term searched for among its places within 80 characters."""
+    r = random.Random(9)
+    words = ["lamp", "lamps", "copper", "éa", "oil", "by", "==>", "日本"]
+    for _ in range(300):
+        text = "".join(r.choice(words) + r.choice([" ", ", ", " " * r.randint(1, 60), ""]) for _ in range(r.randint(0, 60)))
+        s = spot.Spotter.of(" ".join(r.sample(words, r.randint(1, 4))), r.random() < 0.3)
+        per = [s.places(text, i, 1 << 30) for i in range(len(s.terms))]
+        want = None
+        if any(per):
+            anchor = min((i for i, p in enumerate(per) if p), key=lambda i: len(per[i]))
+            near = lambda a: sum(any(x >= a - spot.NEAR and y <= a + spot.NEAR for x, y in p) for i, p in enumerate(per) if i != anchor)
+            want = max(per[anchor], key=lambda p: (near(p[0]), -p[0]))[0]
+        assert s.best(text) == want
+    many = "lamp " * 30_000 + "copper lamp"
+    assert spot.Spotter.of("lamp copper").best(many) == len("lamp ") * 30_000
+
+
 def test_excerpts():
     far = "lamp " + "- " * 150 + "under the copper lamp by the door " + "+ " * 150
     assert "copper" in spot.excerpt_text(far, spot.Spotter.of("copper lamp"))
