@@ -22,50 +22,63 @@ def tail(raw: Column) -> Column:
     return F.when(F.octet_length(raw) > BIG_LINE, F.right(raw, F.lit(TAIL))).otherwise(raw)
 
 
+def _content(content: Column, mended: Column) -> tuple[Column, Column]:
+    """(content if it is a string, else null; its blocks if it is a list, else null) of a parsed message's content, which for a list is its JSON."""
+    listed = F.get_json_object(mended, "$.message.content[0]").isNotNull()
+    return F.when(~listed, content), F.when(listed, F.from_json(content, _BLOCKS))
+
+
 def content_blocks(raw: Column) -> tuple[Column, Column]:
     """(content if it is a string, else null; its blocks if it is a list, else null)."""
     mended = X.mend_surrogates(raw)
-    content = F.from_json(mended, "message struct<content:string>")["message"]["content"]
-    listed = F.get_json_object(mended, "$.message.content[0]").isNotNull()
-    return F.when(~listed, content), F.when(listed, F.from_json(content, _BLOCKS))
+    return _content(F.from_json(mended, "message struct<content:string>")["message"]["content"], mended)
 
 
-def user_text(raw: Column) -> Column:
-    """What a user message says: its string, or its real text blocks joined by a space."""
-    plain, blocks = content_blocks(raw)
+def _said(plain: Column, blocks: Column) -> Column:
     said = F.filter(blocks, lambda b: (b["type"] == "text") & X.is_real_user_text(b["text"]))
     return F.coalesce(plain, F.array_join(F.transform(said, lambda b: b["text"]), " "), F.lit(""))
 
 
+def user_text(raw: Column) -> Column:
+    """What a user message says: its string, or its real text blocks joined by a space."""
+    return _said(*content_blocks(raw))
+
+
 def classify(lines: DataFrame) -> DataFrame:
-    """Lines (path, offset, raw, ...) with what each contributes to its session; null where it contributes nothing."""
-    raw, f = F.col("raw"), front(F.col("raw"))
-    meta = raw.startswith('{"type":"')
-    kind = F.when(meta, F.regexp_extract(raw, r'^\{"type":"([^"]*)"', 1))
-    parsed = lambda key: F.from_json(X.mend_surrogates(raw), f"{key} string")[key]
-    of_kind = lambda k, c: F.when(kind == k, c)
+    """Lines (path, offset, raw, ...) with what each contributes to its session; null where it contributes nothing.
+
+    Kinds are told first. A line is then mended and parsed once, and only if its kind has a field to parse; each of the steps is a projection of its own, as the optimizer doesn't fold what is used more than once.
+    """
+    raw = F.col("raw")
+    meta, kind, user, asst, mended, whole = (F.col(f"_{c}") for c in ("meta", "kind", "user", "asst", "mended", "json"))
+    at = lambda c: F.col(f"_{c}")
     nonempty = lambda c: F.nullif(c, F.lit(""))
-    user = ~meta & f.contains('"role":"user"')
-    asst = ~meta & ~f.contains('"role":"user"') & f.contains('"role":"assistant"')
-    stamp = F.coalesce(X.json_string(tail(raw), "timestamp"), X.json_string(f, "timestamp"))
-    ai, last = parsed("aiTitle"), parsed("lastPrompt")
-    said = user_text(raw)
-    usage = asst & f.contains('"usage"')
-    model = X.json_string(f, "model")
-    return lines.where(raw != "").select(
-        "*",
+    t = lines.where(raw != "").withColumns({"_meta": raw.startswith('{"type":"'), "_front": front(raw), "_tail": tail(raw)})
+    t = t.withColumns({"_kind": F.when(meta, F.regexp_extract(raw, r'^\{"type":"([^"]*)"', 1)), "_user": ~meta & at("front").contains('"role":"user"'), "_injected": at("front").contains('"isMeta":true')})
+    t = t.withColumn("_asst", ~meta & ~user & at("front").contains('"role":"assistant"'))
+    parses = kind.isin("custom-title", "ai-title", "last-prompt") | (user & ~at("injected"))
+    t = t.withColumn("_mended", F.when(parses, F.when(raw.contains("\\u"), X.mend_surrogates(raw)).otherwise(raw)))
+    t = t.withColumn("_json", F.from_json(mended, "customTitle string, aiTitle string, lastPrompt string, message struct<content:string>"))
+    prompt = F.when(user & ~at("injected") & (F.get_json_object(mended, "$.type") == "user"), _said(*_content(whole["message"]["content"], mended)))
+    stamp = F.coalesce(X.json_string(at("tail"), "timestamp"), X.json_string(at("front"), "timestamp"))
+    usage = asst & at("front").contains('"usage"')
+    t = t.withColumns({"_stamp": stamp, "_usage": usage, "_model": F.when(asst, X.json_string(at("front"), "model")), "_prompt": prompt})
+    of_kind = lambda k, c: F.when(kind == k, c)
+    f, ai, last = at("front"), whole["aiTitle"], whole["lastPrompt"]
+    return t.select(
+        *lines.columns,
         kind.alias("kind"),
         user.alias("is_user"),
         asst.alias("is_assistant"),
-        F.nullif(N.iso_to_epoch(stamp), F.lit(0)).alias("ts"),
+        F.nullif(N.iso_to_epoch(at("stamp")), F.lit(0)).alias("ts"),
         *[nonempty(X.json_string(f, k)).alias(n) for k, n in (("cwd", "cwd"), ("gitBranch", "git_branch"), ("version", "version"), ("agentId", "agent_id"))],
-        of_kind("custom-title", X.squash(parsed("customTitle"), 160)).alias("custom_title"),
+        of_kind("custom-title", X.squash(whole["customTitle"], 160)).alias("custom_title"),
         of_kind("ai-title", F.when(X.trimmed(ai) != "", X.squash(ai, 160))).alias("ai_title"),
         of_kind("last-prompt", F.when(X.is_real_user_text(last), X.squash(last, 200))).alias("last_prompt"),
         of_kind("permission-mode", nonempty(X.json_string(f, "permissionMode"))).alias("permission_mode"),
-        F.when(user & ~f.contains('"isMeta":true'), F.when((F.get_json_object(X.mend_surrogates(raw), "$.type") == "user") & X.is_real_user_text(said), X.squash(said, 200))).alias("user_prompt"),
-        F.when(asst & ~model.isin(*PLACEHOLDERS), nonempty(model)).alias("model"),
-        usage.alias("has_usage"),
-        F.when(usage, F.coalesce(X.json_string(f, "id"), F.lit(""))).alias("usage_id"),
-        *[F.when(usage, X.json_number(f, k)).alias(n) for k, n in (("input_tokens", "in_tokens"), ("output_tokens", "out_tokens"), ("cache_read_input_tokens", "cache_read"), ("cache_creation_input_tokens", "cache_write"))],
+        F.when(X.is_real_user_text(at("prompt")), X.squash(at("prompt"), 200)).alias("user_prompt"),
+        F.when(~at("model").isin(*PLACEHOLDERS), nonempty(at("model"))).alias("model"),
+        at("usage").alias("has_usage"),
+        F.when(at("usage"), F.coalesce(X.json_string(f, "id"), F.lit(""))).alias("usage_id"),
+        *[F.when(at("usage"), X.json_number(f, k)).alias(n) for k, n in (("input_tokens", "in_tokens"), ("output_tokens", "out_tokens"), ("cache_read_input_tokens", "cache_read"), ("cache_creation_input_tokens", "cache_write"))],
     )

@@ -69,3 +69,8 @@ def search_quality(ranks: DataFrame) -> DataFrame:
     """found, first, top five and mean reciprocal rank of (rank or null) per question."""
     r = F.col("rank")
     return ranks.agg(F.avg(r.isNotNull().cast("double")).alias("found"), F.avg(F.coalesce((r == 1).cast("double"), F.lit(0.0))).alias("first"), F.avg(F.coalesce((r <= 5).cast("double"), F.lit(0.0))).alias("top5"), F.avg(F.coalesce(1 / r, F.lit(0.0))).alias("mrr"))
+
+
+def save_lines(lines: DataFrame, path: str) -> None:
+    """A list's lines (value) as text files, in order by file name and line: Spark's own commit, so all of them or none are there."""
+    lines.write.text(path)

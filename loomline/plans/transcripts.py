@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import lines as L
 from ..operators import prose, report, rollup, short, turns
+from ..sources import sink
+from ..sources import transcripts as source
+from ..sources.storage import work_dir
 from .base import REAL, SQUASH, query
 
 _STAMP = "1700000000 + conv_id * 1000 + turn * 7"
@@ -159,3 +162,43 @@ def short_listing(t):
 @query(f"WITH {LINES}, m AS (SELECT conv_id, off, kind, {_SQUASHED} AS text FROM ln WHERE {_SAYS}), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY off DESC) AS back FROM m WHERE {REAL}) SELECT conv_id::VARCHAR AS path, row_number() OVER (PARTITION BY conv_id ORDER BY off) AS turn_no, kind AS role, left(text, 400) AS said FROM r WHERE back <= 8")
 def short_preview(t):
     return short.preview(transcript_lines(t))
+
+
+# ---- through files: written by the sink, read by the source
+
+
+def _files(t) -> str:
+    """A folder of all conversations' transcripts, those of each fifth conversation beside the others' folder."""
+    lines = transcript_lines(t)
+    root = work_dir(lines.sparkSession).removeprefix("file://")
+    project = F.when(F.col("path").cast("long") % 5 == 0, "-w-fifth").otherwise("-w-rest")
+    sink.write(lines.select(project.alias("project"), F.col("path").alias("session"), F.lit(None).cast("string").alias("parent"), "offset", "raw"), root)
+    return root
+
+
+def _id():
+    return F.regexp_extract("path", r"([^/]*)\.jsonl$", 1)
+
+
+@query(SESSIONS, "session_files")
+def _session_files(t):
+    """Transcript files in byte ranges of 4 KB, rolled up with what their paths say."""
+    root, spark = _files(t), t("conversations").sparkSession
+    typed = L.classify(source.read(spark, root, splitBytes="4096"))
+    return rollup.sessions(rollup.segments(typed), source.files(spark, root)).select(F.col("id").alias("path"), *FIELDS[1:])
+
+
+@query(f"WITH {LINES} SELECT conv_id::VARCHAR AS path, count(*) AS lines, count(*) FILTER (kind = 'assistant') AS answers FROM ln GROUP BY conv_id", "unread_lines")
+def _unread(t):
+    """What a first catching up reads: tasks list the folders, find the ends of whole lines and read in pieces of 4 KB."""
+    root, spark = _files(t), t("conversations").sparkSession
+    known = spark.createDataFrame([], "path string, read_to long")
+    typed = L.classify(source.spans(source.unread(source.listed(spark, root), known), split=4096))
+    return typed.groupBy(_id().alias("path")).agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_assistant").alias("answers"))
+
+
+@query(f"SELECT path, role, text FROM ({TURNS}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY \"offset\" DESC) = 1", "tail_turn")
+def _tail_turn(t):
+    """The last turn of every transcript from the ends of the files."""
+    root, spark = _files(t), t("conversations").sparkSession
+    return turns.tail_turns(spark, root, 1, tail_bytes=64 << 10).select(_id().alias("path"), "role", "text")
