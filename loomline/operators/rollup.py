@@ -3,7 +3,7 @@
 First and last values are arg-min and arg-max by byte offset, counts and sums add, so
 partial aggregates combine in any order and a long transcript is no single task. Only
 the token sums look at neighbours: a usage record counts unless it has the id of the one
-before; they are sorted by blocks of a file, and blocks joined by their ends. A segment keeps its first and last usage ids and its first record, which is all
+before; they are sorted by blocks of a file, and blocks joined by their ends, in the same pass. A segment keeps its first and last usage ids and its first record, which is all
 that joining two segments needs.
 """
 
@@ -38,36 +38,54 @@ def deduplicated_usage(lines: DataFrame, key: str = "path", order: str = "offset
     return u.withColumn("counted", (F.col("usage_id") == "") | ~F.col("usage_id").eqNullSafe(F.col("before"))).drop("before", "nth", "block")
 
 
-def _usage(lines: DataFrame) -> DataFrame:
-    """(path, token sums, first_usage, last_usage_id) of usage lines: sums by blocks of a file, then over its blocks, of which only ends matter to each other."""
-    u = lines.where("has_usage").select("path", "offset", "usage_id", *TOKENS, F.floor(F.col("offset") / F.lit(BLOCK_BYTES)).alias("block"))
-    before = F.lag("usage_id").over(W.partitionBy("path", "block").orderBy("offset"))
-    u = u.withColumn("counted", (F.col("usage_id") == "") | ~F.col("usage_id").eqNullSafe(before))
-    ends = lambda order: [F.min_by("first_usage", order).alias("first_usage"), F.max_by("last_usage_id", order).alias("last_usage_id")]
-    u = u.withColumns({"first_usage": F.struct("usage_id", *TOKENS), "last_usage_id": F.col("usage_id")})
-    blocks = u.groupBy("path", "block").agg(*[F.sum(F.when(F.col("counted"), F.col(c)).otherwise(0)).alias(c) for c in TOKENS], *ends("offset"))
-    carried = F.lag("last_usage_id").over(W.partitionBy("path").orderBy("block"))
-    again = (F.col("first_usage.usage_id") != "") & F.col("first_usage.usage_id").eqNullSafe(carried)
-    blocks = blocks.withColumn("again", again)
-    return blocks.groupBy("path").agg(*[F.sum(F.col(c) - F.when(F.col("again"), F.col(f"first_usage.{c}")).otherwise(0)).alias(c) for c in TOKENS], *ends("block"))
+_USAGE = ("usage_id", *TOKENS)
+
+
+def _counted(u: Column) -> list[Column]:
+    """Token sums of sorted usage records: one counts unless it has the non-empty id of the one before."""
+    kept = F.filter(u, lambda x, i: (x["usage_id"] == "") | ~x["usage_id"].eqNullSafe(F.get(u, i - 1)["usage_id"]))
+    return [F.aggregate(F.transform(kept, _field(c)), F.lit(0).cast("long"), lambda acc, n: acc + n).alias(c) for c in TOKENS]
+
+
+def _field(c: str):
+    return lambda x: F.coalesce(x[c], F.lit(0)).cast("long")
+
+
+def _joined(b: Column) -> list[Column]:
+    """Token sums over a file's blocks in order: a block's first record doesn't count if the block before ended with its id."""
+    again = lambda x, i: (x["first_usage"]["usage_id"] != "") & x["first_usage"]["usage_id"].eqNullSafe(F.get(b, i - 1)["last_usage_id"])
+    sums = lambda c: F.transform(b, lambda x, i: x[c] - F.when(again(x, i), F.coalesce(x["first_usage"][c], F.lit(0))).otherwise(0))
+    return [F.aggregate(sums(c), F.lit(0).cast("long"), lambda acc, x: acc + x).alias(c) for c in TOKENS]
 
 
 def segments(lines: DataFrame) -> DataFrame:
-    """One mergeable row per path from classified lines."""
-    first_real = _at(F.min_by, "user_prompt")
-    fields = lines.groupBy("path").agg(
+    """One mergeable row per path from classified lines, in one pass: by blocks of a file first, whose usage records are sorted where they meet (those of BLOCK_BYTES at most), then the blocks by their ends."""
+    b = lines.groupBy("path", F.floor(F.col("offset") / F.lit(BLOCK_BYTES)).alias("block")).agg(
         F.count(F.lit(1)).alias("entries"),
         F.count_if("is_user").alias("user_msgs"),
         F.count_if("is_assistant").alias("assistant_msgs"),
         _at(F.min_by, "ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        first_real.alias("first_prompt"),
+        _at(F.min_by, "user_prompt").alias("first_prompt"),
         *[_at(F.min_by, c).alias(c) for c in FIRST],
         *[_at(F.max_by, c).alias(c) for c in LAST],
         F.max(F.col("offset") + (F.col("bytes") if "bytes" in lines.columns else F.octet_length("raw") + 1)).alias("scanned_len"),
+        F.array_sort(F.collect_list(F.when(F.col("has_usage"), F.struct("offset", *_USAGE)))).alias("u"),
+    )
+    some = F.size("u") > 0
+    first = F.when(some, F.struct(*[F.get("u", F.lit(0))[c].alias(c) for c in _USAGE]))
+    b = b.withColumn("block", F.struct("block", *_counted(F.col("u")), first.alias("first_usage"), F.get("u", F.size("u") - 1)["usage_id"].alias("last_usage_id"))).withColumn("some", some).drop("u")
+    one = lambda f, c: f(F.when(F.col(f"{c}.o").isNotNull(), F.col(c)), F.col(f"{c}.o")).alias(c)
+    s = b.groupBy("path").agg(
+        *[F.sum(c).alias(c) for c in ("entries", "user_msgs", "assistant_msgs")],
+        *[F.max(c).alias(c) for c in ("last_ts", "scanned_len")],
+        *[one(F.min_by, c) for c in ("first_ts", "first_prompt", *FIRST)],
+        *[one(F.max_by, c) for c in LAST],
+        F.array_sort(F.collect_list(F.when(F.col("some"), F.col("block")))).alias("b"),
     )
-    usage = _usage(lines)
-    return fields.join(usage, "path", "left").select(*fields.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in TOKENS], "first_usage", "last_usage_id")
+    ends = [F.get("b", F.lit(0))["first_usage"].alias("first_usage"), F.get("b", F.size("b") - 1)["last_usage_id"].alias("last_usage_id")]
+    order = ("path", "entries", "user_msgs", "assistant_msgs", "first_ts", "last_ts", "first_prompt", *FIRST, *LAST, "scanned_len")
+    return s.select(*order, *_joined(F.col("b")), *ends)
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
