@@ -267,19 +267,29 @@ def _candidates(p: DataFrame, percent: int) -> DataFrame:
     x, y, z = here(single, "a"), here(single, "b"), here(member, "a")
     alone = x.join(y, met(x, y) & (F.col("id_a") < F.col("id_b")) & fit).select(*what)
     mixed = z.join(y, met(z, y) & fit).select(*what)
-    comps = member.groupBy("token", "comp").agg(F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("id", F.col("comp"))
+    comps = member.groupBy("token", "comp").agg(F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("m")).withColumn("id", F.col("comp"))
     one, other = (side(_parts(comps, None, x == "a"), x) for x in "ab")
     sizes = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    two = one.join(other, met(one, other) & (F.col("comp_a") < F.col("comp_b")) & sizes).select(one["token"], "comp_a", "comp_b")
-    # of two components, both sides' rows are dealt into shares, and each two shares meet in a task of their own
-    sizes_ = member.groupBy("token", "comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT)).cast("int").alias("shares"))
-    dealt = spread_join(member, sizes_, ["token", "comp"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
-    plain = lambda x: dealt.select("token", *[F.col(c).alias(f"{c}_{x}") for c in dealt.columns if c not in ("token", "c")])
-    many = lambda x: sizes_.select("token", F.col("comp").alias(f"comp_{x}"), F.sequence(F.lit(0), F.col("shares") - 1).alias(f"shares_{x}"))
-    two = two.join(many("a"), ["token", "comp_a"]).join(many("b"), ["token", "comp_b"]).withColumn("share_a", F.explode("shares_a")).withColumn("share_b", F.explode("shares_b")).drop("shares_a", "shares_b")
-    u, v = two.join(plain("a"), ["token", "comp_a", "share_a"]), two.join(plain("b"), ["token", "comp_b", "share_b"])
-    here_ = ["token", "comp_a", "comp_b", "share_a", "share_b"]
-    large = u.join(v.withColumnsRenamed({c: f"{c}_" for c in here_}), reduce(and_, [F.col(c) == F.col(f"{c}_") for c in here_]) & fit).select(*what)
+    two = one.join(other, met(one, other) & (F.col("comp_a") < F.col("comp_b")) & sizes).select(one["token"], "comp_a", "comp_b", "m_a", "m_b")
+    # most lists have a few rows of a component
+    two = stored(two)
+    few = (F.col("m_a") <= SPLIT) & (F.col("m_b") <= SPLIT)
+    plain = lambda x, df=member: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("token", "c")])
+    pair = ["token", "comp_a", "comp_b"]
+    w, v = two.where(few).select(*pair).join(plain("a"), ["token", "comp_a"]), plain("b")
+    large = w.join(v, (w["token"] == v["token"]) & (w["comp_b"] == v["comp_b"]) & fit).select(*what)
+    if two.where(~few).limit(1).count():
+        # both sides' rows are dealt into shares, and each two shares meet in a task of their own
+        many = two.where(~few)
+        shares = lambda x: F.ceil(F.col(f"m_{x}") / F.lit(SPLIT)).cast("int")
+        held = stored(many.select("token", F.col("comp_a").alias("comp"), shares("a").alias("shares")).unionAll(many.select("token", F.col("comp_b"), shares("b"))).distinct())
+        dealt = spread_join(member, held, ["token", "comp"], "inner").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
+        each = lambda x: F.explode(F.sequence(F.lit(0), shares(x) - 1))
+        many = many.withColumn("share_a", each("a")).withColumn("share_b", each("b")).select(*pair, "share_a", "share_b")
+        u, v = many.join(plain("a", dealt), ["token", "comp_a", "share_a"]), many.join(plain("b", dealt), ["token", "comp_b", "share_b"])
+        both = [*pair, "share_a", "share_b"]
+        met_ = u.join(v.withColumnsRenamed({c: f"{c}_" for c in both}), reduce(and_, [F.col(c) == F.col(f"{c}_") for c in both]) & fit)
+        large = large.unionAll(met_.select(*what))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l")
     return ordered(alone).unionAll(ordered(mixed)).unionAll(ordered(large))
 
