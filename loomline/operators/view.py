@@ -65,7 +65,7 @@ def filtered(sessions: DataFrame, typed: str, home: str = "") -> DataFrame:
         "title": F.col("title"), "folder": X.short_cwd(F.col("cwd"), home), "place": F.when(w.isNotNull(), F.concat_ws(" ", O.place_label(w), O.place_tag(w))).otherwise(""),
         "branch": F.col("git_branch"), "tags": X.tag_words(F.col("tags")), "note": F.col("note"), "prompt": F.col("last_prompt"), "id": F.col("id"),
     }
-    return sessions.withColumn("filter_score", fuzzy.filter_score(fields, typed)).where("filter_score IS NOT NULL")
+    return fuzzy.accepted(sessions, fields, typed)
 
 
 def ordered_keys(sort: str, filtering: bool = False, ranked: bool = False) -> list[Column]:

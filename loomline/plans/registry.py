@@ -472,7 +472,7 @@ def filter_score(t):
     from ..functions import fuzzy
 
     fields = {"prompt": F.col("text"), "folder": F.col("source")}
-    return t("documents").select("doc_id", fuzzy.filter_score(fields, "the !src7").alias("score")).where("score IS NOT NULL")
+    return fuzzy.accepted(t("documents").select("doc_id", "text", "source"), fields, "the !src7", "score").select("doc_id", "score")
 
 
 _FOUND = "regexp_matches({t}, '(?s)^(.*?[^\\p{{L}}\\p{{N}}])?edou')".format(t=_LOW)
