@@ -6,8 +6,11 @@ control characters are Unicode's.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,9 +170,63 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+EMOJI = "\ufe0f"
+
+
+def _cell(c: str) -> int:
+    """Terminal cells of a character by itself: wide forms take two, marks none."""
+    return 0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1
+
+
+def _drawn_wide(c: str) -> bool:
+    """Whether a selector after it makes a narrow character an emoji of two cells: a symbol, or what a keycap is made of."""
+    return (unicodedata.category(c) == "So" or c in "0123456789#*") and _cell(c) == 1
+
+
 def display_width(s: str) -> int:
-    """Terminal cells of a literal: wide forms take two, marks none."""
-    return sum(0 if unicodedata.combining(x) or unicodedata.category(x) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(x) in "WF" else 1 for x in s)
+    """Terminal cells of a literal."""
+    return sum(map(_cell, s)) + sum(b == EMOJI and _drawn_wide(a) for a, b in zip(s, s[1:], strict=False))
+
+
+@functools.cache
+def _cells() -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of code points of equal cells begin, and their cells; 4 marks those that a selector widens."""
+    every = np.array([_cell(c) + 4 * _drawn_wide(c) for c in map(chr, range(0x30000))], np.uint8)
+    first = np.flatnonzero(np.diff(every, prepend=255))
+    tail = [0x30000, 0x3FFFE, 0xE0000, 0xE0200]  # wide planes, then none, tags and selectors of no cell, then none
+    return np.concatenate((first, tail)), np.concatenate((every[first], np.array([2, 1, 0, 1], np.uint8)))
+
+
+def _prefix_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins among all code points (n + 1), and the cells before each code point."""
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin, cells = _cells()
+    kind = cells[np.searchsorted(begin, code, "right") - 1]
+    width = (kind & 3).astype(np.int64)
+    widened = np.flatnonzero(code == ord(EMOJI))
+    widened = widened[(widened > 0) & ~np.isin(widened, starts)]
+    width[widened] += kind[widened - 1] >> 2
+    return starts, np.concatenate(([0], np.cumsum(width)))
+
+
+def fitted(c: Column, width: int, pad: bool = False) -> Column:
+    """A column's texts cut to so many cells, with an ellipsis; pad: and filled up to them. No character is cut in half."""
+
+    @F.pandas_udf("string")
+    def fit(texts: pd.Series) -> pd.Series:
+        rows = [t or "" for t in texts]
+        starts, before = _prefix_cells(rows)
+        out = []
+        for t, a, b in zip(rows, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            used = int(before[b] - before[a])
+            if used > width:
+                n = int(np.searchsorted(before[a : b + 1], before[a] + max(0, width - 1), "right")) - 1 if width > 1 else 0
+                t, used = t[:n] + "…" * (width > 0), int(before[a + n] - before[a]) + (width > 0)
+            out.append(t + " " * (width - used) if pad else t)
+        return pd.Series(out)
+
+    return fit(drawable(c))
 
 
 def fit_text(s: str, width: int) -> str:

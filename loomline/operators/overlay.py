@@ -112,6 +112,13 @@ def with_missing_folders(sessions: DataFrame, existing: DataFrame) -> DataFrame:
     return s.withColumn("cwd_missing", (F.col("cwd") != "") & F.col("there").isNull()).drop("there")
 
 
+def with_probed_folders(sessions: DataFrame, states: DataFrame) -> DataFrame:
+    """cwd_missing from states (cwd, state), as ``side.folders`` finds them: null where it is unknown whether the folder is there."""
+    s = sessions.join(states.select("cwd", "state"), "cwd", "left")
+    missing = F.when(F.col("cwd") == "", F.lit(False)).when(F.col("state") == "unknown", F.lit(None)).otherwise(F.col("state") == "missing")
+    return s.withColumn("cwd_missing", missing).drop("state")
+
+
 def orphans(sessions: DataFrame) -> DataFrame:
     """Subagents whose parent is no listed session, or who name none."""
     tops = sessions.where("NOT is_subagent").select(F.col("id").alias("parent"))

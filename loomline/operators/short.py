@@ -34,7 +34,9 @@ def heads(lines: DataFrame) -> DataFrame:
 def listing(heads_: DataFrame, files: DataFrame, now: int, home: str = "") -> DataFrame:
     """(value, mtime, path): a line per transcript that is no subagent's: age, folder, title; then path, id and folder behind tabs."""
     s = files.where("NOT is_subagent").join(heads_, "path", "left").select("path", "id", "mtime", F.coalesce("cwd", F.lit(NOWHERE)).alias("cwd"), F.coalesce("title", F.lit(UNTITLED)).alias("title"))
-    folder = F.rpad(F.left(X.short_cwd(F.col("cwd"), home), F.lit(24)), 24, " ")
+    short = X.short_cwd(F.col("cwd"), home)
+    folder = F.rpad(F.left(short, F.lit(24)), 24, " ")
+    folder = F.when(short.rlike(r"[^\x20-\x7E]"), X.fitted(short, 24, pad=True)).otherwise(folder)
     shown = F.concat(F.lpad(N.reltime(F.col("mtime"), F.lit(now)), 8, " "), F.lit("  "), folder, F.lit("  "), F.col("title"))
     return s.select(F.concat_ws("\t", shown, "path", "id", "cwd").alias("value"), "mtime", "path")
 

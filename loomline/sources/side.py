@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 import tomllib
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,36 @@ def workspaces(lines: DataFrame, column: str = "value") -> DataFrame:
     return w.where(F.col("path").startswith("/"))
 
 
+def _is_folder(path: str) -> str:
+    try:
+        return "present" if stat.S_ISDIR(os.stat(path).st_mode) else "missing"
+    except (FileNotFoundError, NotADirectoryError):
+        return "missing"
+    except (OSError, ValueError):  # not allowed to look, or no path at all
+        return "unknown"
+
+
+def folders(sessions: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """(cwd, state: present, missing or unknown) of the sessions' folders, one look a distinct folder, in tasks. One that takes longer than ``seconds``, as on a mount that hangs, is unknown, and so is what the same task would have to wait for behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = ThreadPoolExecutor(8)
+        try:
+            for batch in batches:
+                paths = batch.column(0).to_pylist()
+                looks, states = [pool.submit(_is_folder, p) for p in paths], []
+                for look in looks:
+                    try:
+                        states.append(look.result(timeout=seconds))
+                    except TimeoutError:
+                        states.append("unknown")
+                yield pa.record_batch([batch.column(0), pa.array(states, pa.string())], names=["cwd", "state"])
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return sessions.select("cwd").where("cwd <> ''").distinct().mapInArrow(run, "cwd string, state string")
+
+
 def repo_checkouts(lines: DataFrame, repos: DataFrame, column: str = "value") -> DataFrame:
     """(repo, checkout): the first padded line of each repo's name followed by an absolute path. lines has line_no."""
     l = lines.select("line_no", F.regexp_extract(lines[column], r"^(\S+)\s+(/.*)$", 1).alias("repo"), F.rtrim(F.regexp_extract(lines[column], r"^(\S+)\s+(/.*)$", 2)).alias("checkout"))
