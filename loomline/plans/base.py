@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores: one whose files make fewer partitions than there are cores is dealt out, any other is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers f(t) where t(name) reads a table."""
 

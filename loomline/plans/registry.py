@@ -33,7 +33,7 @@ from . import listing as listing
 from . import transcripts as transcripts
 from .base import ORACLE as ORACLE
 from .base import QUERIES as QUERIES
-from .base import REAL, SQUASH, query
+from .base import REAL, SQUASH, dealt, query
 
 # ---- transcripts: one conversation is one transcript, a turn a line
 
@@ -306,7 +306,7 @@ def _kept(t, kind: str, make) -> str:
     key, now = (spark.sparkContext.applicationId, kind, tuple(sorted(files))), versions(spark, files)
     if key not in _made or _made[key][0] != now:
         path = work_dir(spark)
-        make(d.select(F.col("doc_id").cast("string").alias("path"), "text"), path)
+        make(dealt(d).select(F.col("doc_id").cast("string").alias("path"), "text"), path)
         if key in _made:
             drop(spark, _made[key][1])
         _made[key] = (now, path)
@@ -415,7 +415,7 @@ _TIMES = "least((length({t}) - length(replace({t}, '{s}', ''))) / {n}, 1000)"
 
 @query("SELECT doc_id::VARCHAR AS path, round(ln(1 + {a}) + ln(1 + {b}), 6) AS score FROM documents WHERE contains({t}, 'th,') AND contains({t}, 'on.')".format(t=_LOW, a=_TIMES.format(t=_LOW, s="th,", n="3.0"), b=_TIMES.format(t=_LOW, s="on.", n="3.0")))
 def literal_search(t):
-    d = t("documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    d = dealt(t("documents")).select(F.col("doc_id").cast("string").alias("path"), "text")
     return S.literal(d, Query.parse("th, on.")).select("path", F.round("score", 6).alias("score"))
 
 
@@ -472,7 +472,7 @@ def filter_score(t):
     from ..functions import fuzzy
 
     fields = {"prompt": F.col("text"), "folder": F.col("source")}
-    return fuzzy.accepted(t("documents").select("doc_id", "text", "source"), fields, "the !src7", "score").select("doc_id", "score")
+    return fuzzy.accepted(dealt(t("documents").select("doc_id", "text", "source")), fields, "the !src7", "score").select("doc_id", "score")
 
 
 _FOUND = "regexp_matches({t}, '(?s)^(.*?[^\\p{{L}}\\p{{N}}])?edou')".format(t=_LOW)
@@ -481,13 +481,13 @@ _AT = "length(regexp_extract({t}, '(?s)^((?:.*?[^\\p{{L}}\\p{{N}}])?)edou', 1))"
 
 @query(f"SELECT doc_id, CASE WHEN NOT found THEN {SQUASH.format(c='text', n=160)} ELSE CASE WHEN pos > 90 THEN '…' ELSE '' END || {SQUASH.format(c='substring(text, greatest(pos - 90, 0) + 1, least(pos, 90) + 90)', n=200)} || CASE WHEN pos + 90 < length(text) THEN '…' ELSE '' END END AS excerpt FROM (SELECT doc_id, text, {_FOUND} AS found, {_AT} AS pos FROM documents WHERE contains({_LOW}, 'edou'))")
 def excerpt_one(t):
-    d = t("documents").select("doc_id", "text").where(X.ascii_lower(F.col("text")).contains("edou"))
+    d = dealt(t("documents").select("doc_id", "text")).where(X.ascii_lower(F.col("text")).contains("edou"))
     return d.select("doc_id", spot.excerpt(F.col("text"), "edou").alias("excerpt"))
 
 
 @query()
 def excerpt(t):
-    d = t("documents").select("doc_id", "text").where(X.ascii_lower(F.col("text")).contains("edou"))
+    d = dealt(t("documents").select("doc_id", "text")).where(X.ascii_lower(F.col("text")).contains("edou"))
     return d.select("doc_id", spot.excerpt(F.col("text"), "edou the").alias("excerpt"))
 
 

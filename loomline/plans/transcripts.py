@@ -17,7 +17,7 @@ from ..operators import prose, report, rollup, short, turns
 from ..sources import sink
 from ..sources import transcripts as source
 from ..sources.storage import work_dir
-from .base import REAL, SQUASH, query
+from .base import REAL, SQUASH, dealt, query
 
 _STAMP = "1700000000 + conv_id * 1000 + turn * 7"
 LINES = f"""ln AS (SELECT conv_id, turn, turn * 10 AS off, role AS kind, coalesce(text, '') AS text, {_STAMP} AS ts FROM conversations
@@ -27,7 +27,7 @@ LINES = f"""ln AS (SELECT conv_id, turn, turn * 10 AS off, role AS kind, coalesc
 
 def transcript_lines(t) -> DataFrame:
     """(path, offset, raw) of all conversations as JSON lines."""
-    c = t("conversations").select(F.col("conv_id").cast("string").alias("path"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    c = dealt(t("conversations")).select(F.col("conv_id").cast("string").alias("path"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 1000 + F.col("turn") * 7), "yyyy-MM-dd'T'HH:mm:ss'.250Z'").alias("timestamp")
     inner = {"user": F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))}
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+_owners: list[str] = []
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession) -> Iterator[str]:
+    """Work tables that are made inside are taken away at its end, so what is to last is written inside too:
+
+    with owned(spark):
+        corpus_pipeline.run(spark, folder).write.parquet(result)
+    """
+    path = work_dir(spark)
+    _owners.append(path)
+    try:
+        yield path
+    finally:
+        _owners.remove(path)
+        drop(spark, path)
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a local one if the session runs on this machine alone (tests); on a cluster an error, as executors wouldn't see each other's files."""
+    """A new folder under spark.checkpoint.dir, or under the innermost ``owned``'s. Where that is unset, a local one if the session runs on this machine alone (tests); on a cluster an error, as executors wouldn't see each other's files."""
+    if _owners:
+        return f"{_owners[-1]}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.query import Query, Term
 from loomline.operators import blocks, postings, search
+from loomline.sources import storage
 
 WORDS = ["lamp", "Copper", "f++", "é", "日本語", "a", "co", "copperplate", "harbour,", "==>", "x.y", "LAMP"]
 
@@ -59,3 +60,15 @@ def test_common_words_skip_blocks(spark, tmp_path, monkeypatch):
     assert sum(read) < 20 < ranked.blocks()
     with pytest.raises(ValueError, match="positions"):
         ranked.best(Query.parse('"lamp oil"'), 3)
+
+
+def test_owned_work_tables_go(spark, bodies, tmp_path):
+    with storage.owned(spark) as path:
+        index = postings.build(bodies)
+        postings.save(index, storage.work_dir(spark))
+        search.indexed(index, Query.parse("lamp")).write.parquet(str(tmp_path / "kept"))
+        assert len(storage.versions(spark, spark.read.parquet(f"{path}/*/postings").inputFiles())) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() > 100
+    assert not storage.work_dir(spark).startswith(path)
