@@ -163,7 +163,7 @@ node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) A
 up AS (SELECT x.p, x.d, x.conv_id, y.conv_id AS parent_conv_id FROM node x LEFT JOIN node y ON x.d > 0 AND y.d = x.d - 1 AND y.p = list_slice(x.p, 1, x.d - 1)),
 kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
 leaf AS (SELECT node.*, kids.n IS NULL AS is_leaf FROM node LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.d = node.d),
-below AS (SELECT list_slice(p, 1, k) AS p, k AS d, count(*) FILTER (is_leaf) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM leaf) GROUP BY ALL)
+below AS (SELECT list_slice(p, 1, k) AS p, k AS d, count(*) FILTER (is_leaf) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM leaf) GROUP BY ALL)
 SELECT node.conv_id, node.d AS depth, up.parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved AS saved_tokens, ends_sha256
 FROM node JOIN up ON up.conv_id = node.conv_id AND up.d = node.d LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.d = node.d JOIN below ON below.d = node.d AND below.p = node.p"""
 

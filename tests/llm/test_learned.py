@@ -87,15 +87,15 @@ def test_label_model_finds_rates_and_correlations():
     assert ((m.log_odds(votes) > 0) == y).mean() > 0.9
 
 
-def test_sql_oracles(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql_oracles(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    for name, sql in queries.ORACLE.items():
-        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
-        want = c.execute(sql).df()[list(got.columns)]
-        rows = lambda d: sorted(map(str, d.astype(str).itertuples(index=False, name=None)))
-        assert rows(got) == rows(want), name
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toArrow()
+    want = c.sql(queries.ORACLE[name]).to_arrow_table().select(got.column_names)
+    rows = lambda t: sorted(str(tuple(r.values())) for r in t.to_pylist())
+    assert rows(got) == rows(want)
 
 
 @pytest.fixture(scope="module")
