@@ -162,7 +162,7 @@ def _sample(rows: DataFrame, key: str, voters: Voters | None = None) -> tuple[li
 
 
 def _unlabelled(docs: DataFrame, labels: DataFrame, label: str, key: str, folds: int, fold: int, voters: Voters, chance: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bins and votes of documents without a label and outside the fold, ordered by id. chance: of a document, by each lexicon voter that votes on it, and (last) of any."""
+    """Bins and votes of documents without a label and outside the fold, ordered by id, one row of an id that is repeated. chance: of a document, by each lexicon voter that votes on it, and (last) of any."""
     shared = docs.sparkSession.sparkContext.broadcast((voters, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,8 @@ def _unlabelled(docs: DataFrame, labels: DataFrame, label: str, key: str, folds:
     d = d.select(F.col(key).cast("string").alias("key"), "text", draw.alias("draw"))
     found = d.mapInArrow(lean(run), "key string, bins binary, votes binary")
     known = labels.where(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("key"))
-    found = found.join(known, "key", "left_anti").toPandas()
+    one = F.min(F.struct("bins", "votes")).alias("one")  # a row of an id: repeated ids share their draw, and all of them could be very many
+    found = found.join(known, "key", "left_anti").groupBy("key").agg(one).select("key", "one.bins", "one.votes").toPandas()
     found = found.sort_values(["key", "bins"])
     return [np.frombuffer(b, "<i4") for b in found["bins"]], np.array([np.frombuffer(x, bool) for x in found["votes"]], bool).reshape(len(found), voters.n)
 
