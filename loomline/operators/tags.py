@@ -78,6 +78,22 @@ def parse_edit(typed: str, reserved: str = "wsx/") -> TagEdit:
     return out
 
 
+def applied(marks: DataFrame, chosen: DataFrame, typed: str) -> DataFrame:
+    """marks after a tag edit: what it adds or removes is of the chosen sessions (id), also of those without marks so far; a rename is of all. Empty entries go.
+
+    Each id is edited once however often it is chosen; a null id is none. An edit that says nothing leaves the marks as they are.
+    """
+    edit = parse_edit(typed)
+    for old, new in edit.rename:
+        marks = renamed(marks, old, new)
+    if edit.add or edit.remove:
+        names = lambda tags: F.array(*map(F.lit, tags)).cast(NONE)
+        ids = chosen.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
+        none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+        marks = merged(marks, ids.select("id", none("boolean", "favorite"), none("string", "note"), names(edit.add).alias("added"), names(edit.remove).alias("removed")))
+    return marks
+
+
 def save(marks: DataFrame, path: str, backups: int = 3) -> None:
     """The overlay file, written aside and moved into place, the last few kept. marks is what one person keeps."""
     doc = {"sessions": {r.id: {"favorite": r.favorite, "tags": list(r.tags), "note": r.note} for r in marks.orderBy("id").toLocalIterator()}}

@@ -14,6 +14,7 @@ from .search import parents_of_hits, session_scores
 
 SORTS = ("recency", "size", "entries", "duration", "title", "folder", "tokens")
 RANGES = ("all", "today", "7", "30", "90")
+BANDS = ("favourites", "today", "yesterday", "this week", "this month", "this year", "older", "earlier")
 
 
 def after(names: tuple, now: str) -> str:
@@ -25,18 +26,28 @@ def title_of() -> Column:
     return X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent"))
 
 
-def sort_keys(sort: str) -> list[Column]:
-    """Keys of a sort, then the base order: newest first, then by path."""
+def _by(sort: str) -> list[tuple[Column, bool]]:
+    """(key, whether the largest comes first) of a sort, then of the base order: newest first, then by path."""
+    mtime = (F.col("mtime"), True)
     by = {
-        "recency": [F.desc("mtime")],
-        "size": [F.desc("size")],
-        "entries": [F.desc("entries")],
-        "duration": [N.duration_secs(F.col("first_ts"), F.col("last_ts")).desc()],
-        "title": [F.lower("title").asc()],
-        "folder": [F.asc("cwd"), F.desc("mtime")],
-        "tokens": [N.total_tokens(*map(F.col, ("in_tokens", "out_tokens", "cache_read", "cache_write"))).desc()],
+        "recency": [mtime],
+        "size": [(F.col("size"), True)],
+        "entries": [(F.col("entries"), True)],
+        "duration": [(N.duration_secs(F.col("first_ts"), F.col("last_ts")), True)],
+        "title": [(F.lower("title"), False)],
+        "folder": [(F.col("cwd"), False), mtime],
+        "tokens": [(N.total_tokens(*map(F.col, ("in_tokens", "out_tokens", "cache_read", "cache_write"))), True)],
     }[sort]
-    return [*by, F.desc("mtime"), F.asc("path")]
+    return [*by, mtime, (F.col("path"), False)]
+
+
+def _directed(keys: list[tuple[Column, bool]]) -> list[Column]:
+    return [c.desc() if down else c.asc() for c, down in keys]
+
+
+def sort_keys(sort: str) -> list[Column]:
+    """Keys of a sort, then the base order: newest first, then by path."""
+    return _directed(_by(sort))
 
 
 def passing(sessions: DataFrame, now: int, favourites: bool = False, live: bool = False, tag: str | None = None, dates: str = "all", hits: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
@@ -68,9 +79,13 @@ def filtered(sessions: DataFrame, typed: str, home: str = "") -> DataFrame:
     return fuzzy.accepted(sessions, fields, typed)
 
 
+def _precedence(sort: str, filtering: bool, ranked: bool) -> list[tuple[Column, bool]]:
+    return [*([(F.col("filter_score"), True)] if filtering else []), *([(F.col("answer"), True)] if ranked else []), (F.col("favorite"), True), *_by(sort)]
+
+
 def ordered_keys(sort: str, filtering: bool = False, ranked: bool = False) -> list[Column]:
     """Filter score, answer score and favourites precede the chosen sort, as they apply."""
-    return [*([F.desc("filter_score")] if filtering else []), *([F.desc("answer")] if ranked else []), F.desc("favorite"), *sort_keys(sort)]
+    return _directed(_precedence(sort, filtering, ranked))
 
 
 def placed(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
@@ -94,10 +109,20 @@ def numbered(sessions: DataFrame, sort: str) -> DataFrame:
     return placed(sessions, ordered_keys(sort), "line")
 
 
+def _ascending(keys: list[tuple[Column, bool]], dtypes: dict[str, str]) -> Column:
+    """A struct that sorts upwards as the keys do, so that a minimum is a group's first row."""
+    turned = lambda c, name: ~c if dtypes[name] == "boolean" else -c
+    return F.struct(*[F.struct(c.isNull().alias("none"), turned(c, f"o{i}").alias("v")) if down else c.alias(f"o{i}") for i, (c, down) in enumerate(keys)])
+
+
 def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = "", hits: DataFrame | None = None, match_order: bool = True, grouped: bool = False, expanded: DataFrame | None = None, home: str = "", zone: str = "UTC", **passes) -> DataFrame:
     """Rows of the view: row_kind (header, divider, item, sub), label, n and the session's columns, with ``line``, their place.
 
-    expanded: ids whose subagents are shown, oldest first; under a search, those found. Places come from sorted ranges, so that no task sees all rows.
+    expanded: ids whose subagents are shown, oldest first; under a search, those found.
+    Headings, items and subagents are sorted once, by ranges of (group, heading first, the
+    order's keys, item before its subagents), and get their places from there, so that no
+    task sees all rows. Rows come as they lie: sort by ``line`` to show them. Making the
+    frame runs that sort.
     """
     s = sessions if "title" in sessions.columns else sessions.withColumn("title", title_of())
     s = filtered(passing(s, now, hits=hits, zone=zone, **passes), typed, home)
@@ -107,34 +132,39 @@ def listed(sessions: DataFrame, now: int, sort: str = "recency", typed: str = ""
     s = s.withColumn("answer", F.coalesce("answer", F.lit(0.0)) if scored else F.lit(0.0))
     ranked = scored and match_order and not s.where("answer <> 0").isEmpty()
     filtering = bool(fuzzy.Filter.parse(typed).words) and match_order
-    keys = ordered_keys(sort, filtering, ranked)
-    s = s.withColumn("folder", F.coalesce(O.folder(F.col("cwd"), F.col("wsx"), home), F.lit("")))
-    s = placed(s, keys, "ord")
+    order = _precedence(sort, filtering, ranked)
+    ups = [f"o{i}" for i in range(len(order))]
+    s = s.withColumns({name: c for name, (c, _) in zip(ups, order, strict=True)})
+    none = F.lit(None).cast("bigint")
     if grouped:
-        folders = s.groupBy("folder").agg(F.max("mtime").alias("newest"), F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"))
+        s = s.withColumn("folder", F.coalesce(O.folder(F.col("cwd"), F.col("wsx"), home), F.lit("")))
+        first = _ascending([(F.col(name), down) for name, (_, down) in zip(ups, order, strict=True)], dict(s.dtypes))
+        folders = s.groupBy("folder").agg(F.max("mtime").alias("g0"), F.min(first).alias("g1"), F.count(F.lit(1)).alias("n"))
+        groups = [F.desc("g0"), F.asc("g1"), F.asc("folder")]  # newest folder first, then the one whose first session comes first
         s = s.join(folders.drop("n"), "folder")
-        heads = folders.select(F.lit("header").alias("row_kind"), F.col("folder").alias("label"), "n", (-F.col("newest")).alias("k0"), F.col("first_ord").alias("k1"), F.lit(0).cast("bigint").alias("k2"))
-        k0, k1 = -F.col("newest"), F.col("first_ord")
-    else:
-        banded = sort == "recency" and not filtering and not ranked
+        heads = folders.select(F.lit("header").alias("row_kind"), F.col("folder").alias("label"), "n", "g0", "g1", "folder")
+    elif sort == "recency" and not filtering and not ranked:
+        groups = [F.asc("g0")]  # by recency, a band is one run of lines
         band = F.when(F.col("favorite"), "favourites").otherwise(N.date_band(F.col("mtime"), F.lit(now), zone))
-        bands = s.where(F.lit(banded)).groupBy(band.alias("band")).agg(F.min("ord").alias("first"))  # by recency, a band is one run of lines
-        zero = F.lit(0).cast("bigint")
-        heads = bands.select(F.lit("divider").alias("row_kind"), F.col("band").alias("label"), F.lit(None).cast("bigint").alias("n"), zero.alias("k0"), zero.alias("k1"), (F.col("first") * 3 - 1).alias("k2"))
-        k0, k1 = zero, zero
-    what = [*sessions.columns]
-    items = s.select(F.lit("item").alias("row_kind"), F.col("title").alias("label"), F.lit(None).cast("bigint").alias("n"), k0.alias("k0"), k1.alias("k1"), (F.col("ord") * 3).alias("k2"), *what)
-    rows = heads.unionByName(items, allowMissingColumns=True)
+        s = s.withColumn("band", band).withColumn("g0", F.array_position(F.lit(list(BANDS)), F.col("band")))
+        heads = s.select(F.lit("divider").alias("row_kind"), F.col("band").alias("label"), none.alias("n"), "g0").distinct()
+    else:
+        groups, heads = [], None
+    what, at = [*sessions.columns], ["g0", "g1", "folder"][: len(groups)]
+    rows = s.select(F.lit("item").alias("row_kind"), F.col("title").alias("label"), none.alias("n"), *at, *ups, F.lit(None).cast("bigint").alias("sub_at"), F.col("path").alias("sub_path"), *what)
     if expanded is not None:
-        at = s.join(expanded.select("id"), "id", "left_semi").select(F.col("id").alias("parent"), k0.alias("k0"), k1.alias("k1"), (F.col("ord") * 3 + 1).alias("k2"))
-        kids = sessions.where("is_subagent").join(at, "parent")
+        above = s.join(expanded.select("id"), "id", "left_semi").select(F.col("id").alias("parent"), *at, *ups)
+        kids = sessions.where("is_subagent")
         if scored:
             kids = kids.join(hits.select("path"), "path", "left_semi")
+        kids = kids.join(above, "parent")
         label = F.col("title") if "title" in kids.columns else title_of()
-        rows = rows.unionByName(kids.select(F.lit("sub").alias("row_kind"), label.alias("label"), F.lit(None).cast("bigint").alias("n"), "k0", "k1", "k2", *what), allowMissingColumns=True)
-    sub = F.when(F.col("row_kind") == "sub", F.col("mtime")).otherwise(0)
-    rows = rows.withColumns({"k3": sub, "k4": F.coalesce("path", F.lit(""))})
-    return placed(rows, [F.col(f"k{i}").asc() for i in range(5)], "line").drop(*[f"k{i}" for i in range(5)]).orderBy("line")
+        rows = rows.unionByName(kids.select(F.lit("sub").alias("row_kind"), label.alias("label"), none.alias("n"), *at, *ups, F.coalesce("mtime", F.lit(0)).cast("bigint").alias("sub_at"), F.col("path").alias("sub_path"), *what))
+    if heads is not None:
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    head = F.when(F.col("row_kind").isin("header", "divider"), 0).otherwise(1)
+    keys = [*groups, head.asc(), *[F.desc(name) if down else F.asc(name) for name, (_, down) in zip(ups, order, strict=True)], F.asc_nulls_first("sub_at"), F.asc("sub_path")]
+    return placed(rows, keys, "line").drop(*at, *ups, "sub_at", "sub_path")
 
 
 def retained(selected: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -91,6 +91,28 @@ def search_results(t):
     return V.placed(r, [F.desc("score"), F.desc("mtime"), F.asc("path")], "line").select("id", "path", "score", "excerpt", "line")
 
 
+_ANSWERED = f"WITH {_SHOWN}, {_SCORES}, found AS (SELECT shown.*, score FROM shown JOIN scores ON shown.id = scores.id)"
+
+
+@query(f"{_ANSWERED} SELECT 'item' AS row_kind, title AS label, path, row_number() OVER (ORDER BY score DESC, favorite DESC, mtime DESC, path) AS line FROM found")
+def list_ranked(t):
+    """Sessions that a search found, best answer first: scores precede favourites and the sort."""
+    return V.listed(sessions(t), NOW, hits=_hits(t)).select("row_kind", "label", "path", "line")
+
+
+@query(f"{_ANSWERED}, o AS (SELECT *, row_number() OVER (ORDER BY favorite DESC, o_totalprice // 1 DESC, mtime DESC, path) AS ord FROM found), g AS (SELECT cwd, max(mtime) AS newest, min(ord) AS first, count(*) AS n FROM o GROUP BY cwd), r AS (SELECT 'item' AS row_kind, title AS label, path, NULL::BIGINT AS n, newest, first, ord * 3 AS k, 0 AS m FROM o JOIN g USING (cwd) UNION ALL SELECT 'header', cwd, NULL, n, newest, first, 0, 0 FROM g UNION ALL SELECT 'sub', c.title, c.path, NULL, newest, first, ord * 3 + 1, c.mtime FROM s c JOIN o ON c.parent = o.id JOIN g ON o.cwd = g.cwd WHERE c.sub AND c.o_totalprice > 300000) SELECT row_kind, label, path, n, row_number() OVER (ORDER BY newest DESC, first, k, m, path) AS line FROM r")
+def list_found_by_folder(t):
+    """What a search found in the list's own order, by folder, with the subagents that were found below their parents."""
+    s = sessions(t)
+    return V.listed(s, NOW, sort="size", hits=_hits(t), match_order=False, grouped=True, expanded=s.select("id")).select("row_kind", "label", "path", "n", "line")
+
+
+@query(f"WITH {_SHOWN}, f AS (SELECT * FROM shown WHERE contains(title, '12')) SELECT title AS label, path, row_number() OVER (ORDER BY favorite DESC, cwd, mtime DESC, path) AS line FROM f WHERE NOT contains(title, '99') AND tag <> 'p3'")
+def list_typed(t):
+    """What a typed filter accepts, in the list's own order."""
+    return V.listed(sessions(t), NOW, sort="folder", typed="'12 !99 !p3", match_order=False).select("label", "path", "line")
+
+
 @query(f"WITH s AS ({_S}) SELECT count(*) AS sessions, count(*) FILTER (favorite) AS favourites, count(pid) AS live FROM s")
 def list_counters(t):
     return V.counters(sessions(t))

@@ -7,6 +7,8 @@ usage lines or sessions with a time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,6 +216,23 @@ def marks_merge(t):
     return T.merged(_marks(t), patch).select("id", "favorite", F.array_join("tags", ",").alias("tags"))
 
 
+_CHOSEN = "(SELECT DISTINCT doc_id::VARCHAR AS id FROM documents WHERE lang <> 'en')"
+_EDITS = {
+    "Fresh, wsx/none  n.1": f"SELECT coalesce(m.id, c.id) AS id, list_sort(list_distinct(list_concat(coalesce(m.tags, []), CASE WHEN c.id IS NULL THEN [] ELSE ['fresh', 'n.1'] END))) AS tags FROM m FULL JOIN {_CHOSEN} c ON m.id = c.id",
+    "-TOXIC0 absent": f"SELECT m.id, CASE WHEN c.id IS NULL THEN tags ELSE list_filter(tags, lambda x: x <> 'toxic0') END AS tags FROM m LEFT JOIN {_CHOSEN} c ON m.id = c.id WHERE c.id IS NULL OR favorite OR tags <> ['toxic0']",
+    "toxic0 > toxic1": "SELECT id, ['toxic1'] AS tags FROM m",
+    "toxic0>wsx/r": "SELECT id, tags FROM m",
+}
+
+
+@query(f"WITH m AS ({_MARKS}) " + " UNION ALL ".join(f"SELECT '{typed}' AS typed, id, array_to_string(tags, ',') AS tags FROM ({sql})" for typed, sql in _EDITS.items()))
+def tag_edits(t):
+    """Edits as they are typed, over all marks: added to and removed from the documents that aren't English, renamed everywhere, refused."""
+    chosen = t("documents").where("lang <> 'en'").select(F.col("doc_id").alias("id"))
+    edited = [T.applied(_marks(t), chosen, typed).select(F.lit(typed).alias("typed"), "id", F.array_join("tags", ",").alias("tags")) for typed in _EDITS]
+    return reduce(DataFrame.unionByName, edited)
+
+
 # ---- joins
 
 
@@ -298,15 +317,15 @@ WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _made: dict[tuple, tuple[tuple, str]] = {}
 
 
-def _kept(t, kind: str, make) -> str:
-    """Where what make(documents, path) writes is kept: made once a session and version of the input's files, and taken away when another version takes its place."""
-    d = t("documents")
+def _kept(t, kind: str, make, source: str = "documents") -> str:
+    """Where what make(rows, path) writes is kept: made once a session and version of the input's files, and taken away when another version takes its place. rows: documents' texts, or another table as it is."""
+    d = t(source)
     spark = d.sparkSession
     files = d.inputFiles()
     key, now = (spark.sparkContext.applicationId, kind, tuple(sorted(files))), versions(spark, files)
     if key not in _made or _made[key][0] != now:
         path = work_dir(spark)
-        make(dealt(d).select(F.col("doc_id").cast("string").alias("path"), "text"), path)
+        make(dealt(d).select(F.col("doc_id").cast("string").alias("path"), "text") if source == "documents" else d, path)
         if key in _made:
             drop(spark, _made[key][1])
         _made[key] = (now, path)
@@ -504,5 +523,55 @@ def _flagship(t):
     return hits.join(s, "path").select("path", F.round("score", 6).alias("score"), "entries", "first_prompt").orderBy(F.desc("score"), "path")
 
 
+def _talk(t) -> tuple[P.Index, DataFrame]:
+    """The index of the conversations' prose, words folded as they are by default, and the prose."""
+    spark = t("conversations").sparkSession
+
+    def make(_, path: str) -> None:
+        prose.bodies(L.classify(transcripts.transcript_lines(t))).write.parquet(f"{path}/bodies")
+        P.save(P.build(spark.read.schema("path string, text string").parquet(f"{path}/bodies")), f"{path}/index")
+
+    path = _kept(t, "talk", make, "conversations")
+    return P.load(spark, f"{path}/index"), spark.read.schema("path string, text string").parquet(f"{path}/bodies")
+
+
+_TITLES = f"SELECT path, CASE WHEN ai_title <> '' THEN ai_title WHEN first_prompt <> '' THEN first_prompt ELSE '(untitled session)' END AS title FROM ({transcripts.SESSIONS})"
+_FOLDED = lambda c: f"strip_accents(lower({c}))"
+_BEGINS = "regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}]){w}')::INT"
+_talk_sql = lambda phrases, where: _bm25_sql(phrases, where, 12).replace("lower(text)", _FOLDED("text")).replace("FROM documents", f"FROM {_SAID}")
+_lift = lambda ranked, words, base="": f"SELECT path, {base}score * (1 + ({' + '.join(_BEGINS.format(w=w) for w in words)}) / {len(words)}.0) AS score FROM ({ranked}) JOIN ({_TITLES}) USING (path)"
+_says = lambda *parts: f"SELECT conv_id::VARCHAR AS path, 0 AS score FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING {' AND '.join(f"bool_or(contains({_LOW}, '{p}'))" for p in parts)}"
+_ROUTES = {
+    ("content", "the edou"): ("indexed", _lift(_talk_sql([("p", _word("the")), ("q", _word("edou"))], "p.f > 0 AND q.f > 0"), ["the", "edou"])),
+    ("content", "edou zqxjk"): ("partial", _lift(_talk_sql([("p", _word("edou"))], "p.f > 0"), ["edou", "zqxjk"], "1000000 + ")),
+    ("everything", "hthea"): ("scanned", _says("hthea")),
+    ("content", "zqxjk"): ("scanned", _says("zqxjk")),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{typed}' AS typed, '{how}' AS how, path, round(score, 6) AS score FROM ({sql})" for (_, typed), (how, sql) in _ROUTES.items()))
+def search_routes(t):
+    """Searches of all conversations, each by the way that its terms and findings ask for: ranked through the index, in part, or by a scan of the lines."""
+    index, bodies = _talk(t)
+    s = transcripts.sessions(t)
+    s = s.select("path", X.title(F.col("custom_title"), F.col("ai_title"), F.col("first_prompt"), F.col("is_subagent")).alias("title"))
+    lines = transcripts.transcript_lines(t)
+    found = []
+    for mode, typed in _ROUTES:
+        hits, how = S.run(index, bodies, lines, s, typed, mode)
+        found.append(hits.select(F.lit(typed).alias("typed"), F.lit(how).alias("how"), "path", F.round("score", 6).alias("score")))
+    return reduce(DataFrame.unionByName, found)
+
+
+query(_bm25_sql([("p", _word("cion")), ("q", _word("fur"))], "p.f > 0 OR q.f > 0").replace("lower(text)", _FOLDED("text")), "bm25_folded")(lambda t: _folded_or(t))
+
+
+def _folded_or(t) -> DataFrame:
+    """By words without their accents, as an index is by default; typed with and without them."""
+    index = P.load(t("documents").sparkSession, _kept(t, "folded", lambda d, path: P.save(P.build(d), path)))
+    one, other = (S.indexed(index, Query.parse(typed)).select("path", "score") for typed in ("ción", "fur"))
+    return one.unionAll(other).groupBy("path").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["ranked_conversations"](spark, sf_dir)

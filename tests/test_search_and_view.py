@@ -141,14 +141,14 @@ def test_overlays(spark):
 
 def test_view(spark):
     s, _ = sessions(spark)
-    show = lambda **k: [(r.row_kind, r.label) for r in view.listed(s, NOW, **k).collect()]
+    show = lambda **k: [(r.row_kind, r.label) for r in view.listed(s, NOW, **k).orderBy("line").collect()]
     assert show() == [("divider", "favourites"), ("item", "Week"), ("divider", "today"), ("item", "Today"), ("divider", "yesterday"), ("item", "Yesterday"), ("divider", "this week"), ("item", "Orphan"), ("item", "Orphan two"), ("divider", "this year"), ("item", "(untitled session)")]
     assert show(sort="title", dates="7")[0] == ("item", "Week")
     kids = spark.createDataFrame([("a",)], "id string")
     assert show(expanded=kids)[3:6] == [("item", "Today"), ("sub", "Kid two"), ("sub", "Kid one")]
     assert show(tag="perf") == [("divider", "favourites"), ("item", "Week")] and show(tag="wsx/r")[1] == ("item", "Today")
     assert show(typed="yester") == [("item", "Yesterday")]
-    heads = [(r.label, r.n) for r in view.listed(s, NOW, grouped=True, home="/home/u").where("row_kind = 'header'").collect()]
+    heads = [(r.label, r.n) for r in view.listed(s, NOW, grouped=True, home="/home/u").where("row_kind = 'header'").orderBy("line").collect()]
     assert heads == [("r/s/sub", 1), ("~/p", 2), ("", 3)]
     hits = spark.createDataFrame([("/k1", 5.0, "kid"), ("/b", 2.0, "own")], "path string, score double, excerpt string")
     assert show(hits=hits, expanded=kids) == [("item", "Today"), ("sub", "Kid one"), ("item", "Yesterday")]
@@ -185,3 +185,32 @@ def test_picks_without_a_session_go(spark):
     s, _ = sessions(spark)
     picked = spark.createDataFrame([("/a",), ("/left",)], "path string")
     assert [r.path for r in view.retained(picked, s).collect()] == ["/a"]
+
+
+def test_a_tag_edit_is_of_the_chosen_and_a_rename_of_all(spark):
+    marks = spark.createDataFrame([("a", True, ["x", "y"], ""), ("b", False, ["x"], ""), ("c", False, ["y"], "n")], "id string, favorite boolean, tags array<string>, note string")
+    chosen = spark.createDataFrame([("b",), ("c",), ("new",), ("new",), (None,)], "id string")
+    after = lambda typed: {r.id: r.tags for r in tags.applied(marks, chosen, typed).collect()}
+    assert after("Z, wsx/q") == {"a": ["x", "y"], "b": ["x", "z"], "c": ["y", "z"], "new": ["z"]}
+    assert after("-x") == {"a": ["x", "y"], "c": ["y"]}  # b and new have nothing left
+    assert after("x>y") == {"a": ["y"], "b": ["y"], "c": ["y"]}
+    assert after("x>wsx/q") == after(" ") == {"a": ["x", "y"], "b": ["x"], "c": ["y"]}
+    assert tags.applied(marks.limit(0), chosen.limit(0), "z").count() == 0
+
+
+def test_folders_and_their_subagents_lie_as_a_plain_sort_lays_them(spark):
+    rows = [(f"{i}", f"/{i:03d}", i % 4 == 3, f"{i - 3}" if i % 4 == 3 else None, f"/w{i % 6}" if i % 10 else "", i % 3, i % 11 == 0, i % 5, f"t{i % 2}") for i in range(120)]
+    plain = spark.createDataFrame(rows, "id string, path string, is_subagent boolean, parent string, cwd string, mtime long, favorite boolean, size long, title string").repartition(4)
+    s = plain.withColumn("wsx", F.lit(None).cast("struct<repo:string,slug:string,rest:string,state:string,worktree:string,checkout:string>"))
+    got = [(r.row_kind, r.label if r.row_kind == "header" else r.path, r.n) for r in view.listed(s, NOW, sort="size", grouped=True, expanded=s.select("id")).orderBy("line").collect()]
+    tops = sorted((r for r in rows if not r[2]), key=lambda r: (not r[6], -r[7], -r[5], r[1]))
+    by = {}
+    for r in tops:
+        by.setdefault(r[4], []).append(r)  # folders come in the order of their first sessions
+    want = []
+    for folder in sorted(by, key=lambda f: -max(r[5] for r in by[f])):
+        want.append(("header", folder, len(by[folder])))
+        for r in by[folder]:
+            want.append(("item", r[1], None))
+            want += [("sub", k[1], None) for k in sorted((k for k in rows if k[3] == r[0]), key=lambda k: (k[5], k[1]))]
+    assert [(kind, label if kind != "header" else label.replace("~", ""), n) for kind, label, n in got] == want
