@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.query import Query
 from loomline.operators import overlay as O
-from loomline.operators import postings, report, search, view
+from loomline.operators import postings, report, search, tags, view
 from loomline.operators.rollup import TOKENS
 
 #: /more says copper often and lamp never; /both says both, once each; /pair has them side by side in another order of its other words.
