@@ -263,3 +263,15 @@ def test_training_rows_are_bounded_though_ids_repeat(spark):
     assert len(training_rows(docs, labels, "toxic", 1, 7, 2).collect()) == 2
     again = training_rows(docs.repartition(5), labels, "toxic", 1, 7, 100).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_one_unlabelled_row_of_a_repeated_id_is_drawn(spark):
+    voters = toxicity.Voters(np.zeros(2 * toxicity.BINS, np.int64), np.zeros(toxicity.BINS, bool), 0)
+    rows = [(7, "word again", None)] * 300 + [(7, "another word", None), (8, None, None), (9, "", None), (None, "no id", None), (10, "has a label", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    draw = lambda d: toxicity._unlabelled(d, docs.where("toxic IS NOT NULL"), "toxic", "doc_id", 5, -1, voters, np.array([1.0]))
+    bins, votes = draw(docs)
+    assert len(bins) == 3 and votes.shape == (3, 4)  # 7 once, 8 and 9
+    again, _ = draw(docs.repartition(3))
+    assert [list(b) for b in again] == [list(b) for b in bins]
+    assert len(draw(docs.limit(0))[0]) == 0
