@@ -100,7 +100,7 @@ def list_ranked(t):
     return V.listed(sessions(t), NOW, hits=_hits(t)).select("row_kind", "label", "path", "line")
 
 
-@query(f"{_ANSWERED}, o AS (SELECT *, row_number() OVER (ORDER BY favorite DESC, o_totalprice // 1 DESC, mtime DESC, path) AS ord FROM found), g AS (SELECT cwd, max(mtime) AS newest, min(ord) AS first, count(*) AS n FROM o GROUP BY cwd), r AS (SELECT 'item' AS row_kind, title AS label, path, NULL::BIGINT AS n, newest, first, ord * 3 AS k, 0 AS m FROM o JOIN g USING (cwd) UNION ALL SELECT 'header', cwd, NULL, n, newest, first, 0, 0 FROM g UNION ALL SELECT 'sub', c.title, c.path, NULL, newest, first, ord * 3 + 1, c.mtime FROM s c JOIN o ON c.parent = o.id JOIN g ON o.cwd = g.cwd WHERE c.sub AND c.o_totalprice > 300000) SELECT row_kind, label, path, n, row_number() OVER (ORDER BY newest DESC, first, k, m, path) AS line FROM r")
+@query(f"{_ANSWERED}, o AS (SELECT *, row_number() OVER (ORDER BY favorite DESC, floor(o_totalprice) DESC, mtime DESC, path) AS ord FROM found), g AS (SELECT cwd, max(mtime) AS newest, min(ord) AS first, count(*) AS n FROM o GROUP BY cwd), r AS (SELECT 'item' AS row_kind, title AS label, path, NULL::BIGINT AS n, newest, first, ord * 3 AS k, 0 AS m FROM o JOIN g USING (cwd) UNION ALL SELECT 'header', cwd, NULL, n, newest, first, 0, 0 FROM g UNION ALL SELECT 'sub', c.title, c.path, NULL, newest, first, ord * 3 + 1, c.mtime FROM s c JOIN o ON c.parent = o.id JOIN g ON o.cwd = g.cwd WHERE c.sub AND c.o_totalprice > 300000) SELECT row_kind, label, path, n, row_number() OVER (ORDER BY newest DESC, first, k, m, path) AS line FROM r")
 def list_found_by_folder(t):
     """What a search found in the list's own order, by folder, with the subagents that were found below their parents."""
     s = sessions(t)
