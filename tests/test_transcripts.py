@@ -384,3 +384,18 @@ def test_conditions_choose_files_and_bytes(spark, tmp_path):
         assert pushed().rdd.getNumPartitions() == 16
     finally:
         spark.conf.unset(conf)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path, f"s{i}.jsonl", [f"line {i} {j} é" for j in range(1 + i % 6)])
+    write(tmp_path, ".hidden/none.jsonl", ["no"])
+    for options in ({"splitBytes": "20"}, {"tailBytes": "30"}, {}):
+        df = transcripts.read(spark, str(tmp_path), **options)
+        assert 1 < df.rdd.getNumPartitions() <= 2 * transcripts.TASKS, options
+        if "tailBytes" not in options:
+            assert sorted(r.raw for r in df.collect()) == sorted(f"line {i} {j} é" for i in range(300) for j in range(1 + i % 6))
+    last = turns.tail_turns(spark, str(tmp_path), 1, tail_bytes=30)
+    assert last.count() == 0  # no JSON
+    assert transcripts.files(spark, str(tmp_path)).count() == 300
+    assert [len(t.spans) for t in transcripts.tasks([transcripts.Span("a", 0, 64 << 20, True, False)] * 100)] == [1] * 100  # large ranges stay apart
