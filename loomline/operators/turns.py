@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import spot
 from ..functions import text as X
 from ..sources import transcripts
+from ..sources.storage import work_dir
 from .lines import content_blocks
 
 
@@ -46,7 +47,10 @@ TAIL_BYTES, GROWN, VIEW_BYTES, VIEW_TURNS = 512 << 10, 8, 8 << 20, 400
 def tail_turns(spark: SparkSession, root: str, n: int = 8, tail_bytes: int = TAIL_BYTES) -> DataFrame:
     """The last n turns of each transcript under a root, from the ends of the files; a file whose end holds no turn, say within one very long line, is read again from further up."""
     read = lambda size, files=None: extract(transcripts.read(spark, root, tailBytes=str(size), partial="true", **({"files": json.dumps(files)} if files is not None else {})))
-    found = read(tail_bytes)
+    w = W.partitionBy("path").orderBy(F.desc("offset"))
+    path = work_dir(spark)
+    read(tail_bytes).withColumn("back", F.row_number().over(w)).where(F.col("back") <= n + 1).drop("back").write.parquet(path)  # files are read once
+    found = spark.read.schema("path string, offset long, role string, text string").parquet(path)
     large = transcripts.files(spark, root).where(F.col("size") > tail_bytes).select("path")
     silent = [r.path for r in large.join(found.select("path").distinct(), "path", "left_anti").toLocalIterator()]
     if silent:
