@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.memory import lean
 from ..sources.storage import work_dir
 from . import postings as P
 
@@ -54,7 +55,7 @@ def piece_rows(texts: DataFrame, folded: bool = True) -> DataFrame:
                 row = end
 
     some = texts.where("text <> ''").select("path", F.col("gen").cast("long").alias("gen"), F.col("base").cast("long").alias("base"), low.alias("low"))
-    return some.mapInArrow(run, POSTING)
+    return some.mapInArrow(lean(run), POSTING)
 
 
 def run_of(texts: DataFrame, path: str, folded: bool = True) -> DataFrame:

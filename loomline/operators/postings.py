@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.memory import lean
 from ..sources.storage import work_dir
 
 POSTING = "term string, path string, tf long, positions array<int>, dl long"
 #: Bytes of text that the kernel takes at once; a longer document is taken alone.
-BYTES = 8 << 20
+BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ def build(bodies: DataFrame, key: str = "path", text: str = "text", folded: bool
     """An index of (key, text) rows, one a key; empty texts have no row, nor a place in averages."""
     low = X.fold(bodies[text]) if folded else F.lower(bodies[text])
     docs = bodies.where((F.coalesce(bodies[text], F.lit("")) != "") & bodies[key].isNotNull()).select(bodies[key].cast("string").alias("path"), low.alias("low"))
-    return _index(docs.mapInArrow(_postings, POSTING))
+    return _index(docs.mapInArrow(lean(_postings), POSTING))
 
 
 def _index(rows: DataFrame) -> Index:

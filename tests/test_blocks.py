@@ -72,3 +72,15 @@ def test_owned_work_tables_go(spark, bodies, tmp_path):
         spark.read.parquet(path)
     assert spark.read.parquet(str(tmp_path / "kept")).count() > 100
     assert not storage.work_dir(spark).startswith(path)
+
+
+def test_the_kernel_takes_little_at_once(spark, sf):
+    import pyarrow as pa
+
+    from loomline.plans.base import table
+
+    batch = pa.record_batch([pa.array([f"d{i}" for i in range(40)]), pa.array(["lamp oil " * 22_000] * 40)], names=["path", "low"])
+    made = list(postings._postings(iter([batch])))
+    assert sum(m.num_rows for m in made) == 40 * 3 and max(m.num_rows for m in made) <= 3 * 5  # 200 KB a text
+    table(spark, sf, "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
