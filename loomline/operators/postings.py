@@ -1,8 +1,8 @@
 """The full-text index: postings with positions, document lengths and counts, as Parquet tables.
 
 A document is one row, so its words are grouped where they are: an Arrow kernel cuts and
-sorts the words of some rows at once, and no word crosses the network before postings are dealt by
-ranges of terms. A posting carries its document's length, so that ranking joins nothing.
+sorts the words of some rows at once, and no posting crosses the network: a partition of documents
+becomes one file, sorted by term. A posting carries its document's length, so that ranking joins nothing.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.memory import lean
-from ..sources.storage import work_dir
 
 POSTING = "term string, path string, tf long, positions array<int>, dl long"
 #: Bytes of text that the kernel takes at once; a longer document is taken alone.
 BYTES = 1 << 20
+#: How postings are written: small row groups, of which a word or a prefix reads one or two in each file.
+FILES = {"compression": "zstd", "parquet.block.size": str(4 << 20)}
 
 
 @dataclass(frozen=True)
@@ -96,13 +97,11 @@ def _totals(lengths: DataFrame) -> DataFrame:
 
 
 def save(index: Index, path: str) -> None:
-    """Postings are written once as they come, then dealt by ranges of terms and sorted, so that the files' statistics prune a word's or a prefix's read to its own row groups. Counts are stored with them."""
+    """Postings are written once, each partition's sorted by term where it is, so that the files' statistics prune a word's or a prefix's read to its own row groups; of an index that isn't saved, lengths lie among them, without a term. Counts are stored with them. A partition of texts should be small enough to sort in memory."""
+    put = lambda df, name: df.write.mode("overwrite").options(**FILES).parquet(f"{path}/{name}")
+    put((index.postings if index.rows is None else index.rows).sortWithinPartitions("term"), "postings")
     if index.rows is not None:  # texts are read once
-        spark, raw = index.rows.sparkSession, work_dir(index.rows.sparkSession)
-        index.rows.write.parquet(raw)
-        index = _index(spark.read.schema(POSTING).parquet(raw))
-    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-    put(index.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        index = _index(index.rows.sparkSession.read.schema(POSTING).parquet(f"{path}/postings"))
     put(index.lengths, "lengths")
     put(index.terms, "terms")
     put(index.totals, "totals")
@@ -110,7 +109,7 @@ def save(index: Index, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> Index:
     table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(table("postings", POSTING), table("lengths", "path string, dl long"), table("terms", "term string, docs long, occurrences long"), table("totals", "docs long, mean double"))
+    return Index(table("postings", POSTING).where("term IS NOT NULL"), table("lengths", "path string, dl long"), table("terms", "term string, docs long, occurrences long"), table("totals", "docs long, mean double"))
 
 
 def document_frequency(index: Index) -> DataFrame:

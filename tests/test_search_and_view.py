@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions.query import Query
 from loomline.operators import overlay as O
-from loomline.operators import postings, report, search, tags, view
+from loomline.operators import evaluate, postings, report, search, tags, view
 from loomline.operators.rollup import TOKENS
+from loomline.plans import base
 
 #: /more says copper often and lamp never; /both says both, once each; /pair has them side by side in another order of its other words.
 BODIES = {"/pair": "under a copper lamp hung the clamp", "/both": "copper pipes and then a lamp", "/more": "copper copper copper copper copper tonight", "/accent": "Über São Paulo: planting trees, plantation", "/sign": "lists in F++ and f++ too", "/none": "no match here"}
@@ -74,6 +75,41 @@ def test_postings_of_odd_documents(spark, monkeypatch):
     assert postings.build(df.limit(0)).totals.first().docs == 0
 
 
+def test_a_saved_index_moves_no_posting(spark, tmp_path):
+    rows = [(f"d{i}", f"lamp oil w{i % 7} x{i}") for i in range(60)]
+    postings.save(postings.build(spark.createDataFrame(rows, "path string, text string").repartition(3)), str(tmp_path))
+    again = postings.load(spark, str(tmp_path))
+    files = again.postings.select("path", F.input_file_name().alias("at")).distinct().collect()
+    assert len(files) == 60 and len({r.at for r in files}) == 3  # a document's postings stay together
+    for f in again.postings.inputFiles():
+        terms = [r.term for r in spark.read.parquet(f).select("term").collect()]
+        assert terms == sorted(terms, key=lambda x: x or "")
+    assert again.postings.count() == 240 and again.lengths.count() == 60 == again.totals.first().docs
+
+
+@pytest.mark.parametrize("common,rarer,short", [(200_000, 8, 200_000), (3, 1, 200_000), (3, 1, 0), (0, 0, 2), (1000, 0, 5)])
+@pytest.mark.parametrize("n", [1, 3])
+def test_rarest_words_by_rare_and_by_common_ones(spark, tmp_path, monkeypatch, common, rarer, short, n):
+    for name, value in (("COMMON", common), ("RARER", rarer), ("SHORT", short)):
+        monkeypatch.setattr(evaluate, name, value)
+    texts = {f"d{i}": " ".join(["lamp", *["copper"] * (i % 2), *[f"tin{i % 5}"] * (i % 3), *[f"iron{i}", f"lead{i}", "ox"] * (i % 4 > 1)]) for i in range(40)} | {"few": "lamp", "none": "a of", "blank": " - ", "null": None, "copy": "lamp copper"}
+    postings.save(postings.build(spark.createDataFrame(list(texts.items()), "path string, text string")), str(tmp_path))
+    sets = {p: set((t or "").replace("-", " ").split()) for p, t in texts.items()}
+    docs = {w: sum(w in s for s in sets.values()) for s in sets.values() for w in s}
+    want = sorted((p, i + 1, w, docs[w]) for p, s in sets.items() for i, w in enumerate(sorted((w for w in s if len(w) >= 3), key=lambda w: (docs[w], w))[:n]))
+    assert sorted(map(tuple, evaluate.rarest_words(postings.load(spark, str(tmp_path)), n).collect())) == want
+
+
+def test_files_are_read_by_small_ranges_inside(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    had = spark.conf.get(key)
+    with base.split(spark, 1 << 20):
+        assert spark.conf.get(key) == str(1 << 20)
+        with base.split(spark, 2 << 20):
+            assert spark.conf.get(key) == str(1 << 20)
+    assert spark.conf.get(key) == had
+
+
 def test_one_shuffle_ranks(spark):
     plan = search.indexed(postings.build(bodies(spark)), Query.parse("copper"))
     plan.collect()
