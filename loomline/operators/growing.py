@@ -8,8 +8,8 @@ other gens are dead, and a search's join leaves them out. Runs of one tier are m
 there are FAN of them, which drops the dead and joins a document's pieces; so a refresh
 writes what was appended and, over time, each posting once a tier.
 
-Every run is sorted by ranges of terms, as the index that is built at once is: a search reads
-the row groups of its terms in each run.
+A run's files are sorted by term where their pieces are, as the index's that is built at once are: a
+search reads the row groups of its terms in each file. Only a merge deals postings, once, by document.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.memory import lean
-from ..sources.storage import work_dir
 from . import postings as P
 
 POSTING = "term string, path string, gen long, tf long, positions array<int>"
@@ -59,31 +58,53 @@ def piece_rows(texts: DataFrame, folded: bool = True) -> DataFrame:
 
 
 def run_of(texts: DataFrame, path: str, folded: bool = True) -> DataFrame:
-    """Writes the pieces' postings as a run; (path, gen, words) of the pieces, stored beside it."""
-    spark, raw = texts.sparkSession, work_dir(texts.sparkSession)
-    piece_rows(texts, folded).write.parquet(raw)
-    rows = spark.read.schema(POSTING).parquet(raw)
-    _put(rows.where("term IS NOT NULL"), path)
-    return rows.where("term IS NULL").select("path", "gen", F.col("tf").alias("words"))
+    """Writes the pieces' postings as a run, and among them, without a term, (path, gen, words) of the pieces, which it returns. A partition of texts should be small enough to sort its postings in memory."""
+    _put(piece_rows(texts, folded).sortWithinPartitions("term"), path)
+    return texts.sparkSession.read.schema(POSTING).parquet(path).where("term IS NULL").select("path", "gen", F.col("tf").alias("words"))
 
 
-def _put(postings: DataFrame, path: str) -> None:
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
+def _put(sorted_rows: DataFrame, path: str) -> None:
+    sorted_rows.write.options(**P.FILES).parquet(path)
 
 
 def _alive(spark: SparkSession, runs: list[str], live: DataFrame) -> DataFrame:
+    return _rows(spark, runs).join(live.select("path", "gen", "dl"), ["path", "gen"])
+
+
+def _rows(spark: SparkSession, runs: list[str]) -> DataFrame:
     rows = spark.read.schema(POSTING).parquet(*runs) if runs else spark.createDataFrame([], POSTING)
-    return rows.join(live.select("path", "gen", "dl"), ["path", "gen"])
+    return rows.where("term IS NOT NULL")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows (term, path, gen, positions) of one term, path and gen as one; the last ones wait for the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([held, batch]) if held is not None else batch
+        keys = [rows.column(i) for i in range(3)]
+        new = np.concatenate(([True], np.any([pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False) for k in keys], axis=0)))
+        first = np.flatnonzero(new)
+        yield _at(rows.slice(0, first[-1]), first[:-1])
+        held = rows.slice(first[-1])
+    if held is not None:
+        yield _at(held, np.zeros(1, np.int64))
+
+
+def _at(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+    """Rows from each of ``first`` to the next as one: places stand one after another as they are."""
+    positions, at = rows.column(3), pa.array(first, pa.int64())
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(positions).to_numpy(zero_copy_only=False), dtype=np.int64)))[np.append(first, len(positions))]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), positions.flatten())
+    return pa.record_batch([*(rows.column(i).take(at) for i in range(3)), pa.array(np.diff(ends), pa.int64()), lists], names=["term", "path", "gen", "tf", "positions"])
 
 
 def merge(spark: SparkSession, runs: list[str], live: DataFrame, path: str) -> None:
-    """Runs as one, without what is dead; a document's pieces become one posting a term."""
-    rows = _alive(spark, runs, live).groupBy("term", "path", "gen")
-    first = F.array_sort(F.collect_list(F.struct(F.element_at("positions", 1).alias("first"), "tf", "positions")))
-    rows = rows.agg(F.sum("tf").alias("tf"), F.flatten(F.transform(first, lambda x: x["positions"])).alias("positions"))
-    raw = work_dir(spark)
-    rows.select("term", "path", "gen", "tf", "positions").write.parquet(raw)
-    _put(spark.read.schema(POSTING).parquet(raw), path)
+    """Runs as one, without what is dead; a document's pieces become one posting a term. Dealt by document, so that the join with what is alive and the pieces' meeting share a shuffle."""
+    rows = _rows(spark, runs).repartition("path", "gen").join(live.select("path", "gen"), ["path", "gen"], "left_semi")
+    rows = rows.select("term", "path", "gen", "positions").sortWithinPartitions("term", "path", "gen", F.element_at("positions", 1))
+    _put(rows.mapInArrow(lean(_joined), POSTING), path)
 
 
 def opened(spark: SparkSession, runs: list[str], live: DataFrame) -> P.Index:
