@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.memory import lean
+from ..sources.storage import work_dir
 from . import postings as P
 
 POSTING = "term string, path string, gen long, tf long, positions array<int>"
@@ -58,9 +59,13 @@ def piece_rows(texts: DataFrame, folded: bool = True) -> DataFrame:
 
 
 def run_of(texts: DataFrame, path: str, folded: bool = True) -> DataFrame:
-    """Writes the pieces' postings as a run, and among them, without a term, (path, gen, words) of the pieces, which it returns. A partition of texts should be small enough to sort its postings in memory."""
-    _put(piece_rows(texts, folded).sortWithinPartitions("term"), path)
-    return texts.sparkSession.read.schema(POSTING).parquet(path).where("term IS NULL").select("path", "gen", F.col("tf").alias("words"))
+    """Writes the pieces' postings as a run; (path, gen, words) of the pieces, one row a path and gen, in a work table. A partition of texts should be small enough to sort its postings in memory."""
+    spark, at = texts.sparkSession, work_dir(texts.sparkSession)
+    _put(piece_rows(texts, folded).where("term IS NOT NULL").sortWithinPartitions("term"), path)
+    pieces = texts.where("text <> ''").select("path", F.col("gen").cast("long").alias("gen"), F.lit(0).cast("long").alias("words"))  # some have no word
+    found = spark.read.schema(POSTING).parquet(path).select("path", "gen", F.col("tf").alias("words"))
+    pieces.unionAll(found).groupBy("path", "gen").agg(F.sum("words").alias("words")).write.parquet(at)
+    return spark.read.schema("path string, gen long, words long").parquet(at)
 
 
 def _put(sorted_rows: DataFrame, path: str) -> None:
@@ -72,8 +77,7 @@ def _alive(spark: SparkSession, runs: list[str], live: DataFrame) -> DataFrame:
 
 
 def _rows(spark: SparkSession, runs: list[str]) -> DataFrame:
-    rows = spark.read.schema(POSTING).parquet(*runs) if runs else spark.createDataFrame([], POSTING)
-    return rows.where("term IS NOT NULL")
+    return spark.read.schema(POSTING).parquet(*runs) if runs else spark.createDataFrame([], POSTING)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,9 @@ def posted(df):
 
 
 def test_a_run_moves_no_posting(spark, tmp_path):
-    texts = spark.createDataFrame([(f"d{i}", 0, 0, f"lamp oil lamp w{i % 7}") for i in range(60)], SCHEMA).repartition(3)
+    texts = spark.createDataFrame([(f"d{i}", 0, 0, f"lamp oil lamp w{i % 7}") for i in range(60)] + [("blank", 0, 0, " - "), ("empty", 0, 0, "")], SCHEMA).repartition(3)
     words = growing.run_of(texts, str(tmp_path / "r"))
-    assert sorted(map(tuple, words.collect())) == sorted((f"d{i}", 0, 4) for i in range(60))
+    assert sorted(map(tuple, words.collect())) == sorted([("blank", 0, 0), *((f"d{i}", 0, 4) for i in range(60))])
     rows = spark.read.schema(growing.POSTING).parquet(str(tmp_path / "r"))
     files = rows.select("path", F.input_file_name().alias("at")).distinct().collect()
     assert len(files) == 60 and len({r.at for r in files}) == 3
