@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-BODY_CAP = 64 << 20
 #: Bytes of a file whose prose one row holds.
 BLOCK_BYTES = 64 << 20
 _S = X.JSON_CHARS
@@ -35,13 +34,23 @@ def said(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("is_user") | F.col("is_assistant")) & ~raw.contains('"isMeta":true') & ~raw.contains('"type":"tool_result"'))
 
 
-def bodies(lines: DataFrame, cap: int = BODY_CAP, block_bytes: int = BLOCK_BYTES, had: DataFrame | None = None) -> DataFrame:
-    """(path, text) of the transcripts that have prose, in file order: the lines before which there are less than ``cap`` bytes of it.
+def bodies(lines: DataFrame, cap: int | None = None, block_bytes: int = BLOCK_BYTES, had: DataFrame | None = None) -> DataFrame:
+    """(path, text) of the transcripts that have prose, all of it in file order; with a cap, the lines before which there are less than ``cap`` bytes of it.
 
-    Prose is gathered by blocks of a file first, each no larger than the block; running sums in and over the blocks leave out what comes beyond the cap before the rest are joined. had: (path, had) of bytes of prose that transcripts had before these lines.
+    Prose is gathered by blocks of a file first, each no larger than the block; running sums in and over the blocks leave out what comes beyond a cap before the rest are joined. had: (path, had) of bytes of prose that transcripts had before these lines, for a cap.
     """
     p = said(lines).select("path", "offset", harvest(F.col("raw")).alias("t")).where("t <> ''")
     p = p.withColumn("block", F.floor(F.col("offset") / F.lit(block_bytes)))
+    blocks = _whole(p) if cap is None else _capped(p, cap, had)
+    return blocks.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"]), "").alias("text"))
+
+
+def _whole(p: DataFrame) -> DataFrame:
+    """(path, block, t) of lines (path, block, offset, t)."""
+    return p.groupBy("path", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "t"))), lambda x: x["t"]), "").alias("t"))
+
+
+def _capped(p: DataFrame, cap: int, had: DataFrame | None) -> DataFrame:
     so_far = lambda size, *by: F.coalesce(F.sum(size).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     p = p.withColumn("run", so_far(F.octet_length("t"), "path", "block", "offset"))
     blocks = p.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "run", "t"))).alias("ls"), F.sum(F.octet_length("t")).alias("n"))
@@ -50,5 +59,4 @@ def bodies(lines: DataFrame, cap: int = BODY_CAP, block_bytes: int = BLOCK_BYTES
     start = F.coalesce("had", F.lit(0)) if had is not None else F.lit(0)
     blocks = blocks.withColumn("before", start + so_far(F.col("n"), "path", "block")).where(F.col("before") < cap)
     kept = F.filter("ls", lambda x: F.col("before") + x["run"] < cap)
-    blocks = blocks.select("path", "block", F.array_join(F.transform(kept, lambda x: x["t"]), "").alias("t"))
-    return blocks.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"]), "").alias("text"))
+    return blocks.select("path", "block", F.array_join(F.transform(kept, lambda x: x["t"]), "").alias("t"))

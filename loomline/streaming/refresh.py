@@ -157,7 +157,7 @@ class State:
         old = self.segments(todo.where("kind = 'more'"))
         if old is not None:
             seg = rollup.merge(old.drop(*OWN, *SEEN), seg)
-        text = prose.bodies(typed, had=todo.select("path", "had")).join(todo.select("path", "gen", "base"), "path")
+        text = prose.bodies(typed).join(todo.select("path", "gen", "base"), "path")
         name = self._write(text.select("path", "gen", F.lit(seq).cast("long").alias("seq"), "base", "text"), "prose")
         said = self._read(name)
         run = self.log.table("index")
