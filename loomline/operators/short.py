@@ -16,7 +16,7 @@ TITLE, SAID, SHOWN, UNTITLED, NOWHERE = 110, 400, 8, "(no user message)", "?"
 
 def _parsed(lines: DataFrame) -> DataFrame:
     """(path, offset, type, meta, cwd, said) of lines that are JSON: what a message says is its string, or its text blocks joined."""
-    top = F.from_json(X.mend_surrogates(F.col("raw")), "type string, isMeta boolean, cwd string")
+    top = F.from_json(X.mend_surrogates(F.col("raw")), "type string, isMeta boolean, cwd string", X.LONG)
     plain, blocks = content_blocks(F.col("raw"))
     said = F.coalesce(plain, F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), " "), F.lit(""))
     return lines.select("path", "offset", top["type"].alias("type"), F.coalesce(top["isMeta"], F.lit(False)).alias("meta"), top["cwd"].alias("cwd"), X.squash(said, 1 << 30).alias("said"))

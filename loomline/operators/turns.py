@@ -19,7 +19,7 @@ from .lines import content_blocks
 def extract(lines: DataFrame) -> DataFrame:
     """(path, offset, role, text): what was said, by ``you`` or the ``assistant``; a tool call is its name in brackets. Injected and empty turns are left out."""
     raw = X.mend_surrogates(F.col("raw"))
-    top = F.from_json(raw, "type string, isMeta boolean")
+    top = F.from_json(raw, "type string, isMeta boolean", X.LONG)
     plain, blocks = content_blocks(F.col("raw"))
     you = top["type"] == "user"
     said = F.filter(blocks, lambda b: (b["type"] == "tool_use") | (b["type"] == "text") & (~you | X.is_real_user_text(b["text"])))
