@@ -40,12 +40,17 @@ def preview(turns: DataFrame, query: str = "", n: int = 8) -> DataFrame:
     return last(turns, n).withColumn("text", spot.shown(F.col("text"), query))
 
 
-# Bytes of a transcript's end that a preview reads, how many times more if it finds no turn there, and what the viewer reads and shows.
-TAIL_BYTES, GROWN, VIEW_BYTES, VIEW_TURNS = 512 << 10, 8, 8 << 20, 400
+# How many times more of a transcript's end is read if there is no turn in it, and what the viewer reads and shows.
+GROWN, VIEW_BYTES, VIEW_TURNS = 8, 8 << 20, 400
 
 
-def tail_turns(spark: SparkSession, root: str, n: int = 8, tail_bytes: int = TAIL_BYTES) -> DataFrame:
-    """The last n turns of each transcript under a root, from the ends of the files; a file whose end holds no turn, say within one very long line, is read again from further up."""
+def tail_turns(spark: SparkSession, root: str, n: int = 8, tail_bytes: int | None = None) -> DataFrame:
+    """The last n turns of each transcript under a root, of all its lines.
+
+    With tail_bytes, for a preview alone: those in so many bytes of the files' ends; a file whose end holds no turn, say within one very long line, is read again from GROWN times as far up, and no further.
+    """
+    if tail_bytes is None:
+        return last(extract(transcripts.read(spark, root, partial="true")), n)
     read = lambda size, files=None: extract(transcripts.read(spark, root, tailBytes=str(size), partial="true", **({"files": json.dumps(files)} if files is not None else {})))
     w = W.partitionBy("path").orderBy(F.desc("offset"))
     path = work_dir(spark)
