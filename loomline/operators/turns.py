@@ -13,18 +13,22 @@ from ..functions import spot
 from ..functions import text as X
 from ..sources import transcripts
 from ..sources.storage import work_dir
-from .lines import content_blocks
+from .lines import parsed_content
 
 
 def extract(lines: DataFrame) -> DataFrame:
     """(path, offset, role, text): what was said, by ``you`` or the ``assistant``; a tool call is its name in brackets. Injected and empty turns are left out."""
-    raw = X.mend_surrogates(F.col("raw"))
-    top = F.from_json(raw, "type string, isMeta boolean", X.LONG)
-    plain, blocks = content_blocks(F.col("raw"))
-    you = top["type"] == "user"
-    said = F.filter(blocks, lambda b: (b["type"] == "tool_use") | (b["type"] == "text") & (~you | X.is_real_user_text(b["text"])))
-    text = F.coalesce(plain, F.array_join(F.transform(said, lambda b: F.when(b["type"] == "tool_use", F.concat(F.lit("["), b["name"], F.lit("]"))).otherwise(b["text"])), " "), F.lit(""))
-    t = lines.where(top["type"].isin("user", "assistant") & ~F.coalesce(top["isMeta"], F.lit(False))).select("path", "offset", F.when(you, "you").otherwise("assistant").alias("role"), X.trimmed(text).alias("text"))
+    raw, top, role, said = F.col("raw"), F.col("_json"), F.col("_role"), F.col("_said")
+    t = lines.withColumn("_mended", F.when(raw.contains("\\u"), X.mend_surrogates(raw)).otherwise(raw))
+    t = t.withColumn("_json", F.from_json("_mended", "type string, isMeta boolean, message struct<content:string>", X.LONG))
+    turn = top["type"].isin("user", "assistant") & ~F.coalesce(top["isMeta"], F.lit(False))
+    t = t.withColumn("_role", F.when(turn, F.when(top["type"] == "user", "you").otherwise("assistant")))
+    plain, blocks = parsed_content(top["message"]["content"], F.col("_mended"))
+    spoken = F.filter(blocks, lambda b: (b["type"] == "tool_use") | (b["type"] == "text") & ((role != "you") | X.is_real_user_text(b["text"])))
+    text = F.coalesce(plain, F.array_join(F.transform(spoken, lambda b: F.when(b["type"] == "tool_use", F.concat(F.lit("["), b["name"], F.lit("]"))).otherwise(b["text"])), " "), F.lit(""))
+    t = t.withColumn("_said", F.when(role.isNotNull(), X.trimmed(text)))
+    # one row a line: conditions on what is exploded aren't moved before it, where a line would be parsed again for each
+    t = t.select("path", "offset", F.explode(F.array(F.struct(role.alias("role"), said.alias("text")))).alias("t")).select("path", "offset", "t.role", "t.text")
     return t.where((F.col("text") != "") & ((F.col("role") != "you") | X.is_real_user_text(F.col("text"))))
 
 
